@@ -278,4 +278,5 @@ def in_training_order(docs: DataFrame, layout: Layout = Layout(), folder: str |
     folder = folder if "://" in folder else f"file://{folder}" if folder.startswith("/") else folder.replace("file:", "file://", 1)
     shards, index = materialise(docs, folder, layout, **options)
     back = read(spark, folder, shards, layout).select("shard", "slot", F.crc32("tokens").alias("tokens_crc32"))
-    return back.join(index, "slot").select("shard", "slot", "seq", "n_tokens", "tokens_crc32", "doc_ids")
+    # both sides grow with the rows, though what lists the shards is tiny
+    return back.hint("merge").join(index, "slot").select("shard", "slot", "seq", "n_tokens", "tokens_crc32", "doc_ids")
