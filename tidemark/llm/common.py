@@ -6,8 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -69,28 +67,60 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
+#: White space that parts words, as a table over bytes.
+SPACES = np.array([c in b" \t\n\v\f\r" for c in range(256)])
+#: Bytes that are hashed at once; longer texts are cut between words.
+_PIECE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers: list[np.ndarray] = []
 
-    def __init__(self, bound: int = 500_000):
-        self.bound, self.seen = bound, {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.bound:
-            seen.clear()
-        out = []
-        for w in words:
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+def _power_tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if not _powers:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            with np.errstate(over="ignore"):
+                _powers.append(np.cumprod(np.r_[np.uint64(1), np.full(_PIECE, base, dtype=np.uint64)], dtype=np.uint64))
+    return _powers
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z in lower case, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def _hash_piece(data: bytes, spaces: np.ndarray) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[True, spaces[raw], True].view(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    if len(raw) > _PIECE:  # one word longer than a piece: rare, and hashed by itself
+        return np.array([xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(first, last, strict=True)], dtype=np.uint64)
+    power, inverse = _power_tables()
+    with np.errstate(over="ignore"):
+        sums = np.empty(len(raw) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum((raw + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+        h = (sums[last] - sums[first]) * inverse[first]
+        return mix64(h ^ ((last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def word_hashes(data: bytes, spaces: np.ndarray = SPACES) -> np.ndarray:
+    """64-bit hashes of the words of a text in order: polynomials of their bytes, from running sums."""
+    if len(data) <= _PIECE:
+        return _hash_piece(data, spaces)
+    parts, at = [], 0
+    while at < len(data):
+        cut = min(at + _PIECE, len(data))
+        if cut < len(data):
+            within = np.flatnonzero(spaces[np.frombuffer(data, np.uint8, cut - at, at)])
+            if len(within):
+                cut = at + int(within[-1]) + 1
+            else:  # no word ends here: go on to the next white space
+                while cut < len(data) and not spaces[data[cut]]:
+                    cut += 1
+        parts.append(_hash_piece(data[at:cut], spaces))
+        at = cut
+    return np.concatenate(parts)
+
+
+def lowered(text: str | None) -> bytes:
+    """A text as UTF-8 with A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -109,8 +139,3 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
             h = (h + words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return mix64(h)
-
-
-def chunks(items: list, size: int) -> Iterator[list]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]

@@ -12,10 +12,12 @@ Bands of ``ROWS`` coordinates become bucket keys. A pair at the threshold of
 
 Documents with equal sets are one class from the start, so copies never meet in
 a bucket. Buckets are not expanded into pairs: every member is checked against
-the bucket's hub (the member that meets most others), components are formed, and
-only buckets that still hold several components go on; the last round checks
-every pair of members of different components that is left, so no link between
-components is lost. All checks run on the full sets.
+the bucket's hubs (the members that meet most others), and components are
+formed. Buckets that still hold several components go on; there, every pair of
+members of different components that is left is checked, so no link between
+components is lost. Pairs whose sketches agree in too few coordinates for the
+threshold (by more than seven standard deviations) are no candidates; all
+others are checked on the full sets.
 """
 
 from __future__ import annotations
@@ -27,11 +29,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import WordHashes, gram_hashes, mix64, remove, words_of, written
+from .common import gram_hashes, lowered, mix64, remove, word_hashes, written
 from .components import components
 
 SHINGLE, SIZE, ROWS = 5, 120, 5
+#: Hubs of a bucket; small buckets are thereby checked at once.
+HUBS = 12
+#: Equal coordinates that a pair needs: 102 are expected at a similarity of 0.85, with a deviation of 3.9.
+AGREE = 72
 #: Words that are sketched at once; bounds the memory of a task.
 BATCH = 400_000
 
@@ -70,26 +77,45 @@ def bands(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h
 
 
-def _digest(shingles: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes())
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    return np.unique(gram_hashes(word_hashes(lowered(text)), SHINGLE))
+
+
+def _digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def _agreeing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        if len(frame):
+            a, b = (np.frombuffer(b"".join(frame[c]), dtype=np.uint8).reshape(len(frame), -1) for c in ("digest", "hub_digest"))
+            frame = frame[(a == b).sum(axis=1) >= AGREE]
+        yield frame[["cls", "hub"]]
+
+
+def agreeing(pairs: DataFrame, digests: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (cls, hub) whose sketches leave it open that they are similar."""
+    both = pairs.join(digests, "cls").join(digests.select(F.col("cls").alias("hub"), F.col("digest").alias("hub_digest")), "hub")
+    return both.select("cls", "hub", "digest", "hub_digest").mapInPandas(_agreeing, "cls binary, hub binary")
 
 
 def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
     for frame in frames:
         sets, counts, classes, first, words = [], [], [], 0, 0
 
         def done(upto: int):
             filled = [i for i, s in enumerate(sets) if len(s)]
-            keys = [None] * len(sets)
+            keys, digests = [None] * len(sets), [None] * len(sets)
             if filled:
-                for i, row in zip(filled, bands(sketch([sets[i] for i in filled])).view(np.int64), strict=True):
-                    keys[i] = row
-            return pd.DataFrame({"id": frame["id"].iloc[first:upto].to_numpy(), "n_shingles": counts, "cls": classes, "keys": keys})
+                sketches = sketch([sets[i] for i in filled])
+                short = mix64(sketches).astype(np.uint8)
+                for j, (i, row) in enumerate(zip(filled, bands(sketches).view(np.int64), strict=True)):
+                    keys[i], digests[i] = row, short[j].tobytes()
+            return pd.DataFrame({"id": frame["id"].iloc[first:upto], "n_shingles": counts, "cls": classes, "keys": keys, "digest": digests})
 
         for i, text in enumerate(frame["text"]):
-            w = hashes(words_of(text))
-            s = np.unique(gram_hashes(w, SHINGLE))
+            s = shingles(text)
             sets.append(s)
             counts.append(len(s))
             classes.append(_digest(s) if len(s) else None)
@@ -106,11 +132,11 @@ def _confirm(threshold: float):
     percent = round(threshold * 100)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, hub, hub_set = WordHashes(), None, None
+        hub, hub_set = None, None
         for frame in frames:
             a, b = [], []
             for group, cls, role, text in zip(frame["hub"], frame["cls"], frame["role"], frame["text"], strict=True):
-                s = np.unique(gram_hashes(hashes(words_of(text)), SHINGLE))
+                s = shingles(text)
                 if _digest(s) != bytes(cls):  # another text of the same id
                     continue
                 if role == 0:
@@ -150,53 +176,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described, described_at = written(base.mapInPandas(_describe, "id long, n_shingles long, cls binary, keys array<long>"), "sketches")
+    described, described_at = written(base.mapInPandas(_describe, "id long, n_shingles long, cls binary, keys array<long>, digest binary"), "sketches")
 
     classes = described.where("cls is not null").groupBy("cls").agg(F.min("id").alias("lead"))
-    leads = described.where("cls is not null and id is not null").join(classes.where("lead is not null"), "cls").where("id = lead").dropDuplicates(["cls"])
-    entries = leads.select("cls", "lead", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    leads = described.where("cls is not null and id is not null").join(classes.where("lead is not null"), "cls").where("id = lead")
+    leads, leads_at = written(leads.dropDuplicates(["cls"]).select("cls", "lead", F.col("n_shingles").alias("n"), "keys", "digest"), "leads")
+    entries = leads.select("cls", "n", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     met, met_at = written(entries.join(shared, "key"), "buckets")
 
-    candidates = met.select("cls", "lead").distinct()
-    texts, texts_at = written(base.join(candidates.withColumnRenamed("lead", "id"), "id").select("cls", "text"), "texts")
-
     degree, degree_at = written(met.groupBy("cls").agg(F.sum("met").alias("degree")), "degrees")
+    chosen = leads.join(degree, "cls").select(F.col("lead").alias("id"), "cls", "digest")
+    # texts grow with the rows and so do the candidates: neither side is broadcast
+    texts, texts_at = written(base.join(chosen.hint("merge"), "id").select("cls", "digest", "text"), "texts")
+    digests = chosen.select("cls", "digest")
+
     met = met.join(degree, "cls").select("key", "cls", "n", "degree")
-    ratio = F.lit(round(threshold * 100))
-    links, links_at, checked, checked_at = None, [], None, []
-    labels = None
-    for step in ("hub", "next hub", "rest"):
-        now = met if labels is None else met.join(labels, met.cls == labels.node, "left").select("key", "cls", "n", "degree", F.coalesce("component", "cls").alias("comp"))
-        if labels is None:
-            now = now.withColumn("comp", F.col("cls"))
-        several = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        now = now.join(several, "key")
-        if step == "rest":
-            x, y = now.alias("x"), now.alias("y")
-            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= ratio * F.greatest("x.n", "y.n")))
-            # the hub of a pair is the member with more meetings
-            first = F.struct("x.degree", "x.cls") > F.struct("y.degree", "y.cls")
-            found = found.select(F.when(first, F.col("y.cls")).otherwise(F.col("x.cls")).alias("cls"), F.when(first, F.col("x.cls")).otherwise(F.col("y.cls")).alias("hub"))
-        else:
-            able = now
-            if step == "next hub":  # a hub that has not been one yet
-                able = now.join(checked.select(F.col("hub").alias("cls")).distinct(), "cls", "left_anti")
-            hubs = able.groupBy("key").agg(F.max(F.struct("degree", "cls", "n", "comp")).alias("h"))
-            found = now.join(hubs, "key").where((F.col("cls") != F.col("h.cls")) & (F.col("comp") != F.col("h.comp")) & (100 * F.least("n", "h.n") >= ratio * F.greatest("n", "h.n")))
-            found = found.select("cls", F.col("h.cls").alias("hub"))
-        found = found.distinct()
-        if checked is not None:
-            found = found.join(checked, ["cls", "hub"], "left_anti").join(checked.select(F.col("cls").alias("hub"), F.col("hub").alias("cls")), ["cls", "hub"], "left_anti")
-        found, at = written(found, "pairs")
-        checked_at.append(at)
-        checked = found if checked is None else checked.union(found)
-        similar, at = written(confirm(found, texts, threshold), "links")
-        links_at.append(at)
-        links = similar if links is None else links.union(similar)
-        labels, label_at = written(components(links), "labels")
-        if step != "rest":
-            links_at.append(label_at)
+    percent = F.lit(round(threshold * 100))
+    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    below = F.struct("x.degree", "x.cls") < F.struct("y.degree", "y.cls")
+
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("degree"), F.desc("cls")))
+    hubs = met.withColumn("rank", rank).where(F.col("rank") <= HUBS)
+    pairs = met.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & below & alike)
+    pairs, pairs_at = written(pairs.select("x.cls", F.col("y.cls").alias("hub")).distinct(), "pairs")
+    links, links_at = written(confirm(agreeing(pairs, digests), texts, threshold), "links")
+    labels, labels_at = written(components(links), "labels")
+
+    # buckets of several components: what is left between the components
+    parts = met.join(labels, met.cls == labels.node, "left").select("key", "cls", "n", "degree", F.coalesce("component", "cls").alias("comp"))
+    several = parts.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where((F.col("rows") > HUBS) & (F.col("low") != F.col("high")))
+    parts, parts_at = written(parts.join(several.select("key"), "key"), "parts")
+    x, y = parts.alias("x"), parts.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & below & alike & (F.col("x.comp") != F.col("y.comp")))
+    rest = rest.select("x.cls", F.col("y.cls").alias("hub")).distinct().join(pairs, ["cls", "hub"], "left_anti")
+    more, more_at = written(confirm(agreeing(rest, digests), texts, threshold), "links")
+    if more.limit(1).count():
+        labels, again_at = written(components(links.union(more)), "labels")
+        remove(spark, labels_at)
+        labels_at = again_at
 
     named = described.select("id", "n_shingles", "cls").join(labels, F.col("cls") == F.col("node"), "left")
     named = named.select("id", "n_shingles", F.coalesce("component", "cls").alias("comp"))
@@ -205,5 +223,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
     )
     out, _ = written(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))), "near")
-    remove(spark, described_at, met_at, texts_at, degree_at, label_at, *checked_at, *links_at)
+    remove(spark, described_at, leads_at, met_at, degree_at, texts_at, pairs_at, links_at, labels_at, parts_at, more_at)
     return out
