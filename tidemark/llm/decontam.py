@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, mix64
+from .common import gram_hashes, mix64, word_hashes
 
 #: Edits allowed for each word of an item, walks, hashes of each walk, coordinates of each hash.
 RATE, WALKS, SAMPLES, WIDTH = 0.2, 8, 12, 3
@@ -31,44 +31,45 @@ STRETCH = 3
 #: Items of a block that is broadcast at once, in bytes of text; larger benchmarks take several passes.
 BLOCK_BYTES = 16 << 20
 
-#: ASCII punctuation separates words.
-_SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: ASCII punctuation and controls separate words, as a table over bytes.
+_SPACES = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased words; ASCII punctuation and white space separate them."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).split() if text else []
+def words(text: str | None) -> np.ndarray:
+    """Hashes of the lower-cased words of a text."""
+    return word_hashes(text.lower().encode("utf-8", "surrogatepass"), _SPACES) if text else np.empty(0, dtype=np.uint64)
 
 
-def walk(windows: np.ndarray, number: int) -> np.ndarray:
-    """CGK embeddings of rows of equally many word hashes, for one random walk."""
+def walk(windows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """CGK embeddings of rows of equally many word hashes, row i by the random walk ``numbers[i]``."""
     n, size = windows.shape
     padded = np.concatenate((windows, np.zeros((n, 1), dtype=np.uint64)), axis=1)
     at, rows = np.zeros(n, dtype=np.int64), np.arange(n)
     out = np.empty((n, STRETCH * size), dtype=np.uint64)
-    for j in range(STRETCH * size):
-        here = padded[rows, at]
-        out[:, j] = here
-        with np.errstate(over="ignore"):
-            bit = mix64(here ^ np.uint64((number * 1_000_003 + j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(1)
-        at = np.minimum(at + bit.astype(np.int64), size)
+    with np.errstate(over="ignore"):
+        seeds = numbers.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for j in range(STRETCH * size):
+            here = padded[rows, at]
+            out[:, j] = here
+            at += (mix64(here ^ (seeds + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) & np.uint64(1)).astype(np.int64)
+            np.minimum(at, size, out=at)
     return out
 
 
-def codes(windows: np.ndarray) -> np.ndarray:
-    """The hashes of rows of equally many words: one column for each walk and sample."""
+def codes(windows: np.ndarray, first: int = 0, last: int = WALKS) -> np.ndarray:
+    """Hashes of rows of equally many words: rows x walks from ``first`` to before ``last`` x samples."""
     n, size = windows.shape
-    out = np.empty((n, WALKS * SAMPLES), dtype=np.uint64)
-    for w in range(WALKS):
-        embedded = walk(windows, w)
+    walks = np.arange(first, last)
+    embedded = walk(np.repeat(windows, len(walks), axis=0), np.tile(walks, n)).reshape(n, len(walks), -1)
+    out = np.empty((n, len(walks), SAMPLES), dtype=np.uint64)
+    for w in walks:
         # coordinates that a walk always reaches before the end of its words
         picks = np.random.default_rng([w, size]).integers(0, 2 * size, (SAMPLES, min(WIDTH, size)))
-        for s, pick in enumerate(picks):
-            with np.errstate(over="ignore"):
-                h = np.full(n, w * SAMPLES + s + 1, dtype=np.uint64)
-                for c in pick:
-                    h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + embedded[:, c])
-            out[:, w * SAMPLES + s] = h
+        with np.errstate(over="ignore"):
+            h = np.full((n, SAMPLES), w + 1, dtype=np.uint64)
+            for c in picks.T:
+                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + embedded[:, w - first, :][:, c])
+        out[:, w - first] = h
     return out
 
 
@@ -100,10 +101,9 @@ class Items:
     """A block of benchmark items with their q-grams and hash tables."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        hashes = WordHashes()
         self.ids, self.words, self.edits = [], [], []
         for i, text in items:
-            w = hashes(words(text))
+            w = words(text)
             if len(w):
                 self.ids.append(i)
                 self.words.append(w)
@@ -124,7 +124,7 @@ class Items:
             filtered = np.zeros(1 << 20, dtype=bool)
             filtered[g & np.uint64((1 << 20) - 1)] = True
             self.grams[q] = g[order], np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order], filtered
-        self.codes = [codes(w[None, :])[0] for w in self.words]
+        self.codes = [codes(w[None, :])[0] for w in self.words]  # walks x samples
 
     def places(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(item, starts of windows) wherever enough q-grams of an item lie close to their places in it."""
@@ -153,31 +153,36 @@ class Items:
                     yield number, np.unique(np.concatenate([np.arange(s - k, s + 3 * k + 1) for s in np.unique(good)]))
 
     def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item id, distance, first word about, words of the item) of the passages in a text."""
+        """(item id, distance, first word about, words of the item): a passage in the text for each item it holds."""
         found = []
         for number, starts in self.places(text):
-            item, k = self.words[number], self.edits[number]
-            n = len(item)
+            n = len(self.words[number])
             starts = starts[(starts > -n) & (starts < len(text))]
-            best = None
-            for low in range(0, len(starts), 4096):
-                part = starts[low : low + 4096]
+            passage = self._passage(number, starts, text)
+            if passage:
+                found.append((self.ids[number], *passage, n))
+        return found
+
+    def _passage(self, number: int, starts: np.ndarray, text: np.ndarray) -> tuple[int, int] | None:
+        """(distance, first word) of a verified passage among windows; later walks only look where the first found none."""
+        item, k, n = self.words[number], self.edits[number], len(self.words[number])
+        for first, last in ((0, 1), (1, WALKS)):
+            tried: list[tuple[int, int]] = []
+            for low in range(0, len(starts), 1024):
+                part = starts[low : low + 1024]
                 index = part[:, None] + np.arange(n)
                 inside = (index >= 0) & (index < len(text))
                 windows = np.where(inside, text[np.clip(index, 0, len(text) - 1)], np.uint64(0))
-                hits = part[(codes(windows) == self.codes[number]).any(axis=1)]
-                # passages are verified once, with all words that k edits may reach
-                upto = None
+                hits = part[(codes(windows, first, last) == self.codes[number][None, first:last]).any(axis=(1, 2))]
                 for s in hits.tolist():
-                    if upto is not None and s + n + k <= upto:
-                        continue
+                    if tried and tried[-1][0] <= s - k and s + n + k <= tried[-1][1]:
+                        continue  # a verified stretch of text holds all that k edits may reach
                     begin, upto = max(0, s - k), min(len(text), s + n + 3 * k)
                     distance, end = fitting_distance(item, text[begin:upto])
-                    if distance <= k and (best is None or distance < best[0]):
-                        best = distance, max(0, begin + end - n)
-            if best is not None:
-                found.append((self.ids[number], best[0], best[1], n))
-        return found
+                    if distance <= k:
+                        return distance, max(0, begin + end - n)
+                    tried.append((s - k, upto))
+        return None
 
 
 def matcher(spark: SparkSession, items: Items):
@@ -186,11 +191,10 @@ def matcher(spark: SparkSession, items: Items):
 
     @F.pandas_udf("array<struct<item_id:long,distance:int,start:long,item_words:int>>")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = WordHashes()
         for texts in batches:
             out = []
             for text in texts:
-                w = hashes(words(text)) if isinstance(text, str) else ()
+                w = words(text if isinstance(text, str) else None)
                 out.append([dict(zip(("item_id", "distance", "start", "item_words"), m, strict=True)) for m in shared.value.matches(w)] if len(w) else [])
             yield pd.Series(out)
 
@@ -209,7 +213,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, distance, start, item_words): the best passage of each item in each document.
+    """(doc_id, item_id, distance, start, item_words): a passage of each item in each document that holds one.
 
     Distance counts word edits; at most ``RATE`` of an item's words. Items
     without a word, null ids of items and null or empty texts match nothing;
