@@ -42,7 +42,8 @@ def density_rank(bars: DataFrame, window: int = WINDOW, bins: int = BINS, by: Na
         "_low": F.min("log_low").over(frame), "_high": F.max("log_high").over(frame),
         "_held": F.collect_list(F.struct("mid", "volume")).over(frame), "_total": F.sum("volume").over(frame),
     })
-    place = lambda m: F.floor((m - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)
+    span = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    place = lambda m: F.floor((m - F.col("_low")) / span * bins)
     bars = bars.withColumn("_own", F.greatest(F.least(place(F.col("mid")), F.lit(bins - 1)), F.lit(0)))
     part = lambda b: F.least(place(b["mid"]), F.lit(bins - 1))
     share = lambda b: F.when(part(b) < F.col("_own"), b["volume"]).when(part(b) == F.col("_own"), b["volume"] / 2.0).otherwise(0.0)

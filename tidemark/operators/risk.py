@@ -33,7 +33,7 @@ def resolved(trades: DataFrame) -> DataFrame:
     sign = F.when(_C("direction") == "long", 1.0).otherwise(-1.0)
     cost = _C("entry") * F.when(_short(), _C("borrow_pct") / 100 / 365 * _C("hold_days")).otherwise(0.0)
     by_stop = _C("anchor") == "stop"
-    stop_distance = F.when(by_stop, F.abs(_C("entry") - _C("stop"))).otherwise((F.abs(_C("entry") - _C("tp")) - cost) / _C("rr") - cost)
+    stop_distance = F.when(by_stop, F.abs(_C("entry") - _C("stop"))).otherwise((F.abs(_C("entry") - _C("tp")) - cost) / F.nullif(_C("rr"), F.lit(0.0)) - cost)
     reward_distance = F.when(by_stop, _C("rr") * F.abs(_C("entry") - _C("stop")) + (_C("rr") + 1) * cost).otherwise(F.abs(_C("entry") - _C("tp")))
     out = trades.withColumns({"stop_distance": stop_distance, "reward_distance": reward_distance})
     return out.withColumns({
@@ -46,9 +46,9 @@ def economics(trades: DataFrame) -> DataFrame:
     """``resolved`` with size (whole lots, one at least), lots, notional, borrow_cost, risk, reward, net_rr, risk_share."""
     rate = F.when(_short(), _C("borrow_pct") / 100 / 365).otherwise(0.0)
     out = resolved(trades).withColumn("_reach", _C("stop_distance") + _C("entry") * rate * _C("hold_days"))
-    lots = F.floor(_C("deposit") * _C("risk_pct") / 100 / _C("_reach") / _C("lot"))
+    lots = F.floor(_C("deposit") * _C("risk_pct") / 100 / _C("_reach") / F.nullif(_C("lot"), F.lit(0)))
     size = F.when(_C("_reach") <= 0, 0.0).otherwise((F.greatest(lots, F.lit(1)) * _C("lot")).cast("double"))
-    out = out.withColumn("size", size).withColumns({"lots": _C("size") / _C("lot"), "notional": _C("size") * _C("entry")})
+    out = out.withColumn("size", size).withColumns({"lots": _C("size") / F.nullif(_C("lot"), F.lit(0)), "notional": _C("size") * _C("entry")})
     out = out.withColumn("borrow_cost", _C("notional") * rate * _C("hold_days"))
     out = out.withColumns({"risk": _C("size") * _C("stop_distance") + _C("borrow_cost"), "reward": _C("size") * _C("reward_distance") - _C("borrow_cost")})
     net = F.when(_C("risk") > 0, _C("reward") / _C("risk")).otherwise(0.0)
