@@ -7,17 +7,20 @@ high bits, and the smallest value of a bin stays. Rounds end as soon as all
 bins are filled; round SIZE + i throws everything into bin i, so that every
 coordinate is filled after 2 * SIZE rounds for sure, whatever the set.
 
-Bands of ``ROWS`` coordinates become bucket keys. A pair at the threshold of
-0.85 shares no bucket with probability (1 - 0.85^5)^24, below 1e-6.
+``BANDS`` bands of ``ROWS`` coordinates become bucket keys. A pair at the
+threshold of 0.85 shares no bucket with probability (1 - 0.85^5)^24, below 1e-6.
 
 Documents with equal sets are one class from the start, so copies never meet in
-a bucket. Buckets are not expanded into pairs: every member is checked against
-the bucket's hubs (the members that meet most others), and components are
-formed. Buckets that still hold several components go on; there, every pair of
-members of different components that is left is checked, so no link between
-components is lost. Pairs whose sketches agree in too few coordinates for the
-threshold (by more than seven standard deviations) are no candidates; all
-others are checked on the full sets.
+a bucket. Every member of a bucket is checked against the bucket's hubs (the
+members that meet most others): against all others in small buckets, against one
+in large ones; components are formed. Large buckets that still hold several
+components go on, in blocks of at most two ``PORTION`` members: pairs of
+different components are compared by their sketches in numpy, in the first
+bucket that they share, and only those that may be links leave the block. So no
+link between components is lost, and what is emitted does not grow with the
+square of a bucket. Pairs whose sketches agree in too few coordinates for the
+threshold (by more than five standard deviations) are no candidates; all others
+are checked on the full sets.
 """
 
 from __future__ import annotations
@@ -34,11 +37,13 @@ from pyspark.sql.window import Window as W
 from .common import gram_hashes, lowered, mix64, remove, word_hashes, written
 from .components import components
 
-SHINGLE, SIZE, ROWS = 5, 120, 5
-#: Hubs of a bucket; small buckets are thereby checked at once.
-HUBS = 12
-#: Equal coordinates that a pair needs: 102 are expected at a similarity of 0.85, with a deviation of 3.9.
-AGREE = 72
+SHINGLE, SIZE, BANDS, ROWS = 5, 480, 24, 5
+#: Members of a small bucket, which has as many hubs as are needed to check all its pairs at once.
+SMALL = 12
+#: Members of a large bucket that meet as many others in one block.
+PORTION = 1024
+#: Equal coordinates that a pair needs: 408 are expected at a similarity of 0.85, with a deviation of 7.8.
+AGREE = 368
 #: Words that are sketched at once; bounds the memory of a task.
 BATCH = 400_000
 
@@ -66,12 +71,11 @@ def sketch(sets: list[np.ndarray], size: int = SIZE) -> np.ndarray:
     return out.reshape(n, size)
 
 
-def bands(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit bucket key for each band of ``rows`` coordinates."""
-    n, size = sketches.shape
-    parts = sketches.reshape(n, size // rows, rows)
+def bands(sketches: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A 64-bit bucket key for each of the first ``count`` bands of ``rows`` coordinates."""
+    parts = sketches[:, : count * rows].reshape(len(sketches), count, rows)
     with np.errstate(over="ignore"):
-        h = np.broadcast_to(np.arange(1, size // rows + 1, dtype=np.uint64), parts.shape[:2])
+        h = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), parts.shape[:2])
         for i in range(rows):
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
     return h
@@ -100,6 +104,48 @@ def agreeing(pairs: DataFrame, digests: DataFrame) -> DataFrame:
     return both.select("cls", "hub", "digest", "hub_digest").mapInPandas(_agreeing, "cls binary, hub binary")
 
 
+def _meet(threshold: float):
+    """Pairs of one block's rows (side 0 with side 1, or within a portion) that may be links of different components."""
+    percent = round(threshold * 100)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = np.array(frame["keys"].tolist(), dtype=np.int64)
+        digest = np.frombuffer(b"".join(frame["digest"]), dtype=np.uint8).reshape(len(frame), -1)
+        comp, n, portion = pd.factorize(frame["comp"])[0], frame["n"].to_numpy(), frame["portion"].to_numpy()
+        band = int(np.flatnonzero((keys == frame["key"].iloc[0]).all(axis=0))[0])
+        within = frame["low"].iloc[0] == frame["high"].iloc[0]
+        left = np.flatnonzero(portion == frame["low"].iloc[0])
+        right = np.flatnonzero(portion == frame["high"].iloc[0])
+        a, b = [], []
+        for at in left:
+            others = right[right > at] if within else right
+            others = others[comp[others] != comp[at]]
+            others = others[100 * np.minimum(n[others], n[at]) >= percent * np.maximum(n[others], n[at])]
+            # an earlier band that both share has the pair already
+            others = others[~(keys[others, :band] == keys[at, :band]).any(axis=1)]
+            others = others[(digest[others] == digest[at]).sum(axis=1) >= AGREE]
+            a += [at] * len(others)
+            b += others.tolist()
+        return pd.DataFrame({"cls": frame["cls"].iloc[b].to_numpy(), "hub": frame["cls"].iloc[a].to_numpy(), "portion": frame["block"].iloc[0]})
+
+    return run
+
+
+def meetings(rows: DataFrame, threshold: float) -> DataFrame:
+    """(cls, hub, portion): pairs of different components that share a bucket and whose sketches leave it open that they are similar.
+
+    ``rows`` are (key, cls, n, comp, keys, digest). A bucket is cut into
+    portions, and every two portions meet in a block, which one task holds and
+    whose hash is the portion.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / PORTION).alias("portions"))
+    dealt = rows.join(sizes, "key").withColumn("portion", F.pmod(F.xxhash64("cls"), F.col("portions")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)))
+    dealt = dealt.withColumns({"low": F.least("portion", "other"), "high": F.greatest("portion", "other")})
+    dealt = dealt.withColumn("block", F.xxhash64("key", "low", "high"))
+    return dealt.groupBy("key", "low", "high").applyInPandas(_meet(threshold), "cls binary, hub binary, portion long")
+
+
 def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         sets, counts, classes, first, words = [], [], [], 0, 0
@@ -155,10 +201,13 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (cls, hub) whose sets are similar, as (a, b).
 
     Members come to their hub in portions of at most some hundreds, each led by
-    the hub's text, so a hub with very many members is spread over tasks.
+    the hub's text, so a hub with very many members is spread over tasks. Pairs
+    of a block have their portion already.
     """
-    portions = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 256).alias("portions"))
-    dealt = pairs.join(portions, "hub").withColumn("portion", F.pmod(F.xxhash64("cls"), F.col("portions")))
+    dealt = pairs
+    if "portion" not in pairs.columns:
+        portions = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 256).alias("portions"))
+        dealt = pairs.join(portions, "hub").withColumn("portion", F.pmod(F.xxhash64("cls"), F.col("portions")))
     members = dealt.join(texts, "cls").select("hub", "portion", F.lit(1).alias("role"), "cls", "text")
     leads = dealt.select("hub", "portion").distinct().join(texts.withColumnRenamed("cls", "hub"), "hub")
     leads = leads.select("hub", "portion", F.lit(0).alias("role"), F.col("hub").alias("cls"), "text")
@@ -191,26 +240,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, texts_at = written(base.join(chosen.hint("merge"), "id").select("cls", "digest", "text"), "texts")
     digests = chosen.select("cls", "digest")
 
-    met = met.join(degree, "cls").select("key", "cls", "n", "degree")
+    met = met.join(degree, "cls").select("key", "cls", "n", "met", "degree")
     percent = F.lit(round(threshold * 100))
     alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     below = F.struct("x.degree", "x.cls") < F.struct("y.degree", "y.cls")
 
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("degree"), F.desc("cls")))
-    hubs = met.withColumn("rank", rank).where(F.col("rank") <= HUBS)
+    hubs = met.withColumn("rank", rank).where(F.col("rank") <= SMALL).where((F.col("rank") == 1) | (F.col("met") <= SMALL + 1))
     pairs = met.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & below & alike)
     pairs, pairs_at = written(pairs.select("x.cls", F.col("y.cls").alias("hub")).distinct(), "pairs")
     links, links_at = written(confirm(agreeing(pairs, digests), texts, threshold), "links")
     labels, labels_at = written(components(links), "labels")
 
-    # buckets of several components: what is left between the components
-    parts = met.join(labels, met.cls == labels.node, "left").select("key", "cls", "n", "degree", F.coalesce("component", "cls").alias("comp"))
-    several = parts.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where((F.col("rows") > HUBS) & (F.col("low") != F.col("high")))
-    parts, parts_at = written(parts.join(several.select("key"), "key"), "parts")
-    x, y = parts.alias("x"), parts.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & below & alike & (F.col("x.comp") != F.col("y.comp")))
-    rest = rest.select("x.cls", F.col("y.cls").alias("hub")).distinct().join(pairs, ["cls", "hub"], "left_anti")
-    more, more_at = written(confirm(agreeing(rest, digests), texts, threshold), "links")
+    # large buckets of several components: what is left between the components
+    large = met.where(F.col("met") > SMALL + 1)
+    parts = large.join(labels, large.cls == labels.node, "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    several = parts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high"))
+    parts = parts.join(several.select("key"), "key").join(leads.select("cls", "keys", "digest"), "cls")
+    rest, parts_at = written(meetings(parts, threshold), "meetings")
+    more, more_at = written(confirm(rest, texts, threshold), "links")
     if more.limit(1).count():
         labels, again_at = written(components(links.union(more)), "labels")
         remove(spark, labels_at)
