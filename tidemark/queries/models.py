@@ -78,7 +78,7 @@ def density_heatmap(spark, sf):
 
 
 @query(f"""WITH {_DENSITY}, run AS (SELECT *, sum(share) OVER (PARTITION BY h ORDER BY bin ROWS UNBOUNDED PRECEDING) AS c FROM hist)
-SELECT h, {r('min(center) FILTER (c >= 0.04999999)', 4)} AS lo, {r('min(center) FILTER (c >= 0.94999999)', 4)} AS hi FROM run GROUP BY h""")
+SELECT h, {r('min(center) FILTER (c >= 0.04999999)', 4)} AS lo, {r('min(center) FILTER (c >= 0.95000001)', 4)} AS hi FROM run GROUP BY h""")
 def histogram_coverage(spark, sf):
     return shown(quantile.histogram_bounds(_histogram(spark, sf), 90.000002), "h", lo=4, hi=4)
 
