@@ -1,5 +1,6 @@
 """The operators of training-data pipelines: against SQL, brute force, round trips, held-out accuracy, and odd input."""
 
+import itertools
 import random
 import re
 
@@ -278,6 +279,36 @@ def test_surrogates_are_distinct(spark):
     assert not {r["surrogate"] for r in found} & {r["norm"] for r in entities.collect()}
 
 
+def test_surrogates_of_full_formats_are_exact(spark):
+    """More entities than half the values of their format: draws alone can't end."""
+    digits = "123456789"
+    rows = [("ip", ".".join(x)) for x in list(itertools.product(digits, repeat=4))[:4000]] + [("phone", f"+1{i:03d}") for i in range(700)]
+    rows += [("email", f"{c}@example.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("card", "4111111111111111"), ("name_m", "smith"), ("name_f", "anna smith")]
+    found = pii.surrogates(spark.createDataFrame(rows, "kind string, norm string"), "k", rounds=2).collect()
+    assert {(r["kind"], r["norm"]) for r in found} == set(rows) and len(found) == len(rows)
+    shown = {r["surrogate"] for r in found}
+    assert len(shown) == len(rows) and not shown & {n for _, n in rows}
+    kinds = {k: [r["surrogate"] for r in found if r["kind"] == k] for k, _ in rows}
+    assert all(re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", x) for x in kinds["ip"]) and all(re.fullmatch(r"\+1\d{3,4}", x) for x in kinds["phone"])
+    # a format is left only when it is full
+    assert sum(len(x) == 7 for x in kinds["ip"]) == 6561 - 4000 and sum(len(x) == 5 for x in kinds["phone"]) == 300
+    assert len({x.split("@")[1] for x in kinds["email"]}) == 1
+
+
+def test_all_kinds_have_numbered_values(spark):
+    """Values by number keep the format, as draws do, and differ."""
+    rows = [("email", "a.b1@x.org"), ("iban", "de44500105175407324931"), ("secret", "0f" * 16), ("secret", "sk-abcdefgh12345678"), ("card", "4111111111111111"), ("card", "4111111111111112"), ("ssn", "123456789"), ("ip", "10.2.3.200"),
+            ("phone", "+14155550134"), ("name_m", "john smith"), ("name_f", "иванова"), ("name_n", "άννα δάφνη")]
+    entities = spark.createDataFrame(rows, "kind string, norm string")
+    found = {r["norm"]: r["surrogate"] for r in pii._assigned(entities, entities.limit(0).withColumn("surrogate", F.lit("")), entities, "k").collect()}
+    assert set(found) == {n for _, n in rows} and not set(found) & set(found.values()) and len(set(found.values())) == len(rows)
+    like = [r"[a-z]\.[a-z]\d@[a-z]\.org", r"de\d{20}", r"[0-9a-f]{32}", r"sk-[a-z]{8}\d{8}", r"4\d{15}", r"4\d{15}", r"\d{9}", r"\d\d\.\d\.\d\.\d{3}", r"\+1\d{10}", r"[a-z]+ [a-z]{12}", r"[а-я]{8,12}", r"[α-ωά-ώ]+ [α-ω]{12}"]
+    for (_, norm), pattern in zip(rows, like, strict=True):
+        assert re.fullmatch(pattern, found[norm]), (norm, found[norm])
+    luhn = lambda x: sum(d if i % 2 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(map(int, x))) % 10
+    assert luhn(found["4111111111111111"]) == 0 != luhn(found["4111111111111112"])
+
+
 # ── 9 decontamination ───────────────────────────────────────────────────────
 
 

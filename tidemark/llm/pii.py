@@ -7,7 +7,10 @@ the same script and case, digits become digits, separators stay; names follow
 the gender of their form of address; card numbers keep passing or failing the
 checksum; addresses keep the width of their parts. All surrogates are then
 checked against each other and against all entities of the corpus, and those
-that collide are drawn again, so different entities never share a surrogate.
+that collide are drawn again; after a few draws, the rest get the free values of
+their format by rank. So different entities never share a surrogate. Only a
+format with no value left gives way to a wider one (a place more; addresses get
+parts of three digits, then version 6).
 
 Only distinct entities are shuffled and drawn; texts without an entity are
 passed through, and texts with one are joined with their own entities.
@@ -180,13 +183,18 @@ def norm_of(kind: Column, raw: Column) -> Column:
     )
 
 
+def _domain(norm: Column, key: str) -> Column:
+    """The surrogate of an address's domain, the same in all addresses."""
+    domain, tail = F.regexp_extract(norm, r"@(.*)\.[^.]*$", 1), F.regexp_extract(norm, r"(\.[^.]*)$", 1)
+    return F.concat(_like(domain, F.concat_ws(":", F.lit(key), F.lit("domain"), domain)), tail)
+
+
 def drawn(kind: Column, norm: Column, round_: Column, key: str) -> Column:
     """The surrogate of an entity in a round of draws."""
     salt = round_.cast("string")
     seed = F.concat_ws(":", F.lit(key), salt, kind, norm)
     at = F.instr(norm, "@")
-    domain, tail = F.regexp_extract(norm, r"@(.*)\.[^.]*$", 1), F.regexp_extract(norm, r"(\.[^.]*)$", 1)
-    email = F.concat(_like(norm.substr(F.lit(1), at - 1), seed), F.lit("@"), _like(domain, F.concat_ws(":", F.lit(key), F.lit("domain"), domain)), tail)
+    email = F.concat(_like(norm.substr(F.lit(1), at - 1), seed), F.lit("@"), _domain(norm, key))
     phone = F.concat(F.regexp_extract(norm, r"^(\+?\d)", 1), _like(F.regexp_extract(norm, r"^\+?\d(.*)$", 1), seed))
     secret = F.when(norm.rlike("^[0-9a-f]+$"), _like(norm, seed, True)).otherwise(
         F.concat(F.regexp_extract(norm, r"^(akia|asia|[a-z]+[_-]|)", 1), _like(F.regexp_extract(norm, r"^(?:akia|asia|[a-z]+[_-]|)(.*)$", 1), seed))
@@ -210,13 +218,13 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
     chars = F.split(raw, "")
 
     def fill(marks: str) -> Column:
-        """Characters of the surrogate in turn wherever the mention has one that counts."""
+        """Characters of the surrogate in turn wherever the mention has one that counts; those of a wider format follow."""
         begin = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
         step = lambda a, c: F.struct(
             F.concat(a["out"], F.when(c.rlike(marks), F.when(c.rlike(r"^\p{Lu}$"), F.upper(plain.substr(a["at"], F.lit(1)))).otherwise(plain.substr(a["at"], F.lit(1)))).otherwise(c)).alias("out"),
             (a["at"] + F.when(c.rlike(marks), 1).otherwise(0)).alias("at"),
         )
-        return F.aggregate(chars, begin, step)["out"]
+        return F.aggregate(chars, begin, step, lambda a: F.concat(a["out"], plain.substr(a["at"], F.length(plain))))
 
     title = F.regexp_extract(raw, rf"^((?:{MALE}|{FEMALE}|{NEUTRAL})\.? )", 1)
     plain = F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(surrogate, r"[^\d]", "")).otherwise(surrogate)
@@ -231,11 +239,162 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
     )
 
 
-def surrogates(entities: DataFrame, key: str, rounds: int = 30) -> DataFrame:
-    """(kind, norm, surrogate) for distinct (kind, norm): no two alike, none that is an entity itself."""
+#: What the places of a format stand for; any other character of a format stands for itself.
+_GENDERS = {("latin", "m"): "M", ("latin", "f"): "F", ("latin", "n"): "N", ("cyrillic", "m"): "Ш", ("cyrillic", "f"): "Ф", ("cyrillic", "n"): "Ж", ("greek", "m"): "Ω", ("greek", "f"): "Φ", ("greek", "n"): "Ψ"}
+_FAMILIES = {"latin": "S", "cyrillic": "Я", "greek": "Σ"}
+PLACES = {
+    "0": list("0123456789"), "f": list("0123456789abcdef"), "a": list(LATIN), "я": list(CYRILLIC), "α": list(GREEK),
+    "1": [str(i) for i in range(1, 10)], "2": [str(i) for i in range(10, 100)], "3": [str(i) for i in range(100, 256)], "V": ["fd"],
+} | {code: FIRST[x] for x, code in _GENDERS.items()} | {code: SYLLABLES[x] for x, code in _FAMILIES.items()}
+#: The widest format of addresses: private ones of version 6.
+_WIDEST_IP = "Vff:" + ":".join(["ffff"] * 7)
+#: Values of a format that are numbered at most; a format of more is never full.
+_NUMBERED = float(1 << 52)
+
+
+def _mask(text: Column, hexadecimal: bool = False) -> Column:
+    """The format that ``_like`` keeps."""
+    if hexadecimal:
+        return F.regexp_replace(text, "[0-9a-f]", "f")
+    # letters of the other scripts first, as the marks of a step are letters too
+    text = F.regexp_replace(text, r"[\p{L}&&[^\p{IsCyrillic}\p{IsGreek}]]", "a")
+    text = F.regexp_replace(F.regexp_replace(text, r"[\p{L}&&\p{IsCyrillic}]", "я"), r"[\p{L}&&\p{IsGreek}]", "α")
+    return F.regexp_replace(text, "[0-9]", "0")
+
+
+def form_of(kind: Column, norm: Column, key: str) -> Column:
+    """The format of an entity's surrogate: what stands before and after, its places, the place that widens it, and the checksum of cards."""
+
+    def form(head: Column | str, mask: Column, more: Column | str, tail: Column | str = "", check: Column | str = "") -> Column:
+        as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.struct(as_column(head).alias("head"), mask.alias("mask"), as_column(tail).alias("tail"), as_column(check).alias("check"), as_column(more).alias("more"))
+
+    def script(word: Column, codes: dict[str, str]) -> Column:
+        return F.when(word.rlike(r"\p{IsCyrillic}"), codes["cyrillic"]).when(word.rlike(r"\p{IsGreek}"), codes["greek"]).otherwise(codes["latin"])
+
+    def name(gender: str) -> Column:
+        words = F.split(norm, " ")
+        first = {s: c for (s, g), c in _GENDERS.items() if g == gender}
+        mask = F.array_join(F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, F.repeat(script(w, _FAMILIES), F.lit(4))).otherwise(script(w, first))), " ")
+        return form("", mask, script(F.element_at(words, -1), _FAMILIES))
+
+    after = lambda pattern: F.regexp_extract(norm, pattern, 1)
+    prefix = r"^(akia|asia|[a-z]+[_-]|)"
+    return (
+        F.when(kind == "email", form("", _mask(norm.substr(F.lit(1), F.instr(norm, "@") - 1)), "a", F.concat(F.lit("@"), _domain(norm, key))))
+        .when(kind == "iban", form(norm.substr(1, 2), _mask(norm.substr(F.lit(3), F.length(norm))), "0"))
+        .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), form("", _mask(norm, True), "f"))
+        .when(kind == "secret", form(after(prefix), _mask(F.regexp_extract(norm, prefix + "(.*)$", 2)), "a"))
+        .when(kind == "card", form(norm.substr(1, 1), F.repeat(F.lit("0"), F.length(norm) - 2), "0", "", F.when(_luhn(norm) == 0, "right").otherwise("wrong")))
+        .when(kind == "ip", form("", F.array_join(F.transform(F.split(norm, r"\."), lambda x: F.length(x).cast("string")), "."), ""))
+        .when(kind == "phone", form(after(r"^(\+?\d)"), _mask(after(r"^\+?\d(.*)$")), "0"))
+        .when(kind == "name_m", name("m"))
+        .when(kind == "name_f", name("f"))
+        .when(kind == "name_n", name("n"))
+        .otherwise(form("", _mask(norm), "0"))
+    )
+
+
+def _wider(form: Column) -> Column:
+    """The next format when one is full: a place more; addresses get parts of three digits, then version 6."""
+    ip = F.when(form["mask"].rlike(r"^[123]\.") & (form["mask"] != "3.3.3.3"), F.lit("3.3.3.3")).otherwise(F.lit(_WIDEST_IP))
+    return form.withField("mask", F.when(form["more"] == "", ip).otherwise(F.concat(form["mask"], form["more"])))
+
+
+def _places() -> Column:
+    return F.create_map(*[x for code, values in PLACES.items() for x in (F.lit(code), F.array(*map(F.lit, values)))])
+
+
+def _room(form: Column) -> Column:
+    """How many values a format has, as far as they are numbered."""
+    radix = F.create_map(*[x for code, values in PLACES.items() for x in (F.lit(code), F.lit(float(len(values))))])
+    return F.aggregate(F.split(form["mask"], ""), F.lit(1.0), lambda a, c: F.least(a * F.coalesce(radix[c], F.lit(1.0)), F.lit(_NUMBERED))).cast("long")
+
+
+def _value(form: Column, number: Column) -> Column:
+    """The value of a format with a number from 0: its places are the number's digits."""
+    places = _places()
+
+    def step(a: Column, c: Column) -> Column:
+        values = places[c]
+        n = F.size(values).cast("long")
+        out = F.concat(F.coalesce(F.element_at(values, (a["rest"] % n + 1).cast("int")), c), a["out"])
+        return F.struct(out.alias("out"), F.when(values.isNull(), a["rest"]).otherwise(F.call_function("div", a["rest"], n)).alias("rest"))
+
+    body = F.concat(form["head"], F.aggregate(F.reverse(F.split(form["mask"], "")), F.struct(F.lit("").alias("out"), number.cast("long").alias("rest")), step)["out"])
+    right = ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("int")
+    digit = F.when(form["check"] == "right", right).when(form["check"] == "wrong", (right + 1) % 10).cast("string")
+    return F.concat(body, F.coalesce(digit, F.lit("")), form["tail"])
+
+
+def _numbered(rows: DataFrame, order: Column) -> DataFrame:
+    """``rows`` with their number ``n`` from 0 in each family and form, by counts of slices, so no task sees a whole form."""
+    by = ["family", "form"]
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64(order), F.lit(256)))
+    counts = rows.groupBy(*by, "slice").agg(F.count("*").alias("size"))
+    starts = counts.select(*by, "slice", (F.sum("size").over(W.partitionBy(*by).orderBy("slice")) - F.col("size")).alias("start"))
+    out = rows.join(starts, [*by, "slice"])
+    return out.withColumn("n", F.col("start") + F.row_number().over(W.partitionBy(*by, "slice").orderBy(order)) - 1).drop("slice", "start")
+
+
+def _assigned(entities: DataFrame, kept: DataFrame, left: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, surrogate) of ``left``, each a value of its format that neither ``kept`` nor ``entities`` has.
+
+    The values of a format are numbered. In every turn each entity without a
+    surrogate brings twice as many of the next numbers as before; those free go
+    to the entities of the format by rank. A format whose numbers are used up is
+    full, and what is left of it goes on in the next wider format, so this ends
+    after about log(values taken / entities left) turns and never fails.
+    """
+    spark, family = entities.sparkSession, F.substring("kind", 1, 4)
+    used = entities.select(family.alias("family"), F.col("norm").alias("value")).union(kept.select(family.alias("family"), F.col("surrogate").alias("value")))
+    used, used_at = written(used.distinct(), "used")
+    # an entity has one surrogate for all forms of address that give it the same format
+    named = left.select("kind", "norm", family.alias("family"), form_of(F.col("kind"), F.col("norm"), key).alias("form"))
+    named, named_at = written(named.withColumn("first", F.col("form")), "left")
+    open_ = named.select("family", "norm", "first", "form", F.lit(0).cast("long").alias("base")).distinct()
+    open_, open_at = written(open_, "open")
+    done, paths, width = None, [used_at, named_at], 1
+    while not open_.isEmpty():
+        whole = W.partitionBy("family", "form")
+        ranked = _numbered(open_.withColumn("base", F.max("base").over(whole)).withColumn("m", F.count("*").over(whole)), F.sha2(F.concat_ws(":", F.lit(key), "norm", F.to_json("first")).cast("binary"), 256))
+        ranked, ranked_at = written(ranked.withColumn("room", _room(F.col("form"))), "ranked")
+        begin = F.col("base") + F.col("n") * width
+        offered = ranked.where(begin < F.col("room")).withColumn("end", F.least(begin + width, F.col("room")) - 1)
+        # in two steps, as one array must not hold all numbers of a long range
+        offered = offered.select("family", "form", "room", "end", F.explode(F.sequence(begin, F.col("end"), F.lit(4096).cast("long"))).alias("number"))
+        offered = offered.select("family", "form", "room", F.explode(F.sequence("number", F.least(F.col("end"), F.col("number") + 4095))).alias("number"))
+        # a format's numbers begin at a keyed place
+        at = (F.pmod(F.xxhash64(F.lit(key), F.to_json("form")), F.col("room")) + F.col("number")) % F.col("room")
+        free = offered.withColumn("value", _value(F.col("form"), at)).join(used, ["family", "value"], "left_anti")
+        free = free.withColumn("turn", F.row_number().over(W.partitionBy("family", "value").orderBy("form"))).where(F.col("turn") == 1).select("family", "form", "value")
+        given = _numbered(free, F.col("value"))
+        new = ranked.join(given.select("family", "form", "n", "value"), ["family", "form", "n"], "left")
+        new, new_at = written(new, "given")
+        got = new.where("value is not null").select("family", "norm", "first", F.col("value").alias("surrogate"))
+        done = got if done is None else done.unionByName(got)
+        used = used.unionByName(got.select("family", F.col("surrogate").alias("value")))
+        base = F.col("base") + F.col("m") * width
+        full = base >= F.col("room")
+        rest = new.where("value is null").select("family", "norm", "first", F.when(full, _wider(F.col("form"))).otherwise(F.col("form")).alias("form"), F.when(full, F.lit(0).cast("long")).otherwise(base).alias("base"))
+        remove(spark, open_at)
+        open_, open_at = written(rest, "open")
+        paths += [ranked_at, new_at]
+        width *= 2
+    out, _ = written(named.join(done, ["family", "norm", "first"]).select("kind", "norm", "surrogate"), "assigned")
+    remove(spark, open_at, *paths)
+    return out
+
+
+def surrogates(entities: DataFrame, key: str, rounds: int = 6) -> DataFrame:
+    """(kind, norm, surrogate) for distinct (kind, norm): no two alike, none that is an entity itself.
+
+    What still collides after ``rounds`` draws gets the free values of its format
+    by rank, and values of a wider format where none is left.
+    """
     state, path = written(entities.select("kind", "norm", F.lit(0).alias("round")).withColumn("surrogate", drawn(F.col("kind"), F.col("norm"), F.col("round"), key)), "surrogates")
     spark, family = entities.sparkSession, F.substring("kind", 1, 4)
-    for _ in range(rounds):
+    for last in [False] * (rounds - 1) + [True]:
         # bearers of one family name may share its surrogate, whatever their form of address
         order = W.partitionBy(family, "surrogate").orderBy("round", F.sha2(F.concat_ws(":", F.lit(key), "norm").cast("binary"), 256))
         ranked = state.withColumn("owner", F.first("norm").over(order))
@@ -247,12 +406,15 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 30) -> DataFrame:
         state = checked.drop("again")
         if not checked.where("again").limit(1).count():
             return state.select("kind", "norm", "surrogate")
+        if last:
+            break
         turn = F.when(F.col("again"), F.col("round") + 1).otherwise(F.col("round"))
         fresh = F.when(F.col("again"), drawn(F.col("kind"), F.col("norm"), F.col("round") + 1, key)).otherwise(F.col("surrogate"))
         state, at = written(checked.select("kind", "norm", turn.alias("round"), fresh.alias("surrogate")), "surrogates")
         remove(spark, path)
         path = at
-    raise ValueError("surrogates still collide; a kind has too few forms for its entities")
+    kept = checked.where("not again").select("kind", "norm", "surrogate")
+    return kept.unionByName(_assigned(entities, kept, checked.where("again").select("kind", "norm"), key))
 
 
 def replace(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
