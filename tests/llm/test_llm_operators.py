@@ -192,6 +192,31 @@ def test_odd_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_equal_cosines_go_to_the_smaller_id(spark, monkeypatch):
+    halves = [v for v in itertools.product((0.0, 1.0), repeat=8) if sum(v) == 4]
+    rows = [(0, [1.0] * 8)] + [(i, list(v)) for i, v in enumerate(halves, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for portion in (4096, 8):
+        monkeypatch.setattr(ann, "PORTION", portion)
+        got = ann.nearest(frame, k=2, every=1000).collect()
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2]
+    # all rows at hand are fewer than asked for: the way that sees every row
+    got = ann.nearest(frame, k=80, every=10).groupBy("query_id").count().collect()
+    assert len(got) == 8 and {r["count"] for r in got} == {70}
+
+
+def test_large_buckets_are_dealt_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PORTION", 25)
+    rows = [(1, 1, 0, i < 300, i if i < 300 else i - 300, i, b"") for i in range(400)] + [(1, 1, 1, True, 5, 5, b"")]
+    hashed = spark.createDataFrame(rows, "dim int, tbl int, bucket long, query boolean, lead long, first long, vec binary")
+    blocks = {}
+    for r in ann._dealt(hashed).collect():
+        blocks.setdefault(r["portion"], ([], []))[r["query"]].append(r["lead"])
+    assert all(len(found) <= 25 and len(asking) <= 25 for found, asking in blocks.values())
+    pairs = [(q, c) for found, asking in blocks.values() for q in asking for c in found]
+    assert len(pairs) == len(set(pairs)) == 300 * 100
+
+
 # ── 6 main text ─────────────────────────────────────────────────────────────
 
 PAGE = """<html><head><title>no</title><script>var x = "<p>no</p>";</script></head><body><nav><a href=x>Home</a> <a>News</a></nav><div class="cookie-notice">We use cookies to improve everything you do here, honestly.</div>

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window as W
 from .common import remove, written
 
 ROUNDS = 3
-#: Rows of a bucket that one portion holds; larger buckets are dealt out in portions.
+#: Queries, and candidates, of a bucket that one portion holds; larger buckets are dealt out in blocks of two portions.
 PORTION = 4096
 
 
@@ -104,7 +104,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _hashed(tables: int, probes: int, rows: int, fill: int, seed: int):
-    """Rows of (query, lead, vec) to one row for each table and bucket of theirs."""
+    """Rows of (query, lead, first, vec) to one row for each table and bucket of theirs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -121,22 +121,22 @@ def _hashed(tables: int, probes: int, rows: int, fill: int, seed: int):
                         keys = bucket_keys(unit[mask], table, fine, count, seed)
                         at = np.repeat(np.flatnonzero(mask), keys.shape[1])
                         out = own.iloc[at]
-                        yield pd.DataFrame({"dim": np.int32(unit.shape[1]), "tbl": np.int32(table), "bucket": keys.ravel().astype(np.int64), "query": query, "lead": out["lead"], "vec": out["vec"]})
+                        yield pd.DataFrame({"dim": np.int32(unit.shape[1]), "tbl": np.int32(table), "bucket": keys.ravel().astype(np.int64), "query": query, "lead": out["lead"], "first": out["first"], "vec": out["vec"]})
 
     return run
 
 
 def _search(k: int):
-    """The best ``k`` candidates of each query in each portion of a bucket; queries come before candidates."""
+    """The best ``k`` candidates of each query in each block of a bucket, by cosine, then by smallest id; queries come before candidates."""
 
-    def best(queries: list, found: list, rows: list) -> tuple[np.ndarray, np.ndarray]:
+    def best(queries: list, found: list, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.array([r[0] for r in rows])
         c = cosines(np.frombuffer(b"".join(q[1] for q in queries)).reshape(len(queries), -1), np.frombuffer(b"".join(r[1] for r in rows)).reshape(len(rows), -1))
-        ids = np.broadcast_to(ids, c.shape)
+        ids, firsts = np.broadcast_to(ids, c.shape), np.broadcast_to(np.array([r[2] for r in rows]), c.shape)
         if found:
-            c, ids = np.concatenate((found[0][0], c), axis=1), np.concatenate((found[0][1], ids), axis=1)
-        order = np.lexsort((ids, -c), axis=1)[:, :k]
-        return np.take_along_axis(c, order, axis=1), np.take_along_axis(ids, order, axis=1)
+            c, ids, firsts = (np.concatenate(x, axis=1) for x in zip(found[0], (c, ids, firsts), strict=True))
+        order = np.lexsort((firsts, -c), axis=1)[:, :k]
+        return tuple(np.take_along_axis(x, order, axis=1) for x in (c, ids, firsts))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, queries, rows, found = None, [], [], []
@@ -151,11 +151,11 @@ def _search(k: int):
             flush()
             if not (queries and found):
                 return None
-            c, ids = found[0]
+            c, ids, _ = found[0]
             return pd.DataFrame({"q": np.repeat([q[0] for q in queries], c.shape[1]), "lead": ids.ravel(), "score": c.ravel()})
 
         for frame in frames:
-            for key, query, lead, vec in zip(zip(frame["dim"], frame["tbl"], frame["bucket"], frame["portion"], strict=True), frame["query"], frame["lead"], frame["vec"], strict=True):
+            for key, query, lead, first, vec in zip(zip(frame["dim"], frame["tbl"], frame["bucket"], frame["portion"], strict=True), frame["query"], frame["lead"], frame["first"], frame["vec"], strict=True):
                 if key != group:
                     out = result()
                     if out is not None:
@@ -164,7 +164,7 @@ def _search(k: int):
                 if query:
                     queries.append((lead, vec))
                 elif queries:
-                    rows.append((lead, vec))
+                    rows.append((lead, vec, first))
                     if len(rows) >= 1024:
                         flush()
         out = result()
@@ -174,6 +174,19 @@ def _search(k: int):
     return run
 
 
+def _dealt(hashed: DataFrame) -> DataFrame:
+    """Rows with the block (``portion``) of their bucket: each portion of queries meets each portion of candidates in one."""
+    key = ["dim", "tbl", "bucket"]
+    portions = lambda of: F.ceil(F.count(F.when(of, 1)) / PORTION).cast("int")
+    sizes = hashed.groupBy(*key).agg(portions(F.col("query")).alias("asking"), portions(~F.col("query")).alias("found")).where("asking > 0 and found > 0")
+    own = F.pmod("lead", F.when(F.col("query"), F.col("asking")).otherwise(F.col("found"))).cast("int")
+    blocks = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("found") - 1), lambda i: i * F.col("asking") + own)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: own * F.col("asking") + i)
+    )
+    dealt = hashed.join(sizes, key).withColumn("portion", F.explode(blocks))
+    return dealt.select(*key, "portion", "query", "lead", "first", "vec")
+
+
 def nearest(
     rows: DataFrame, k: int = 5, every: int = 50, tables: int = 10, probes: int = 12, fill: int = 512, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
@@ -198,13 +211,11 @@ def nearest(
     keyed, _ = written(points.withColumn("lead", F.xxhash64("vec")), "points")
     count = keyed.count()
 
-    both = keyed.select("query", "lead", "vec").where("query").union(keyed.select(F.lit(False).alias("query"), "lead", "vec"))
-    hashed, hashed_at = written(both.mapInPandas(_hashed(tables, probes, count, fill, seed), "dim int, tbl int, bucket long, query boolean, lead long, vec binary"), "hashed")
+    first = F.col("ids")[0].alias("first")
+    both = keyed.select("query", "lead", first, "vec").where("query").union(keyed.select(F.lit(False).alias("query"), "lead", first, "vec"))
+    hashed, hashed_at = written(both.mapInPandas(_hashed(tables, probes, count, fill, seed), "dim int, tbl int, bucket long, query boolean, lead long, first long, vec binary"), "hashed")
     key = ["dim", "tbl", "bucket"]
-    sizes = hashed.where("not query").groupBy(*key).agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
-    dealt = hashed.join(sizes, key)
-    dealt = dealt.withColumn("portion", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("portions") - 1)).otherwise(F.array(F.pmod(F.col("lead"), F.col("portions")).cast("int")))))
-    dealt = dealt.select(*key, "portion", "query", "lead", "vec").repartition(*key, "portion").sortWithinPartitions(*key, "portion", F.col("query").desc())
+    dealt = _dealt(hashed).repartition(*key, "portion").sortWithinPartitions(*key, "portion", F.col("query").desc())
     found = dealt.mapInPandas(_search(k + 1), "q long, lead long, score double")
     answers = _answers(found, keyed, usable, k)
     answers, _ = written(answers, "answers")
@@ -216,9 +227,13 @@ def nearest(
     if short.isEmpty():
         return answers
     again = short.select(F.xxhash64("vec").alias("lead"), "vec").distinct()
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wide = again.select(F.lit(0).alias("dim"), F.lit(0).alias("tbl"), F.lit(0).cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("portion"), F.lit(True).alias("query"), "lead", "vec")
-    wide = wide.union(keyed.select(F.lit(0), F.lit(0), F.lit(0).cast("long"), F.pmod("lead", F.lit(blocks)).cast("int"), F.lit(False), "lead", "vec"))
+    blocks, asking = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-again.count() // PORTION)
+    of = lambda n: F.pmod("lead", F.lit(n)).cast("int")
+    asked_in = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: i * asking + of(asking)))
+    found_in = F.explode(F.transform(F.sequence(F.lit(0), F.lit(asking - 1)), lambda i: of(blocks) * asking + i))
+    flat = [F.lit(0).alias("dim"), F.lit(0).alias("tbl"), F.lit(0).cast("long").alias("bucket")]
+    wide = again.select(*flat, asked_in.alias("portion"), F.lit(True).alias("query"), "lead", F.lit(0).cast("long").alias("first"), "vec")
+    wide = wide.union(keyed.select(*flat, found_in.alias("portion"), F.lit(False).alias("query"), "lead", first, "vec"))
     wide = wide.withColumn("dim", F.octet_length("vec"))
     wide = wide.repartition("dim", "portion").sortWithinPartitions("dim", "tbl", "bucket", "portion", F.col("query").desc())
     more = _answers(wide.mapInPandas(_search(k + 1), "q long, lead long, score double"), keyed, usable.join(short.select("id").distinct(), "id", "left_semi"), k)
