@@ -230,6 +230,33 @@ def test_article_of_a_page():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>Menu</nav>") == ""
 
 
+_LONG = "This paragraph of the article has more than enough words in it to be a surge of text by itself."
+_SIDE = "<div class='sidebar'><p>Some words beside the article, which nobody came here to read.</p></div>"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='layout with-sidebar'", "div class='page no-sidebar'", "div class=ad-free", "form id=aspnetForm"])
+def test_wrappers_are_not_skipped(wrapper):
+    name = wrapper.split()[0]
+    for body in (f"<p>{_LONG}</p><p>{_LONG}</p>", f"<article><p>{_LONG}</p><p>{_LONG}</p></article>"):
+        assert html_text.main_text(f"<body><{wrapper}>{body}{_SIDE}</{name}></body>") == f"{_LONG} {_LONG}"
+
+
+def test_long_comments_are_no_article():
+    comments = f"<div id=comments><article class=comment><div class=comment-content>{f'<p>I disagree. {_LONG}</p>' * 3}</div></article></div>"
+    assert html_text.main_text(f"<main><p>{_LONG}</p><p>{_LONG}</p>{comments}</main>") == f"{_LONG} {_LONG}"
+
+
+def test_all_runs_are_kept():
+    links = "<p><a>One</a></p><p><a>Two</a></p><p><a>Three</a></p><p><a>Four</a></p>"
+    assert html_text.main_text(f"<body><p>{_LONG} First.</p>{links}<p>{_LONG} Last.</p></body>") == f"{_LONG} First. {_LONG} Last."
+
+
+def test_long_attributes_stay_in_their_tag():
+    value = "<p>not text</p>" * 1000
+    assert html_text.main_text(f'<p><img alt="{value}">{_LONG}</p><p data-x=\'{value}\'>{_LONG}</p>') == f"{_LONG} {_LONG}"
+    assert html_text.main_text(f'<p a="x>{_LONG}</p>') == _LONG
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", PAGE), (2, "u", "<p>" + "x" * 500_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     found = {r["page_id"]: r["n_chars"] for r in html_text.extract(pages).collect()}

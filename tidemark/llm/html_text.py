@@ -1,13 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 A page's markup is stripped into lines (a block element ends a line); lines
-inside elements that never hold the article (menus, forms, scripts, notices,
-and the like) count as empty. The text length of a block is the sum over a
+inside elements that never hold the article (menus, scripts, and the like) count
+as empty. So do those inside a form, or an element named as boilerplate, unless
+it holds most of the article-like text, or most of the page. The text length of a block is the sum over a
 window of ``WINDOW`` lines. A surge is a block above the threshold whose
 followers are filled too, a dive is the first empty block after it; the runs of
-lines between surge and dive are candidates, and the one with most text marks
-the article. The run then widens to the innermost article-like container around
-it, so that short lines at the article's edges stay with it.
+lines between surge and dive are the article's. The one with most text widens to
+the innermost article-like container around it, so that short lines at the
+article's edges stay with it; without such a container all runs are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 WINDOW, SURGE = 3, 60
 
 #: Elements whose content is never text of the article.
-SKIPPED = frozenset("nav header footer aside form script style noscript template svg math iframe object select button textarea head title dialog menu canvas audio video".split())
+SKIPPED = frozenset("nav header footer aside script style noscript template svg math iframe object select button textarea head title dialog menu canvas audio video".split())
 #: Elements that stay inside a line.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements without an end tag.
@@ -40,26 +41,47 @@ BOILER = re.compile(
 )
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+>|[^>]*(?:>|\Z))", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+>)?", re.S)
+_UNQUOTED = re.compile(r"[^>\"']*")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def lines_of(page: str) -> Iterator[tuple[str, tuple[int, ...], int]]:
-    """(text, containers, link characters) for each line that may belong to the article.
+def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Where a tag ends whose name ends at ``at``; quotes count after "=" only. ``unclosed`` notes quotes that don't occur any more."""
+    pos, end = at, len(page)
+    while (pos := _UNQUOTED.match(page, pos).end()) < end and page[pos] != ">":
+        quote, pos = page[pos], pos + 1
+        if page[max(at, pos - 16) : pos - 1].rstrip().endswith("="):
+            close = -1 if quote in unclosed else page.find(quote, pos)
+            if close < 0:
+                unclosed.add(quote)
+                pos = page.find(">", at)
+                return pos + 1 if pos >= 0 else end
+            pos = close + 1
+    return min(pos + 1, end)
 
-    ``containers`` numbers the article-like elements around the line, outermost first.
+
+def lines_of(page: str) -> Iterator[tuple[str, tuple[int, ...], int, tuple[int, ...], bool]]:
+    """(text, containers, link characters, doubtful elements, clean) for each line that may belong to the article.
+
+    ``containers`` numbers the article-like elements around the line, outermost
+    first, and ``doubtful elements`` the forms and those named as boilerplate. A
+    line is clean if an article-like element that isn't named so is nearer.
     """
-    stack: list[tuple[str, bool, bool]] = []  # element, skipped, container
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, skipped, container, doubtful, whether it tells if its lines are clean
     skipped, inside, numbers, links, link_chars = 0, [], 0, 0, 0
+    doubts: list[int] = []
+    clean = [False]
+    unclosed: set[str] = set()
     parts: list[str] = []
     at, end = 0, len(page)
 
-    def flush() -> tuple[str, tuple[int, ...], int] | None:
+    def flush() -> tuple[str, tuple[int, ...], int, tuple[int, ...], bool] | None:
         nonlocal parts, link_chars
         text, chars = _SPACE.sub(" ", "".join(parts)).strip(), link_chars
         parts, link_chars = [], 0
-        return (text, tuple(inside), chars) if text else None
+        return (text, tuple(inside), chars, tuple(doubts), clean[-1]) if text else None
 
     def add(raw: str) -> None:
         nonlocal link_chars
@@ -81,6 +103,10 @@ def lines_of(page: str) -> Iterator[tuple[str, tuple[int, ...], int]]:
             if m[0].startswith("<![CDATA["):
                 add(m[0][9:-3])
             continue
+        rest = m[3]
+        if rest is None:
+            start, at = at, _tag_end(page, at, unclosed)
+            rest = page[start:at]
         if not m[1]:  # a start tag
             if name == "br":
                 add("\n")
@@ -95,45 +121,81 @@ def lines_of(page: str) -> Iterator[tuple[str, tuple[int, ...], int]]:
                 close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = close.end() if close else end
                 continue
-            if m[3].endswith("/>"):
+            if rest.endswith("/>"):
                 continue
-            named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])) if m[3] else ""
+            named = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if rest else ""
             container = name in ("article", "main") or bool(named and name in ("div", "section", "td") and ARTICLE.search(named))
-            skip = name in SKIPPED and not (name == "header" and any(x[2] for x in stack)) or bool(named and name not in ("html", "body", "article", "main") and BOILER.search(named))
+            skip = name in SKIPPED and not (name == "header" and any(x[2] for x in stack))
+            boiler = bool(named and BOILER.search(named))
+            doubt = not skip and (name == "form" or boiler and name not in ("html", "body", "article", "main"))
             skipped += skip
             if container and not skipped:
                 numbers += 1
                 inside.append(numbers)
             else:
                 container = False
+            if doubt:
+                numbers += 1
+                doubts.append(numbers)
+            tells = doubt or container and not boiler
+            if tells:
+                clean.append(not doubt)
             links += name == "a"
-            stack.append((name, skip, container))
+            stack.append((name, skip, container, doubt, tells))
         else:
             if name not in INLINE and (line := flush()):
                 yield line
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is None:
                 continue
-            for open_name, skip, container in stack[depth:]:
+            for open_name, skip, container, doubt, tells in reversed(stack[depth:]):
                 skipped -= skip
                 links -= open_name == "a"
                 if container:
                     inside.pop()
+                if doubt:
+                    doubts.pop()
+                if tells:
+                    clean.pop()
             del stack[depth:]
     if line := flush():
         yield line
 
 
+def _weight(line: tuple) -> int:
+    """The text length of a line; text that links hold says little: a line of links counts as empty."""
+    return len(line[0]) if line[2] * 2 <= len(line[0]) else 0
+
+
+def _undoubted(lines: list[tuple]) -> list[tuple]:
+    """Lines without those of doubtful elements that are boilerplate.
+
+    Such an element stays if it holds most of the clean text, or most of the
+    page while clean text outside it is less than a quarter of its own.
+    """
+    held: dict[int, list[int]] = {}
+    total = clean = 0
+    for line in lines:
+        w = _weight(line)
+        total += w
+        clean += w * line[4]
+        for e in line[3]:
+            own = held.setdefault(e, [0, 0])
+            own[0] += w
+            own[1] += w * line[4]
+    drop = {e for e, (w, c) in held.items() if not (c and 2 * c >= clean or 2 * w > total and 4 * (clean - c) < w)}
+    return [x for x in lines if drop.isdisjoint(x[3])] if drop else lines
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page: its blocks in order, one space between; empty if there is none."""
-    lines = [x for x in lines_of(page or "")]
+    lines = _undoubted(list(lines_of(page or "")))
     if not lines:
         return ""
-    # text that links hold says little: a line of links counts as empty
-    weight = [len(t) if chars * 2 <= len(t) else 0 for t, _, chars in lines]
+    weight = [_weight(x) for x in lines]
     n = len(lines)
     sums = [sum(weight[i : i + window]) for i in range(n)]
-    best, run, i = (0, 0), 0, 0
+    best, run, i, runs = (0, 0), 0, 0, []
     while i < n:
         if not weight[i] or sums[i] < min(surge, max(sums)):
             i += 1
@@ -142,6 +204,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         while j < n and sums[j]:
             total += weight[j]
             j += 1
+        runs.append((i, j))
         if total > run:
             best, run = (i, j), total
         i = j
@@ -155,9 +218,9 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             held[c] = held.get(c, 0) + weight[k]
     inner = max((c for c, w in held.items() if 2 * w > run), default=None)
     if inner is not None:
-        keep = [t for t, within, _ in lines if inner in within]
+        keep = [x[0] for x in lines if inner in x[1]]
     else:
-        keep = [lines[k][0] for k in range(first, last)]
+        keep = [lines[k][0] for i, j in runs for k in range(i, j)]
     return " ".join(keep)
 
 
