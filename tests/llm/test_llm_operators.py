@@ -324,6 +324,23 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert again == out
 
 
+def test_long_keys_and_other_formats_are_found(spark):
+    """Each text holds one entity; what must go, and what the rest must look like."""
+    long = "0123456789abcdef" * 40
+    cases = [
+        (f"key {long} end", long[:40], r"key [0-9a-f]{640} end"), (f"token sk-{'Ab1-' * 60}x end", "Ab1-Ab1-", r"token sk-\S{241} end"),
+        ("please contact Anna Schmidt today", "Schmidt", r"please contact \w+ \w+ today"), ("Best regards,\nAnna Schmidt", "Anna Schmidt", r"Best regards,\n\w+ \w+"),
+        ("call 415 555 0134 now", "555 0134", r"call \d{3} \d{3} \d{4} now"), ("Tel. 030 1234567 oder", "1234567", r"Tel\. 0\d\d \d{7} oder"), ("tel 06 12 34 56 78.", "12 34 56", r"tel 0\d( \d\d){4}\."),
+        ("host 2001:db8::8a2e:370:7334 up", "2001:db8", r"host [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} up"),
+    ]
+    clean = ["on 01.02.2003 10:20:30 it was", "std::vector<int> a::b", "Contact us in New York"]
+    docs = spark.createDataFrame(list(enumerate([c[0] for c in cases] + clean)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.replace(docs).collect()}
+    for i, (_, gone, pattern) in enumerate(cases):
+        assert out[i]["n_entities"] == 1 and gone not in out[i]["text"] and re.fullmatch(pattern, out[i]["text"]), out[i]
+    assert [out[len(cases) + i]["text"] for i in range(len(clean))] == clean
+
+
 def test_surrogates_are_distinct(spark):
     entities = spark.createDataFrame([("ip", f"10.{i // 10}.0.{i % 10}") for i in range(90)] + [("ssn", f"{i:09d}") for i in range(50)], "kind string, norm string")
     found = pii.surrogates(entities, "k").collect()

@@ -28,6 +28,8 @@ from .common import remove, written
 MALE = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Sr|Don|Господин|г-н|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Mlle|Señora|Sra|Srta|Doña|Госпожа|г-жа|Κυρία"
 NEUTRAL = "Dr|Prof|Professor|Mx"
+#: Words that a name of two or three words without a form of address follows.
+CUES = r"[Cc]ontact|[Rr]egards,|[Ww]ishes,|[Ss]incerely,|[Ss]igned(?: by)?:?|[Nn]ame:|[Ff]rom:|[Aa]ttn:?|Dear|[Mm]y name is|[Gg]r(?:ü|ue)(?:ß|ss)en?,?"
 
 _NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?"
 
@@ -36,18 +38,22 @@ def _named(titles: str) -> str:
     return rf"(?<![\p{{L}}\d])(?:{titles})\.? {_NAME}(?: {_NAME}){{0,2}}"
 
 
+_TITLED = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.? |(?:{CUES})\s{{1,3}}"
+_HEX4 = r"[\dA-Fa-f]{1,4}"
+_IPV6 = rf"(?<![\p{{L}}\d:.])(?=[A-Fa-f:]*\d)(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}|::(?:{_HEX4}:){{0,6}}{_HEX4}|(?:{_HEX4}:){{1,7}}:)(?![\p{{L}}\d:])"
+
 #: Kinds of entities and the patterns that find them, the first that fits wins.
 PATTERNS = {
     "email": r"[\p{L}\d][\p{L}\d._%+-]{0,63}@[A-Za-z\d](?:[A-Za-z\d-]{0,62}\.)+[A-Za-z]{2,24}(?![\p{L}\d])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![\p{L}\d])",
-    "secret": r"(?<![\p{L}\d])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[A-Z\d]{16}|(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z\d_-]{16,128})(?![\p{L}\d])",
+    "secret": r"(?<![\p{L}\d])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?:AKIA|ASIA)[A-Z\d]{16}|(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z\d_-]{16,}+)(?![\p{L}\d])",
     "card": r"(?<![\p{L}\d.])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\d]|\.\d)",
     "ssn": r"(?<![\p{L}\d.-])\d{3}-\d{2}-\d{4}(?![\p{L}\d]|-\d)",
-    "ip": r"(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\d]|\.\d)",
-    "phone": r"(?<![\p{L}\d.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\d]|[.-]\d)",
+    "ip": _IPV6 + r"|(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\d]|\.\d)",
+    "phone": r"(?<![\p{L}\d.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4}|(?=(?:[ /.-]?\d){9})(?!\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d))0\d{1,4}[ /.-]\d{2,4}(?:[ .-]?\d{2,4}){1,4})(?![\p{L}\d]|[.-]\d)",
     "name_m": _named(MALE),
     "name_f": _named(FEMALE),
-    "name_n": _named(NEUTRAL),
+    "name_n": _named(NEUTRAL) + rf"|(?<![\p{{L}}\d])(?:{CUES})\s{{1,3}}(?!(?:{MALE}|{FEMALE}|{NEUTRAL})\b){_NAME}(?: {_NAME}){{1,2}}",
 }
 #: A group number changes as patterns are joined, so the card pattern's separator is spelt out there.
 _SEARCH = "|".join(p.replace(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}", r"\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}") for p in PATTERNS.values())
@@ -90,11 +96,14 @@ def _pick(letters: str, byte: Column) -> Column:
 
 def _like(text: Column, seed: Column, hexadecimal: bool = False) -> Column:
     """``text`` (lower case) with every letter and digit replaced by one of its kind."""
-    hexes = _stream(seed, F.length(text))
     chars = F.split(text, "")
+    # the stream's bytes are made once, block by block, so long keys take time in proportion
+    blocks = F.sequence(F.lit(0), (F.length(text) / 32).cast("int"))
+    of_block = lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: _byte(h, j))
+    hashes = F.transform(blocks, lambda b: F.sha2(F.concat_ws(":", seed, b.cast("string")).cast("binary"), 256))
+    stream = F.slice(F.flatten(F.transform(hashes, of_block)), F.lit(1), F.size(chars))
 
-    def one(c: Column, i: Column) -> Column:
-        b = _byte(hexes, i)
+    def one(c: Column, b: Column) -> Column:
         out = F.when(c.rlike("^[0-9]$"), _pick("0123456789", b))
         if hexadecimal:
             out = F.when(c.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", b))
@@ -105,7 +114,7 @@ def _like(text: Column, seed: Column, hexadecimal: bool = False) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(chars, one), "")
+    return F.array_join(F.zip_with(chars, stream, one), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -172,11 +181,11 @@ def kind_of(raw: Column) -> Column:
 def norm_of(kind: Column, raw: Column) -> Column:
     """What mentions of one entity share: case, separators and forms of address don't count."""
     digits = F.regexp_replace(raw, r"[^\d]", "")
-    name = F.lower(F.regexp_replace(raw, rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.? ", ""))
+    name = F.lower(F.regexp_replace(raw, rf"^(?:{_TITLED})", ""))
     return (
         F.when(kind.isin("card", "ssn"), digits)
         .when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits))
-        .when(kind == "ip", raw)
+        .when(kind == "ip", F.lower(raw))
         .when(kind == "iban", F.lower(F.regexp_replace(raw, " ", "")))
         .when(kind.startswith("name"), name)
         .otherwise(F.lower(raw))
@@ -204,6 +213,7 @@ def drawn(kind: Column, norm: Column, round_: Column, key: str) -> Column:
         .when(kind == "iban", F.concat(norm.substr(1, 2), _like(norm.substr(F.lit(3), F.length(norm)), seed)))
         .when(kind == "secret", secret)
         .when(kind == "card", _card(norm, seed))
+        .when((kind == "ip") & norm.contains(":"), _like(norm, seed, True))
         .when(kind == "ip", _ip(norm, seed))
         .when(kind == "phone", phone)
         .when(kind == "name_m", _name(norm, "m", key, salt))
@@ -226,7 +236,7 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
         )
         return F.aggregate(chars, begin, step, lambda a: F.concat(a["out"], plain.substr(a["at"], F.length(plain))))
 
-    title = F.regexp_extract(raw, rf"^((?:{MALE}|{FEMALE}|{NEUTRAL})\.? )", 1)
+    title = F.regexp_extract(raw, rf"^({_TITLED})", 1)
     plain = F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(surrogate, r"[^\d]", "")).otherwise(surrogate)
     name = F.concat(title, F.when(F.upper(raw) == raw, F.upper(surrogate)).otherwise(F.initcap(surrogate)))
     return (
@@ -235,6 +245,7 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
         .when(kind.startswith("name"), name)
         .when(kind == "ip", surrogate)
         .when((F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(surrogate))
+        .when(F.lower(raw) == raw, surrogate)
         .otherwise(fill(r"(?s)^.$"))
     )
 
@@ -286,6 +297,7 @@ def form_of(kind: Column, norm: Column, key: str) -> Column:
         .when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), form("", _mask(norm, True), "f"))
         .when(kind == "secret", form(after(prefix), _mask(F.regexp_extract(norm, prefix + "(.*)$", 2)), "a"))
         .when(kind == "card", form(norm.substr(1, 1), F.repeat(F.lit("0"), F.length(norm) - 2), "0", "", F.when(_luhn(norm) == 0, "right").otherwise("wrong")))
+        .when((kind == "ip") & norm.contains(":"), form("", _mask(norm, True), ""))
         .when(kind == "ip", form("", F.array_join(F.transform(F.split(norm, r"\."), lambda x: F.length(x).cast("string")), "."), ""))
         .when(kind == "phone", form(after(r"^(\+?\d)"), _mask(after(r"^\+?\d(.*)$")), "0"))
         .when(kind == "name_m", name("m"))
@@ -422,11 +434,12 @@ def replace(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_id",
 
     A null text stays null with 0 entities. Rows with equal ids keep apart;
     rows that repeat give equal rows; null ids are kept. No rows give no rows;
-    other columns are ignored. Names are found after a form of address only.
+    other columns are ignored. Names are found after a form of address, or a
+    cue such as "contact" or "regards," (two words or three) only.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # texts are searched once; what holds no mark that all patterns need is passed by
-    found = F.when(F.col("text").rlike(rf"[@\d]|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"), F.regexp_extract_all("text", F.lit(_SEARCH), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.col("text").rlike(rf"[@\d]|(?:{_TITLED})\p{{Lu}}|[a-f]{{32}}|[A-F]{{32}}|AKIA|ASIA|(?:sk|pk|gh[po]|xox[abp])[_-]"), F.regexp_extract_all("text", F.lit(_SEARCH), F.lit(0))).otherwise(F.array().cast("array<string>"))
     with_any = base.withColumn("raws", found).where(F.size("raws") > 0)
     # the row's own name: its id and text
     name = F.struct(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("i"), F.xxhash64("text").alias("h"), F.xxhash64(F.reverse("text")).alias("r"))
