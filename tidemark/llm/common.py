@@ -8,7 +8,8 @@ import tempfile
 import uuid
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,8 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, in full (with its file system); it goes when the session ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = store.makeQualified(path)
+    store.deleteOnExit(path)
+    return path.toString()
+
+
+def as_uri(path: str) -> str:
+    """A full path as readers outside the JVM expect it: with two slashes after the scheme."""
+    scheme, _, rest = path.partition(":")
+    return path if rest.startswith("//") else f"{scheme}://{rest}"
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -58,6 +69,26 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def row_key(*columns: str | Column) -> Column:
+    """128 bits that name a row by the values of its columns, nulls included; equal rows have equal names."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in columns]
+    parts = [x for c in parts for x in (c.isNull(), c)]
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0")) for seed in (1, 2)])
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``table``, which has a row for each key, on keys that may be hot.
+
+    ``size`` tells how many of the ``total`` rows have a key. At most a thousand
+    keys can have more than a thousandth of all rows: these are broadcast, so
+    their rows stay where they are; the others are joined by shuffling.
+    """
+    often = table.where(F.col(size) > total // 1000)
+    seldom = table.where(F.col(size) <= total // 1000)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(often), key).unionByName(rest.join(seldom.hint("merge"), key))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply) over unsigned integers."""
     x = x ^ (x >> np.uint64(33))

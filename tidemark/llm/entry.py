@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.ordered_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_position", "training_place")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +59,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+def _due(share: str, knots: mixing.Schedule) -> str:
+    """SQL for the time at which ``share`` of the demand of a schedule of two knots has accumulated."""
+    (t0, w0), (t1, w1) = knots
+    area, slope = (t1 - t0) * (w0 + w1) / 2, (w1 - w0) / (t1 - t0)
+    left = f"({share} * {area!r}::DOUBLE)"
+    return f"CASE WHEN {left} = 0 THEN {t0!r} ELSE {t0!r}::DOUBLE + least(2 * {left} / ({w0!r}::DOUBLE + sqrt(greatest({w0 * w0!r}::DOUBLE + {2 * slope!r}::DOUBLE * {left}, 0))), {t1 - t0!r}::DOUBLE) END"
+
+
 _OP1 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint AS rank
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 15))::bigint AS rank
   FROM documents),
 sources AS (
   SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS number
@@ -79,13 +87,17 @@ aims AS (
   SELECT source, number, source_size, least(shared.level * weight, (3 * source_size)::double) AS target
   FROM ordered, shared),
 placed AS (
-  SELECT s.doc_id, s.size, a.source_size, a.target, floor(a.target + 0.5)::bigint AS words,
+  SELECT s.doc_id, s.size, a.source_size, a.target, floor(a.target + 0.5)::bigint AS words, a.number % 3 AS kind,
          CASE WHEN a.source_size > 0 THEN floor(floor(a.target + 0.5) / a.source_size)::bigint ELSE 0 END AS passes,
          (sum(s.size) OVER (PARTITION BY a.number ORDER BY s.rank, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::bigint AS before
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+timed AS (
+  SELECT *, CASE kind """ + " ".join(f"WHEN {k} THEN {_due('share', mixing.default_schedule(k))}" for k in range(3)) + r""" END AS first_position
+  FROM (SELECT *, CASE WHEN target > 0 THEN least(before / target, 1) ELSE 1 END::DOUBLE AS share FROM placed))
 SELECT doc_id, size, source_size, target,
-       (passes * size + greatest(0, least(size, words - passes * source_size - before)))::bigint AS taken
-FROM placed
+       (passes * size + greatest(0, least(size, words - passes * source_size - before)))::bigint AS taken,
+       first_position, (row_number() OVER (ORDER BY first_position, before, doc_id NULLS FIRST) - 1)::bigint AS training_place
+FROM timed
 """
 
 _OP2 = r"""

@@ -11,7 +11,8 @@ coordinate is filled after 2 * SIZE rounds for sure, whatever the set.
 threshold of 0.85 shares no bucket with probability (1 - 0.85^5)^24, below 1e-6.
 
 Documents with equal sets are one class from the start, so copies never meet in
-a bucket. Every member of a bucket is checked against the bucket's hubs (the
+a bucket. A class is named by its smallest id and a digest of its set, in this
+order, so a component's smallest class tells its smallest id. Every member of a bucket is checked against the bucket's hubs (the
 members that meet most others): against all others in small buckets, against one
 in large ones; components are formed. Large buckets that still hold several
 components go on, in blocks of at most two ``PORTION`` members: pairs of
@@ -34,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import gram_hashes, lowered, mix64, remove, word_hashes, written
+from .common import WORD, gram_hashes, join_by_size, lowered, mix64, remove, row_key, word_hashes, written
 from .components import components
 
 SHINGLE, SIZE, BANDS, ROWS = 5, 480, 24, 5
 #: Members of a small bucket, which has as many hubs as are needed to check all its pairs at once.
 SMALL = 12
 #: Members of a large bucket that meet as many others in one block.
-PORTION = 1024
+PORTION = 4096
 #: Equal coordinates that a pair needs: 408 are expected at a similarity of 0.85, with a deviation of 7.8.
 AGREE = 368
 #: Words that are sketched at once; bounds the memory of a task.
@@ -134,12 +135,13 @@ def _meet(threshold: float):
 def meetings(rows: DataFrame, threshold: float) -> DataFrame:
     """(cls, hub, portion): pairs of different components that share a bucket and whose sketches leave it open that they are similar.
 
-    ``rows`` are (key, cls, n, comp, keys, digest). A bucket is cut into
-    portions, and every two portions meet in a block, which one task holds and
-    whose hash is the portion.
+    ``rows`` are (key, cls, n, comp, keys, digest), and met, how many a bucket has,
+    where it is known. A bucket is cut into portions, and every two portions
+    meet in a block, which one task holds and whose hash is the portion.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / PORTION).alias("portions"))
-    dealt = rows.join(sizes, "key").withColumn("portion", F.pmod(F.xxhash64("cls"), F.col("portions")))
+    if "met" not in rows.columns:
+        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("met")), "key")
+    dealt = rows.withColumn("portions", F.ceil(F.col("met") / PORTION)).withColumn("portion", F.pmod(F.xxhash64("cls"), F.col("portions")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)))
     dealt = dealt.withColumns({"low": F.least("portion", "other"), "high": F.greatest("portion", "other")})
     dealt = dealt.withColumn("block", F.xxhash64("key", "low", "high"))
@@ -158,7 +160,7 @@ def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 short = mix64(sketches).astype(np.uint8)
                 for j, (i, row) in enumerate(zip(filled, bands(sketches).view(np.int64), strict=True)):
                     keys[i], digests[i] = row, short[j].tobytes()
-            return pd.DataFrame({"id": frame["id"].iloc[first:upto], "n_shingles": counts, "cls": classes, "keys": keys, "digest": digests})
+            return pd.DataFrame({"id": frame["id"].iloc[first:upto], "row": frame["row"].iloc[first:upto], "n_shingles": counts, "cls": classes, "keys": keys, "digest": digests})
 
         for i, text in enumerate(frame["text"]):
             s = shingles(text)
@@ -183,8 +185,6 @@ def _confirm(threshold: float):
             a, b = [], []
             for group, cls, role, text in zip(frame["hub"], frame["cls"], frame["role"], frame["text"], strict=True):
                 s = shingles(text)
-                if _digest(s) != bytes(cls):  # another text of the same id
-                    continue
                 if role == 0:
                     hub, hub_set = bytes(group), s
                 elif hub == bytes(group):
@@ -215,48 +215,72 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInPandas(_confirm(threshold), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85) -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept.
+def _name(lead, cls):
+    """The name of a class: whether it has no id, its smallest id in the order of bytes, and the digest of its set."""
+    number = F.unhex(F.lpad(F.hex(F.coalesce(lead, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.concat(F.when(lead.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), number, cls)
 
-    Null or blank texts have an empty set and are linked with nothing. Rows are
-    the nodes: rows with equal texts are linked, equal ids alone link nothing.
-    A null id is never a component_id, and such a row is not kept. No rows give
-    no rows. Other columns of ``docs`` are ignored.
+
+def _lead_of(name):
+    """The smallest id in a class's name."""
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.hex(F.substring(name, 1, 1)) == "00", number)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One of the rows with the same ``row``; those that repeat in a partition are cut down before they are shuffled."""
+    return rows.withColumn("copy", F.row_number().over(W.partitionBy("row").orderBy("row"))).where("copy = 1").drop("copy")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, list[str]]:
+    """A row for each of ``docs``, written, and the tables to remove after it.
+
+    (id, row, n_shingles, component, first): ``row`` names the row by id and
+    text, ``component`` is the name of its group's first class (null without
+    words), and ``first`` tells the rows of the group's first id and class.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described, described_at = written(base.mapInPandas(_describe, "id long, n_shingles long, cls binary, keys array<long>, digest binary"), "sketches")
-
-    classes = described.where("cls is not null").groupBy("cls").agg(F.min("id").alias("lead"))
-    leads = described.where("cls is not null and id is not null").join(classes.where("lead is not null"), "cls").where("id = lead")
-    leads, leads_at = written(leads.dropDuplicates(["cls"]).select("cls", "lead", F.col("n_shingles").alias("n"), "keys", "digest"), "leads")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", row_key("id", "text"))
+    # ids go through Python as texts, where whole numbers beside nulls would be rounded
+    described = base.withColumn("id", F.col("id").cast("string")).mapInPandas(_describe, "id string, row binary, n_shingles long, cls binary, keys array<long>, digest binary")
+    described, described_at = written(described.withColumn("id", F.col("id").cast("long")), "sketches")
+    total = described.count()
+
+    # a row for each class: whichever member it is read from, keys and digest are the same
+    known = described.where("cls is not null")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
+    leads = known.groupBy("cls").agg(least, F.count("*").alias("members"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("digest").alias("digest"))
+    leads = leads.select(_name(F.col("least.id"), F.col("cls")).alias("cls"), F.col("cls").alias("set"), F.col("least.row").alias("row"), "members", "n", "keys", "digest")
+    leads, leads_at = written(leads, "leads")
     entries = leads.select("cls", "n", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
-    met, met_at = written(entries.join(shared, "key"), "buckets")
+    met, met_at = written(join_by_size(entries, shared, "key", "met", BANDS * total), "buckets")
 
     degree, degree_at = written(met.groupBy("cls").agg(F.sum("met").alias("degree")), "degrees")
-    chosen = leads.join(degree, "cls").select(F.col("lead").alias("id"), "cls", "digest")
+    chosen = leads.join(degree, "cls").select("row", "cls", "digest")
     # texts grow with the rows and so do the candidates: neither side is broadcast
-    texts, texts_at = written(base.join(chosen.hint("merge"), "id").select("cls", "digest", "text"), "texts")
+    texts = _once(base.select("row", "text")).join(chosen.select("row", "cls").hint("merge"), "row")
+    texts, texts_at = written(texts.select("cls", "text"), "texts")
     digests = chosen.select("cls", "digest")
 
     met = met.join(degree, "cls").select("key", "cls", "n", "met", "degree")
     percent = F.lit(round(threshold * 100))
-    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    below = F.struct("x.degree", "x.cls") < F.struct("y.degree", "y.cls")
+    alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    below = F.struct("degree", "cls") < F.struct(F.col("hub_degree").alias("degree"), F.col("hub").alias("cls"))
 
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("degree"), F.desc("cls")))
     hubs = met.withColumn("rank", rank).where(F.col("rank") <= SMALL).where((F.col("rank") == 1) | (F.col("met") <= SMALL + 1))
-    pairs = met.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & below & alike)
-    pairs, pairs_at = written(pairs.select("x.cls", F.col("y.cls").alias("hub")).distinct(), "pairs")
+    hubs = hubs.select("key", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("degree").alias("hub_degree"), F.col("met").alias("hub_met"))
+    pairs = join_by_size(met.drop("met"), hubs, "key", "hub_met", max(BANDS * total, 1000 * (SMALL + 1))).where(below & alike)
+    pairs, pairs_at = written(pairs.select("cls", "hub").distinct(), "pairs")
     links, links_at = written(confirm(agreeing(pairs, digests), texts, threshold), "links")
     labels, labels_at = written(components(links), "labels")
 
     # large buckets of several components: what is left between the components
     large = met.where(F.col("met") > SMALL + 1)
     parts = large.join(labels, large.cls == labels.node, "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    several = parts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high"))
-    parts = parts.join(several.select("key"), "key").join(leads.select("cls", "keys", "digest"), "cls")
+    several = parts.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("met")).where(F.col("low") != F.col("high"))
+    parts = join_by_size(parts, several.select("key", "met"), "key", "met", BANDS * total).join(leads.select("cls", "keys", "digest"), "cls")
     rest, parts_at = written(meetings(parts, threshold), "meetings")
     more, more_at = written(confirm(rest, texts, threshold), "links")
     if more.limit(1).count():
@@ -264,12 +288,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         remove(spark, labels_at)
         labels_at = again_at
 
-    named = described.select("id", "n_shingles", "cls").join(labels, F.col("cls") == F.col("node"), "left")
-    named = named.select("id", "n_shingles", F.coalesce("component", "cls").alias("comp"))
-    smallest = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
-    out = named.join(smallest, "comp", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
-    )
-    out, _ = written(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))), "near")
+    # from classes to rows: the rows of classes with very many members stay where they are
+    table = leads.select("cls", "set", F.col("row").alias("first_row"), "members").join(labels, F.col("cls") == F.col("node"), "left")
+    table = table.select(F.col("set").alias("cls"), F.coalesce("component", "cls").alias("component"), F.when(F.coalesce("component", "cls") == F.col("cls"), F.col("first_row")).alias("first_row"), "members")
+    rows = join_by_size(known.select("id", "row", "n_shingles", "cls"), table, "cls", "members", total)
+    rows = rows.select("id", "row", "n_shingles", "component", F.coalesce(F.col("row") == F.col("first_row"), F.lit(False)).alias("first"))
+    blank = described.where("cls is null").select("id", "row", "n_shingles", F.lit(None).cast("binary").alias("component"), F.lit(True).alias("first"))
+    rows, rows_at = written(rows.unionByName(blank), "near")
     remove(spark, described_at, leads_at, met_at, degree_at, texts_at, pairs_at, links_at, labels_at, parts_at, more_at)
-    return out
+    return rows, [rows_at]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85) -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept.
+
+    Null or blank texts have an empty set and are linked with nothing. Rows are
+    the nodes: rows with equal texts are linked, equal ids alone link nothing.
+    A null id is never a component_id, and such a row is not kept. No rows give
+    no rows. Other columns of ``docs`` are ignored.
+    """
+    rows, _ = grouped(docs, id_col, text_col, threshold)
+    out = rows.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("component").isNull(), F.col("id")).otherwise(_lead_of(F.col("component"))).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85) -> DataFrame:
+    """One row of each group of near duplicates, with all columns of ``docs``: a row of the group's smallest id.
+
+    A group whose rows all have a null id keeps one of them. Of rows that repeat
+    in id and text one stays; rows that share only an id are told apart by their
+    texts. Rows without words are near nothing, so all of them stay.
+    """
+    rows, _ = grouped(docs, id_col, text_col, threshold)
+    gone = rows.where(~F.col("first")).select("row").distinct()
+    named = docs.select(F.struct(*docs.columns).alias("doc"), row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("row"))
+    filled = F.coalesce(F.col(f"doc.{text_col}").rlike(WORD), F.lit(False))
+    kept = _once(named.where(filled)).join(gone.hint("merge"), "row", "left_anti").select("doc.*")
+    return kept.unionByName(named.where(~filled).select("doc.*"))

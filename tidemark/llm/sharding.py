@@ -7,6 +7,8 @@ give each row its place in the whole, and equal targets cut the line of bytes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,29 +18,30 @@ from .common import remove, written
 LAW = "bytes"
 
 
-def prefix_sums(rows: DataFrame, order: list[str], value: str) -> DataFrame:
-    """``rows`` with ``before`` (sum of ``value`` over all earlier rows), ``place`` (rows before) and ``total``.
+def prefix_sums(rows: DataFrame, order: Sequence[str], *values: str) -> DataFrame:
+    """``rows``, written, with ``place`` (rows before), and for each value ``before_<value>`` (its sum over earlier rows) and ``total_<value>``.
 
     ``order`` should tell rows apart; rows that tie in all of it follow each
     other in any order. No rows give no rows.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt, _ = written(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    totals = dealt.groupBy("part").agg(F.sum(value).alias("part_sum"), F.count("*").alias("part_rows"))
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt, dealt_at = written(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    sums = [F.sum(v).alias(f"sum_{v}") for v in values]
+    totals = dealt.groupBy("part").agg(F.count("*").alias("part_rows"), *sums)
+    earlier, whole = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     # one row for each range partition, so the broadcast is bounded by their number
-    offsets = totals.select(
-        "part",
-        F.coalesce(F.sum("part_sum").over(earlier), F.lit(0)).alias("sum_before"),
-        F.coalesce(F.sum("part_rows").over(earlier), F.lit(0)).alias("rows_before"),
-        F.sum("part_sum").over(W.partitionBy()).alias("total"),
-    )
+    starts = [x for v in values for x in (before(f"sum_{v}").alias(f"start_{v}"), F.sum(f"sum_{v}").over(whole).alias(f"total_{v}"))]
+    offsets = totals.select("part", before("part_rows").alias("first_row"), *starts)
     inside = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    running = dealt.withColumns({"upto": F.sum(value).over(inside), "row": F.row_number().over(inside)})
-    out = running.join(F.broadcast(offsets), "part")
-    return out.withColumns(
-        {"before": F.col("sum_before") + F.col("upto") - F.col(value), "place": F.col("rows_before") + F.col("row") - 1}
-    ).drop("part", "upto", "row", "sum_before", "rows_before")
+    running = dealt.withColumns({"row": F.row_number().over(inside), **{f"upto_{v}": F.sum(v).over(inside) for v in values}})
+    out = running.join(F.broadcast(offsets), "part").withColumn("place", F.col("first_row") + F.col("row") - 1)
+    out = out.withColumns({f"before_{v}": F.col(f"start_{v}") + F.col(f"upto_{v}") - F.col(v) for v in values})
+    out = out.drop("part", "row", "first_row", *[f"{x}_{v}" for v in values for x in ("start", "upto")])
+    out, _ = written(out, "placed")
+    remove(spark, dealt_at)
+    return out
 
 
 def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,8 +59,7 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "
         F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"),
     )
     placed = prefix_sums(sized, ["id", "text_crc32", "size"], "size")
-    placed = placed.withColumn("shard", F.expr(f"cast(least({shards - 1}, (2 * before + size) * {shards} div (2 * total)) as int)"))
-    placed, placed_at = written(placed.drop("before", "total"), "placed")
+    placed = placed.withColumn("shard", F.expr(f"cast(least({shards - 1}, (2 * before_size + size) * {shards} div (2 * total_size)) as int)"))
     first = F.broadcast(placed.groupBy("shard").agg(F.min("place").alias("first")))  # a row for each shard
     return placed.join(first, "shard").select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
