@@ -14,15 +14,12 @@ from tidemark.llm import common, decontam, langid, minhash, mixing, token_shards
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without text or letters, and those whose language stays in doubt."""
-    found = langid.identify(docs)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(docs.columns)
+    return langid.certain(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group. Documents without an id stay, unless copies of one that has."""
-    found = minhash.near_duplicates(docs)
-    dropped = found.where("not kept and component_id is not null and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keeps the document with the smallest id of each group; of rows that repeat, one."""
+    return minhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
