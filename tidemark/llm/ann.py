@@ -2,10 +2,19 @@
 
 Rounds of random signs and a fast Hadamard transform turn a unit vector
 pseudo-randomly; its bucket is the signed axis nearest to the turned vector.
-Several tables turn differently. A second, shorter polytope refines the buckets
-as rows grow, so that buckets stay about as full. A query probes the axes that
-its turned vector is nearest to, in order, in every table; all it finds is
-ranked by exact cosines of the original vectors.
+Several tables turn differently. Further polytopes refine the buckets as rows
+grow, so that a bucket holds about ``fill`` of them. A query probes the buckets
+that its turned vector is nearest to, in every table. For spread out vectors a
+neighbour's bucket comes later as buckets get finer; the number of probes grows
+with the square root of the number of buckets, so the share of rows that a query
+sees falls with the square root of the rows.
+
+Neighbouring buckets of a table form groups. A group's points go to one task
+in compact form (ids and coordinates of four bits), with the queries that probe
+any of its buckets; the task scores what the probed buckets hold and hands on
+the best few. The best of all tables are ranked by exact cosines of the original
+vectors. So whole vectors are shuffled once for points and once for ranking, not
+for every table.
 """
 
 from __future__ import annotations
@@ -14,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,8 +31,12 @@ from pyspark.sql.window import Window as W
 from .common import remove, written
 
 ROUNDS = 3
-#: Queries, and candidates, of a bucket that one portion holds; larger buckets are dealt out in blocks of two portions.
-PORTION = 4096
+#: Points that a group of buckets holds about; and queries, and points, of a portion of a group that holds over a thousandth of all.
+PORTION = 16_384
+#: Pairs of query and candidate that are compared at once.
+PAIRS = 1 << 16
+#: The table number under which queries meet all points.
+EVERY = -1
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -56,39 +70,75 @@ def axes(y: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(at, order, axis=1), np.take_along_axis(values, order, axis=1)
 
 
-def bucket_keys(unit: np.ndarray, table: int, fine: int, probes: int, seed: int) -> np.ndarray:
-    """The ``probes`` nearest buckets of each row in a table; ``fine`` is the second polytope's dimension, or 0."""
-    y = turned(unit, table, 0, seed)
-    at, value = axes(y, probes)
-    if not fine:
-        return at
-    at2, value2 = axes(turned(unit, table, 1, seed)[:, :fine], min(probes, 2 * fine))
-    both = (value[:, :, None] + value2[:, None, :]).reshape(len(unit), -1)
-    keys = (at[:, :, None] * (2 * fine) + at2[:, None, :]).reshape(len(unit), -1)
-    probes = min(probes, both.shape[1])
-    best = np.argsort(-both, axis=1, kind="stable")[:, :probes]
-    return np.take_along_axis(keys, best, axis=1)
+def bucket_keys(unit: np.ndarray, table: int, polytopes: tuple[int, ...], probes: int, seed: int) -> np.ndarray:
+    """The ``probes`` nearest buckets of each row in a table, nearest first; ``polytopes`` are their dimensions, the coarsest first."""
+    turns = [turned(unit, table, part, seed)[:, :d] for part, d in enumerate(polytopes)]
+    if probes == 1:
+        keys = np.zeros(len(unit), dtype=np.int64)
+        for y, d in zip(turns, polytopes, strict=True):
+            keys = keys * (2 * d) + np.concatenate((y, -y), axis=1).argmax(axis=1)
+        return keys[:, None]
+    out = []
+    step = max(1, (1 << 21) // (probes * 2 * max(polytopes)))
+    for low in range(0, len(unit), step):
+        keys = values = np.zeros((len(turns[0][low : low + step]), 1))
+        for y, d in zip(turns, polytopes, strict=True):
+            at, value = axes(y[low : low + step], min(probes, 2 * d))
+            both = (values[:, :, None] + value[:, None, :]).reshape(len(at), -1)
+            wider = (keys[:, :, None] * (2 * d) + at[:, None, :]).reshape(len(at), -1)
+            # the best of all parts so far are among the best of the parts before
+            best = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+            keys, values = np.take_along_axis(wider, best, axis=1), np.take_along_axis(both, best, axis=1)
+        out.append(keys.astype(np.int64))
+    return np.concatenate(out)
+
+
+def fineness(rows: int, dimension: int, fill: float) -> tuple[int, ...]:
+    """The polytopes' dimensions (powers of two) that leave about ``fill`` rows a bucket."""
+    d = 1 << max(1, (dimension - 1).bit_length())
+    found, need = [d], rows / (fill * 2 * d)
+    while need >= 2:
+        found.append(min(d, 1 << max(0, int(np.log2(need / 2) + 0.5))))
+        need /= 2 * found[-1]
+    return tuple(found)
 
 
-def fineness(rows: int, dimension: int, fill: int) -> int:
-    """The second polytope's dimension (a power of two, or 0) that leaves about ``fill`` rows a bucket."""
-    d = 1 << max(1, (dimension - 1).bit_length())
-    need = rows / (fill * 2 * d)
-    return 0 if need < 2 else min(d, 1 << int(np.log2(need / 2) + 0.5))
+class Layout:
+    """Buckets, groups of buckets and probes for vectors of a length."""
+
+    def __init__(self, rows: int, dimension: int, fill: float, probes: float):
+        self.polytopes = fineness(rows, dimension, fill)
+        self.buckets = int(np.prod([2 * d for d in self.polytopes], dtype=np.int64))
+        self.groups = int(min(self.buckets, max(1, -(-rows // PORTION))))
+        self.probes = int(min(self.buckets, max(1, round(probes * self.buckets**0.5))))
+
+    def group(self, keys: np.ndarray) -> np.ndarray:
+        return keys * self.groups // self.buckets
+
+
+def _encoded(x: np.ndarray) -> bytes:
+    """Components as floats where these are exact, else as doubles; equal vectors have equal bytes."""
+    short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
+
+
+def _decoded(vecs: list[bytes], dim: int) -> np.ndarray:
+    """Rows of doubles."""
+    return np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in vecs], dtype=np.float64).reshape(len(vecs), dim)
 
 
 def _usable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, vec) of rows whose vectors take part; vec holds the components as doubles."""
+    """(id, dim, digest, vec) of rows whose vectors take part."""
     for frame in frames:
-        ids, vecs = [], []
+        rows = []
         for i, v in zip(frame["id"], frame["vec"], strict=True):
             if v is None:
                 continue
-            x = np.array([np.nan if c is None else c for c in v], dtype=np.float64)
+            x = np.array([np.nan if c is None else c for c in v] if any(c is None for c in v) else v, dtype=np.float64)
             if len(x) and np.isfinite(x).all() and x.any():
-                ids.append(i)
-                vecs.append(x.tobytes())
-        yield pd.DataFrame({"id": ids, "vec": vecs})
+                data = _encoded(x)
+                rows.append((i, len(x), xxhash.xxh3_128_digest(data), data))
+        yield pd.DataFrame(rows, columns=["id", "dim", "digest", "vec"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -103,152 +153,244 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
 
 
-def _hashed(tables: int, probes: int, rows: int, fill: int, seed: int):
-    """Rows of (query, lead, first, vec) to one row for each table and bucket of theirs."""
+def packed(unit: np.ndarray) -> np.ndarray:
+    """Coordinates in four bits each, two a byte, in units of a row's largest."""
+    code = np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 7).astype(np.int8) + 8
+    code = np.pad(code.astype(np.uint8), ((0, 0), (0, unit.shape[1] % 2)), constant_values=8)
+    return code[:, ::2] << 4 | code[:, 1::2]
+
+
+def unpacked(codes: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors near those that were packed."""
+    x = np.stack((codes >> 4, codes & 15), axis=2).reshape(len(codes), -1)[:, :dim].astype(np.float32) - 8
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+_SCHEMA = "dim int, tbl int, bucket long, query boolean, lead long, n int, keys binary, digests binary, firsts binary, codes binary"
+
+
+def _lead(digest: bytes) -> int:
+    """A number by which rows are dealt out."""
+    return int.from_bytes(digest[:7], "little")
+
+
+def _by_dim(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+    for frame in frames:
+        for dim, own in frame.groupby("dim"):
+            yield int(dim), own, _unit(_decoded(list(own["vec"]), int(dim)))
+
+
+def _points(tables: int, probes: float, rows: int, fill: float, seed: int):
+    """Points as blobs, one for each batch, table and group of buckets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lengths = frame["vec"].map(len)
-            for length in sorted(lengths.unique()):
-                own = frame[lengths == length]
-                unit = _unit(np.frombuffer(b"".join(own["vec"]), dtype=np.float64).reshape(len(own), -1))
-                fine = fineness(rows, unit.shape[1], fill)
-                for table in range(tables):
-                    for query, count in ((False, 1), (True, probes * max(1, fine))):
-                        mask = own["query"].to_numpy() == query
-                        if not mask.any():
-                            continue
-                        keys = bucket_keys(unit[mask], table, fine, count, seed)
-                        at = np.repeat(np.flatnonzero(mask), keys.shape[1])
-                        out = own.iloc[at]
-                        yield pd.DataFrame({"dim": np.int32(unit.shape[1]), "tbl": np.int32(table), "bucket": keys.ravel().astype(np.int64), "query": query, "lead": out["lead"], "first": out["first"], "vec": out["vec"]})
+        for dim, own, unit in _by_dim(frames):
+            layout, out = Layout(rows, dim, fill, probes), []
+            digests, firsts, codes = np.array(list(own["digest"]), dtype="V16"), own["first"].to_numpy(np.int64), packed(unit)
+            for table in range(tables):
+                keys = bucket_keys(unit, table, layout.polytopes, 1, seed)[:, 0]
+                order = np.argsort(keys, kind="stable")
+                group = layout.group(keys[order])
+                edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    at = order[a:b]
+                    out.append((dim, table, int(group[a]), False, _lead(digests[at[0]].tobytes()), b - a, keys[at].tobytes(), digests[at].tobytes(), firsts[at].tobytes(), codes[at].tobytes()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     return run
 
 
-def _search(k: int):
-    """The best ``k`` candidates of each query in each block of a bucket, by cosine, then by smallest id; queries come before candidates."""
-
-    def best(queries: list, found: list, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.array([r[0] for r in rows])
-        c = cosines(np.frombuffer(b"".join(q[1] for q in queries)).reshape(len(queries), -1), np.frombuffer(b"".join(r[1] for r in rows)).reshape(len(rows), -1))
-        ids, firsts = np.broadcast_to(ids, c.shape), np.broadcast_to(np.array([r[2] for r in rows]), c.shape)
-        if found:
-            c, ids, firsts = (np.concatenate(x, axis=1) for x in zip(found[0], (c, ids, firsts), strict=True))
-        order = np.lexsort((firsts, -c), axis=1)[:, :k]
-        return tuple(np.take_along_axis(x, order, axis=1) for x in (c, ids, firsts))
+def _queries(tables: int, probes: float, rows: int, fill: float, seed: int):
+    """Queries, one row for each table and group of buckets that they probe."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, queries, rows, found = None, [], [], []
+        for dim, own, unit in _by_dim(frames):
+            layout, out = Layout(rows, dim, fill, probes), []
+            vecs = [x.tobytes() for x in unit.astype(np.float32)]
+            for table in range(tables):
+                if layout.groups == 1:
+                    groups = [[0]] * len(own)
+                else:
+                    groups = [np.unique(g).tolist() for g in layout.group(bucket_keys(unit, table, layout.polytopes, layout.probes, seed))]
+                out += [(dim, table, g, True, _lead(d), 1, None, d, None, v) for d, v, near in zip(own["digest"], vecs, groups, strict=True) for g in near]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
-        def flush():
-            nonlocal rows, found
-            if queries and rows:
-                found = [best(queries, found, rows)]
-            rows = []
+    return run
 
-        def result():
-            flush()
-            if not (queries and found):
-                return None
-            c, ids, _ = found[0]
-            return pd.DataFrame({"q": np.repeat([q[0] for q in queries], c.shape[1]), "lead": ids.ravel(), "score": c.ravel()})
 
+class _Asked:
+    """The queries of a block with the best candidates so far."""
+
+    def __init__(self, dim: int, table: int, group: int, layout: Layout, digests: list[bytes], vecs: list[bytes], keep: int, seed: int):
+        self.digests, self.vecs, self.keep = digests, np.frombuffer(b"".join(vecs), np.float32).reshape(-1, dim), keep
+        self.probed = None
+        if table != EVERY:
+            keys = bucket_keys(self.vecs.astype(np.float64), table, layout.polytopes, layout.probes, seed)
+            of = np.repeat(np.arange(len(keys)), keys.shape[1])
+            keys = keys.ravel()
+            own = layout.group(keys) == group
+            order = np.argsort(keys[own], kind="stable")
+            self.probed, self.of = keys[own][order], of[own][order]
+        self.best = [np.empty(0, t) for t in (np.int64, np.float32, np.int64, "V16")]  # query, score, smallest id, digest
+
+    def meet(self, keys: np.ndarray, points: np.ndarray, firsts: np.ndarray, digests: np.ndarray) -> None:
+        if self.probed is None:
+            count, first = np.full(len(keys), len(self.vecs)), np.zeros(len(keys), dtype=np.int64)
+        else:
+            first = np.searchsorted(self.probed, keys, "left")
+            count = np.searchsorted(self.probed, keys, "right") - first
+        low = 0
+        while low < len(keys):  # as many points as give a bounded number of pairs
+            upto = max(low + 1, int(np.searchsorted(np.cumsum(count[low:]), PAIRS, "right")) + low)
+            own = count[low:upto]
+            point = np.repeat(np.arange(low, upto), own)
+            entry = np.repeat(first[low:upto] - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())
+            query = entry if self.probed is None else self.of[entry]
+            score = np.round(np.einsum("ij,ij->i", points[point], self.vecs[query]), 5)
+            parts = [np.concatenate(x) for x in zip(self.best, (query, score, firsts[point], digests[point]), strict=True)]
+            order = np.lexsort((parts[2], -parts[1], parts[0]))
+            start = np.flatnonzero(np.r_[True, np.diff(parts[0][order]) != 0])
+            nth = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+            self.best = [x[order[nth < self.keep]] for x in parts]
+            low = upto
+
+    def result(self) -> pd.DataFrame:
+        query, score, first, digest = self.best
+        edge = np.flatnonzero(np.r_[True, np.diff(query) != 0, True]) if len(query) else np.zeros(1, dtype=int)
+        spans = list(zip(edge[:-1], edge[1:], strict=True))
+        return pd.DataFrame({"q": [self.digests[query[a]] for a, _ in spans], **{c: [x[a:b].tobytes() for a, b in spans] for c, x in (("scores", score), ("firsts", first), ("leads", digest))}})
+
+
+def _search(keep: int, probes: float, rows: int, fill: float, seed: int):
+    """The best ``keep`` candidates of each query in each block; queries come before points."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, waiting, asked = None, [], None
         for frame in frames:
-            for key, query, lead, first, vec in zip(zip(frame["dim"], frame["tbl"], frame["bucket"], frame["portion"], strict=True), frame["query"], frame["lead"], frame["first"], frame["vec"], strict=True):
-                if key != group:
-                    out = result()
-                    if out is not None:
-                        yield out
-                    group, queries, rows, found = key, [], [], []
-                if query:
-                    queries.append((lead, vec))
-                elif queries:
-                    rows.append((lead, vec, first))
-                    if len(rows) >= 1024:
-                        flush()
-        out = result()
-        if out is not None:
-            yield out
+            for row in frame.itertuples(index=False):
+                if (key := (row.dim, row.tbl, row.bucket, row.portion)) != block:
+                    if asked:
+                        yield asked.result()
+                    block, waiting, asked = key, [], None
+                if row.query:
+                    waiting.append((row.digests, row.codes))
+                elif waiting:
+                    asked = asked or _Asked(row.dim, row.tbl, row.bucket, Layout(rows, row.dim, fill, probes), *map(list, zip(*waiting, strict=True)), keep, seed)
+                    codes = np.frombuffer(row.codes, np.uint8).reshape(row.n, -1)
+                    asked.meet(np.frombuffer(row.keys, np.int64), unpacked(codes, row.dim), np.frombuffer(row.firsts, np.int64), np.frombuffer(row.digests, "V16"))
+        if asked:
+            yield asked.result()
+
+    return run
+
+
+def _merged(keep: int):
+    """(q, lead) of the best ``keep`` candidates of a query over all its blocks."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        score, first, lead = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("scores", np.float32), ("firsts", np.int64), ("leads", "V16")))
+        _, once = np.unique(lead, return_index=True)
+        order = once[np.lexsort((first[once], -score[once]))[:keep]]
+        return pd.DataFrame({"q": frame["q"].iloc[0], "lead": [x.tobytes() for x in lead[order]]})
 
     return run
 
 
+def _exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cosines of pairs of vectors."""
+    for frame in frames:
+        score = np.zeros(len(frame))
+        for dim, at in frame.groupby("dim").indices.items():
+            a, b = (_decoded(list(frame[c].iloc[at]), int(dim)) for c in ("asked", "vec"))
+            a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
+            score[at] = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+        yield pd.DataFrame({"q": frame["q"], "lead": frame["lead"], "score": score})
+
+
 def _dealt(hashed: DataFrame) -> DataFrame:
-    """Rows with the block (``portion``) of their bucket: each portion of queries meets each portion of candidates in one."""
+    """Rows with the block (``portion``) of their group: each portion of queries meets each portion of points in one.
+
+    Only groups with over a thousandth of all rows have several portions; these
+    are a thousand at most, so their list is broadcast.
+    """
     key = ["dim", "tbl", "bucket"]
-    portions = lambda of: F.ceil(F.count(F.when(of, 1)) / PORTION).cast("int")
-    sizes = hashed.groupBy(*key).agg(portions(F.col("query")).alias("asking"), portions(~F.col("query")).alias("found")).where("asking > 0 and found > 0")
+    size = F.col("n") if "n" in hashed.columns else F.lit(1)
+    portions = lambda of: F.greatest(F.ceil(F.sum(F.when(of, size)) / PORTION), F.lit(1)).cast("int")
+    sizes = hashed.groupBy(*key).agg(portions(F.col("query")).alias("asking"), portions(~F.col("query")).alias("found"), F.sum(size).alias("all"))
+    total = hashed.agg(F.sum(size)).first()[0] or 0
+    hot = sizes.where(F.col("all") > total // 1000).where("asking > 1 or found > 1").drop("all")
+    out = hashed.join(F.broadcast(hot), key, "left").fillna(1, ["asking", "found"])
     own = F.pmod("lead", F.when(F.col("query"), F.col("asking")).otherwise(F.col("found"))).cast("int")
     blocks = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("found") - 1), lambda i: i * F.col("asking") + own)).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: own * F.col("asking") + i)
     )
-    dealt = hashed.join(sizes, key).withColumn("portion", F.explode(blocks))
-    return dealt.select(*key, "portion", "query", "lead", "first", "vec")
+    return out.withColumn("portion", F.explode(blocks)).drop("asking", "found")
 
 
 def nearest(
-    rows: DataFrame, k: int = 5, every: int = 50, tables: int = 10, probes: int = 12, fill: int = 512, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding"
+    rows: DataFrame, k: int = 5, every: int = 50, tables: int = 12, probes: float = 1.3, fill: float = 3, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest rows by cosine of each row whose id is divisible by ``every``.
 
     Ties go to the smaller id; a row is no neighbour of its own id. Null, zero
     or non-finite vectors and null ids take no part; vectors are compared with
-    those of their length. Rows with equal vectors are one point with its
-    ``k`` + 1 smallest ids, which is all that any answer can need; repeated rows
-    of an id count once. A query whose buckets hold fewer than ``k`` neighbours
-    is compared with all rows. No rows give no rows; other columns are ignored.
+    those of their length. Rows with equal vectors are one point, named by a
+    digest of 128 bits, with its ``k`` + 1 smallest ids, which is all that any
+    answer can need; repeated rows of an id count once. A query that finds fewer
+    than ``k`` neighbours is compared with all rows. No rows give no rows; other
+    columns are ignored. A query probes ``probes`` times the square root of the
+    number of buckets in each table.
     """
     spark = rows.sparkSession
     usable = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
-    usable, _ = written(usable.mapInPandas(_usable, "id long, vec binary").withColumn("query", F.col("id") % every == 0), "vectors")
+    usable = usable.mapInPandas(_usable, "id long, dim int, digest binary, vec binary")
     # the k + 1 smallest ids of every point, and whether a query is among all its ids
-    ranked = usable.select("vec", "id").withColumn("n", F.dense_rank().over(W.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
-    points = ranked.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    asked = usable.where("query").groupBy("vec").agg(F.lit(True).alias("query"))
-    points = points.join(asked, "vec", "left").select("ids", "vec", F.coalesce("query", F.lit(False)).alias("query"))
-    # a point is named by a hash of its vector, as an id may occur with two vectors
-    keyed, _ = written(points.withColumn("lead", F.xxhash64("vec")), "points")
-    count = keyed.count()
-
-    first = F.col("ids")[0].alias("first")
-    both = keyed.select("query", "lead", first, "vec").where("query").union(keyed.select(F.lit(False).alias("query"), "lead", first, "vec"))
-    hashed, hashed_at = written(both.mapInPandas(_hashed(tables, probes, count, fill, seed), "dim int, tbl int, bucket long, query boolean, lead long, first long, vec binary"), "hashed")
-    key = ["dim", "tbl", "bucket"]
-    dealt = _dealt(hashed).repartition(*key, "portion").sortWithinPartitions(*key, "portion", F.col("query").desc())
-    found = dealt.mapInPandas(_search(k + 1), "q long, lead long, score double")
-    answers = _answers(found, keyed, usable, k)
-    answers, _ = written(answers, "answers")
-    remove(spark, hashed_at)
+    order = W.partitionBy("digest").orderBy("id")
+    ids = usable.select("digest", "id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    ids = ids.groupBy("digest").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    points = usable.groupBy("digest").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.max(F.col("id") % every == 0).alias("query"))
+    points, points_at = written(points.join(ids, "digest").withColumn("first", F.col("ids")[0]), "points")
+    count = points.count()
+    queries, queries_at = written(usable.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("digest").alias("q")).distinct(), "queries")
+
+    setting = (probes, count, fill, seed)
+    stored, stored_at = written(points.select("dim", "digest", "first", "vec").mapInPandas(_points(tables, *setting), _SCHEMA), "blobs")
+    asked, asked_at = written(points.where("query").select("dim", "digest", "vec").mapInPandas(_queries(tables, *setting), _SCHEMA), "asked")
+    answers = _answers(_found(stored.union(asked), k, *setting), points, queries, k)
+    answers, answers_at = written(answers, "answers")
 
     # queries that found too few, though there may be more, see every row; expected for tiny or odd tables only
-    short = usable.where("query").select("id", "vec").distinct().join(answers.groupBy("query_id").agg(F.count("*").alias("got")), F.col("id") == F.col("query_id"), "left").where(F.coalesce("got", F.lit(0)) < k)
-    short, _ = written(short.select("id", "vec"), "short")
-    if short.isEmpty():
-        return answers
-    again = short.select(F.xxhash64("vec").alias("lead"), "vec").distinct()
-    blocks, asking = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-again.count() // PORTION)
-    of = lambda n: F.pmod("lead", F.lit(n)).cast("int")
-    asked_in = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: i * asking + of(asking)))
-    found_in = F.explode(F.transform(F.sequence(F.lit(0), F.lit(asking - 1)), lambda i: of(blocks) * asking + i))
-    flat = [F.lit(0).alias("dim"), F.lit(0).alias("tbl"), F.lit(0).cast("long").alias("bucket")]
-    wide = again.select(*flat, asked_in.alias("portion"), F.lit(True).alias("query"), "lead", F.lit(0).cast("long").alias("first"), "vec")
-    wide = wide.union(keyed.select(*flat, found_in.alias("portion"), F.lit(False).alias("query"), "lead", first, "vec"))
-    wide = wide.withColumn("dim", F.octet_length("vec"))
-    wide = wide.repartition("dim", "portion").sortWithinPartitions("dim", "tbl", "bucket", "portion", F.col("query").desc())
-    more = _answers(wide.mapInPandas(_search(k + 1), "q long, lead long, score double"), keyed, usable.join(short.select("id").distinct(), "id", "left_semi"), k)
-    return answers.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more)
-
-
-def _answers(found: DataFrame, points: DataFrame, usable: DataFrame, k: int) -> DataFrame:
+    short = queries.join(answers.groupBy("query_id").agg(F.count("*").alias("got")), "query_id", "left").where(F.coalesce("got", F.lit(0)) < k)
+    short, short_at = written(short.select("query_id", "q"), "short")
+    if not short.isEmpty():
+        again = points.join(short.select(F.col("q").alias("digest")).distinct(), "digest", "left_semi").select("dim", "digest", "vec")
+        groups = stored.where("tbl = 0").select("dim", "bucket").distinct()
+        flat = lambda df: df.withColumn("tbl", F.lit(EVERY))
+        wide = flat(again.mapInPandas(_queries(1, *setting), _SCHEMA).drop("bucket").dropDuplicates(["digests"]).join(groups, "dim")).select(*stored.columns)
+        more = _answers(_found(flat(stored.where("tbl = 0")).select(*stored.columns).union(wide), k, *setting), points, short, k)
+        answers, more_at = written(answers.join(short, "query_id", "left_anti").unionByName(more), "answers")
+        remove(spark, answers_at)
+    remove(spark, points_at, queries_at, stored_at, asked_at, short_at)
+    return answers
+
+
+def _found(hashed: DataFrame, k: int, *setting) -> DataFrame:
+    """(q, lead): candidates of each query, four for each that its answer may need."""
+    block = ["dim", "tbl", "bucket", "portion"]
+    dealt = _dealt(hashed).repartition(*block).sortWithinPartitions(*block, F.col("query").desc())
+    found = dealt.mapInPandas(_search(2 * (k + 1), *setting), "q binary, scores binary, firsts binary, leads binary")
+    return found.groupBy("q").applyInPandas(_merged(4 * (k + 1)), "q binary, lead binary")
+
+
+def _answers(found: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """From candidate points of query points to the ranked ids of every query."""
-    ids = points.select("lead", "ids")
-    best = found.groupBy("q", "lead").agg(F.max("score").alias("score")).join(ids, "lead")
+    asked = points.where("query").select(F.col("digest").alias("q"), F.col("vec").alias("asked"))
+    pairs = found.join(asked, "q").join(points.select(F.col("digest").alias("lead"), "dim", "vec"), "lead")
+    best = pairs.select("q", "lead", "dim", "asked", "vec").mapInPandas(_exact, "q binary, lead binary, score double").join(points.select(F.col("digest").alias("lead"), "ids"), "lead")
     order = W.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     flat = best.select("q", "score", F.explode("ids").alias("id")).groupBy("q", "id").agg(F.max("score").alias("score"))
     flat = flat.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
     lists = flat.groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.col("n"), F.col("id"), F.col("score")))).alias("near"))
-    queries = usable.where("query").select(F.col("id").alias("query_id"), F.xxhash64("vec").alias("q")).distinct()
     out = queries.join(lists, "q").select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
     return out.select("query_id", F.posexplode("near")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("id"), F.col("col.score").alias("score"))

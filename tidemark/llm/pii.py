@@ -4,16 +4,17 @@ Entities are found by patterns. Every distinct entity gets one surrogate by a
 keyed hash, wherever it occurs, so mentions of one entity still agree. A
 surrogate keeps its entity's type, format and script: letters become letters of
 the same script and case, digits become digits, separators stay; names follow
-the gender of their form of address; card numbers keep passing or failing the
-checksum; addresses keep the width of their parts. All surrogates are then
+the gender of their form of address, word by word, so a family name has one
+surrogate in all names that bear it; card numbers keep passing or failing the checksum; addresses keep the width of their parts. All surrogates are then
 checked against each other and against all entities of the corpus, and those
 that collide are drawn again; after a few draws, the rest get the free values of
 their format by rank. So different entities never share a surrogate. Only a
 format with no value left gives way to a wider one (a place more; addresses get
 parts of three digits, then version 6).
 
-Only distinct entities are shuffled and drawn; texts without an entity are
-passed through, and texts with one are joined with their own entities.
+Texts are searched once and written cut at their entities; only distinct
+entities are drawn, texts without an entity are passed through, and texts with
+one are joined with their own surrogates.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import remove, written
+from .common import join_by_size, remove, written
 
 #: Forms of address that tell a gender, or none.
 MALE = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Sr|Don|Господин|г-н|Κύριος"
@@ -44,7 +45,7 @@ _IPV6 = rf"(?<![\p{{L}}\d:.])(?=[A-Fa-f:]*\d)(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HE
 
 #: Kinds of entities and the patterns that find them, the first that fits wins.
 PATTERNS = {
-    "email": r"[\p{L}\d][\p{L}\d._%+-]{0,63}@[A-Za-z\d](?:[A-Za-z\d-]{0,62}\.)+[A-Za-z]{2,24}(?![\p{L}\d])",
+    "email": r"(?<![\p{L}\d])[\p{L}\d][\p{L}\d._%+-]*+@[A-Za-z\d](?:[A-Za-z\d-]{0,62}\.)+[A-Za-z]{2,24}(?![\p{L}\d])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![\p{L}\d])",
     "secret": r"(?<![\p{L}\d])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?:AKIA|ASIA)[A-Z\d]{16}|(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z\d_-]{16,}+)(?![\p{L}\d])",
     "card": r"(?<![\p{L}\d.])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\d]|\.\d)",
@@ -55,8 +56,15 @@ PATTERNS = {
     "name_f": _named(FEMALE),
     "name_n": _named(NEUTRAL) + rf"|(?<![\p{{L}}\d])(?:{CUES})\s{{1,3}}(?!(?:{MALE}|{FEMALE}|{NEUTRAL})\b){_NAME}(?: {_NAME}){{1,2}}",
 }
-#: A group number changes as patterns are joined, so the card pattern's separator is spelt out there.
-_SEARCH = "|".join(p.replace(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}", r"\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}") for p in PATTERNS.values())
+#: A group number changes as patterns are joined, so the card pattern's separator is spelt out here.
+_CARD = PATTERNS["card"].replace(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}", r"\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}")
+#: All patterns, in their order, where a word begins; which are tried depends on its first character.
+_SEARCH = r"(?<![\p{L}\d])(?:" + "|".join(
+    rf"(?={first})(?:{'|'.join(_CARD if k == 'card' else PATTERNS[k] for k in kinds.split())})"
+    for first, kinds in ((r"\p{L}", "email iban secret ip name_m name_f name_n"), (r"\d", "email secret card ssn ip phone"), ("[+(:]", "ip phone"))
+) + ")"
+#: What marks the ends of an entity in a text that was searched, and what its first character in the text itself becomes.
+_END, _OWN = "\x01\x04", "\x01\x03"
 
 #: Alphabets of the scripts, and syllables and first names that surrogate names are made of.
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
@@ -78,6 +86,13 @@ FIRST = {
 }
 
 
+#: Endings of first names that are made of syllables.
+ENDINGS = {
+    ("latin", "m"): "us", ("latin", "f"): "a", ("latin", "n"): "e", ("cyrillic", "m"): "ан", ("cyrillic", "f"): "а", ("cyrillic", "n"): "и",
+    ("greek", "m"): "ος", ("greek", "f"): "α", ("greek", "n"): "ι",
+}
+
+
 def _byte(hexes: Column, i: Column | int) -> Column:
     """The i-th byte of a hex stream."""
     i = F.lit(i) if isinstance(i, int) else i
@@ -171,6 +186,32 @@ def _name(norm: Column, gender: str, key: str, salt: Column) -> Column:
     return F.array_join(F.transform(words, one), " ")
 
 
+def _scripts(word: Column, value) -> Column:
+    """``value(script)`` for the script of a word."""
+    return F.when(word.rlike(r"\p{IsCyrillic}"), value("cyrillic")).when(word.rlike(r"\p{IsGreek}"), value("greek")).otherwise(value("latin"))
+
+
+def _first_name(norm: Column, gender: str, seed: Column, round_: Column) -> Column:
+    """A first name of the gender in the script of the entity's: a known one in the first draw, two syllables and an ending later."""
+    hexes = F.sha2(seed.cast("binary"), 256)
+
+    def of(script: str) -> Column:
+        known, parts = FIRST[script, gender], SYLLABLES[script]
+        name = F.element_at(F.array(*map(F.lit, known)), (_byte(hexes, 8) % len(known) + 1).cast("int"))
+        syllable = lambda j: F.element_at(F.array(*map(F.lit, parts)), (_byte(hexes, j) % len(parts) + 1).cast("int"))
+        return F.when(round_ == 0, name).otherwise(F.concat(syllable(0), syllable(1), F.lit(ENDINGS[script, gender])))
+
+    return _scripts(norm, of)
+
+
+def parts_of(kind: Column, norm: Column) -> Column:
+    """What of an entity has a surrogate of its own: each word of a name (first names by gender, the family name without), else the whole."""
+    words = F.split(norm, " ")
+    part = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
+    names = F.transform(words, lambda w, i: part(F.when(i == F.size(words) - 1, F.lit("name_n")).otherwise(F.concat(F.lit("frst_"), F.substring(kind, 6, 1))), w))
+    return F.when(kind.startswith("name"), names).otherwise(F.array(part(kind, norm)))
+
+
 def kind_of(raw: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
@@ -216,6 +257,9 @@ def drawn(kind: Column, norm: Column, round_: Column, key: str) -> Column:
         .when((kind == "ip") & norm.contains(":"), _like(norm, seed, True))
         .when(kind == "ip", _ip(norm, seed))
         .when(kind == "phone", phone)
+        .when(kind == "frst_m", _first_name(norm, "m", seed, round_))
+        .when(kind == "frst_f", _first_name(norm, "f", seed, round_))
+        .when(kind == "frst_n", _first_name(norm, "n", seed, round_))
         .when(kind == "name_m", _name(norm, "m", key, salt))
         .when(kind == "name_f", _name(norm, "f", key, salt))
         .when(kind == "name_n", _name(norm, "n", key, salt))
@@ -289,6 +333,10 @@ def form_of(kind: Column, norm: Column, key: str) -> Column:
         mask = F.array_join(F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, F.repeat(script(w, _FAMILIES), F.lit(4))).otherwise(script(w, first))), " ")
         return form("", mask, script(F.element_at(words, -1), _FAMILIES))
 
+    def first(gender: Column) -> Column:
+        ending = lambda s: F.when(gender == "m", ENDINGS[s, "m"]).when(gender == "f", ENDINGS[s, "f"]).otherwise(ENDINGS[s, "n"])
+        return form("", F.repeat(script(norm, _FAMILIES), F.lit(2)), script(norm, _FAMILIES), _scripts(norm, ending))
+
     after = lambda pattern: F.regexp_extract(norm, pattern, 1)
     prefix = r"^(akia|asia|[a-z]+[_-]|)"
     return (
@@ -300,6 +348,7 @@ def form_of(kind: Column, norm: Column, key: str) -> Column:
         .when((kind == "ip") & norm.contains(":"), form("", _mask(norm, True), ""))
         .when(kind == "ip", form("", F.array_join(F.transform(F.split(norm, r"\."), lambda x: F.length(x).cast("string")), "."), ""))
         .when(kind == "phone", form(after(r"^(\+?\d)"), _mask(after(r"^\+?\d(.*)$")), "0"))
+        .when(kind.startswith("frst"), first(F.substring(kind, 6, 1)))
         .when(kind == "name_m", name("m"))
         .when(kind == "name_f", name("f"))
         .when(kind == "name_n", name("n"))
@@ -437,22 +486,28 @@ def replace(docs: DataFrame, key: str = "surrogate-key", id_col: str = "doc_id",
     other columns are ignored. Names are found after a form of address, or a
     cue such as "contact" or "regards," (two words or three) only.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # texts are searched once; what holds no mark that all patterns need is passed by
-    found = F.when(F.col("text").rlike(rf"[@\d]|(?:{_TITLED})\p{{Lu}}|[a-f]{{32}}|[A-F]{{32}}|AKIA|ASIA|(?:sk|pk|gh[po]|xox[abp])[_-]"), F.regexp_extract_all("text", F.lit(_SEARCH), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    with_any = base.withColumn("raws", found).where(F.size("raws") > 0)
-    # the row's own name: its id and text
-    name = F.struct(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("i"), F.xxhash64("text").alias("h"), F.xxhash64(F.reverse("text")).alias("r"))
-    mentions, mentions_at = written(with_any.select(name.alias("row"), "raws").dropDuplicates(["row"]).select("row", F.posexplode("raws").alias("at", "raw")).withColumn("kind", kind_of(F.col("raw"))).withColumn("norm", norm_of(F.col("kind"), F.col("raw"))), "mentions")
-    entities, entities_at = written(mentions.select("kind", "norm").distinct(), "entities")
-    drawn_, _ = written(surrogates(entities, key), "drawn")
-    shown = mentions.join(drawn_, ["kind", "norm"]).select("row", "at", "kind", rendered(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("shown"))
-    # a document's own mentions, in order
+    # texts are searched once, and cut at their entities: every second part is one
+    marked = F.regexp_replace(F.replace(F.col(text_col), F.lit(_END[0]), F.lit(_OWN)), _SEARCH, f"{_END}$0{_END}")
+    searched = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.split(marked, _END, -1).alias("parts"))
+    searched, searched_at = written(searched, "searched")
+    mentions = searched.where(F.size("parts") > 1).select("row", F.posexplode("parts").alias("at", "raw")).where("at % 2 = 1").withColumn("kind", kind_of(F.col("raw")))
+    pieces = mentions.select("row", "at", "raw", "kind", F.posexplode(parts_of(F.col("kind"), norm_of(F.col("kind"), F.col("raw")))).alias("nth", "part"))
+    pieces = pieces.select("row", "at", "raw", "kind", "nth", F.concat_ws(":", "part.kind", "part.norm").alias("entity"))
+    pieces, pieces_at = written(pieces, "mentions")
+    counted, counted_at = written(pieces.groupBy("entity").agg(F.count("*").alias("times")), "entities")
+    named = lambda c: (F.substring_index(c, ":", 1).alias("kind"), F.col(c).substr(F.instr(c, ":") + 1, F.length(c)).alias("norm"))
+    drawn_, drawn_at = written(surrogates(counted.select(*named("entity")), key), "drawn")
+    table = drawn_.select(F.concat_ws(":", "kind", "norm").alias("entity"), "surrogate").join(counted, "entity")
+    shown = join_by_size(pieces, table, "entity", "times", pieces.count()).repartition("row")
+    shown = shown.groupBy("row", "at", "raw", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "surrogate"))), lambda x: x["surrogate"]), " ").alias("surrogate"))
+    shown = shown.select("row", "at", "kind", rendered(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("shown"))
+    # a document's own surrogates, in order
     lists = shown.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "shown", "kind"))).alias("mentions"))
-    lists, _ = written(lists, "shown")
-    remove(docs.sparkSession, mentions_at, entities_at)
-    gaps = F.split("text", _SEARCH, -1)
-    text = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("mentions.shown").alias("shown")), lambda x: F.concat(F.coalesce(x["gap"], F.lit("")), F.coalesce(x["shown"], F.lit("")))), "")
-    changed = with_any.withColumn("row", name).join(lists, "row").select("id", text.alias("text"), F.size("mentions").cast("long").alias("n_entities"), F.sort_array(F.col("mentions.kind")).alias("kinds"))
-    same = base.where((F.size(found) <= 0) | F.col("text").isNull()).select("id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
-    return changed.unionByName(same).withColumnsRenamed({"id": id_col, "text": text_col})
+    gaps = F.transform(F.filter("parts", lambda x, i: i % 2 == 0), lambda x: F.replace(x, F.lit(_OWN), F.lit(_END[0])))
+    text = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("mentions.shown").alias("shown")), lambda x: F.array(x["gap"], F.coalesce(x["shown"], F.lit(""))))), "")
+    changed = searched.where(F.size("parts") > 1).join(lists.hint("merge"), "row").select("id", text.alias("text"), F.size("mentions").cast("long").alias("n_entities"), F.sort_array(F.col("mentions.kind")).alias("kinds"))
+    whole = F.replace(F.element_at("parts", 1), F.lit(_OWN), F.lit(_END[0]))
+    same = searched.where(F.col("parts").isNull() | (F.size("parts") <= 1)).select("id", whole.alias("text"), F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    out, _ = written(changed.unionByName(same), "surrogated")
+    remove(docs.sparkSession, searched_at, pieces_at, counted_at, drawn_at)
+    return out.withColumnsRenamed({"id": id_col, "text": text_col})
