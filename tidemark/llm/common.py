@@ -33,15 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _on_store(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path in full)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store, store.makeQualified(at)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses, in full (with its file system); it goes when the session ends."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}")
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    path = store.makeQualified(path)
+    store, path = _on_store(spark, f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}")
     store.deleteOnExit(path)
     return path.toString()
 
 
+def uri_of(spark: SparkSession, path: str) -> str:
+    """``path`` on the file system where Spark would find it, as readers outside the JVM expect it: with two slashes after the scheme."""
+    return as_uri(_on_store(spark, path)[1].toString())
+
+
 def as_uri(path: str) -> str:
     """A full path as readers outside the JVM expect it: with two slashes after the scheme."""
     scheme, _, rest = path.partition(":")
@@ -62,11 +72,9 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes written tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        store, at = _on_store(spark, path)
+        store.delete(at, True)
 
 
 def row_key(*columns: str | Column) -> Column:

@@ -84,7 +84,7 @@ def plan(
     max_epochs: int = 3,
     schedule: Callable[[int], Schedule] = default_schedule,
     seed: str = "mix",
-    bucket_rows: int = 50_000,
+    bucket_rows: int = 5_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",

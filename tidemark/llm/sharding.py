@@ -26,19 +26,19 @@ def prefix_sums(rows: DataFrame, order: Sequence[str], *values: str) -> DataFram
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt, dealt_at = written(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    sums = [F.sum(v).alias(f"sum_{v}") for v in values]
-    totals = dealt.groupBy("part").agg(F.count("*").alias("part_rows"), *sums)
-    earlier, whole = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    dealt, dealt_at = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = [F.sum(v).alias(f"_sum_{v}") for v in values]
+    totals = dealt.groupBy("_part").agg(F.count("*").alias("_rows"), *sums)
+    earlier, whole = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     # one row for each range partition, so the broadcast is bounded by their number
-    starts = [x for v in values for x in (before(f"sum_{v}").alias(f"start_{v}"), F.sum(f"sum_{v}").over(whole).alias(f"total_{v}"))]
-    offsets = totals.select("part", before("part_rows").alias("first_row"), *starts)
-    inside = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    running = dealt.withColumns({"row": F.row_number().over(inside), **{f"upto_{v}": F.sum(v).over(inside) for v in values}})
-    out = running.join(F.broadcast(offsets), "part").withColumn("place", F.col("first_row") + F.col("row") - 1)
-    out = out.withColumns({f"before_{v}": F.col(f"start_{v}") + F.col(f"upto_{v}") - F.col(v) for v in values})
-    out = out.drop("part", "row", "first_row", *[f"{x}_{v}" for v in values for x in ("start", "upto")])
+    starts = [x for v in values for x in (before(f"_sum_{v}").alias(f"_start_{v}"), F.sum(f"_sum_{v}").over(whole).alias(f"total_{v}"))]
+    offsets = totals.select("_part", before("_rows").alias("_first"), *starts)
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    running = dealt.withColumns({"_row": F.row_number().over(inside), **{f"_upto_{v}": F.sum(v).over(inside) for v in values}})
+    out = running.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_first") + F.col("_row") - 1)
+    out = out.withColumns({f"before_{v}": F.col(f"_start_{v}") + F.col(f"_upto_{v}") - F.col(v) for v in values})
+    out = out.drop("_part", "_row", "_first", *[f"_{x}_{v}" for v in values for x in ("start", "upto")])
     out, _ = written(out, "placed")
     remove(spark, dealt_at)
     return out

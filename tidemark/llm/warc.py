@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import as_uri, fresh_path, written
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -212,8 +212,6 @@ def read(spark: SparkSession, folder: str, listed: DataFrame, id_col: str = "pag
 def round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and reads them back, without payloads."""
     spark = pages.sparkSession
-    folder = fresh_path(spark, "warc")
-    if "://" not in folder:
-        folder = f"file://{folder}" if folder.startswith("/") else folder.replace("file:", "file://", 1)
+    folder = as_uri(fresh_path(spark, "warc"))
     listed = write(pages, folder, id_col=id_col, **options)
     return read(spark, folder, listed, id_col=id_col, keep_payload=False).drop("url", "payload")
