@@ -121,6 +121,23 @@ SELECT w.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, m.component_id, w.doc_i
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
 """
 
+_OP3 = """
+WITH bits AS (
+  SELECT doc_id, text, flatten(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x : list_transform([('0x' || x)::BIGINT],
+    lambda v : [v & 1, (v >> 1) & 1, (v >> 2) & 1, (v >> 3) & 1, (v >> 4) & 1, (v >> 5) & 1, (v >> 6) & 1, (v >> 7) & 1])[1])) AS bits
+  FROM documents),
+sized AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda c, b : xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS text_crc32
+  FROM bits),
+placed AS (
+  SELECT *, sum(size) OVER w - size AS before, sum(size) OVER () AS total, row_number() OVER w AS place
+  FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, least(39, (2 * before + size) * 40 // (2 * total))::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY place) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM cut
+"""
+
 _OP10 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html))::bigint AS payload_bytes, sha1(html) AS payload_digest FROM p),
@@ -133,4 +150,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _OP1, "op2_near_duplicates": _OP2, "op10_warc": _OP10}
+    return {"op1_mixing": _OP1, "op2_near_duplicates": _OP2, "op3_sharding": _OP3, "op10_warc": _OP10}
