@@ -282,7 +282,8 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
 
     title = F.regexp_extract(raw, rf"^({_TITLED})", 1)
     plain = F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(surrogate, r"[^\d]", "")).otherwise(surrogate)
-    name = F.concat(title, F.when(F.upper(raw) == raw, F.upper(surrogate)).otherwise(F.initcap(surrogate)))
+    bare = raw.substr(F.length(title) + 1, F.length(raw))
+    name = F.concat(title, F.when(F.upper(bare) == bare, F.upper(surrogate)).otherwise(F.initcap(surrogate)))
     return (
         F.when(kind.isin("card", "ssn", "phone"), fill(r"^\d$"))
         .when(kind == "iban", fill(r"^[A-Za-z\d]$"))
