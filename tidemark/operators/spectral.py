@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import dot, total
-from .window import BY, Names, series, trailing, whole
+from .window import BY, Names, series
 
 #: Fewer values than this give no spectrum.
 LEAST = 32
@@ -28,10 +28,14 @@ def spectrogram(steps: DataFrame, length: int = 64, overlap: float = 75.0, fmin:
     step = length - min(int(length * overlap / 100), length - 1)
     low, high = (fmin, fmax) if fmin < fmax else (0.0, 0.5)
     known = steps.where(F.col(value).isNotNull()).select(*by, order, value)
-    over = trailing(length, by, order)
-    place = F.row_number().over(series(by, order)) - 1
-    held = known.select(*by, place.alias("_i"), F.collect_list(value).over(over).alias("_x"), F.collect_list(order).over(over).alias("_t"), F.count("*").over(whole(by)).alias("_n"))
-    segments = held.where((F.size("_x") == length) & (F.col("_n") >= LEAST) & ((F.col("_i") - (length - 1)) % step == 0))
+    placed = known.withColumn("_i", F.row_number().over(series(by, order)) - 1)
+    # a value goes to the segments that hold it; a segment has its first value's place over the step
+    first = F.greatest(F.ceil((F.col("_i") - (length - 1)) / step), F.lit(0))
+    dealt = placed.select(*by, F.col(value).alias("_v"), F.col(order).alias("_o"), F.col("_i"), F.explode(F.sequence(first, F.floor(F.col("_i") / step))).alias("segment"))
+    held = dealt.groupBy(*by, "segment").agg(F.sort_array(F.collect_list(F.struct("_i", "_v", "_o"))).alias("_s")).where(F.size("_s") == length)
+    segments = held.select(*by, "segment", F.transform("_s", lambda s: s["_v"]).alias("_x"), F.transform("_s", lambda s: s["_o"]).alias("_t"))
+    if length < LEAST:
+        segments = segments.join(placed.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST).drop("_n"), list(by))
     hann = [0.5 - 0.5 * math.cos(2 * math.pi * k / length) for k in range(length)]
     mean = total(F.col("_x")) / length
     segments = segments.withColumn("_mean", mean).withColumn("_z", F.zip_with("_x", _constant(hann), lambda x, w: (x - F.col("_mean")) * w))
@@ -44,7 +48,7 @@ def spectrogram(steps: DataFrame, length: int = 64, overlap: float = 75.0, fmin:
         imaginary = dot(F.col("_z"), _constant([math.sin(2 * math.pi * k * j / length) for j in range(length)]))
         sides = 1.0 if k == 0 or 2 * k == length else 2.0
         waves.append(F.struct(F.lit(k / length).alias("freq"), ((real * real + imaginary * imaginary) / scale * sides).alias("power")))
-    out = segments.select(*by, ((F.col("_i") - (length - 1)) / step).cast("long").alias("segment"), F.get("_t", F.lit(length // 2)).alias("time"), F.explode(F.array(*waves)).alias("w"))
+    out = segments.select(*by, F.col("segment").cast("long").alias("segment"), F.get("_t", F.lit(length // 2)).alias("time"), F.explode(F.array(*waves)).alias("w"))
     return out.select(*by, "segment", "time", "w.freq", (10.0 * F.log10(F.col("w.power") + 1e-20)).alias("db"))
 
 

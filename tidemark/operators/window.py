@@ -83,7 +83,10 @@ def in_chunks(bars: DataFrame, operator: Callable[..., DataFrame], back: int, ah
     """
     own = F.floor(F.col("i") / rows)
     chunks = F.sequence(F.floor(F.greatest(F.col("i") - ahead, F.lit(0)) / rows), F.floor((F.col("i") + back) / rows))
-    last = F.max("i").over(whole(by))  # no chunk beyond the series
-    dealt = numbered(bars, by, order).withColumn("_last", last).select("*", F.explode(chunks).alias("_chunk")).where(F.col("_chunk") <= F.floor(F.col("_last") / rows))
-    dealt = dealt.withColumn("_own", F.col("_chunk") == own).drop("_last")
+    # no chunk beyond the series: its length is counted before, so no task holds a series
+    sizes = bars.groupBy(*by).agg(F.count("*").alias("_rows"))
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
+    placed = numbered(bars, by, order).alias("x").join(sizes.alias("y"), on).select("x.*", "y._rows")
+    dealt = placed.select("*", F.explode(chunks).alias("_chunk")).where(F.col("_chunk") <= F.floor((F.col("_rows") - 1) / rows))
+    dealt = dealt.withColumn("_own", F.col("_chunk") == own).drop("_rows")
     return operator(dealt, by=(*by, "_chunk"), order=order).where("_own").drop("_own", "_chunk")

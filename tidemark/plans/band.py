@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from ..functions.scalars import distance
 from ..operators import ranks, zigzag
 from ..operators.bars import between, logged, with_history
-from ..operators.quantile import weighted_quantiles
+from ..operators.quantile import wide_weighted_quantiles
 
 RANKS = (*[f"rank_{f}" for f in ranks.FEATURES], "rank_leg_age")
 LEVELS = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -52,20 +52,20 @@ def analogs(found: DataFrame, target: str, h: int, m: int = 6, theta: float = 0.
     for name, weight in (lambdas or {}).items():
         exponent = exponent + F.lit(float(weight)) * F.pow(F.col(f"rank_{name}") - F.col(f"o_rank_{name}"), 2)
     out = out.withColumn("weight", F.exp(-exponent))
-    over = W.partitionBy("o_confirm_begin")
+    out = out.withColumn("_d", distance("features", "o_query"))
+    sums = out.agg(F.count("*").alias("pool_size"), F.avg("_d").alias("_mean"))
+    out = out.crossJoin(F.broadcast(sums))  # a single row
     if theta:
-        out = out.withColumn("_d", distance("features", "o_query"))
-        mean = F.avg("_d").over(over)
-        out = out.withColumn("weight", F.col("weight") * F.when(mean < 1e-14, 1.0).otherwise(F.exp(F.lit(-theta) * F.col("_d") / mean))).drop("_d")
-    size = F.count("*").over(over)
-    return out.withColumns({"pool_size": size, "weight": F.when(size >= m + 2, F.col("weight")), "h": F.lit(h)})
+        out = out.withColumn("weight", F.col("weight") * F.when(F.col("_mean") < 1e-14, 1.0).otherwise(F.exp(F.lit(-theta) * F.col("_d") / F.col("_mean"))))
+    return out.withColumns({"weight": F.when(F.col("pool_size") >= m + 2, F.col("weight")), "h": F.lit(h)}).drop("_d", "_mean")
 
 
 def forecast(found: DataFrame, target: str, m: int = 6, theta: float = 0.0, lambdas: Mapping[str, float] | None = None, levels: Sequence[float] = LEVELS) -> DataFrame:
     """(h, pool_size, q, log_return, price) for h = 1 (the next leg) and 2 (there and back)."""
     pools = analogs(found, target, 1, m, theta, lambdas).unionByName(analogs(found, target, 2, m, theta, lambdas))
-    by = ["h", "pool_size", "o_log_price", "o_confirm_begin", "o_extreme_begin", "o_direction"]
-    read = weighted_quantiles(pools, "target", "weight", levels, by, ("confirm_begin", "ticker"))
+    # a pool grows with the tickers, so no task sorts a whole one
+    head = pools.groupBy("h").agg(*[F.first(c).alias(c) for c in ("pool_size", "o_log_price", "o_confirm_begin", "o_extreme_begin", "o_direction")])
+    read = wide_weighted_quantiles(pools, "target", "weight", levels, ("h",)).join(head, "h")
     return read.select("h", "pool_size", F.col("o_confirm_begin").alias("origin"), F.col("o_extreme_begin").alias("origin_extreme"), F.col("o_direction").alias("direction"), "q", F.col("quantile").alias("log_return"), F.exp(F.col("o_log_price") + F.col("quantile")).alias("price"))
 
 

@@ -25,6 +25,8 @@ from ..operators.window import whole
 from .range_zones import prepared
 
 HOLDOUT = -1
+#: Origins of a ticker that one task pairs with their past.
+BLOCK = 64
 #: The grids of the kernel's width and of the features' weights.
 GRIDS = {"theta": tuple(np.arange(0.0, 42.0, 2.0).tolist())} | {f: tuple(np.arange(0.0, 18.0, 2.0).tolist()) for f in FEATURES}
 
@@ -57,6 +59,14 @@ def labelled(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.withColumns({"fold": fold.cast("int"), "_start": start}).where((F.col("_start") >= s.p + s.theiler + 20) & F.col("fold").isNotNull()).drop("_start")
 
 
+def _paired(asked: DataFrame, library: DataFrame, gap: int) -> DataFrame:
+    """Origins with the earlier rows of their ticker, ``gap`` bars back at least; blocks of ``BLOCK`` origins meet them in tasks of their own."""
+    asked = asked.withColumn("_block", F.floor(F.col("origin") / BLOCK))
+    blocks = asked.groupBy("ticker", "_block").agg(F.max("origin").alias("_last"))
+    dealt = library.join(blocks, "ticker").where(F.col("i") <= F.col("_last") - gap).drop("_last")
+    return asked.join(dealt, ["ticker", "_block"]).where(F.col("i") <= F.col("origin") - gap).drop("_block")
+
+
 def contexts(bars: DataFrame, s: Settings, features: Sequence[str] = FEATURES) -> DataFrame:
     """Windows known at each origin: (ticker, fold, origin, d, off_low, off_high, sq_<feature>, ... and the origin's outcome).
 
@@ -74,7 +84,7 @@ def contexts(bars: DataFrame, s: Settings, features: Sequence[str] = FEATURES) -
     asked = asked.select("ticker", "fold", F.col("i").alias("origin"), F.col("close").alias("anchor"), F.col("window").alias("query"), F.col("low_ahead").alias("actual_low"), F.col("high_ahead").alias("actual_high"), *[F.col(n).alias(f"o_{n}") for n in names])
     library = known.where("window is not null and low_ahead is not null")
     gap = max(s.theiler + 1, s.ahead)
-    pairs = asked.join(library, "ticker").where(F.col("i") <= F.col("origin") - gap).withColumn("d", distance("window", "query"))
+    pairs = _paired(asked, library, gap).withColumn("d", distance("window", "query"))
     over = W.partitionBy("ticker", "fold", "origin")
     pairs = pairs.withColumns({"windows": F.count("*").over(over), "d_mean": F.greatest(F.avg("d").over(over), F.lit(1e-10))}).where("windows >= 5")
     safe = F.greatest("close", F.lit(1e-10))
@@ -89,7 +99,7 @@ def baseline(bars: DataFrame, s: Settings, tails: tuple[float, float] | None = N
     known = rows.select("ticker", "i", "close", F.get("fwd_low", F.lit(s.ahead - 1)).alias("low_ahead"), F.get("fwd_high", F.lit(s.ahead - 1)).alias("high_ahead")).where("low_ahead is not null")
     at = labelled(rows.select("ticker", "i"), s)
     asked = known.join(at, ["ticker", "i"]).select("ticker", "fold", F.col("i").alias("origin"), F.col("close").alias("anchor"), F.col("low_ahead").alias("actual_low"), F.col("high_ahead").alias("actual_high"))
-    pairs = asked.join(known, "ticker").where(F.col("i") <= F.col("origin") - max(s.theiler + 1, s.ahead))
+    pairs = _paired(asked, known, max(s.theiler + 1, s.ahead))
     safe = F.greatest("close", F.lit(1e-10))
     by = ("ticker", "fold", "origin", "anchor", "actual_low", "actual_high")
     pairs = pairs.select(*by, "i", ((F.col("low_ahead") - F.col("close")) / safe).alias("off_low"), ((F.col("high_ahead") - F.col("close")) / safe).alias("off_high"), F.lit(1.0).alias("w"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import student_kernel, uniform
 from ..operators import ranks, trend
 from ..operators.neighbors import apart, normalised, with_amp_cos
-from ..operators.quantile import weighted_quantiles
 from ..operators.window import series, whole
 
 PRICES = ("close", "high", "low")
+#: Draws that are sorted together.
+DRAWS = 50_000
 
 
 def steps(bars: DataFrame, p: int = 20) -> DataFrame:
@@ -53,18 +54,20 @@ def drawn(analogs: DataFrame, n: int, h: int) -> DataFrame:
     """(ticker, sim, h, i): an analog for each path and step, as often as its weight says.
 
     Draws are hashes of (path, step), the same in every run. Draws and running
-    totals of weights are sorted together once for each ticker: the first total
-    that reaches a draw is its analog.
+    totals of weights are sorted together, for each ticker and block of paths:
+    the first total that reaches a draw is its analog.
     """
+    blocks = max(1, -(-n * h // DRAWS))
+    block = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     run = F.sum("weight").over(W.partitionBy("ticker").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     totals = analogs.select("ticker", "i", run.alias("at"))
     last = F.max("i").over(W.partitionBy("ticker"))
-    totals = totals.withColumn("at", F.when(F.col("i") == last, 2.0).otherwise(F.col("at"))).select("ticker", "at", "i", F.lit(None).cast("long").alias("sim"), F.lit(None).cast("long").alias("h"))
+    totals = totals.withColumn("at", F.when(F.col("i") == last, 2.0).otherwise(F.col("at"))).select("ticker", F.explode(block).alias("_block"), "at", "i", F.lit(None).cast("long").alias("sim"), F.lit(None).cast("long").alias("h"))
     each = analogs.select("ticker").distinct().select("ticker", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("sim"))
     each = each.select("ticker", "sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(h).cast("long"))).alias("h"))
     each = each.withColumn("at", uniform(F.col("sim"), F.col("h")))
-    both = totals.unionByName(each.select("ticker", "at", F.lit(None).cast("long").alias("i"), "sim", "h"))
-    over = W.partitionBy("ticker").orderBy(F.desc("at"), F.col("sim").isNotNull(), "i").rowsBetween(W.unboundedPreceding, 0)
+    both = totals.unionByName(each.select("ticker", F.pmod("sim", F.lit(blocks)).cast("long").alias("_block"), "at", F.lit(None).cast("long").alias("i"), "sim", "h"))
+    over = W.partitionBy("ticker", "_block").orderBy(F.desc("at"), F.col("sim").isNotNull(), "i").rowsBetween(W.unboundedPreceding, 0)
     return both.withColumn("i", F.last("i", True).over(over)).where("sim is not null").select("ticker", "sim", "h", "i")
 
 
@@ -83,14 +86,24 @@ def paths(rows: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def bounds(found: DataFrame, percent: float = 95.0) -> DataFrame:
-    """(ticker, h, close_low, close_high, risk_low, risk_high): where ``percent`` of closes lie, and of extremes on the way."""
+    """(ticker, h, close_low, close_high, risk_low, risk_high): where ``percent`` of closes lie, and of extremes on the way.
+
+    Paths weigh the same, so a quantile is read from the sorted values of a step,
+    one for each path, with lines between the middles of their weights.
+    """
     tail = (100.0 - percent) / 200.0
-    rows = found.withColumn("w", F.lit(1.0))
-    out = None
-    for name, value, q in (("close_low", "close", tail), ("close_high", "close", 1 - tail), ("risk_low", "run_low", tail), ("risk_high", "run_high", 1 - tail)):
-        read = weighted_quantiles(rows, value, "w", (q,), ("ticker", "h"), ("sim",)).select("ticker", "h", F.col("quantile").alias(name))
-        out = read if out is None else out.join(read, ["ticker", "h"])
-    return out
+    steps = found.groupBy("ticker", "h").agg(F.count("*").alias("n"), *[F.sort_array(F.collect_list(v)).alias(v) for v in ("close", "run_low", "run_high")])
+
+    def read(value: str, q: float) -> Column:
+        at = F.greatest(F.least(F.lit(q) * F.col("n") - 0.5, F.col("n") - 1.0), F.lit(0.0))
+        low = F.floor(at)
+        below, above = F.get(value, low.cast("int")), F.get(value, F.least(low + 1, F.col("n") - 1).cast("int"))
+        return below + (at - low) * (above - below)
+
+    return steps.select(
+        "ticker", "h", read("close", tail).alias("close_low"), read("close", 1 - tail).alias("close_high"),
+        read("run_low", tail).alias("risk_low"), read("run_high", 1 - tail).alias("risk_high"),
+    )
 
 
 def corridor(bars: DataFrame, p: int = 20, h: int = 20, theta: float = 20.0, alpha: float = 0.75, n: int = 15_000, percent: float = 95.0) -> DataFrame:

@@ -54,13 +54,13 @@ def zones(near: DataFrame, ahead: int = 5, levels: Sequence[float] = (50, 75, 90
     steps = steps.select("ticker", "i", "anchor", "weight", "neighbors", (F.col("k") + 1).alias("h"), ((F.col("f.fwd_low") - F.col("c")) / F.col("c")).alias("low"), ((F.col("f.fwd_high") - F.col("c")) / F.col("c")).alias("high"))
     at = {float(lv): (read or {}).get(lv, ((100 - lv) / 200, (100 + lv) / 200)) for lv in levels}
     by = ("ticker", "h", "anchor", "neighbors")
-    low = weighted_quantiles(steps, "low", "weight", sorted({q[0] for q in at.values()}), by, ("i",))
-    high = weighted_quantiles(steps, "high", "weight", sorted({q[1] for q in at.values()}), by, ("i",))
-    table = F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), F.lit(float(a)).alias("ql"), F.lit(float(b)).alias("qh")) for lv, (a, b) in at.items()])).alias("z")
-    asked = low.select(*by).distinct().select(*by, table).select(*by, "z.*")
-    price = lambda c: F.col("anchor") * (1 + F.col(c))
-    out = asked.join(low.select(*by, F.col("q").alias("ql"), F.col("quantile").alias("lo")), [*by, "ql"]).join(high.select(*by, F.col("q").alias("qh"), F.col("quantile").alias("hi")), [*by, "qh"])
-    return out.select("ticker", "h", "level", price("lo").alias("low"), price("hi").alias("high"), "neighbors")
+    # both sides in one pass, a row for each; a quantile belongs to the levels that read it on its side
+    sides = steps.select(*by, "i", "weight", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in ("low", "high")])).alias("v"))
+    read_ = weighted_quantiles(sides.select(*by, "i", "weight", "v.*"), "value", "weight", sorted({float(q) for pair in at.values() for q in pair}), (*by, "side"), ("i",))
+    table = F.array(*[F.struct(F.lit(lv).alias("level"), F.lit(s).alias("s"), F.lit(float(q)).alias("x")) for lv, pair in at.items() for s, q in zip(("low", "high"), pair, strict=True)])
+    mine = read_.select(*by, "side", "quantile", F.explode(F.filter(table, lambda z: (z["s"] == F.col("side")) & (z["x"] == F.col("q")))).alias("z"))
+    price = lambda s: (F.col("anchor") * (1 + F.max(F.when(F.col("side") == s, F.col("quantile"))))).alias(s)
+    return mine.groupBy(*by, F.col("z.level").alias("level")).agg(price("low"), price("high")).select("ticker", "h", "level", "low", "high", "neighbors")
 
 
 def unconditional(bars: DataFrame, ahead: int = 5, theiler: int = 5, levels: Sequence[float] = (50, 75, 90)) -> DataFrame:

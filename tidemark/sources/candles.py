@@ -70,16 +70,29 @@ class PagedReader(DataSourceReader):
                 time.sleep(2**attempt)
         return []
 
+    def _first(self, part: Slice) -> int:
+        """The row at which reading may start: pages double until one reaches the slice, then the gap is halved."""
+        before = lambda page: bool(rows := self._page(part, page * self.page)) and len(rows) == self.page and rows[-1]["begin"][:10] < part.since
+        if part.since <= self.since.isoformat() or not before(0):
+            return 0
+        low, high = 0, 1
+        while before(high):
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if before(middle) else (low, middle)
+        return high * self.page
+
     def read(self, partition: Slice) -> Iterator[tuple]:
-        """Pages in order until one is empty or short."""
-        start = 0
+        """Pages in order, from the first that can hold the slice's first day to the one that passes its last."""
+        start = self._first(partition)
         while True:
             rows = self._page(partition, start)
             for r in rows:
                 if partition.since <= r["begin"][:10] <= partition.until:
                     number = [None if r.get(k) is None else float(r[k]) for k in ("open", "high", "low", "close", "volume", "value")]
                     yield (partition.ticker, partition.interval, datetime.fromisoformat(r["begin"]), *number)
-            if len(rows) < self.page:
+            if len(rows) < self.page or rows[-1]["begin"][:10] > partition.until:
                 return
             start += len(rows)
             time.sleep(self.delay / 1000)

@@ -22,6 +22,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written and read again: computed once, whatever reads them, and not again when an executor is lost."""
     path = fresh_path(rows.sparkSession, name)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.store import upserted
 from ..operators.zigzag import Walker
+from ..sources.shared import exists, remove
 
 
 def bars_of_trades(trades: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
@@ -50,13 +51,13 @@ class Upserts:
             merged.write.mode("overwrite").parquet(stage)
             staged = spark.read.schema(merged.schema).parquet(stage)
             staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
+            remove(spark, stage)
         finally:
             batch.unpersist()
 
     def table(self, spark) -> DataFrame | None:
         """The bars so far; None before the first batch."""
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        if not exists(spark, self.path):
             return None
         return spark.read.parquet(self.path)
 
