@@ -6,6 +6,8 @@ All functions take null and empty input; bars whose ticker is null form one seri
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -149,3 +151,26 @@ def default_view(bars: DataFrame, n: int = 200, pad: int = 5, seconds: int = 864
     return seen.select(*by, "view_from", F.timestamp_seconds(seconds_of("_last") + pad * seconds).alias("view_to"))
 
 
+
+
+def day_names(bars: DataFrame, order: str = "begin") -> DataFrame:
+    """``bars`` with weekday (its English name) and label, such as "5 Mar 2024, Tue"."""
+    return bars.withColumns({"weekday": F.date_format(order, "EEEE"), "label": F.date_format(order, "d MMM yyyy, EEE")})
+
+
+def axis_range(rows: DataFrame, values: Sequence[str], by: Names = BY, symmetric: bool = False, pad: float = 1.05) -> DataFrame:
+    """(by, axis_from, axis_to): a range for a plot of ``values`` with room above; from 0, or as far below 0 as above it.
+
+    Where nothing rises above 0 the range ends at 1.
+    """
+    size = F.greatest(*[F.coalesce(F.max(F.abs(v) if symmetric else F.col(v)), F.lit(0.0)) for v in values], F.lit(0.0))
+    found = rows.groupBy(*by).agg(size.alias("_m"))
+    top = F.when(F.col("_m") > 0, F.col("_m") * pad).otherwise(1.0)
+    return found.select(*by, (-top if symmetric else F.lit(0.0)).alias("axis_from"), top.alias("axis_to"))
+
+
+def step_geometry(origins: DataFrame, first: str, second: str, seconds: int = 86400, order: str = "begin") -> DataFrame:
+    """``origins`` with the days between which the two steps are drawn: from the bar after the origin for ``first`` bars, then for ``second`` more."""
+    at = lambda n: F.to_date(F.timestamp_seconds(seconds_of(F.to_timestamp(F.to_date(order))) + n * seconds))
+    one, both = F.col(first), F.col(first) + F.col(second)
+    return origins.withColumns({"step1_from": at(F.lit(1)), "step1_to": at(one), "step2_from": at(one), "step2_to": at(both)})

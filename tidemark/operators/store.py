@@ -119,6 +119,42 @@ def matching(rows: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
     return rows.where(test)
 
 
+def visible(instruments: DataFrame) -> DataFrame:
+    """Instruments that were added by hand; those that a pool brought along are hidden."""
+    return instruments.where(F.col("added_via") == "manual")
+
+
+def found_by(rows: DataFrame, **key) -> DataFrame:
+    """The rows with exactly these values, null for null: a lookup by key, pushed down to the scan."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return rows
+
+
+def newest_by_json(rows: DataFrame, column: str, path: str, tie: Sequence[Column], n: int) -> DataFrame:
+    """The ``n`` rows with the largest text at ``path`` of a JSON column (nulls last), then by ``tie``."""
+    return rows.orderBy(F.desc_nulls_last(F.get_json_object(column, path)), *tie).limit(n)
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``changes`` set, nulls included, where a key is in ``changes``; keys are unique there, and new ones add no row."""
+    fields = [c for c in changes.columns if c not in key]
+    new = changes.select(*key, F.struct(*fields).alias("_new"), F.lit(True).alias("_set"))
+    out = rows.join(new, list(key), "left")
+    return out.select(*[F.when(F.col("_set"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else c for c in rows.columns])
+
+
+def appended(stored: DataFrame, new: DataFrame, order: Sequence[Column | str], id_col: str = "id") -> DataFrame:
+    """``stored`` and the rows of ``new`` under the next ids, in ``order``; columns that ``new`` lacks are null.
+
+    ``new`` is what one save brings, a few rows.
+    """
+    last = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_last"))
+    named = new.crossJoin(F.broadcast(last))  # a single row
+    named = named.withColumn(id_col, F.col("_last") + F.row_number().over(W.orderBy(*order))).drop("_last")
+    return stored.unionByName(named, allowMissingColumns=True)
+
+
 def quick_list(instruments: DataFrame, text: str) -> DataFrame:
     """Favourites for an empty text, else matches of ticker or full name; by ticker."""
     found = matching(instruments, text, ("ticker", "full_name")) if text.strip() else instruments.where("is_favorite")

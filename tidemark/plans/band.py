@@ -96,3 +96,11 @@ def at_cutoff(bars: DataFrame, cutoff: str | None, threshold: float, min_bars: i
     if cutoff:
         found = found.where(F.col("confirm_begin") <= F.to_timestamp(F.lit(cutoff)))
     return found.join(enough, "ticker", "left_semi")
+
+
+def result_rows(read: DataFrame) -> DataFrame:
+    """(h, pool_size, low, middle, high, down): the lowest, the middle and the highest price of each step, and whether it leads down."""
+    prices = F.transform(F.sort_array(F.collect_list(F.struct("q", "price"))), lambda x: x["price"])
+    out = read.groupBy("h", "pool_size", "direction").agg(prices.alias("_p"))
+    down = F.when(F.col("h") == 1, F.col("direction") > 0).otherwise(F.col("direction") < 0)
+    return out.select("h", "pool_size", F.get("_p", F.lit(0)).alias("low"), F.get("_p", F.floor(F.size("_p") / 2).cast("int")).alias("middle"), F.get("_p", F.size("_p") - 1).alias("high"), down.alias("down"))

@@ -228,3 +228,10 @@ def calibrate_reads(context: DataFrame, base: DataFrame, params: Mapping[str, Ma
         for t, value in _round_of(context, base, trials, nominal, s.tails, s.least).items():
             reads[t] = (value, reads[t][1]) if side == 0 else (reads[t][0], value)
     return reads
+
+
+def fresh(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """``wanted`` with whether a calibration of exactly its h_steps, p and theiler is stored; others are no substitute."""
+    from ..operators.store import with_flag
+
+    return with_flag(wanted, stored, ("h_steps", "p", "theiler"), "fresh")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import keeping, models, series, streams
+from . import keeping, models, records, series, streams
 from .common import Query
 
-_MODULES = (series, models, keeping, streams)
+_MODULES = (series, models, keeping, streams, records)
 
 
 def queries() -> dict[str, Query]:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.store import upserted_bars
+
 SCHEMA = "ticker string, interval string, begin timestamp, open double, high double, low double, close double, volume double, value double"
 #: Rows of a page, and the first day of history.
 PAGE, FIRST_DAY = 500, "2000-01-01"
@@ -143,3 +145,38 @@ def fetch_plan(stored: DataFrame, wanted: DataFrame, full_refresh: bool = False)
     known = F.col("_last").isNotNull() & F.lit(not full_refresh)
     out = wanted.join(last, ["ticker", "interval"], "left")
     return out.select("ticker", "interval", F.when(known, "incremental").otherwise("full").alias("mode"), F.when(known, F.to_date("_last")).otherwise(F.to_date(F.lit(FIRST_DAY))).alias("date_from"))
+
+
+def ingest(spark: SparkSession, pages: str, path: str, tickers: list[str], intervals: list[str], until: str, full_refresh: bool = False, **options: str) -> DataFrame:
+    """Brings the stored bars under ``path`` up to date and returns the plan: each ticker in each interval, from where it was loaded.
+
+    Series that are stored are loaded from the day of their last bar on. The new
+    version is written beside the stored one and named by its number, so readers
+    of the old one are not disturbed; ``stored_bars`` reads the last.
+    """
+    wanted = spark.createDataFrame([(t,) for t in tickers], "ticker string").crossJoin(spark.createDataFrame([(i,) for i in intervals], "interval string"))  # what a user names
+    number, stored = stored_bars(spark, path)
+    plan = fetch_plan(stored, wanted, full_refresh)
+    begins = {(r["ticker"], r["interval"]): r["date_from"].isoformat() for r in plan.collect()}  # a row for each series asked for
+    new = None
+    for since in sorted(set(begins.values())):
+        for interval in intervals:
+            own = [t for t in tickers if begins[t, interval] == since]
+            if own:
+                part = download(spark, pages, own, [interval], since=since, until=until, **options)
+                new = part if new is None else new.unionByName(part)
+    if new is not None:
+        write_bars(upserted_bars(stored, new), f"{path.rstrip('/')}/version={number + 1}")
+    return plan
+
+
+def stored_bars(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """The number of the last version under ``path`` and its bars; 0 and no rows before the first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+    numbers = [int(n.partition("=")[2]) for n in names if n.startswith("version=")]
+    if not numbers:
+        return 0, spark.createDataFrame([], SCHEMA)
+    found = read_bars(spark, f"{path.rstrip('/')}/version={max(numbers)}")
+    return max(numbers), found.select(*[c.split()[0] for c in SCHEMA.split(", ")])

@@ -36,3 +36,8 @@ def trading_parameters(values: DataFrame) -> DataFrame:
     """(secid, lot_size, price_step) of rows (secid, name, value); 1 and 0.01 where a value lacks or is no number."""
     wide = values.groupBy("secid").pivot("name", ["LOTSIZE", "MINSTEP"]).agg(F.first("value", True))
     return wide.select("secid", F.coalesce(F.expr("try_cast(LOTSIZE AS int)"), F.lit(1)).alias("lot_size"), F.coalesce(F.expr("try_cast(MINSTEP AS double)"), F.lit(0.01)).alias("price_step"))
+
+
+def history_ranges(boards: DataFrame) -> DataFrame:
+    """(secid, board, engine, market, history_from, history_till): the coverage of each board of a security, in days."""
+    return boards.select("secid", F.col("boardid").alias("board"), "engine", "market", F.to_date("history_from").alias("history_from"), F.to_date("history_till").alias("history_till"))
