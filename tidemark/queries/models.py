@@ -306,10 +306,10 @@ def unconditional_zones(spark, sf):
 
 # ── calibration ─────────────────────────────────────────────────────────────
 
-_CAL = calibrate.Settings(folds=3, fold=50, holdout=60)
+_CAL = calibrate.Settings()
 _GRID = [0.0, 2.0, 4.0, 6.0, 8.0]
-_CONTEXT = f"""origins AS (SELECT ticker, i AS o, CASE WHEN i >= e - 60 AND i < e THEN -1 WHEN i >= e - 215 AND i < e - 65 THEN (i - (e - 215)) // 50 END::INT AS fold
-  FROM (SELECT *, (SELECT origin FROM last l WHERE l.ticker = p.ticker) - 5 AS e FROM placed p) WHERE e - 215 >= 33),
+_CONTEXT = f"""origins AS (SELECT ticker, i AS o, CASE WHEN i >= e - 300 AND i < e THEN -1 WHEN i >= e - 905 AND i < e - 305 THEN (i - (e - 905)) // 200 END::INT AS fold
+  FROM (SELECT *, (SELECT origin FROM last l WHERE l.ticker = p.ticker) - 5 AS e FROM placed p) WHERE e - 905 >= 33),
 ctx AS (SELECT f.ticker, f.fold, f.o, q.close AS anchor, q.low_5 AS alow, q.high_5 AS ahigh, x.i, (x.low_5 - x.close) / x.close AS low, (x.high_5 - x.close) / x.close AS high, x.win, q.win AS qwin
   FROM origins f JOIN {{delays}} q ON q.ticker = f.ticker AND q.i = f.o JOIN {{delays}} x ON x.ticker = f.ticker AND x.i <= f.o - 6 WHERE f.fold IS NOT NULL AND x.low_5 IS NOT NULL)"""
 
@@ -359,7 +359,7 @@ def candidate_values(spark, sf):
 
 # ── corridor ────────────────────────────────────────────────────────────────
 
-_H, _P, _N = 10, 20, 200
+_H, _P, _N = 20, 20, 15_000
 _CORRIDOR = f"""line AS (SELECT ticker, regr_slope(ln(close), i) AS b, regr_intercept(ln(close), i) AS a, max(i) AS origin FROM placed GROUP BY ticker),
 lined AS (SELECT p.*, a, b, origin, close / exp(a + b * i) AS rc, high / exp(a + b * i) AS rh, low / exp(a + b * i) AS rl FROM placed p JOIN line USING (ticker)),
 moves AS (SELECT *, rc - lag(rc) OVER s AS dc, rh - lag(rh) OVER s AS dh, rl - lag(rl) OVER s AS dl FROM lined WINDOW s AS (PARTITION BY ticker ORDER BY begin)),
