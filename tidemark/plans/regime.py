@@ -160,7 +160,8 @@ def _snapshot(frame: pd.DataFrame, s: Settings):
 
 def _grouped(bars: DataFrame, n: int, step: int, work, schema: str) -> DataFrame:
     held = anchored(origins(bars.select("ticker", "begin", "close"), n, step), by=("ticker", "back"))
-    return held.groupBy("ticker", "back").applyInPandas(work, schema)
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few, slow groups: not to be merged for their small rows
+    return held.repartition(tasks, "ticker", "back").groupBy("ticker", "back").applyInPandas(work, schema)
 
 
 def price_paths(bars: DataFrame, n: int = 1, step: int = 1, settings: Settings = Settings()) -> DataFrame:

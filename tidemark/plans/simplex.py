@@ -1,7 +1,8 @@
 """The trajectory ensemble: recursive nearest-neighbour forecasts from several origins and dimensions.
 
-Every origin of a series is its own group of a grouped map, so that origins run
-in parallel; a group holds the series up to its origin.
+Smoothing is a group for each series and dimension; every path is a group of its
+own (series, origin, dimension), which holds the series up to its origin. Means
+over dimensions, trend lines and returns are columns.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..operators.quantile import weighted_quantiles
 from ..operators.trend import causal_trend
-from ..operators.window import whole
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,8 @@ def nearest(d: np.ndarray, k: int) -> np.ndarray:
 def on_plane(rows: np.ndarray, x: np.ndarray, d: int) -> float:
     """The last coordinate of ``x`` projected on the plane of the first ``d`` principal directions of ``rows``."""
     center = rows.mean(axis=0)
-    axes = np.linalg.svd(rows - center, full_matrices=False)[2][:d]
+    moved = rows - center
+    axes = np.linalg.eigh(moved.T @ moved)[1][:, ::-1][:, :d].T
     return float((center + axes.T @ (axes @ (x - center)))[-1])
 
 
@@ -71,7 +72,8 @@ def dimension(x: np.ndarray, p: int, k: int, share: float, alpha: float) -> int
     near = library[nearest(amp_cos(library, last, alpha), k)]
     if len(near) < 2:
         return None
-    variance = np.linalg.svd(near - near.mean(axis=0), compute_uv=False) ** 2
+    moved = near - near.mean(axis=0)
+    variance = np.maximum(np.linalg.eigvalsh(moved.T @ moved)[::-1], 0.0)
     reached = np.cumsum(variance) / max(variance.sum(), 1e-14)
     return min(int(np.searchsorted(reached, share)) + 1, p)
 
@@ -150,47 +152,59 @@ def trajectory(x: np.ndarray, p: int, d: int, s: Settings) -> np.ndarray | None:
     return np.array(held[len(x) :])
 
 
-def relative(ratio: np.ndarray, a: float, b: float, i: int, price: float, dims: list[int], s: Settings) -> tuple[np.ndarray, int] | None:
-    """The mean path over dimensions as returns on the origin's price, and how many dimensions gave one."""
-    x = ratio[-s.bars :] if s.bars > 0 else ratio
-    line = np.exp(a + b * (i + 1 + np.arange(s.horizon)))
-    found = []
-    for d in dims:
-        p = s.slope * d + s.offset
-        first = max((n for n in (p << j for j in range(s.levels)) if n <= s.longest), default=p)
-        if p < 2 or len(x) < first + p + 1:
-            continue
-        path = trajectory(smoothed(x, p, d, 3 * (p + 1) + s.extra, s.alpha), p, d, s)
-        if path is not None:
-            found.append(path * line)
-    return (np.mean(found, axis=0) / price - 1, len(found)) if found else None
-
-
-SCHEMA = "ticker string, back int, origin timestamp, origin_price double, dims int, h int, rel double"
+def _fits(n: int, p: int, s: Settings) -> bool:
+    """Whether a series of ``n`` values is long enough for windows of ``p``."""
+    first = max((x for x in (p << j for j in range(s.levels)) if x <= s.longest), default=p)
+    return p >= 2 and n >= first + p + 1
 
 
 def ensemble(bars: DataFrame, n: int = 20, settings: Settings = Settings()) -> DataFrame:
-    """(ticker, back, origin, origin_price, dims, h, rel): paths of the last ``n`` origins as returns.
+    """(ticker, back, origin, origin_price, dims, h, rel): paths of the last ``n`` origins as returns, means over the dimensions.
 
-    Dimensions are chosen once for a series, at its last origin. Origins with too
-    little history, or too few neighbours in every dimension, have no rows.
+    Dimensions are chosen once for a series, at its last origin. Smoothing looks
+    back only, so a series is smoothed once for each dimension and every origin
+    reads it up to its own bar; only where ``bars`` cuts an origin's past does
+    each origin smooth its own. Origins with too little history, or too few
+    neighbours in every dimension, have no rows.
     """
     s = settings
-    rows = causal_trend(bars.select("ticker", "begin", "close")).withColumn("_last", F.max("i").over(whole()))
-    groups = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("back")).where("i <= _last")
-    found = rows.groupBy("ticker").applyInPandas(lambda f: _dims(f, s), "ticker string, dims array<int>")
+    rows = causal_trend(bars.select("ticker", "begin", "close")).select("ticker", "begin", "close", "i", "ratio", "log_a", "log_b")
+    found = rows.groupBy("ticker").applyInPandas(lambda f: _dims(f, s), "ticker string, dims array<int>").select("ticker", F.explode("dims").alias("d"))
+    each = rows.select("ticker", "i", F.col("ratio").alias("value")).join(found, "ticker")
+
+    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i", kind="stable")
+        d = int(frame["d"].iloc[0])
+        p = s.slope * d + s.offset
+        if _fits(len(frame), p, s):
+            frame["value"] = smoothed(frame["value"].to_numpy(dtype=float), p, d, 3 * (p + 1) + s.extra, s.alpha)
+        return frame[["ticker", "d", "i", "value"]]
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i", kind="stable")
-        dims, back = list(frame["dims"].iloc[0]), int(frame["back"].iloc[0])
-        last = frame.iloc[-1]
-        out = relative(frame["ratio"].to_numpy(dtype=float), last["log_a"], last["log_b"], int(last["i"]), last["close"], dims, s) if last["i"] >= 10 else None
-        if out is None:
-            return pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        return pd.DataFrame({"ticker": last["ticker"], "back": back, "origin": last["begin"], "origin_price": last["close"], "dims": out[1], "h": np.arange(1, s.horizon + 1), "rel": out[0]})
-
-    up_to = groups.where("i <= _last - back").join(found, "ticker")
-    return up_to.groupBy("ticker", "back").applyInPandas(work, SCHEMA)
+        x, d = frame["value"].to_numpy(dtype=float), int(frame["d"].iloc[0])
+        p = s.slope * d + s.offset
+        if s.bars > 0:
+            x = x[-s.bars :]
+        path = None
+        if _fits(len(x), p, s):
+            x = smoothed(x, p, d, 3 * (p + 1) + s.extra, s.alpha) if s.bars > 0 else x
+            path = trajectory(x, p, d, s)
+        if path is None:
+            return pd.DataFrame(columns=["ticker", "back", "d", "h", "ahead"])
+        return pd.DataFrame({"ticker": frame["ticker"].iloc[0], "back": frame["back"].iloc[0], "d": d, "h": np.arange(1, s.horizon + 1), "ahead": path})
+
+    # groups are few and slow, and their rows small: a fixed number of tasks, which adaptive execution would merge
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = each.select("ticker", "d", "i", "value") if s.bars > 0 else each.repartition(tasks, "ticker", "d").groupBy("ticker", "d").applyInPandas(smooth, "ticker string, d int, i long, value double")
+    last = rows.groupBy("ticker").agg(F.max("i").alias("_last"))
+    origins = rows.join(last, "ticker").where((F.col("i") > F.col("_last") - n) & (F.col("i") >= 10))
+    origins = origins.select("ticker", (F.col("_last") - F.col("i")).cast("int").alias("back"), F.col("begin").alias("origin"), F.col("close").alias("origin_price"), F.col("i").alias("_at"), "log_a", "log_b")
+    held = values.join(origins.select("ticker", "back", "_at"), "ticker").where(F.col("i") <= F.col("_at")).drop("_at")
+    paths = held.repartition(tasks, "ticker", "back", "d").groupBy("ticker", "back", "d").applyInPandas(work, "ticker string, back int, d int, h int, ahead double")
+    means = paths.groupBy("ticker", "back", "h").agg(F.avg("ahead").alias("_ahead"), F.count("*").cast("int").alias("dims"))
+    line = F.exp(F.col("log_a") + F.col("log_b") * (F.col("_at") + F.col("h")))
+    return means.join(origins, ["ticker", "back"]).select("ticker", "back", "origin", "origin_price", "dims", "h", (F.col("_ahead") * line / F.col("origin_price") - 1).alias("rel"))
 
 
 def _dims(frame: pd.DataFrame, s: Settings) -> pd.DataFrame:

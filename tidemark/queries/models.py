@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..operators import bars, neighbors, quantile, ranks, trend, zigzag
 from ..plans import band, calibrate, corridor, range_zones, regime, simplex
-from ..sources.fixtures import table, walk
+from ..sources.fixtures import table, walk, written_once
 from ..sources.shared import written
 from .common import LOGGED, PLACED, RATIOS, on_bars, r, shown, weighted, windows
 from .series import AHEAD, RANKED, RAWS
@@ -357,6 +355,18 @@ def candidate_values(spark, sf):
     return calibrate.candidates(written(_scores(spark, sf), "scores"))
 
 
+@query()
+def calibration(spark, sf):
+    """The whole calibration: descent over theta and the first feature on the default folds, the finer pass, and the quantiles to read."""
+    rows, features = walk(spark, sf), ranks.FEATURES[:1]
+    context, base = written(calibrate.contexts(rows, _CAL, features), "contexts"), written(calibrate.baseline(rows, _CAL), "baseline")
+    tickers = [x["ticker"] for x in base.select("ticker").distinct().collect()]  # a row for each series
+    best = calibrate.calibrate(context, base, tickers, _CAL, features)
+    reads = calibrate.calibrate_reads(context, base, best, _CAL)
+    found = [(t, *(float(best[t][x]) for x in ("theta", *features)), *map(float, reads[t])) for t in sorted(best)]
+    return spark.createDataFrame(found, f"ticker string, theta double, {features[0]} double, q_low double, q_high double")
+
+
 # ── corridor ────────────────────────────────────────────────────────────────
 
 _H, _P, _N = 20, 20, 15_000
@@ -413,25 +423,31 @@ def corridor_bounds(spark, sf):
 
 # ── scenarios and ensembles ─────────────────────────────────────────────────
 
-_REGIME = replace(regime.Settings(), horizon=10, lookback=3, bars=1500)
-_SIMPLEX = simplex.Settings(horizon=5, levels=2, bars=220, p_range=(3, 12))
+@written_once
+def _mixtures(spark, sf):
+    return regime.scenarios(walk(spark, sf))
+
+
+@written_once
+def _ensemble(spark, sf):
+    return simplex.ensemble(walk(spark, sf))
 
 
 @query()
 def regime_mixture(spark, sf):
-    return shown(regime.scenarios(walk(spark, sf), 2, settings=_REGIME), "ticker", "back", "origin", "regime", "h", "part", mean=4, std=4, weight=6)
+    return shown(_mixtures(spark, sf), "ticker", "back", "origin", "regime", "h", "part", mean=4, std=4, weight=6)
 
 
 @query()
 def regime_direction(spark, sf):
-    return regime.dominant(regime.scenarios(walk(spark, sf), 2, settings=_REGIME))
+    return regime.dominant(_mixtures(spark, sf))
 
 
 @query()
 def simplex_ensemble(spark, sf):
-    return shown(simplex.ensemble(walk(spark, sf), 3, _SIMPLEX), "ticker", "back", "origin", "dims", "h", rel=6)
+    return shown(_ensemble(spark, sf), "ticker", "back", "origin", "dims", "h", rel=6)
 
 
 @query()
 def ensemble_band(spark, sf):
-    return shown(simplex.band(written(simplex.ensemble(walk(spark, sf), 3, _SIMPLEX), "ensemble")), "ticker", "h", "origins", mean=6, std=6, p25=6, p75=6, lo=6, hi=6)
+    return shown(simplex.band(_ensemble(spark, sf)), "ticker", "h", "origins", mean=6, std=6, p25=6, p75=6, lo=6, hi=6)

@@ -18,8 +18,8 @@ from .shared import exists, fresh_path
 _paths: dict[tuple[str, str, str], str] = {}
 
 
-def _written_once(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A bar table that is written to the shared folder at its first use in an application, and read from then on."""
+def written_once(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table that is written to the shared folder at its first use in an application, and read from then on."""
 
     @wraps(make)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,14 +48,14 @@ def from_trades(trades: DataFrame, order: str = "rn") -> DataFrame:
 _LINE = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@_written_once
+@written_once
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of unit prices, a ticker for each return flag."""
     price = F.expr("(cast(round(l_extendedprice * 100) as bigint) * 100 div cast(l_quantity as bigint)) / 10000.0D")
     return from_trades(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("ticker"), F.col("l_shipdate").alias("begin"), price.alias("price"), F.col("l_quantity").alias("q"), F.struct(*_LINE).alias("rn")))
 
 
-@_written_once
+@written_once
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of a random walk: the running sum of centred log unit prices. Looks ahead for its mean, as test data may."""
     over = W.partitionBy("ticker").orderBy("begin", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -65,7 +65,7 @@ def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_trades(lines.withColumn("price", F.round(F.exp(F.lit(4.6) + run / 1e8), 6)))
 
 
-@_written_once
+@written_once
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of order totals, a ticker for each priority."""
     o = table(spark, sf_dir, "orders")
@@ -77,7 +77,7 @@ def event_trades(events: DataFrame) -> DataFrame:
     return events.where("value > 0").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"), F.lit(1.0).alias("q"))
 
 
-@_written_once
+@written_once
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of event values, a ticker for each type."""
     trades = event_trades(table(spark, sf_dir, "events"))
