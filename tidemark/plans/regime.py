@@ -102,6 +102,10 @@ def pooled_paths(ratio: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray
     return np.vstack(paths), np.concatenate(weights) / len(weights), int(regime[at]) if at >= 0 else -1
 
 
+#: Steps of a fit at most, and the gain in mean log-likelihood below which it ends.
+STEPS, GAIN = 100, 1e-5
+
+
 def mixture(x: np.ndarray, w: np.ndarray, n: int) -> list[tuple[float, float, float]]:
     """(mean, std, weight) of the normal mixture of one, two or three parts with the least BIC, heaviest part first.
 
@@ -120,16 +124,17 @@ def mixture(x: np.ndarray, w: np.ndarray, n: int) -> list[tuple[float, float, fl
         mu = np.interp((np.arange(k) + 0.5) / k, middle, x[order])
         sd, share = np.full(k, spread / k), np.full(k, 1.0 / k)
         before = -np.inf
-        for _ in range(300):
-            log = np.log(share) - np.log(sd) - 0.5 * np.log(2 * np.pi) - 0.5 * ((x[:, None] - mu) / sd) ** 2
-            top = log.max(axis=1, keepdims=True)
-            total = top + np.log(np.exp(log - top).sum(axis=1, keepdims=True))
-            now = float(w @ total.ravel())
-            part = np.exp(log - total) * w[:, None]
-            mass = np.maximum(part.sum(axis=0), 1e-300)
-            mu, share = (part * x[:, None]).sum(axis=0) / mass, np.maximum(mass / mass.sum(), 1e-12)
-            sd = np.sqrt(np.maximum((part * (x[:, None] - mu) ** 2).sum(axis=0) / mass, (1e-3 * spread) ** 2))
-            if now - before < 1e-8:
+        for _ in range(STEPS):
+            log = (np.log(share) - np.log(sd) - 0.5 * np.log(2 * np.pi))[:, None] - 0.5 * ((x - mu[:, None]) / sd[:, None]) ** 2
+            top = log.max(axis=0)
+            part = np.exp(log - top)
+            total = part.sum(axis=0)
+            now = float(w @ (top + np.log(total)))
+            part *= w / total
+            mass = np.maximum(part.sum(axis=1), 1e-300)
+            mu, share = part @ x / mass, np.maximum(mass / mass.sum(), 1e-12)
+            sd = np.sqrt(np.maximum((part * (x - mu[:, None]) ** 2).sum(axis=1) / mass, (1e-3 * spread) ** 2))
+            if now - before < GAIN:
                 break
             before = now
         bic = -2 * n * now + (3 * k - 1) * np.log(n)
