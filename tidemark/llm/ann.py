@@ -71,7 +71,7 @@ def axes(y: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_keys(unit: np.ndarray, table: int, polytopes: tuple[int, ...], probes: int, seed: int) -> np.ndarray:
-    """The ``probes`` nearest buckets of each row in a table, nearest first; ``polytopes`` are their dimensions, the coarsest first."""
+    """The ``probes`` nearest buckets of each row in a table, in any order; ``polytopes`` are their dimensions, the coarsest first."""
     turns = [turned(unit, table, part, seed)[:, :d] for part, d in enumerate(polytopes)]
     if probes == 1:
         keys = np.zeros(len(unit), dtype=np.int64)
@@ -87,7 +87,7 @@ def bucket_keys(unit: np.ndarray, table: int, polytopes: tuple[int, ...], probes
             both = (values[:, :, None] + value[:, None, :]).reshape(len(at), -1)
             wider = (keys[:, :, None] * (2 * d) + at[:, None, :]).reshape(len(at), -1)
             # the best of all parts so far are among the best of the parts before
-            best = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+            best = np.argpartition(-both, probes - 1, axis=1)[:, :probes] if probes < both.shape[1] else np.broadcast_to(np.arange(both.shape[1]), both.shape)
             keys, values = np.take_along_axis(wider, best, axis=1), np.take_along_axis(both, best, axis=1)
         out.append(keys.astype(np.int64))
     return np.concatenate(out)
@@ -231,6 +231,7 @@ class _Asked:
             own = layout.group(keys) == group
             order = np.argsort(keys[own], kind="stable")
             self.probed, self.of = keys[own][order], of[own][order]
+        self.least = np.full(len(self.vecs), -np.inf, dtype=np.float32)  # the score of a query's last candidate, once it has enough
         self.best = [np.empty(0, t) for t in (np.int64, np.float32, np.int64, "V16")]  # query, score, smallest id, digest
 
     def meet(self, keys: np.ndarray, points: np.ndarray, firsts: np.ndarray, digests: np.ndarray) -> None:
@@ -247,11 +248,15 @@ class _Asked:
             entry = np.repeat(first[low:upto] - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())
             query = entry if self.probed is None else self.of[entry]
             score = np.round(np.einsum("ij,ij->i", points[point], self.vecs[query]), 5)
+            some = score >= self.least[query]  # the others are beaten already
+            point, query, score = point[some], query[some], score[some]
             parts = [np.concatenate(x) for x in zip(self.best, (query, score, firsts[point], digests[point]), strict=True)]
             order = np.lexsort((parts[2], -parts[1], parts[0]))
             start = np.flatnonzero(np.r_[True, np.diff(parts[0][order]) != 0])
             nth = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
             self.best = [x[order[nth < self.keep]] for x in parts]
+            full = order[nth == self.keep - 1]
+            self.least[parts[0][full]] = parts[1][full]
             low = upto
 
     def result(self) -> pd.DataFrame:
