@@ -145,7 +145,9 @@ def losses(context: DataFrame, trials: Mapping[str, Sequence[Trial]], tails: tup
             rows.append((head["ticker"], head["fold"], head["origin"], t.value, sum(miss) / 2 / head["anchor"], float(bottom <= head["actual_low"] and head["actual_high"] <= top)))
         return pd.DataFrame(rows, columns=["ticker", "fold", "origin", "value", "loss", "covered"])
 
-    return context.groupBy("ticker", "fold", "origin").applyInPandas(work, "ticker string, fold int, origin long, value double, loss double, covered double")
+    # work grows with the trials, not with the bytes by which adaptive execution would merge tasks
+    tasks = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return context.repartition(tasks, "ticker", "fold", "origin").groupBy("ticker", "fold", "origin").applyInPandas(work, "ticker string, fold int, origin long, value double, loss double, covered double")
 
 
 def scores(found: DataFrame, base: DataFrame, least: int) -> DataFrame:
