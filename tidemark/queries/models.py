@@ -355,18 +355,6 @@ def candidate_values(spark, sf):
     return calibrate.candidates(written(_scores(spark, sf), "scores"))
 
 
-@query()
-def calibration(spark, sf):
-    """The whole calibration: descent over theta and the first feature on the default folds, the finer pass, and the quantiles to read."""
-    rows, features = walk(spark, sf), ranks.FEATURES[:1]
-    context, base = written(calibrate.contexts(rows, _CAL, features), "contexts"), written(calibrate.baseline(rows, _CAL), "baseline")
-    tickers = [x["ticker"] for x in base.select("ticker").distinct().collect()]  # a row for each series
-    best = calibrate.calibrate(context, base, tickers, _CAL, features)
-    reads = calibrate.calibrate_reads(context, base, best, _CAL)
-    found = [(t, *(float(best[t][x]) for x in ("theta", *features)), *map(float, reads[t])) for t in sorted(best)]
-    return spark.createDataFrame(found, f"ticker string, theta double, {features[0]} double, q_low double, q_high double")
-
-
 # ── corridor ────────────────────────────────────────────────────────────────
 
 _H, _P, _N = 20, 20, 15_000
