@@ -268,9 +268,12 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tu
     alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     below = F.struct("degree", "cls") < F.struct(F.col("hub_degree").alias("degree"), F.col("hub").alias("cls"))
 
+    # the hubs of a small bucket are all but its least member, that of a large one is its greatest
+    member = F.struct("degree", "cls", "n", "met")
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("degree"), F.desc("cls")))
-    hubs = met.withColumn("rank", rank).where(F.col("rank") <= SMALL).where((F.col("rank") == 1) | (F.col("met") <= SMALL + 1))
-    hubs = hubs.select("key", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("degree").alias("hub_degree"), F.col("met").alias("hub_met"))
+    small = met.where(F.col("met") <= SMALL + 1).withColumn("rank", rank).where(F.col("rank") <= SMALL).select("key", member.alias("hub"))
+    hubs = small.unionByName(met.where(F.col("met") > SMALL + 1).groupBy("key").agg(F.max(member).alias("hub")))
+    hubs = hubs.select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.degree").alias("hub_degree"), F.col("hub.met").alias("hub_met"))
     pairs = join_by_size(met.drop("met"), hubs, "key", "hub_met", max(BANDS * total, 1000 * (SMALL + 1))).where(below & alike)
     pairs, pairs_at = written(pairs.select("cls", "hub").distinct(), "pairs")
     links, links_at = written(confirm(agreeing(pairs, digests), texts, threshold), "links")
