@@ -30,9 +30,9 @@ def query(sql: str | None = None):
 # ── lookups ─────────────────────────────────────────────────────────────────
 
 
-@query(on_bars("orders", "SELECT ticker, begin, close FROM bars WHERE ticker = '2-HIGH' AND begin = TIMESTAMP '1996-01-08'"))
+@query(on_bars("orders", "SELECT ticker, begin, close FROM bars WHERE ticker = '2-HIGH' AND begin = TIMESTAMP '1995-03-09'"))
 def bar_by_key(spark, sf):
-    day = F.to_timestamp(F.lit("1996-01-08"))
+    day = F.to_timestamp(F.lit("1995-03-09"))
     return store.found_by(orders(spark, sf), ticker="2-HIGH").where(F.col("begin") == day).select("ticker", "begin", "close")
 
 
