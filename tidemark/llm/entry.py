@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_text, langid, minhash, mixing, pii, sharding, token_shards, warc
+from . import ann, decontam, html_text, langid, minhash, mixing, pii, quality, sharding, token_shards, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = quality.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return ranked.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_near_duplicates, op3_sharding, op4_language, op5_nearest, op6_main_text, op7_token_shards, op8_surrogates, op9_decontamination, op10_warc)
+    found = (
+        op1_mixing, op2_near_duplicates, op3_sharding, op4_language, op5_nearest, op6_main_text, op7_token_shards, op8_surrogates, op9_decontamination, op10_warc, op12_whitening, op13_quality,
+    )
     return {f.__name__: f for f in found}
 
 
