@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_text, langid, minhash, mixing, pii, quality, sharding, token_shards, warc, whitening
+from . import ann, decontam, html_text, langid, minhash, mixing, periodic, pii, quality, sharding, token_shards, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -65,7 +69,7 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_mixing, op2_near_duplicates, op3_sharding, op4_language, op5_nearest, op6_main_text, op7_token_shards, op8_surrogates, op9_decontamination, op10_warc, op12_whitening, op13_quality,
+        op1_mixing, op2_near_duplicates, op3_sharding, op4_language, op5_nearest, op6_main_text, op7_token_shards, op8_surrogates, op9_decontamination, op10_warc, op11_periodic_runs, op12_whitening, op13_quality,
     )
     return {f.__name__: f for f in found}
 
@@ -160,5 +164,40 @@ FROM m
 """
 
 
+_OP11 = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x : list_transform([ord(x)::BIGINT],
+      lambda v : [v & 1, (v >> 1) & 1, (v >> 2) & 1, (v >> 3) & 1, (v >> 4) & 1, (v >> 5) & 1, (v >> 6) & 1, (v >> 7) & 1])[1])) AS bits
+  FROM documents),
+hashed AS (
+  SELECT row, doc_id, words, len(words) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda c, b : xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS h
+  FROM split),
+place AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM hashed),
+step AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM place),
+docs AS (
+  SELECT row, doc_id, n, CASE WHEN a IS NULL THEN words ELSE list_transform(range(n), lambda i : words[(CASE WHEN i >= a THEN a + (i - a) % p ELSE i END) + 1]) END AS words
+  FROM step),
+w AS (SELECT row, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM docs),
+same AS (SELECT x.row, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+stretch AS (
+  SELECT row, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS g FROM same)
+  GROUP BY row, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT row, start, length, min(q) AS period FROM stretch GROUP BY row, start, length),
+best AS (
+  SELECT row, count(*) AS n_runs, arg_min({'s': start, 'n': length, 'q': period}, {'e': -length::DOUBLE / period, 's': start, 'q': period}) AS run,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY row),
+kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY i) AS text
+  FROM w WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.row = w.row AND w.i >= r.start + r.period AND w.i < r.start + r.length)
+  GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, run.s::BIGINT AS start, run.n::BIGINT AS length, run.q::BIGINT AS period, (1000 * run.n // run.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN best USING (row) LEFT JOIN kept USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _OP1, "op2_near_duplicates": _OP2, "op3_sharding": _OP3, "op10_warc": _OP10}
+    return {"op1_mixing": _OP1, "op2_near_duplicates": _OP2, "op3_sharding": _OP3, "op10_warc": _OP10, "op11_periodic_runs": _OP11}
