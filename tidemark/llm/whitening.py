@@ -306,7 +306,7 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
         errors.setdefault(r["d"], []).append(r["v"])
     for d, own in errors.items():
         k = len(models[d].values)
-        off = np.abs(np.array(own).reshape(k, k) / models[d].n - np.eye(k))
+        off = np.abs(np.array(own, dtype=float).reshape(k, k) / models[d].n - np.eye(k))
         models[d].error = float(np.nanmax(off)) if np.isfinite(off).any() else None
     common.remove(spark, fit_at)
     out = known.mapInPandas(_cells(spark.sparkContext.broadcast(models)), "id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
