@@ -266,11 +266,13 @@ def test_quality_of_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     rows = quality.rank(docs, none).collect()
     assert len(rows) == docs.count() and {r["score"] for r in rows} == {0.5} and set(docs.columns) <= set(rows[0].asDict())
-    odd = spark.createDataFrame([(1, 1), (1, 0), (3, None), (4, 7), (None, 1), (5, 0), (5, 0), (6, 1), (99, 1)], "doc_id long, quality int")
-    kept = [i for i in (5, 6) if zlib.crc32(str(i).encode()) % 3 != 1]
-    rows = quality.rank(docs.withColumn("score", F.lit("clash")), odd).collect()
-    assert kept and len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    odd = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (3, None), (4, 7), (None, 1), (7, 0), (7, 0), (6, 1), (99, 1)], "doc_id long, quality int")
+    assert [i for i in (1, 7) if zlib.crc32(str(i).encode()) % 3 != 1] == [1, 7]
+    more = docs.withColumn("score", F.lit("clash")).unionByName(spark.createDataFrame([(7, "### $$$ *** &&&"), (7, "%%%")], "doc_id long, text string"), allowMissingColumns=True)
+    rows = quality.rank(more, odd).collect()
+    assert len(rows) == more.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert len({r["score"] for r in rows if r["text"] in (None, "")}) == 1
+    assert {r["predicted"] for r in rows if r["doc_id"] == 1 and "fox" in r["text"]} == {1} and {r["predicted"] for r in rows if r["text"] == "%%%"} == {0}
     assert quality.rank(empty_documents(spark), odd).count() == 0
 
 
