@@ -315,16 +315,14 @@ def _exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _dealt(hashed: DataFrame) -> DataFrame:
     """Rows with the block (``portion``) of their group: each portion of queries meets each portion of points in one.
 
-    Only groups with over a thousandth of all rows have several portions; these
-    are a thousand at most, so their list is broadcast.
+    Groups without a query or without a point go. Whether the list of groups is
+    broadcast, Spark decides by its size: it grows with the rows.
     """
     key = ["dim", "tbl", "bucket"]
     size = F.col("n") if "n" in hashed.columns else F.lit(1)
-    portions = lambda of: F.greatest(F.ceil(F.sum(F.when(of, size)) / PORTION), F.lit(1)).cast("int")
-    sizes = hashed.groupBy(*key).agg(portions(F.col("query")).alias("asking"), portions(~F.col("query")).alias("found"), F.sum(size).alias("all"))
-    total = hashed.agg(F.sum(size)).first()[0] or 0
-    hot = sizes.where(F.col("all") > total // 1000).where("asking > 1 or found > 1").drop("all")
-    out = hashed.join(F.broadcast(hot), key, "left").fillna(1, ["asking", "found"])
+    portions = lambda of: F.ceil(F.sum(F.when(of, size)) / PORTION).cast("int")
+    sizes = hashed.groupBy(*key).agg(portions(F.col("query")).alias("asking"), portions(~F.col("query")).alias("found"))
+    out = hashed.join(sizes.where("asking > 0 and found > 0"), key)
     own = F.pmod("lead", F.when(F.col("query"), F.col("asking")).otherwise(F.col("found"))).cast("int")
     blocks = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("found") - 1), lambda i: i * F.col("asking") + own)).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: own * F.col("asking") + i)
