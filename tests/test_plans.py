@@ -86,3 +86,93 @@ def test_scenarios_of_a_series(spark):
     paths = regime.price_paths(series(spark, 330), settings=s)
     assert paths.where("h = 1").agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
     assert regime.scenarios(series(spark, 30), 1, settings=s).count() == 0
+
+
+def plain_descent(frame, s, features, grids):
+    """The whole calibration of one ticker, origin by origin and value by value."""
+    by_i = {r["i"]: r for r in frame}
+    end = max(by_i) - s.ahead
+    dev = end - s.holdout - max(s.ahead, 5)
+    start = dev - s.folds * s.fold
+    folds = {-1: range(end - s.holdout, end)} | {k: range(start + k * s.fold, start + (k + 1) * s.fold) for k in range(s.folds)}
+    gap = max(s.theiler + 1, s.ahead)
+    off = lambda r: tuple((r[c][s.ahead - 1] - r["close"]) / r["close"] for c in ("fwd_low", "fwd_high"))
+    full = lambda r: r["window"] is not None and all(r[f"rank_{f}"] is not None for f in features)
+    done = lambda r: r["fwd_low"] is not None and len(r["fwd_low"]) >= s.ahead and r["fwd_low"][s.ahead - 1] is not None
+    contexts = {}
+    for fold, origins in folds.items():
+        for o in origins:
+            past = [by_i[i] for i in range(o - gap + 1) if done(by_i[i])]
+            known = [r for r in past if full(r)]
+            if not full(by_i[o]) or len(known) < 5:
+                continue
+            d = np.array([np.linalg.norm(np.subtract(r["window"], by_i[o]["window"])) for r in known])
+            parts = {"theta": d / max(d.mean(), 1e-10)} | {f: np.array([(r[f"rank_{f}"] - by_i[o][f"rank_{f}"]) ** 2 for r in known]) for f in features}
+            contexts.setdefault(fold, []).append((by_i[o], np.array([off(r) for r in known]), parts, np.array([off(r) for r in past]) if len(past) >= 20 else None))
+
+    def pinball(r, ends):
+        return sum(max(t * (r[c][s.ahead - 1] - e), (t - 1) * (r[c][s.ahead - 1] - e)) for c, e, t in zip(("fwd_low", "fwd_high"), ends, s.tails, strict=True)) / 2 / r["close"]
+
+    def quantile(values, w, q):
+        order = np.argsort(values, kind="stable")
+        return np.interp(q, (np.cumsum(w[order]) - 0.5 * w[order]) / w.sum(), values[order])
+
+    def score(params, read, fold):
+        loss, base = [], []
+        for r, offs, parts, past in contexts.get(fold, []):
+            w = np.exp(-sum(v * parts[n] for n, v in params.items()) + np.zeros(len(offs)))
+            if w.sum() < 1e-14:
+                continue
+            loss.append(pinball(r, [r["close"] * (1 + quantile(offs[:, k], w, read[k])) for k in (0, 1)]))
+            if past is not None:
+                base.append(pinball(r, [r["close"] * (1 + quantile(past[:, k], np.ones(len(past)), s.tails[k])) for k in (0, 1)]))
+        return np.mean(loss) / np.mean(base) if len(loss) >= s.least and base else None
+
+    def best(rows):
+        middle = [(np.mean([x[1] for x in rows[k - 1 : k + 2]]), rows[k][0]) for k in range(1, len(rows) - 1)]
+        return {min(middle)[1]} if middle else set()
+
+    def step(grid, nominal, at):
+        dev = [[(v, at(v, fold)) for v in grid if at(v, fold) is not None] for fold in range(s.folds)]
+        found, pooled = {nominal}, {}
+        for rows in dev:
+            found |= best(rows)
+            for v, x in rows:
+                pooled.setdefault(v, []).append(x)
+        found |= best(sorted((v, np.mean(x)) for v, x in pooled.items()))
+        held = [(at(v, -1), v) for v in found if at(v, -1) is not None]
+        return min(held)[1] if held else None
+
+    params, names = dict.fromkeys(("theta", *features), 0.0), ("theta", *features)
+    for fine in [False] * s.passes + [True]:
+        if not fine and params.get("done"):
+            continue
+        before = {n: params[n] for n in names}
+        for n in names:
+            grid = calibrate.refined(grids[n], params[n], s.refine) if fine else grids[n]
+            cache = {}
+            at = lambda v, fold, n=n, cache=cache: cache[v, fold] if (v, fold) in cache else cache.setdefault((v, fold), score({m: params[m] for m in names} | {n: v}, s.tails, fold))
+            won = step(grid, 0.0, at)
+            params[n] = params[n] if won is None else won
+        params["done"] = max(abs(params[n] - before[n]) for n in names) <= s.tolerance
+    params = {n: params[n] for n in names}
+    reads = list(s.tails)
+    for side in (0, 1):
+        grid = [round(v, 3) for v in np.arange(max((1e-3, 0.501)[side], s.tails[side] - 0.04), min((0.499, 0.999)[side], s.tails[side] + 0.04) + 0.005, 0.01).tolist()]
+        won = step(grid, s.tails[side], lambda v, fold, side=side: score(params, [v if k == side else reads[k] for k in (0, 1)], fold))
+        reads[side] = reads[side] if won is None else won
+    return params, tuple(reads), score(params, reads, -1)
+
+
+def test_calibration_is_the_plain_descent(spark):
+    s = calibrate.Settings(folds=2, fold=40, holdout=40, least=10, passes=3)
+    rows, used = series(spark, 420), ("velocity",)
+    grids = {"theta": (0.0, 2.0, 4.0, 6.0), "velocity": (0.0, 2.0, 4.0, 6.0)}
+    found = calibrate.calibration(rows, s, used, grids).collect()
+    params, reads, ratio = plain_descent([r.asDict() for r in range_zones.prepared(rows, s.ahead, s.p, True).collect()], s, used, grids)
+    assert len(found) == 1 and {n: found[0][n] for n in params} == params
+    assert (found[0]["read_low"], found[0]["read_high"]) == pytest.approx(reads) and found[0]["ratio"] == pytest.approx(ratio)
+
+
+def test_calibration_without_history_has_no_row(spark):
+    assert calibrate.calibration(series(spark, 120)).count() == 0

@@ -1,32 +1,34 @@
 """Calibration of the range zones: folds, pinball loss, and a descent one parameter at a time.
 
-An origin's context is all windows known at it; contexts are one table, written
-once, in which (ticker, fold, origin) is a group. A step of the descent tries
-a grid of values in one job: each group is read by one task of a grouped map,
-which weighs its windows for every value. Only scores, one row for each ticker,
-fold and value, come back to the driver, where the loop over parameters runs.
+An origin's context is all windows known at it. Contexts are one table, written
+once, of blocks of origins that share their windows, kept in the order of their
+outcomes. A step of the descent tries a grid of values in one scan of it: a task
+weighs the windows of each origin for every value and adds up losses; only these
+sums are shuffled. One row for each ticker, the winner of a step, comes back to
+the driver, where the loop over parameters runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import distance, pinball
-from ..operators.quantile import weighted_quantiles
+from ..operators.quantile import NO_WEIGHT
 from ..operators.ranks import FEATURES
 from ..operators.window import whole
+from ..sources.shared import written
 from .range_zones import prepared
 
 HOLDOUT = -1
 #: Origins of a ticker that one task pairs with their past.
 BLOCK = 64
+BLOCKS = "ticker string, block long, i array<long>, low array<double>, high array<double>, by_high array<long>, ranks array<double>, fold array<int>, origin array<long>, until array<long>, anchor array<double>, actual_low array<double>, actual_high array<double>, o_ranks array<double>, d array<double>"
 #: The grids of the kernel's width and of the features' weights.
 GRIDS = {"theta": tuple(np.arange(0.0, 42.0, 2.0).tolist())} | {f: tuple(np.arange(0.0, 18.0, 2.0).tolist()) for f in FEATURES}
 
@@ -59,95 +61,201 @@ def labelled(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.withColumns({"fold": fold.cast("int"), "_start": start}).where((F.col("_start") >= s.p + s.theiler + 20) & F.col("fold").isNotNull()).drop("_start")
 
 
-def _paired(asked: DataFrame, library: DataFrame, gap: int) -> DataFrame:
-    """Origins with the earlier rows of their ticker, ``gap`` bars back at least; blocks of ``BLOCK`` origins meet them in tasks of their own."""
-    asked = asked.withColumn("_block", F.floor(F.col("origin") / BLOCK))
-    blocks = asked.groupBy("ticker", "_block").agg(F.max("origin").alias("_last"))
-    dealt = library.join(blocks, "ticker").where(F.col("i") <= F.col("_last") - gap).drop("_last")
-    return asked.join(dealt, ["ticker", "_block"]).where(F.col("i") <= F.col("origin") - gap).drop("_block")
+def _blocks_of(asked: DataFrame, library: DataFrame, gap: int, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on each block of ``BLOCK`` origins and the rows of its ticker that lie ``gap`` bars before its last origin at least."""
+    asked = asked.withColumn("block", F.floor(F.col("i") / BLOCK))
+    ends = asked.groupBy("ticker", "block").agg((F.max("i") - gap).alias("_until"))
+    dealt = library.join(ends, "ticker").where(F.col("i") <= F.col("_until")).drop("_until")
+    dealt = dealt.select(*[F.col(c).alias(f"_{c}") for c in dealt.columns])  # Spark takes the same columns on both sides for one
+    none = pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
+            return none
+        found = work(queries.sort_values("i", kind="stable"), rows.rename(columns=lambda c: c[1:]))
+        return none if found is None else found
 
-def contexts(bars: DataFrame, s: Settings, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Windows known at each origin: (ticker, fold, origin, d, off_low, off_high, sq_<feature>, ... and the origin's outcome).
+    # work grows with the pairs, not with the bytes by which adaptive execution would merge tasks
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = asked.repartition(tasks, "ticker", "block").groupBy("ticker", "block").cogroup(dealt.repartition(tasks, "_ticker", "_block").groupBy("_ticker", "_block"))
+    return both.applyInPandas(run, schema)
+
+
+def _relative(c: str) -> Column:
+    return ((F.col(f"{c}_ahead") - F.col("close")) / F.greatest("close", F.lit(1e-10))).alias(c)
 
-    A window's outcome must lie at or before the origin. Ranks must be known for
-    the features in use only. Origins with fewer than 5 windows go.
+
+def contexts(bars: DataFrame, s: Settings, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Blocks of origins with all windows known at them, one row for each (ticker, block): what a round of the descent scans.
+
+    A block holds its windows once, in the order of the low outcome (``low``,
+    ``high``, their place ``i``, ``by_high``: the order of the high outcome, and
+    ``ranks``, feature after feature), and for each of its origins the outcome,
+    its own ranks (``o_ranks``), the last place that is known (``until``) and the
+    distances to all windows over their mean (``d``, origin after origin). A
+    window's outcome must lie at or before the origin. Ranks must be known for
+    the features in use only. Origins with fewer than 5 windows go. So nothing
+    is sorted or shuffled again, however many values are tried.
     """
     rows = prepared(bars, s.ahead, s.p, bool(features))
     names = [f"rank_{f}" for f in features]
-    outcome = [F.get("fwd_low", F.lit(s.ahead - 1)).alias("low_ahead"), F.get("fwd_high", F.lit(s.ahead - 1)).alias("high_ahead")]
-    known = rows.select("ticker", "i", "close", "window", *outcome, *names)
+    ahead = [F.get(c, F.lit(s.ahead - 1)).alias(n) for c, n in (("fwd_low", "low_ahead"), ("fwd_high", "high_ahead"))]
+    known = rows.select("ticker", "i", "close", "window", *ahead, *names).where("window is not null")
     for n in names:
         known = known.where(F.col(n).isNotNull())
-    at = labelled(rows.select("ticker", "i"), s)
-    asked = known.where("window is not null").join(at, ["ticker", "i"])
-    asked = asked.select("ticker", "fold", F.col("i").alias("origin"), F.col("close").alias("anchor"), F.col("window").alias("query"), F.col("low_ahead").alias("actual_low"), F.col("high_ahead").alias("actual_high"), *[F.col(n).alias(f"o_{n}") for n in names])
-    library = known.where("window is not null and low_ahead is not null")
     gap = max(s.theiler + 1, s.ahead)
-    pairs = _paired(asked, library, gap).withColumn("d", distance("window", "query"))
-    over = W.partitionBy("ticker", "fold", "origin")
-    pairs = pairs.withColumns({"windows": F.count("*").over(over), "d_mean": F.greatest(F.avg("d").over(over), F.lit(1e-10))}).where("windows >= 5")
-    safe = F.greatest("close", F.lit(1e-10))
-    squares = [F.pow(F.col(n) - F.col(f"o_{n}"), 2).alias(f"sq_{f}") for n, f in zip(names, features, strict=True)]
-    return pairs.select("ticker", "fold", "origin", "anchor", "actual_low", "actual_high", (F.col("d") / F.col("d_mean")).alias("d"), ((F.col("low_ahead") - F.col("close")) / safe).alias("off_low"), ((F.col("high_ahead") - F.col("close")) / safe).alias("off_high"), *squares)
+    asked = known.join(labelled(rows.select("ticker", "i"), s), ["ticker", "i"])
+    library = known.where("low_ahead is not null").select("ticker", "i", "window", _relative("low"), _relative("high"), *names)
+
+    def pack(queries: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame | None:
+        windows = windows.sort_values(["low", "i"], kind="stable")
+        places = windows["i"].to_numpy()
+        until = queries["i"].to_numpy() - gap
+        mine = places[None, :] <= until[:, None]
+        kept = mine.sum(axis=1) >= 5
+        if not kept.any():
+            return None
+        queries, until, mine = queries[kept], until[kept], mine[kept]
+        shapes = np.stack(windows["window"].to_list())
+        d = np.array([np.sqrt(((shapes - q) ** 2).sum(axis=1)) for q in queries["window"]])
+        d /= np.maximum((d * mine).sum(axis=1) / mine.sum(axis=1), 1e-10)[:, None]
+        flat = lambda frame: np.concatenate([frame[n].to_numpy(dtype=float) for n in names]) if names else np.empty(0)
+        by_high = np.lexsort((places, windows["high"].to_numpy()))
+        return pd.DataFrame([{
+            "ticker": queries["ticker"].iloc[0], "block": queries["block"].iloc[0], "i": places, "low": windows["low"].to_numpy(), "high": windows["high"].to_numpy()[by_high], "by_high": by_high, "ranks": flat(windows),
+            "fold": queries["fold"].to_numpy(), "origin": queries["i"].to_numpy(), "until": until, "anchor": queries["close"].to_numpy(), "actual_low": queries["low_ahead"].to_numpy(), "actual_high": queries["high_ahead"].to_numpy(),
+            "o_ranks": flat(queries), "d": d.ravel(),
+        }])
+
+    found = _blocks_of(asked, library, gap, pack, BLOCKS)
+    return found.withColumn("features", F.array(*[F.lit(f) for f in features]).cast("array<string>"))
 
 
 def baseline(bars: DataFrame, s: Settings, tails: tuple[float, float] | None = None) -> DataFrame:
     """(ticker, fold, origin, loss): pinball loss, relative to the price, of zones that weigh the whole past alike; 20 windows at least."""
-    low, high = tails or s.tails
+    tails = tails or s.tails
     rows = prepared(bars, s.ahead, s.p)
-    known = rows.select("ticker", "i", "close", F.get("fwd_low", F.lit(s.ahead - 1)).alias("low_ahead"), F.get("fwd_high", F.lit(s.ahead - 1)).alias("high_ahead")).where("low_ahead is not null")
-    at = labelled(rows.select("ticker", "i"), s)
-    asked = known.join(at, ["ticker", "i"]).select("ticker", "fold", F.col("i").alias("origin"), F.col("close").alias("anchor"), F.col("low_ahead").alias("actual_low"), F.col("high_ahead").alias("actual_high"))
-    pairs = _paired(asked, known, max(s.theiler + 1, s.ahead))
-    safe = F.greatest("close", F.lit(1e-10))
-    by = ("ticker", "fold", "origin", "anchor", "actual_low", "actual_high")
-    pairs = pairs.select(*by, "i", ((F.col("low_ahead") - F.col("close")) / safe).alias("off_low"), ((F.col("high_ahead") - F.col("close")) / safe).alias("off_high"), F.lit(1.0).alias("w"))
-    pairs = pairs.withColumn("_n", F.count("*").over(W.partitionBy(*by))).where("_n >= 20")
-    lows = weighted_quantiles(pairs, "off_low", "w", (low,), by, ("i",)).select(*by, F.col("quantile").alias("q_low"))
-    highs = weighted_quantiles(pairs, "off_high", "w", (high,), by, ("i",)).select(*by, F.col("quantile").alias("q_high"))
-    loss = (pinball("actual_low", F.col("anchor") * (1 + F.col("q_low")), low) + pinball("actual_high", F.col("anchor") * (1 + F.col("q_high")), high)) / 2 / F.col("anchor")
-    return lows.join(highs, list(by)).select("ticker", "fold", "origin", loss.alias("loss"))
+    ahead = [F.get(c, F.lit(s.ahead - 1)).alias(n) for c, n in (("fwd_low", "low_ahead"), ("fwd_high", "high_ahead"))]
+    known = rows.select("ticker", "i", "close", *ahead).where("low_ahead is not null")
+    gap = max(s.theiler + 1, s.ahead)
+
+    def work(queries: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
+        sides = [past.sort_values(c, kind="stable")[["i", c]].to_numpy().T for c in ("low", "high")]
+        out = []
+        for q in queries.itertuples():
+            mine = [values[places <= q.i - gap] for places, values in sides]
+            n = len(mine[0])
+            if n >= 20:
+                ends = [q.close * (1 + np.interp(t, (np.arange(n) + 0.5) / n, values)) for t, values in zip(tails, mine, strict=True)]
+                out.append((q.ticker, q.fold, q.i, _loss((q.low_ahead, q.high_ahead), ends, tails, q.close)))
+        return pd.DataFrame(out, columns=["ticker", "fold", "origin", "loss"])
+
+    asked = known.join(labelled(rows.select("ticker", "i"), s), ["ticker", "i"])
+    return _blocks_of(asked, known.select("ticker", "i", _relative("low"), _relative("high")), gap, work, "ticker string, fold int, origin long, loss double")
+
+
+def _loss(actual, ends, tails: tuple[float, float], anchor):
+    """The mean pinball loss of both ends, relative to the price."""
+    miss = [np.maximum(tau * (a - b), (tau - 1) * (a - b)) for a, b, tau in zip(actual, ends, tails, strict=True)]
+    return (miss[0] + miss[1]) / 2 / anchor
 
 
 @dataclass(frozen=True)
 class Trial:
-    """Parameters to try: weights by feature (and theta), and the quantiles to read."""
+    """Parameters to try: weights by feature (and theta), and the quantiles to read; some only on the holdout."""
 
     value: float
     params: tuple[tuple[str, float], ...]
     read: tuple[float, float]
-
-
-def _interpolated(order: np.ndarray, off: np.ndarray, w: np.ndarray, q: float) -> float:
-    w, off = w[order], off[order]
-    return float(np.interp(q, (np.cumsum(w) - 0.5 * w) / w.sum(), off))
+    held_only: bool = False
+
+
+def _read(off: np.ndarray, w: np.ndarray, total: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A weighted quantile for each row of ``w``: lines between the middles of the weights, values in order."""
+    middle = (np.cumsum(w, axis=1) - 0.5 * w) / total[:, None]
+    above = (middle <= q[:, None]).sum(axis=1)
+    lo, hi = np.maximum(above - 1, 0), np.minimum(above, len(off) - 1)
+    row = np.arange(len(w))
+    gap = middle[row, hi] - middle[row, lo]
+    share = np.divide(q - middle[row, lo], gap, out=np.zeros(len(w)), where=(gap > 0) & (above > 0))
+    return off[lo] + share * (off[hi] - off[lo])
+
+
+def _evaluated(block: pd.Series, trials: Sequence[Trial], tails: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(loss, covered) of each origin of a block and each trial; loss is not a number where no window has weight."""
+    names = ["theta", *block["features"]]
+    weights = np.array([[dict(t.params).get(n, 0.0) for n in names] for t in trials])
+    used = np.flatnonzero(weights.any(axis=0))  # what weighs nothing in any trial needs no pass over the windows
+    weights = weights[:, used]
+    read = np.array([t.read for t in trials])
+    places, by_high = block["i"], block["by_high"]
+    m, k = len(places), len(block["origin"])
+    d, ranks, own = block["d"].reshape(k, m), block["ranks"].reshape(-1, m), block["o_ranks"].reshape(-1, k)
+    loss, covered = np.full((k, len(trials)), np.nan), np.zeros((k, len(trials)))
+    for o in range(k):
+        mine = places <= block["until"][o]
+        highs = mine[by_high]
+        order = (np.cumsum(mine) - 1)[by_high[highs]]
+        w = np.ones((len(trials), int(mine.sum())))
+        if len(used):
+            w = np.exp(-(weights @ np.array([d[o, mine] if u == 0 else (ranks[u - 1, mine] - own[u - 1, o]) ** 2 for u in used])))
+        total = w.sum(axis=1)
+        seen = total >= NO_WEIGHT
+        safe = np.where(seen, total, 1.0)
+        anchor = block["anchor"][o]
+        ends = anchor * (1 + _read(block["low"][mine], w, safe, read[:, 0])), anchor * (1 + _read(block["high"][highs], w[:, order], safe, read[:, 1]))
+        actual = block["actual_low"][o], block["actual_high"][o]
+        loss[o] = np.where(seen, _loss(actual, ends, tails, anchor), np.nan)
+        covered[o] = (ends[0] <= actual[0]) & (actual[1] <= ends[1])
+    return loss, covered
 
 
 def losses(context: DataFrame, trials: Mapping[str, Sequence[Trial]], tails: tuple[float, float]) -> DataFrame:
     """(ticker, fold, origin, value, loss, covered) of every trial of each ticker; trials without weight at an origin are left out."""
-    low, high = tails
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        head = frame.iloc[0]
-        order = {c: np.argsort(frame[c].to_numpy(), kind="stable") for c in ("off_low", "off_high")}
-        rows = []
-        for t in trials.get(head["ticker"], ()):
-            exponent = np.zeros(len(frame))
-            for name, weight in t.params:
-                if weight:
-                    exponent += weight * frame["d" if name == "theta" else f"sq_{name}"].to_numpy()
-            w = np.exp(-exponent)
-            if w.sum() < 1e-14:
-                continue
-            bottom, top = (head["anchor"] * (1 + _interpolated(order[c], frame[c].to_numpy(), w, q)) for c, q in zip(("off_low", "off_high"), t.read, strict=True))
-            miss = [max(tau * (a - b), (tau - 1) * (a - b)) for a, b, tau in ((head["actual_low"], bottom, low), (head["actual_high"], top, high))]
-            rows.append((head["ticker"], head["fold"], head["origin"], t.value, sum(miss) / 2 / head["anchor"], float(bottom <= head["actual_low"] and head["actual_high"] <= top)))
-        return pd.DataFrame(rows, columns=["ticker", "fold", "origin", "value", "loss", "covered"])
-
-    # work grows with the trials, not with the bytes by which adaptive execution would merge tasks
-    tasks = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return context.repartition(tasks, "ticker", "fold", "origin").groupBy("ticker", "fold", "origin").applyInPandas(work, "ticker string, fold int, origin long, value double, loss double, covered double")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, block in frame.iterrows():
+                own = trials.get(block["ticker"], ())
+                if own:
+                    loss, covered = _evaluated(block, own, tails)
+                    at, t = np.nonzero(np.isfinite(loss))
+                    values = np.array([x.value for x in own])
+                    yield pd.DataFrame({"ticker": block["ticker"], "fold": block["fold"][at], "origin": block["origin"][at], "value": values[t], "loss": loss[at, t], "covered": covered[at, t]})
+
+    return context.mapInPandas(work, "ticker string, fold int, origin long, value double, loss double, covered double")
+
+
+def with_baseline(context: DataFrame, base: DataFrame) -> DataFrame:
+    """``context`` with ``base``: the baseline's loss of each origin of a block, in order; not a number where there is none."""
+    dealt = context.select("ticker", "block", F.posexplode("origin").alias("at", "origin"))
+    both = dealt.join(base.select("ticker", "origin", "loss"), ["ticker", "origin"], "left")
+    held = both.groupBy("ticker", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("loss", F.lit(float("nan"))).alias("loss")))), lambda x: x["loss"]).alias("base"))  # at most BLOCK values
+    return context.join(held, ["ticker", "block"])
+
+
+def _ratios(context: DataFrame, trials: Mapping[str, Sequence[Trial]], tails: tuple[float, float], least: int) -> DataFrame:
+    """``scores`` from a context ``with_baseline``: a scan whose tasks add up, so only sums are shuffled."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, block in frame.iterrows():
+                own = trials.get(block["ticker"], ())
+                if not own:
+                    continue
+                loss, covered = _evaluated(block, own, tails)
+                kept, base = np.isfinite(loss), np.asarray(block["base"])[:, None]
+                known = kept & np.isfinite(base)
+                for fold in np.unique(block["fold"]):
+                    mine = (block["fold"] == fold)[:, None]
+                    add = lambda x, where: np.where(where & mine, x, 0.0).sum(axis=0)
+                    sums = pd.DataFrame({"ticker": block["ticker"], "fold": fold, "value": [t.value for t in own], "loss": add(loss, kept), "covered": add(covered, kept), "n": add(1.0, kept), "base": add(base, known), "base_n": add(1.0, known)})
+                    yield sums if fold == HOLDOUT else sums[[not t.held_only for t in own]]
+
+    sums = context.mapInPandas(work, "ticker string, fold int, value double, loss double, covered double, n double, base double, base_n double")
+    n, base = F.sum("n"), F.sum("base") / F.nullif(F.sum("base_n"), F.lit(0.0))
+    out = sums.groupBy("ticker", "fold", "value").agg((F.sum("loss") / F.nullif(n, F.lit(0.0)) / base).alias("ratio"), (F.sum("covered") / F.nullif(n, F.lit(0.0))).alias("coverage"), n.cast("long").alias("n"))
+    return out.where((F.col("n") >= least) & F.col("ratio").isNotNull())
 
 
 def scores(found: DataFrame, base: DataFrame, least: int) -> DataFrame:
@@ -181,10 +289,12 @@ def winners(found: DataFrame, nominal: float = 0.0) -> DataFrame:
     return held.groupBy("ticker").agg(F.min_by(F.struct("value", "ratio", "coverage"), F.struct("ratio", "value")).alias("w")).select("ticker", "w.*")
 
 
-def _round_of(context: DataFrame, base: DataFrame, trials: Mapping[str, Sequence[Trial]], nominal: float, tails: tuple[float, float], least: int) -> dict[str, float]:
+def _round_of(context: DataFrame, trials: Mapping[str, Sequence[Trial]], nominal: float, s: Settings, tails: tuple[float, float]) -> dict[str, float]:
     """The winning value of each ticker: one row for each, the only rows that come to the driver."""
-    found = scores(losses(context, trials, tails), base, least)
-    return {r["ticker"]: r["value"] for r in winners(found, nominal).collect()}
+    found = _ratios(context, trials, tails, s.least).cache()  # read for the folds, their mean and the holdout
+    best = {r["ticker"]: r["value"] for r in winners(found, nominal).collect()}
+    found.unpersist()
+    return best
 
 
 def refined(grid: Sequence[float], center: float, share: float) -> list[float]:
@@ -194,44 +304,84 @@ def refined(grid: Sequence[float], center: float, share: float) -> list[float]:
     return [round(v, 3) for v in np.arange(low, high + share * step / 2, share * step).tolist()]
 
 
-def calibrate(context: DataFrame, base: DataFrame, tickers: Iterable[str], s: Settings, features: Sequence[str] = FEATURES, grids: Mapping[str, Sequence[float]] = GRIDS) -> dict[str, dict[str, float]]:
+def calibrate(context: DataFrame, base: DataFrame | None, tickers: Iterable[str], s: Settings, features: Sequence[str] = FEATURES, grids: Mapping[str, Sequence[float]] = GRIDS) -> dict[str, dict[str, float]]:
     """Parameters of each ticker: passes over theta and the features until none moves by more than the tolerance, and one finer pass.
 
-    ``context`` and ``base`` are read many times: write them before. A ticker
-    without enough origins keeps zeros.
+    ``context`` is read many times: write it before, best ``with_baseline`` (then
+    ``base`` is None). A ticker is done with the passes when a whole one moved
+    nothing; one without enough origins keeps zeros.
     """
+    context = context if base is None else with_baseline(context, base).cache()
     names = ["theta", *features]
     best = {t: dict.fromkeys(names, 0.0) for t in tickers}
 
-    def one_pass(grid_of) -> float:
-        moved = 0.0
+    def one_pass(grid_of, of: Iterable[str]) -> set[str]:
+        """The tickers of which a parameter moved by more than the tolerance."""
+        before = {t: dict(best[t]) for t in of}
         for name in names:
-            trials = {t: [Trial(v, tuple({**p, name: v}.items()), s.tails) for v in sorted({*grid_of(name, p[name]), 0.0})] for t, p in best.items()}
-            for t, value in _round_of(context, base, trials, 0.0, s.tails, s.least).items():
-                moved = max(moved, abs(best[t][name] - value))
+            trials = {}
+            for t in before:
+                grid = grid_of(name, best[t][name])
+                trials[t] = [Trial(v, tuple({**best[t], name: v}.items()), s.tails, v not in grid) for v in sorted({*grid, 0.0})]
+            for t, value in _round_of(context, trials, 0.0, s, s.tails).items():
                 best[t][name] = value
-        return moved
+        return {t for t, old in before.items() if max(abs(best[t][n] - old[n]) for n in names) > s.tolerance}
 
+    moving = set(best)
     for _ in range(s.passes):
-        if one_pass(lambda name, _: grids[name]) <= s.tolerance:
+        moving = one_pass(lambda name, _: grids[name], moving)
+        if not moving:
             break
-    one_pass(lambda name, at: refined(grids[name], at, s.refine))
+    if s.refine:
+        one_pass(lambda name, at: refined(grids[name], at, s.refine), best)
     return best
 
 
-def calibrate_reads(context: DataFrame, base: DataFrame, params: Mapping[str, Mapping[str, float]], s: Settings, span: float = 0.04, step: float = 0.01) -> dict[str, tuple[float, float]]:
-    """For each ticker the quantiles to read instead of the nominal ones: first the low one, then the high one. ``base`` is that of the level."""
-    reads = dict.fromkeys(params, s.tails)
+def calibrate_reads(context: DataFrame, base: DataFrame | None, params: Mapping[str, Mapping[str, float]], s: Settings, span: float = 0.04, step: float = 0.01, tails: tuple[float, float] | None = None) -> dict[str, tuple[float, float]]:
+    """For each ticker the quantiles to read instead of the nominal ones: first the low one, then the high one. ``base`` is that of the level, whose tails are ``tails`` (those of the settings, if None)."""
+    context = context if base is None else with_baseline(context, base).cache()
+    tails = tails or s.tails
+    reads = dict.fromkeys(params, tails)
     for side in (0, 1):
-        nominal = s.tails[side]
+        nominal = tails[side]
         ends = (1e-3, 0.5 - 1e-3) if side == 0 else (0.5 + 1e-3, 1 - 1e-3)
-        grid = sorted({round(v, 3) for v in np.arange(max(ends[0], nominal - span), min(ends[1], nominal + span) + step / 2, step).tolist()} | {round(nominal, 3)})
-        trials = {t: [Trial(v, tuple(p.items()), (v, reads[t][1]) if side == 0 else (reads[t][0], v)) for v in grid] for t, p in params.items()}
-        for t, value in _round_of(context, base, trials, nominal, s.tails, s.least).items():
+        grid = {round(v, 3) for v in np.arange(max(ends[0], nominal - span), min(ends[1], nominal + span) + step / 2, step).tolist()}
+        trials = {t: [Trial(v, tuple(p.items()), (v, reads[t][1]) if side == 0 else (reads[t][0], v), v not in grid) for v in sorted(grid | {round(nominal, 3)})] for t, p in params.items()}
+        for t, value in _round_of(context, trials, nominal, s, tails).items():
             reads[t] = (value, reads[t][1]) if side == 0 else (reads[t][0], value)
     return reads
 
 
+def calibration(bars: DataFrame, s: Settings = Settings(), features: Sequence[str] = FEATURES, grids: Mapping[str, Sequence[float]] = GRIDS, levels: Sequence[float] = ()) -> DataFrame:
+    """(ticker, level, theta, <features>, read_low, read_high, ratio, plain_ratio, coverage, n): the whole calibration of each ticker.
+
+    Parameters are found at the level of the settings, quantiles to read at it
+    and at each of ``levels``. ``ratio`` and ``coverage`` are those of the
+    holdout with both, ``plain_ratio`` is that of no parameter. The contexts are
+    written once; a round of the descent scans them without a sort or a shuffle
+    of windows. Tickers without enough bars for the folds have no row.
+    """
+    spark = bars.sparkSession
+    blocks = written(contexts(bars, s, features), "contexts")
+    tickers = sorted(r["ticker"] for r in blocks.select("ticker").distinct().collect())  # a row for each ticker
+    names, out, best = ["theta", *features], None, {}
+    for level in dict.fromkeys((s.level, *levels)):
+        tails = replace(s, level=level).tails
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        context = written(with_baseline(blocks, baseline(bars, s, tails)).repartition(tasks), "blocks")
+        best = best or calibrate(context, None, tickers, s, features, grids)
+        reads = calibrate_reads(context, None, best, s, tails=tails)
+        rows = [(t, float(level), *[best[t][n] for n in names], *reads[t]) for t in tickers]
+        found = spark.createDataFrame(rows, ", ".join(["ticker string, level double", *[f"{n} double" for n in names], "read_low double", "read_high double"]))
+        trials = {t: [Trial(0.0, (), tails), Trial(1.0, tuple(best[t].items()), reads[t])] for t in tickers}
+        held = _ratios(context, trials, tails, s.least).where(F.col("fold") == HOLDOUT)
+        read = lambda v, c: F.max(F.when(F.col("value") == v, F.col(c)))
+        final = held.groupBy("ticker").agg(read(1.0, "ratio").alias("ratio"), read(0.0, "ratio").alias("plain_ratio"), read(1.0, "coverage").alias("coverage"), read(1.0, "n").alias("n"))
+        both = found.join(final, "ticker")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def fresh(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """``wanted`` with whether a calibration of exactly its h_steps, p and theiler is stored; others are no substitute."""
     from ..operators.store import with_flag

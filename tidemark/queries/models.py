@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import bars, neighbors, quantile, ranks, trend, zigzag
@@ -355,6 +357,53 @@ def candidate_values(spark, sf):
     return calibrate.candidates(written(_scores(spark, sf), "scores"))
 
 
+_STEP_GRID = (0.0, 2.0, 4.0, 6.0, 8.0)
+
+
+def _step(name: str, exponent: str, source: str) -> str:
+    """One step of the descent in SQL: scores of a grid ``v``, candidates of the folds and their mean, and the winner on the holdout."""
+    return f"""g_{name} AS (SELECT c.*, v AS value, exp(-({exponent})) AS w FROM {source} c, (SELECT unnest({list(_STEP_GRID)}::DOUBLE[]) AS v)),
+p_{name} AS (SELECT ticker, fold, value, avg({_loss('')}) AS loss, avg((anchor * (1 + lo) <= alow AND ahigh <= anchor * (1 + hi))::INT) AS coverage, count(*) AS n FROM {_both(f'g_{name}', _BY + ', value', 'w')} GROUP BY 1, 2, 3),
+s_{name} AS (SELECT p.ticker, p.fold, p.value, p.loss / u.loss AS ratio, p.coverage, p.n FROM p_{name} p JOIN pbu u USING (ticker, fold) WHERE p.n >= 25),
+m_{name} AS (SELECT ticker, fold, value, avg(ratio) OVER w AS s FROM s_{name} WHERE fold >= 0 WINDOW w AS (PARTITION BY ticker, fold ORDER BY value ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) QUALIFY count(*) OVER w = 3),
+a_{name} AS (SELECT ticker, value, avg(ratio) OVER w AS s FROM (SELECT ticker, value, avg(ratio) AS ratio FROM s_{name} WHERE fold >= 0 GROUP BY 1, 2) WINDOW w AS (PARTITION BY ticker ORDER BY value ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) QUALIFY count(*) OVER w = 3),
+c_{name} AS (SELECT DISTINCT ticker, value FROM (SELECT ticker, min_by(value, s) AS value FROM m_{name} GROUP BY ticker, fold UNION ALL SELECT ticker, min_by(value, s) FROM a_{name} GROUP BY ticker UNION ALL SELECT DISTINCT ticker, 0.0 FROM s_{name})),
+won_{name} AS (SELECT ticker, min_by(value, ratio) AS {name}, min(ratio) AS ratio, min_by(coverage, ratio) AS coverage FROM s_{name} JOIN c_{name} USING (ticker, value) WHERE fold = -1 GROUP BY ticker)"""
+
+
+_RANKED_CONTEXT = _CONTEXT.format(delays="shapes").replace("x.win, q.win AS qwin", "x.win, q.win AS qwin, power(x.rank_velocity - q.rank_velocity, 2) AS sq")
+_PASS = (
+    f"""shapes AS (SELECT d.*, b.rank_velocity FROM delays d JOIN bar_ranks b ON b.ticker = d.ticker AND b.begin = d.begin WHERE b.rank_velocity IS NOT NULL),
+{_RANKED_CONTEXT},
+far AS (SELECT *, d / greatest(avg(d) OVER (PARTITION BY ticker, fold, o), 1e-10) AS dd FROM (SELECT *, {_l2('win', 'qwin')} AS d FROM ctx)),
+{_SCORES[_SCORES.index('plain AS'):_SCORES.index(',' + chr(10) + 'scores AS')]}""",
+    _step("theta", "v * dd", "far"),
+    _step("velocity", "theta * dd + v * sq", "(SELECT * FROM far JOIN won_theta USING (ticker))"),
+)
+
+
+@query(on_bars("walk", f"SELECT t.ticker, theta, velocity, {r('v.ratio')} AS ratio, {r('v.coverage')} AS coverage FROM won_theta t JOIN won_velocity v ON v.ticker = t.ticker",
+    PLACED, LOGGED, RAWS, RANKED, RATIOS, AHEAD.format(source="steps"), windows(8, source="ahead"), _LAST, *_PASS))
+def calibration_one_pass(spark, sf):
+    """One pass of the descent over theta and then, with the theta found, the weight of velocity."""
+    rows, used = walk(spark, sf), ("velocity",)
+    context = written(calibrate.with_baseline(calibrate.contexts(rows, _CAL, used), calibrate.baseline(rows, _CAL)), "blocks")
+    tickers = [x["ticker"] for x in context.select("ticker").distinct().collect()]
+    best = calibrate.calibrate(context, None, tickers, replace(_CAL, passes=1, refine=0.0), used, dict.fromkeys(("theta", *used), _STEP_GRID))
+    found = spark.createDataFrame([(t, p["theta"], p["velocity"]) for t, p in best.items()], "ticker string, theta double, velocity double")
+    trials = {t: [calibrate.Trial(1.0, tuple(p.items()), _CAL.tails)] for t, p in best.items()}
+    base = calibrate.baseline(rows, _CAL)
+    held = calibrate.scores(calibrate.losses(context, trials, _CAL.tails), base, _CAL.least).where(F.col("fold") == calibrate.HOLDOUT)
+    return shown(found.join(held, "ticker"), "ticker", "theta", "velocity", ratio=6, coverage=6)
+
+
+@query()
+def calibration(spark, sf):
+    """The whole calibration at the default folds and grids; a test scores the parameters found in SQL."""
+    found = calibrate.calibration(walk(spark, sf), levels=(75.0, 50.0))
+    return shown(found, "ticker", "level", "n", theta=3, **dict.fromkeys(ranks.FEATURES, 3), read_low=3, read_high=3, ratio=6, plain_ratio=6, coverage=6)
+
+
 # ── corridor ────────────────────────────────────────────────────────────────
 
 _H, _P, _N = 20, 20, 15_000
