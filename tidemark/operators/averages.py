@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .window import BY, Names, full, trailing
+from .recurrence import System, run
+from .window import BY, Names, full, numbered, trailing, whole, with_position
 
 
 def sma(bars: DataFrame, period: int, value: str = "close", name: str = "sma", by: Names = BY, order: str = "begin") -> DataFrame:
@@ -26,31 +24,28 @@ def wma(bars: DataFrame, period: int, value: str = "close", name: str = "wma", b
     return bars.withColumn(name, F.when(F.count(value).over(frame) == period, weighed / (period * (period + 1) / 2)))
 
 
-def ema(bars: DataFrame, period: int, value: str = "close", name: str = "ema", by: Names = BY, order: str = "begin") -> DataFrame:
+def ema(bars: DataFrame, period: int, value: str = "close", name: str = "ema", by: Names = BY, order: str = "begin", chunk: int | None = None) -> DataFrame:
     """Exponential mean: starts as the mean of the first ``period`` values, then moves by 2 / (``period`` + 1).
 
-    A recursion over the whole series, so a series is one group of a grouped
-    map; only its keys, order and value go through Python. Null values are an
-    error of the input and give null from there on.
+    A recurrence, so a series is one group of a grouped map, or with ``chunk``
+    groups of so many rows; only its keys, order and value go through Python.
+    Null values are an error of the input and give null from there on.
     """
-    fields = [*by, order]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        x = frame[value].to_numpy(dtype=float)
-        out = np.full(len(x), np.nan)
-        if len(x) >= period:
-            moved = np.concatenate(([x[:period].mean()], x[period:]))
-            out[period - 1 :] = pd.Series(moved).ewm(alpha=2 / (period + 1), adjust=False, ignore_na=False).mean()
-            bad = np.flatnonzero(np.isnan(x))
-            if len(bad):
-                out[bad[0] :] = np.nan
-        found = frame[fields].copy()
-        found[name] = pd.array(out, dtype="Float64") if not np.isnan(out).any() else [None if np.isnan(v) else v for v in out]
-        return found
-
-    schema = T.StructType([*[bars.schema[c] for c in fields], T.StructField(name, T.DoubleType())])
-    return bars.select(*fields, value).groupBy(*by).applyInPandas(run, schema)
+    alpha = 2 / (period + 1)
+    rows = bars.select(*by, order, value)
+    opening = F.when(F.col("i") < period, F.col(value))
+    if chunk:
+        placed = numbered(rows, by, order)
+        firsts = placed.where(F.col("i") < period).groupBy(*by).agg(F.avg(value).alias("_first"), F.count(value).alias("_known"))
+        on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
+        placed = placed.alias("x").join(firsts.alias("y"), on).select("x.*", "y._first", "y._known")
+    else:
+        placed = with_position(rows, by, order).withColumns({"_first": F.avg(opening).over(whole(by)), "_known": F.count(opening).over(whole(by))})
+    # the mean comes in where the average starts, and nothing before
+    start = F.when(F.col("_known") == period, F.col("_first") / alpha)
+    pushed = placed.select(*by, order, "i", F.when(F.col("i") < period - 1, 0.0).when(F.col("i") == period - 1, start).otherwise(F.col(value)).alias("_in"))
+    found = run(pushed, System([[1 - alpha]], [alpha], [[1 - alpha]], [alpha]), "_in", [name], by, order, chunk, ["i"])
+    return found.select(*by, order, F.when(F.col("i") >= period - 1, F.col(name)).alias(name))
 
 
 KINDS = {"sma": sma, "wma": wma, "ema": ema}

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import dot, total
+from .recurrence import System, chain, run
 from .window import BY, Names, series
 
 #: Fewer values than this give no spectrum.
@@ -77,44 +77,36 @@ def butterworth(cutoff: float, order: int = ORDER) -> list[tuple[float, ...]]:
     return sections
 
 
-def low_pass(x: np.ndarray, cutoff: float, order: int = ORDER) -> np.ndarray:
-    """``x`` through the filter, from a state of zero."""
-    out = x.tolist()
-    for b0, b1, b2, a1, a2 in butterworth(cutoff, order):
-        s1 = s2 = 0.0
-        for i, v in enumerate(out):
-            y = b0 * v + s1
-            s1 = b1 * v - a1 * y + s2
-            s2 = b2 * v - a2 * y
-            out[i] = y
-    return np.array(out, dtype=float)
+def section(b0: float, b1: float, b2: float, a1: float, a2: float) -> System:
+    """A second-order section as a recurrence of two states."""
+    return System([[-a1, 1.0], [-a2, 0.0]], [b1 - a1 * b0, b2 - a2 * b0], [[1.0, 0.0]], [b0])
+
+
+@cache
+def bank(cutoffs: tuple[float, ...] = CUTOFFS) -> System:
+    """The cascade as one recurrence: its outputs are what each low-pass leaves, slower and slower."""
+    whole = chain([section(*s) for cutoff in cutoffs for s in butterworth(cutoff)])
+    each = ORDER // 2
+    return System(whole.a, whole.b, whole.c[each - 1 :: each], whole.d[each - 1 :: each])
 
 
 def components(x: np.ndarray) -> np.ndarray:
     """Components of a series, quickest first: what each low-pass takes away of what the one before left, and the rest."""
-    parts, rest = [], x
-    for cutoff in CUTOFFS:
-        low = low_pass(rest, cutoff)
-        parts.append(rest - low)
-        rest = low
-    return np.array([*parts, rest])
-
-
-def filter_bank(steps: DataFrame, value: str = "dratio", by: Names = BY, order: str = "begin") -> DataFrame:
-    """(series, begin, comp_0 ... comp_5): the components of each series' known values. A recursion, so a grouped map."""
-    keys = [*by, order]
-    names = [f"comp_{k}" for k in range(len(CUTOFFS) + 1)]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        out = frame[keys].reset_index(drop=True)
-        for name, part in zip(names, components(frame[value].to_numpy(dtype=float)), strict=True):
-            out[name] = part
-        return out
-
-    known = steps.where(F.col(value).isNotNull()).select(*keys, value)
-    schema = T.StructType([*[steps.schema[c] for c in keys], *[T.StructField(n, T.DoubleType()) for n in names]])
-    return known.groupBy(*by).applyInPandas(run, schema)
+    left, _ = bank().run(np.asarray(x, dtype=float))
+    return np.vstack([np.vstack([x, left[:-1]]) - left, left[-1:]])
+
+
+def filter_bank(steps: DataFrame, value: str = "dratio", by: Names = BY, order: str = "begin", chunk: int | None = None) -> DataFrame:
+    """(series, begin, comp_0 ... comp_5): the components of each series' known values; with ``chunk``, long series are cut for many tasks."""
+    known = steps.where(F.col(value).isNotNull()).select(*by, order, value)
+    names = [f"_left_{k}" for k in range(len(CUTOFFS))]
+    # the input goes along as an output of its own
+    system = bank()
+    through = System(system.a, system.b, np.vstack([np.zeros(len(system.a)), system.c]), np.r_[1.0, system.d])
+    found = run(known, through, value, ["_left", *names], by, order, chunk)
+    left = ["_left", *names]
+    parts = [(F.col(a) - F.col(b)).alias(f"comp_{k}") for k, (a, b) in enumerate(zip(left, left[1:], strict=False))]
+    return found.select(*by, order, *parts, F.col(left[-1]).alias(f"comp_{len(CUTOFFS)}"))
 
 
 def pair_lags(cutoffs: tuple[float, ...] = CUTOFFS) -> list[tuple[int, int, int]]:

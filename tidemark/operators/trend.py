@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import steps_after
-from .window import BY, Names, full, series, so_far, trailing, whole, with_position
+from .window import BY, Names, full, numbered, series, so_far, trailing, whole, with_position
 
 #: Prices below are taken as this before a logarithm.
 FLOOR = 1e-10
@@ -110,6 +110,31 @@ def causal_trend(bars: DataFrame, value: str = "close", by: Names = BY, order: s
     return bars.withColumn("trend", trend).withColumn("ratio", F.col(value) / F.greatest(F.col("trend"), F.lit(FLOOR))).drop("_y")
 
 
+def causal_trend_in_chunks(bars: DataFrame, value: str = "close", rows: int = 100_000, by: Names = BY, order: str = "begin") -> DataFrame:
+    """``causal_trend`` for series that no task should hold: running sums within chunks of ``rows`` bars, added to those of the chunks before.
+
+    Log prices count from the series' first, so that long sums lose nothing.
+    """
+    y = F.ln(F.greatest(F.col(value), F.lit(FLOOR)))
+    placed = numbered(bars, by, order).withColumns({"_chunk": F.floor(F.col("i") / rows), "_y": y})
+    on = lambda *names: [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, *names)]
+    first = placed.where("i = 0").select(*by, F.col("_y").alias("_first"))
+    placed = placed.alias("x").join(first.alias("y"), on()).select("x.*", "y._first").withColumn("_y", F.col("_y") - F.col("_first"))
+    sums = placed.groupBy(*by, "_chunk").agg(F.sum("_y").alias("_sy"), F.sum(F.col("i") * F.col("_y")).alias("_siy"))  # a row for each chunk
+    before = so_far(by, "_chunk")
+    starts = sums.select(*by, "_chunk", *[(F.sum(c).over(before) - F.col(c)).alias(c) for c in ("_sy", "_siy")])
+    over = so_far((*by, "_chunk"), order)
+    held = placed.alias("x").join(starts.alias("y"), on("_chunk")).select("x.*", "y._sy", "y._siy")
+    held = held.withColumns({"_sy": F.col("_sy") + F.sum("_y").over(over), "_siy": F.col("_siy") + F.sum(F.col("i") * F.col("_y")).over(over)})
+    n = (F.col("i") + 1).cast("double")
+    middle = F.col("i") / 2
+    slope = F.when(F.col("i") > 0, (F.col("_siy") - middle * F.col("_sy")) / (n * (n * n - 1) / 12)).otherwise(0.0)
+    held = held.withColumn("log_b", slope).withColumn("log_a", F.col("_first") + F.col("_sy") / n - F.col("log_b") * middle)
+    trend = F.when(F.col("i") < 2, F.col(value)).otherwise(F.exp(F.col("log_a") + F.col("log_b") * F.col("i")))
+    out = held.withColumn("trend", trend).withColumn("ratio", F.col(value) / F.greatest(F.col("trend"), F.lit(FLOOR)))
+    return out.drop("_chunk", "_y", "_first", "_sy", "_siy")
+
+
 def ratio_steps(ratios: DataFrame, by: Names = BY, order: str = "begin") -> DataFrame:
     """``ratios`` with dratio, the change of ratio that a bar brings; null for the first."""
     return ratios.withColumn("dratio", F.col("ratio") - F.lag("ratio").over(series(by, order)))

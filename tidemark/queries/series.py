@@ -346,7 +346,49 @@ def stft_power(spark, sf):
     return shown(spectral.spectrogram(trend.ratio_steps(trend.causal_trend(walk(spark, sf)))), "ticker", "segment", "time", "freq", db=5)
 
 
-@query()
+def _bank() -> str:
+    """The cascade value by value: a recursion whose rows hold the states of all sections."""
+    sections = [(k, j, c) for k, cutoff in enumerate(spectral.CUTOFFS) for j, c in enumerate(spectral.butterworth(cutoff))]
+    last = max(j for _, j, _ in sections)
+    level = "SELECT z.*, b.dratio AS r_0 FROM bank z JOIN known b ON b.ticker = z.ticker AND b.n = z.n + 1"
+    for k, j, (b0, *_) in sections:
+        source = f"r_{k}" if j == 0 else f"y_{k}_{j - 1}"
+        level = f"SELECT *, {b0!r}::DOUBLE * {source} + s1_{k}_{j} AS y_{k}_{j} FROM ({level})"
+        if j == last:
+            level = f"SELECT *, y_{k}_{j} AS r_{k + 1} FROM ({level})"
+    states = ", ".join(
+        f"{b1!r}::DOUBLE * {'r_' + str(k) if j == 0 else f'y_{k}_{j - 1}'} - {a1!r}::DOUBLE * y_{k}_{j} + s2_{k}_{j}, {b2!r}::DOUBLE * {'r_' + str(k) if j == 0 else f'y_{k}_{j - 1}'} - {a2!r}::DOUBLE * y_{k}_{j}"
+        for k, j, (_, b1, b2, a1, a2) in sections
+    )
+    zeros = ", ".join(f"0.0::DOUBLE AS s1_{k}_{j}, 0.0::DOUBLE AS s2_{k}_{j}" for k, j, _ in sections)
+    m = len(spectral.CUTOFFS)
+    parts = ", ".join([*[f"r_{k} - r_{k + 1}" for k in range(m)], f"r_{m}"])
+    nulls = ", ".join(f"NULL::DOUBLE AS comp_{k}" for k in range(m + 1))
+    return f"""known AS (SELECT ticker, begin, dratio, row_number() OVER (PARTITION BY ticker ORDER BY begin) - 1 AS n FROM steps WHERE dratio IS NOT NULL),
+bank AS (SELECT DISTINCT ticker, -1::BIGINT AS n, {nulls}, {zeros} FROM known
+  UNION ALL SELECT ticker, n + 1, {parts}, {states} FROM ({level}))"""
+
+
+_FILTERED = on_bars("walk", f"SELECT ticker, k.begin, {', '.join(f'{r(f'comp_{k}', 9)} AS comp_{k}' for k in range(6))} FROM bank JOIN known k USING (ticker, n)", PLACED, RATIOS, _bank(), recursive=True)
+
+
+@query(_FILTERED)
 def filter_bank(spark, sf):
     found = spectral.filter_bank(trend.ratio_steps(trend.causal_trend(walk(spark, sf))))
     return shown(found, "ticker", "begin", **{f"comp_{k}": 9 for k in range(6)})
+
+
+@query(_FILTERED)
+def filter_bank_in_chunks(spark, sf):
+    found = spectral.filter_bank(trend.ratio_steps(trend.causal_trend(walk(spark, sf))), chunk=500)
+    return shown(found, "ticker", "begin", **{f"comp_{k}": 9 for k in range(6)})
+
+
+@query(SQL["ema_20"])
+def ema_20_in_chunks(spark, sf):
+    return shown(averages.ema(raw(spark, sf), 20, chunk=500), "ticker", "begin", ema=6)
+
+
+@query(SQL["logtrend_ratio"])
+def logtrend_in_chunks(spark, sf):
+    return shown(trend.causal_trend_in_chunks(walk(spark, sf), rows=500), "ticker", "begin", trend=6, ratio=9)
