@@ -176,3 +176,38 @@ def test_calibration_is_the_plain_descent(spark):
 
 def test_calibration_without_history_has_no_row(spark):
     assert calibrate.calibration(series(spark, 120)).count() == 0
+
+
+def test_mixtures_are_fixed_points_in_sql(spark):
+    """One more step of expectation-maximisation, in SQL over the paths, gains less than the fit's last step may; no single normal has a smaller BIC."""
+    import duckdb
+
+    s = regime.Settings(horizon=3, warmup=80, theiler=5, lookback=2, bars=0)
+    rows = series(spark, 330)
+    duck = duckdb.connect()
+    duck.register("paths", regime.price_paths(rows, 2, settings=s).toPandas())
+    duck.register("parts", regime.scenarios(rows, 2, settings=s).toPandas())
+    found = duck.sql(f"""
+WITH points AS (SELECT back, h, path, price AS x, weight / sum(weight) OVER (PARTITION BY back, h) AS w FROM paths),
+spread AS (SELECT back, h, sum(w * x) AS m, sqrt(sum(w * x * x) - sum(w * x) ** 2) AS sd FROM points GROUP BY 1, 2),
+dense AS (SELECT p.*, part, mean, std, q.weight * exp(-0.5 * ((x - mean) / std) ** 2) / std / sqrt(2 * pi()) AS f FROM points p JOIN parts q USING (back, h)),
+shared AS (SELECT *, f / sum(f) OVER (PARTITION BY back, h, path) AS part_of FROM dense),
+step AS (SELECT back, h, part, sum(w * part_of) AS mass, sum(w * part_of * x) / sum(w * part_of) AS mean FROM shared GROUP BY 1, 2, 3),
+moved AS (SELECT a.back, a.h, a.part, any_value(b.mass) AS mass, any_value(b.mean) AS mean, sqrt(greatest(sum(w * part_of * (x - b.mean) ** 2) / any_value(b.mass), (1e-3 * any_value(sd)) ** 2)) AS std
+  FROM shared a JOIN step b ON a.back = b.back AND a.h = b.h AND a.part = b.part JOIN spread c ON c.back = a.back AND c.h = a.h GROUP BY 1, 2, 3),
+before AS (SELECT back, h, sum(w * ln(f)) AS fit FROM (SELECT back, h, path, any_value(w) AS w, sum(f) AS f FROM dense GROUP BY 1, 2, 3) GROUP BY 1, 2),
+after AS (SELECT back, h, sum(w * ln(f)) AS fit FROM (SELECT p.back, p.h, path, any_value(w) AS w, sum(mass * exp(-0.5 * ((x - mean) / std) ** 2) / std / sqrt(2 * pi())) AS f FROM points p JOIN moved m ON m.back = p.back AND m.h = p.h GROUP BY 1, 2, 3) GROUP BY 1, 2),
+size AS (SELECT back, h, count(*) AS k FROM parts GROUP BY 1, 2)
+SELECT a.back, a.h, k, a.fit - b.fit AS gain, -2 * {s.sample} * b.fit + (3 * k - 1) * ln({s.sample}) AS bic, -2 * {s.sample} * (-ln(sd) - 0.5 * ln(2 * pi()) - 0.5) + 2 * ln({s.sample}) AS bic_of_one
+FROM after a JOIN before b ON a.back = b.back AND a.h = b.h JOIN size z ON z.back = a.back AND z.h = a.h JOIN spread c ON c.back = a.back AND c.h = a.h""").df()
+    assert len(found) == 6 and found["gain"].between(-1e-12, regime.GAIN).all() and (found["bic"] <= found["bic_of_one"] + 1e-6).all() and found["k"].max() > 1
+
+
+def test_few_candidates_make_no_search(spark):
+    """With too little of the past a search has no candidates, and one with enough takes all the weight."""
+    s = regime.Settings(horizon=4, warmup=80, theiler=5, lookback=2, bars=0, volatility=30)
+    rows = series(spark, 90 + 80 + 4)
+    found = regime.pools(regime.featured(rows, 1, 1, s), s).groupBy("search").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
+    by = {r["search"]: r for r in found}
+    assert sum(r["w"] for r in found) == pytest.approx(1.0) and len({round(r["w"], 9) for r in found}) == 1
+    assert all(r["n"] >= s.least for r in found) and by

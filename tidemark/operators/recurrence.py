@@ -55,7 +55,7 @@ class System:
         for j, v in enumerate(x[k * BLOCK :]):
             rest[j] = self.c @ state + self.d * v
             state = self.a @ state + self.b * v
-        return np.concatenate((out.reshape(k * BLOCK, -1), rest)).T, state
+        return np.concatenate((out.reshape(k * BLOCK, len(self.d)), rest)).T, state
 
     def after(self, x: np.ndarray) -> np.ndarray:
         """What values leave of a state of zero."""

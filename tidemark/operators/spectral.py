@@ -96,17 +96,20 @@ def components(x: np.ndarray) -> np.ndarray:
     return np.vstack([np.vstack([x, left[:-1]]) - left, left[-1:]])
 
 
-def filter_bank(steps: DataFrame, value: str = "dratio", by: Names = BY, order: str = "begin", chunk: int | None = None) -> DataFrame:
-    """(series, begin, comp_0 ... comp_5): the components of each series' known values; with ``chunk``, long series are cut for many tasks."""
-    known = steps.where(F.col(value).isNotNull()).select(*by, order, value)
+def filter_bank(steps: DataFrame, value: str = "dratio", by: Names = BY, order: str = "begin", chunk: int | None = None, keep: Names = ()) -> DataFrame:
+    """(series, begin, comp_0 ... comp_5): the components of each series' known values; with ``chunk``, long series are cut for many tasks.
+
+    ``keep`` names columns that go along.
+    """
+    known = steps.where(F.col(value).isNotNull()).select(*by, order, *keep, value)
     names = [f"_left_{k}" for k in range(len(CUTOFFS))]
     # the input goes along as an output of its own
     system = bank()
     through = System(system.a, system.b, np.vstack([np.zeros(len(system.a)), system.c]), np.r_[1.0, system.d])
-    found = run(known, through, value, ["_left", *names], by, order, chunk)
+    found = run(known, through, value, ["_left", *names], by, order, chunk, keep)
     left = ["_left", *names]
     parts = [(F.col(a) - F.col(b)).alias(f"comp_{k}") for k, (a, b) in enumerate(zip(left, left[1:], strict=False))]
-    return found.select(*by, order, *parts, F.col(left[-1]).alias(f"comp_{len(CUTOFFS)}"))
+    return found.select(*by, order, *keep, *parts, F.col(left[-1]).alias(f"comp_{len(CUTOFFS)}"))
 
 
 def pair_lags(cutoffs: tuple[float, ...] = CUTOFFS) -> list[tuple[int, int, int]]:

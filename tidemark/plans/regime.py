@@ -1,8 +1,9 @@
 """Scenarios: analogs of the same volatility regime, several lagged searches pooled, and mixtures fitted to their paths.
 
-An origin needs the filters over its own ratios (over its own trend line), so
-(series, origin) is the group of a grouped map; origins are exploded before, and
-a group holds one series up to its origin.
+An origin has its own trend line, so (ticker, back) is a series of ratios of its
+own; ``back`` counts origins from the last one. Filters, regimes, searches,
+weights and paths are columns over windows of one partitioning; only the filters'
+recurrence and the fit of a mixture run in Python, on groups of bounded size.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..operators.spectral import components, pair_lags
+from ..functions.scalars import total
+from ..operators.spectral import CUTOFFS, filter_bank, pair_lags
 from ..operators.trend import anchored
 from ..operators.window import whole, with_position
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -41,65 +45,70 @@ def origins(bars: DataFrame, n: int, step: int = 1) -> DataFrame:
     return out.where((F.col("i") <= F.col("_last") - F.col("back") * step) & (F.col("_last") - F.col("back") * step >= 10)).drop("_last")
 
 
-def volatility(steps: np.ndarray, window: int) -> np.ndarray:
-    out = np.full(len(steps), np.nan)
-    if len(steps) >= window:
-        out[window - 1 :] = np.lib.stride_tricks.sliding_window_view(steps, window).std(axis=1)
-    return out
+GROUP = ("ticker", "back")
+#: The features of a place: each component now and at its lags.
+FEATURES = [(k, lag) for k, three in enumerate(pair_lags()) for lag in three]
 
 
-def labels(vol: np.ndarray) -> np.ndarray:
-    known = vol[np.isfinite(vol)]
-    cuts = np.quantile(known, [1 / 3, 2 / 3]) if len(known) > 10 else np.empty(0)
-    return np.where(np.isfinite(vol), (vol[:, None] > cuts).sum(axis=1), -1)
+def featured(bars: DataFrame, n: int, step: int, s: Settings) -> DataFrame:
+    """The steps of the ratio of each origin's series: ``place`` from 0, ``features``, ``regime``, the ratio, and the ratios of the bars after it.
 
-
-def analogs(steps: np.ndarray, at: int, ahead: int, s: Settings, regime: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Places after which the series went on as it may after ``at``, with weights; None if there are too few.
-
-    Features are the components at three lags each, scaled by the deviation of
-    the pool; the kernel is Gaussian with the mean distance over theta.
+    The ratio is that over one line fitted up to the origin. Volatility is the
+    deviation of the last steps; its terciles over all of the origin's history
+    part the regimes 0, 1 and 2, and -1 is where it is not known.
     """
-    lags = [(k, lag) for k, three in enumerate(pair_lags()) for lag in three]
-    first = max(s.warmup, max(lag for _, lag in lags))
-    places = np.arange(first, at - ahead + 1)
-    if len(places) < s.least:
-        return None
-    parts = components(steps[: at + 1])
-    far = np.abs(at - places) > s.theiler
-    if s.theiler > 0 and far.sum() >= s.least:
-        places = places[far]
-    same = regime[places] == regime[at]
-    if regime[at] >= 0 and same.sum() >= s.least_regime:
-        places = places[same]
-    rows = np.column_stack([parts[k, places - lag] for k, lag in lags])
-    query = np.array([parts[k, at - lag] for k, lag in lags])
-    d = np.linalg.norm((rows - query) / np.maximum(rows.std(axis=0), 1e-12), axis=1)
-    width = (d.mean() or 1.0) / s.theta
-    w = np.exp(-0.5 * (d / width) ** 2)
-    return (places, w / w.sum()) if np.isfinite(w.sum()) and w.sum() > 0 else None
-
-
-def pooled_paths(ratio: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, int] | None:
-    """Ratio paths of the horizon after the last bar, weights, and its regime.
-
-    Searches from the last bar and from some bars before, whose paths run on to
-    the same horizon; each search weighs the same.
+    over = W.partitionBy(*GROUP)
+    run = over.orderBy("i")
+    held = anchored(origins(bars.select("ticker", "begin", "close"), n, step), by=GROUP)
+    held = held.withColumn("last", F.max("i").over(over))
+    held = held.where(F.col("i") >= F.col("last") - s.bars) if s.bars > 0 else held
+    # the place of a step is that of the bar before it among the bars in use
+    held = held.withColumns({"place": F.row_number().over(run) - 2, "_step": F.col("ratio_close") - F.lag("ratio_close").over(run)})
+    kept = ["i", "last", "place", "close", "ratio_close", "log_a", "log_b", "_step"]
+    parts = filter_bank(held, "_step", GROUP, "begin", keep=kept[:-1])
+    parts = parts.withColumn("_step", sum((F.col(f"comp_{k}") for k in range(1, len(CUTOFFS) + 1)), F.col("comp_0")))
+    width = run.rowsBetween(1 - s.volatility, 0)
+    parts = parts.withColumn("vol", F.when(F.count("*").over(width) == s.volatility, F.stddev_pop("_step").over(width)))
+    parts = parts.withColumns({
+        "features": F.array(*[F.lag(f"comp_{k}", lag).over(run) for k, lag in FEATURES]),
+        "ahead": F.collect_list("ratio_close").over(run.rowsBetween(1, s.horizon + s.lookback * s.lookback_step)),
+        "cuts": F.when(F.count("vol").over(over) > 10, F.percentile("vol", F.array(F.lit(1 / 3), F.lit(2 / 3))).over(over)),
+    })
+    label = F.when(F.col("vol").isNull(), -1).when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("vol"))))
+    return parts.withColumn("regime", label.cast("int")).select(*GROUP, "begin", *kept[:-1], "features", "ahead", "regime")
+
+
+def pools(steps: DataFrame, s: Settings) -> DataFrame:
+    """(ticker, back, search, place, weight, ...): places after which a series went on as it may after an origin.
+
+    A search starts at the origin's last bar or some bars before it; its paths
+    run on to the same horizon. Candidates lie within the warmed-up past whose
+    paths are complete; of these, those further than ``theiler`` if enough
+    remain, and of these, those of the search's regime if enough remain.
+    Features are scaled by their deviation over the pool; the kernel is Gaussian
+    with the mean distance over theta. Each search weighs the same, and searches
+    with fewer than ``least`` candidates have none.
     """
-    steps = np.diff(ratio)
-    at = len(steps) - 1
-    regime = labels(volatility(steps, s.volatility))
-    paths, weights = [], []
-    for k in range(0, s.lookback * s.lookback_step + 1, s.lookback_step):
-        found = analogs(steps, at - k, s.horizon + k, s, regime) if at >= k else None
-        if found:
-            places, w = found
-            moved = np.cumsum(steps[places[:, None] + 1 + np.arange(s.horizon + k)], axis=1)
-            paths.append(ratio[at - k + 1] + moved[:, k:])
-            weights.append(w)
-    if not paths:
-        return None
-    return np.vstack(paths), np.concatenate(weights) / len(weights), int(regime[at]) if at >= 0 else -1
+    first = max(s.warmup, max(lag for _, lag in FEATURES))
+    searches = F.array(*[F.lit(k) for k in range(0, s.lookback * s.lookback_step + 1, s.lookback_step)])
+    starts = steps.select(*GROUP, F.col("i").alias("_i"), F.col("last").alias("_last"), F.explode(searches).alias("search"), F.col("place").alias("from_place"), F.col("features").alias("query"), F.col("regime").alias("from_regime"), F.col("ratio_close").alias("from_ratio"))
+    starts = starts.where(F.col("_i") == F.col("_last") - F.col("search")).drop("_i", "_last")
+    pairs = steps.join(starts, list(GROUP)).where((F.col("place") >= first) & (F.col("place") <= F.col("from_place") - s.horizon - F.col("search")))
+    group = W.partitionBy(*GROUP, "search")
+    far = F.col("from_place") - F.col("place") > s.theiler
+    pairs = pairs.withColumns({"_n": F.count("*").over(group), "_far": F.count(F.when(far, 1)).over(group)}).where(F.col("_n") >= s.least)
+    if s.theiler > 0:
+        pairs = pairs.where(far | (F.col("_far") < s.least))
+    same = F.col("regime") == F.col("from_regime")
+    pairs = pairs.withColumn("_same", F.count(F.when(same, 1)).over(group))
+    pairs = pairs.where(same | (F.col("_same") < s.least_regime) | (F.col("from_regime") < 0))
+    scaled = F.array(*[F.pow((F.get("features", F.lit(c)) - F.get("query", F.lit(c))) / F.greatest(F.stddev_pop(F.get("features", F.lit(c))).over(group), F.lit(1e-12)), 2) for c in range(len(FEATURES))])
+    pairs = pairs.withColumn("d", F.sqrt(total(scaled)))
+    mean = F.avg("d").over(group)
+    width = F.when(mean > 0, mean).otherwise(1.0) / s.theta
+    pairs = pairs.withColumn("w", F.exp(-0.5 * F.pow(F.col("d") / width, 2))).withColumn("_sum", F.sum("w").over(group)).where("_sum > 0")
+    found = F.size(F.collect_set("search").over(W.partitionBy(*GROUP)))
+    return pairs.withColumn("weight", F.col("w") / F.col("_sum") / found).select(*GROUP, "search", "place", "weight", "from_ratio", "ratio_close", "ahead", "d")
 
 
 #: Steps of a fit at most, and the gain in mean log-likelihood below which it ends.
@@ -143,58 +152,33 @@ def mixture(x: np.ndarray, w: np.ndarray, n: int) -> list[tuple[float, float, fl
     return best[1]
 
 
-PATHS = "ticker string, back int, origin timestamp, origin_price double, regime int, path int, weight double, h int, price double"
 MIXTURES = "ticker string, back int, origin timestamp, origin_price double, regime int, h int, part int, mean double, std double, weight double"
 
 
-def _snapshot(frame: pd.DataFrame, s: Settings):
-    """A group's head columns, price paths and weights, or None."""
-    frame = frame.sort_values("i", kind="stable")
-    last = frame.iloc[-1]
-    ratio = frame["ratio_close"].to_numpy(dtype=float)
-    if s.bars > 0:
-        ratio = ratio[-(s.bars + 1) :]
-    found = pooled_paths(ratio, s)
-    if found is None:
-        return None
-    paths, weights, regime = found
-    line = np.exp(last["log_a"] + last["log_b"] * (last["i"] + 1 + np.arange(s.horizon)))
-    head = {"ticker": last["ticker"], "back": int(last["back"]), "origin": last["begin"], "origin_price": last["close"], "regime": regime}
-    return head, paths * line, weights
-
-
-def _grouped(bars: DataFrame, n: int, step: int, work, schema: str) -> DataFrame:
-    held = anchored(origins(bars.select("ticker", "begin", "close"), n, step), by=("ticker", "back"))
-    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few, slow groups: not to be merged for their small rows
-    return held.repartition(tasks, "ticker", "back").groupBy("ticker", "back").applyInPandas(work, schema)
-
-
 def price_paths(bars: DataFrame, n: int = 1, step: int = 1, settings: Settings = Settings()) -> DataFrame:
-    """Weighted price paths of each origin in long form. Origins with too little history have none."""
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        found = _snapshot(frame, settings)
-        if found is None:
-            return pd.DataFrame(columns=[c.split()[0] for c in PATHS.split(", ")])
-        head, prices, weights = found
-        m, k = prices.shape
-        return pd.DataFrame({**head, "path": np.repeat(np.arange(m), k), "weight": np.repeat(weights, k), "h": np.tile(np.arange(1, k + 1), m), "price": prices.ravel()})
-
-    return _grouped(bars, n, step, work, PATHS)
+    """(ticker, back, origin, origin_price, regime, path, weight, h, price): weighted price paths of each origin. Origins with too little history have none."""
+    s = settings
+    steps = written(featured(bars, n, step, s), "steps")  # read for the searches and their candidates
+    heads = steps.where("i = last").select(*GROUP, F.col("begin").alias("origin"), F.col("close").alias("origin_price"), "regime", "last", "log_a", "log_b")
+    found = pools(steps, s).withColumn("path", F.row_number().over(W.partitionBy(*GROUP).orderBy("search", "place")) - 1)
+    moved = F.slice("ahead", F.col("search") + 1, F.lit(s.horizon))
+    found = found.select(*GROUP, "path", "weight", F.posexplode(F.transform(moved, lambda x: F.col("from_ratio") + x - F.col("ratio_close"))).alias("at", "ratio"))
+    line = F.exp(F.col("log_a") + F.col("log_b") * (F.col("last") + F.col("at") + 1))
+    return found.join(heads, list(GROUP)).select("ticker", "back", "origin", "origin_price", "regime", "path", "weight", (F.col("at") + 1).alias("h"), (F.col("ratio") * line).alias("price"))
 
 
 def scenarios(bars: DataFrame, n: int = 10, step: int = 1, settings: Settings = Settings()) -> DataFrame:
-    """Mixtures of each origin and step ahead, one row for each part."""
+    """Mixtures of each origin and step ahead, one row for each part; (ticker, back, h) is a group of bounded size, the origin's paths."""
+    heads = ["ticker", "back", "origin", "origin_price", "regime", "h"]
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        found = _snapshot(frame, settings)
-        if found is None:
-            return pd.DataFrame(columns=[c.split()[0] for c in MIXTURES.split(", ")])
-        head, prices, weights = found
-        rows = [{**head, "h": j + 1, "part": k, "mean": m, "std": sd, "weight": w} for j in range(prices.shape[1]) for k, (m, sd, w) in enumerate(mixture(prices[:, j], weights, settings.sample))]
-        return pd.DataFrame(rows)
-
-    return _grouped(bars, n, step, work, MIXTURES)
+        head = frame.iloc[0][heads].to_dict()
+        parts = mixture(frame["price"].to_numpy(), frame["weight"].to_numpy(), settings.sample)
+        return pd.DataFrame([{**head, "part": k, "mean": m, "std": sd, "weight": w} for k, (m, sd, w) in enumerate(parts)])
+
+    paths = price_paths(bars, n, step, settings)
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fits are slow for their rows: adaptive execution is not to merge them
+    return paths.repartition(4 * tasks, "ticker", "back", "h").groupBy("ticker", "back", "h").applyInPandas(work, MIXTURES)
 
 
 def dominant(mixtures: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..plans import band, calibrate, corridor, range_zones, regime, simplex
 from ..sources.fixtures import table, walk, written_once
 from ..sources.shared import written
 from .common import LOGGED, PLACED, RATIOS, on_bars, r, shown, weighted, windows
-from .series import AHEAD, RANKED, RAWS
+from .series import AHEAD, RANKED, RAWS, bank
 
 QUERIES, SQL = {}, {}
 
@@ -460,6 +460,44 @@ def corridor_bounds(spark, sf):
 
 # ── scenarios and ensembles ─────────────────────────────────────────────────
 
+_BACKS = 2
+_RS = regime.Settings()
+_FIRST = max(_RS.warmup, max(lag for _, lag in regime.FEATURES))
+_REGIME_STEPS = f"""origins AS (SELECT ticker, max(i) AS last FROM placed GROUP BY ticker),
+held AS (SELECT p.*, o.last - back AS last, back FROM placed p JOIN origins o USING (ticker), (SELECT unnest(range({_BACKS}))::INT AS back) WHERE p.i <= o.last - back),
+lined AS (SELECT * FROM held JOIN (SELECT ticker, back, regr_slope(ln(close), i) AS b, regr_intercept(ln(close), i) AS a FROM held GROUP BY 1, 2) USING (ticker, back)),
+moves AS MATERIALIZED (SELECT *, ratio - lag(ratio) OVER s AS move FROM (SELECT *, close / exp(a + b * i) AS ratio FROM lined) WHERE i >= last - {_RS.bars} WINDOW s AS (PARTITION BY ticker, back ORDER BY i)),
+{bank('moves', 'move', 'ticker, back')},
+parts AS (SELECT k.*, {', '.join(f'comp_{k}' for k in range(6))}, CASE WHEN count(*) OVER w = {_RS.volatility} THEN stddev_pop(move) OVER w END AS vol FROM known k JOIN bank USING (ticker, back, n) WINDOW w AS (PARTITION BY ticker, back ORDER BY n ROWS {_RS.volatility - 1} PRECEDING)),
+cuts AS (SELECT ticker, back, quantile_cont(vol, 1 / 3.0) AS c1, quantile_cont(vol, 2 / 3.0) AS c2, count(vol) AS known_vols FROM parts GROUP BY 1, 2),
+seen AS (SELECT p.*, CASE WHEN vol IS NULL THEN -1 WHEN known_vols <= 10 THEN 0 ELSE (vol > c1)::INT + (vol > c2)::INT END AS regime,
+  {', '.join(f'lag(comp_{k}, {lag}) OVER s AS f{c}' for c, (k, lag) in enumerate(regime.FEATURES))} FROM parts p JOIN cuts USING (ticker, back) WINDOW s AS (PARTITION BY ticker, back ORDER BY n))"""
+_DIMS = range(len(regime.FEATURES))
+_REGIME_POOL = f"""searches AS (SELECT ticker, back, last - i AS search, n AS q_n, regime AS q_regime, ratio AS q_ratio, {', '.join(f'f{c} AS q{c}' for c in _DIMS)} FROM seen WHERE last - i <= {_RS.lookback}),
+pool_0 AS (SELECT x.*, q.* EXCLUDE (ticker, back) FROM seen x JOIN searches q ON q.ticker = x.ticker AND q.back = x.back AND x.n >= {_FIRST} AND x.n <= q.q_n - {_RS.horizon} - q.search QUALIFY count(*) OVER (PARTITION BY x.ticker, x.back, search) >= {_RS.least}),
+pool_1 AS (SELECT * FROM pool_0 WINDOW g AS (PARTITION BY ticker, back, search) QUALIFY q_n - n > {_RS.theiler} OR count(*) FILTER (q_n - n > {_RS.theiler}) OVER g < {_RS.least}),
+pool_2 AS (SELECT * FROM pool_1 WINDOW g AS (PARTITION BY ticker, back, search) QUALIFY regime = q_regime OR q_regime < 0 OR count(*) FILTER (regime = q_regime) OVER g < {_RS.least_regime}),
+away AS (SELECT *, sqrt({' + '.join(f'power((f{c} - q{c}) / greatest(stddev_pop(f{c}) OVER g, 1e-12), 2)' for c in _DIMS)}) AS d FROM pool_2 WINDOW g AS (PARTITION BY ticker, back, search)),
+weighed AS (SELECT *, exp(-0.5 * power(d / (avg(d) OVER g / {_RS.theta}), 2)) AS w FROM away WINDOW g AS (PARTITION BY ticker, back, search)),
+analogs AS MATERIALIZED (SELECT *, w / sum(w) OVER (PARTITION BY ticker, back, search) / count(DISTINCT search) OVER (PARTITION BY ticker, back) AS weight FROM weighed)"""
+
+
+@query(on_bars("walk", f"SELECT ticker, back, search::INT AS search, n::INT AS place, {r('weight', 9)} AS weight, {r('d', 7)} AS d FROM analogs", PLACED, _REGIME_STEPS, _REGIME_POOL, recursive=True))
+def regime_pool(spark, sf):
+    """The candidates of all searches of the last origins, with their weights: 18 features, regimes and fallbacks."""
+    found = regime.pools(written(regime.featured(walk(spark, sf), _BACKS, 1, _RS), "steps"), _RS)
+    return shown(found, "ticker", "back", "search", "place", weight=9, d=7)
+
+
+@query(on_bars("walk", f"""SELECT g.ticker, g.back, h::INT AS h, count(*) AS paths, {r('sum(g.weight * (g.q_ratio + m.ratio - g.ratio) * exp(o.a + o.b * (o.i + h)))', 4)} AS mean, {r('min((g.q_ratio + m.ratio - g.ratio) * exp(o.a + o.b * (o.i + h)))', 4)} AS low
+FROM analogs g, (SELECT unnest(range(1, {_RS.horizon + 1})) AS h) JOIN moves m ON m.ticker = g.ticker AND m.back = g.back AND m.i = g.i + search + h JOIN moves o ON o.ticker = g.ticker AND o.back = g.back AND o.i = o.last GROUP BY 1, 2, 3""",
+    PLACED, _REGIME_STEPS, _REGIME_POOL, recursive=True))
+def regime_paths(spark, sf):
+    """The union of the lagged searches' paths, step by step: how many there are, their weighted mean and the lowest."""
+    found = regime.price_paths(walk(spark, sf), _BACKS).groupBy("ticker", "back", "h").agg(F.count("*").alias("paths"), F.sum(F.col("weight") * F.col("price")).alias("mean"), F.min("price").alias("low"))
+    return shown(found, "ticker", "back", "h", "paths", mean=4, low=4)
+
+
 @written_once
 def _mixtures(spark, sf):
     return regime.scenarios(walk(spark, sf))

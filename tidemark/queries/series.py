@@ -346,14 +346,15 @@ def stft_power(spark, sf):
     return shown(spectral.spectrogram(trend.ratio_steps(trend.causal_trend(walk(spark, sf)))), "ticker", "segment", "time", "freq", db=5)
 
 
-def _bank() -> str:
-    """The cascade value by value: a recursion whose rows hold the states of all sections."""
+def bank(source: str = "steps", value: str = "dratio", by: str = "ticker") -> str:
+    """The cascade value by value: a recursion whose rows hold the states of all sections, as the common table expressions known and bank."""
+    on = " AND ".join(f"b.{c.strip()} = z.{c.strip()}" for c in by.split(","))
     sections = [(k, j, c) for k, cutoff in enumerate(spectral.CUTOFFS) for j, c in enumerate(spectral.butterworth(cutoff))]
     last = max(j for _, j, _ in sections)
-    level = "SELECT z.*, b.dratio AS r_0 FROM bank z JOIN known b ON b.ticker = z.ticker AND b.n = z.n + 1"
+    level = f"SELECT z.*, b.{value} AS r_0 FROM bank z JOIN known b ON {on} AND b.n = z.n + 1"
     for k, j, (b0, *_) in sections:
-        source = f"r_{k}" if j == 0 else f"y_{k}_{j - 1}"
-        level = f"SELECT *, {b0!r}::DOUBLE * {source} + s1_{k}_{j} AS y_{k}_{j} FROM ({level})"
+        put_in = f"r_{k}" if j == 0 else f"y_{k}_{j - 1}"
+        level = f"SELECT *, {b0!r}::DOUBLE * {put_in} + s1_{k}_{j} AS y_{k}_{j} FROM ({level})"
         if j == last:
             level = f"SELECT *, y_{k}_{j} AS r_{k + 1} FROM ({level})"
     states = ", ".join(
@@ -364,12 +365,12 @@ def _bank() -> str:
     m = len(spectral.CUTOFFS)
     parts = ", ".join([*[f"r_{k} - r_{k + 1}" for k in range(m)], f"r_{m}"])
     nulls = ", ".join(f"NULL::DOUBLE AS comp_{k}" for k in range(m + 1))
-    return f"""known AS (SELECT ticker, begin, dratio, row_number() OVER (PARTITION BY ticker ORDER BY begin) - 1 AS n FROM steps WHERE dratio IS NOT NULL),
-bank AS (SELECT DISTINCT ticker, -1::BIGINT AS n, {nulls}, {zeros} FROM known
-  UNION ALL SELECT ticker, n + 1, {parts}, {states} FROM ({level}))"""
+    return f"""known AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY begin) - 1 AS n FROM {source} WHERE {value} IS NOT NULL),
+bank AS (SELECT DISTINCT {by}, -1::BIGINT AS n, {nulls}, {zeros} FROM known
+  UNION ALL SELECT {by}, n + 1, {parts}, {states} FROM ({level}))"""
 
 
-_FILTERED = on_bars("walk", f"SELECT ticker, k.begin, {', '.join(f'{r(f'comp_{k}', 9)} AS comp_{k}' for k in range(6))} FROM bank JOIN known k USING (ticker, n)", PLACED, RATIOS, _bank(), recursive=True)
+_FILTERED = on_bars("walk", f"SELECT ticker, k.begin, {', '.join(f'{r(f'comp_{k}', 9)} AS comp_{k}' for k in range(6))} FROM bank JOIN known k USING (ticker, n)", PLACED, RATIOS, bank(), recursive=True)
 
 
 @query(_FILTERED)
