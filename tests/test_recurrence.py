@@ -13,7 +13,7 @@ def plainly(system, x):
     for v in x:
         out.append(system.c @ state + system.d * v)
         state = system.a @ state + system.b * v
-    return np.array(out).reshape(len(x), -1).T, state
+    return np.array(out).reshape(len(x), len(system.d)).T, state
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 300])

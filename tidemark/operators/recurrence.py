@@ -41,8 +41,12 @@ class System:
                 self.forced[j, i] = pulse[i - j]
 
     def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(outputs, one row for each; the state after the last value)."""
+        """(outputs, one row for each; the state after the last value); not a number from the first such value on."""
         state = np.zeros(len(self.a)) if state is None else np.asarray(state, dtype=float)
+        unknown = np.flatnonzero(np.isnan(x))
+        if len(unknown):  # not within the products below, where it would reach back to its block's start
+            known, _ = self.run(x[: unknown[0]], state)
+            return np.hstack([known, np.full((len(self.d), len(x) - unknown[0]), np.nan)]), np.full(len(self.a), np.nan)
         n, k = len(x), len(x) // BLOCK
         blocks = np.asarray(x[: k * BLOCK], dtype=float).reshape(k, BLOCK)
         pushed = blocks @ self.ends
