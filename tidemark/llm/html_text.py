@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,6 +40,8 @@ BOILER = re.compile(
     r"header|masthead|footer|foot|copyright|legal|disclaimer|comments?|commentlist|respond|reply|replies|disqus|contentinfo|complementary|search)(?=$|[\s_-])",
     re.I,
 )
+#: Of these words, those that the article's own text may be named with too.
+WEAK = re.compile(r"(?:^|(?<=[\s_-]))(?:social|share|sharing|search|side|legal|alert|overlay)(?=$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+>)?", re.S)
@@ -50,38 +53,73 @@ _SPACE = re.compile(r"\s+")
 def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
     """Where a tag ends whose name ends at ``at``; quotes count after "=" only. ``unclosed`` notes quotes that don't occur any more."""
     pos, end = at, len(page)
-    while (pos := _UNQUOTED.match(page, pos).end()) < end and page[pos] != ">":
-        quote, pos = page[pos], pos + 1
-        if page[max(at, pos - 16) : pos - 1].rstrip().endswith("="):
+    while (stop := _UNQUOTED.match(page, pos).end()) < end and page[stop] != ">":
+        before = stop - 1
+        while before >= pos and page[before].isspace():  # within what lies since the last quote, so no character is met twice
+            before -= 1
+        quote, valued, pos = page[stop], before >= pos and page[before] == "=", stop + 1
+        if valued:
             close = -1 if quote in unclosed else page.find(quote, pos)
             if close < 0:
                 unclosed.add(quote)
                 pos = page.find(">", at)
                 return pos + 1 if pos >= 0 else end
             pos = close + 1
-    return min(pos + 1, end)
+    return min(stop + 1, end)
 
 
-def lines_of(page: str) -> Iterator[tuple[str, tuple[int, ...], int, tuple[int, ...], bool]]:
-    """(text, containers, link characters, doubtful elements, clean) for each line that may belong to the article.
+class Page:
+    """The lines of a page that may belong to its article, and the elements around them.
 
-    ``containers`` numbers the article-like elements around the line, outermost
-    first, and ``doubtful elements`` the forms and those named as boilerplate. A
-    line is clean if an article-like element that isn't named so is nearer.
+    A line is (text, container, link characters, doubtful element, clean):
+    ``container`` numbers the innermost article-like element around it, and
+    ``doubtful element`` the innermost form or element named as boilerplate; 0
+    is none. ``around`` has the next one of its kind around each element, whose
+    number is smaller. A line is clean if an article-like element that isn't
+    named so is nearer. ``weak`` are doubtful elements whose name means
+    boilerplate only if they hold no running text.
     """
+
+    def __init__(self, page: str):
+        self.around: dict[int, int] = {0: 0}
+        self.weak: set[int] = set()
+        self.lines = list(_lines_of(page, self))
+
+    def within(self, elements: set[int]) -> set[int]:
+        """``elements`` with all of their kind inside them."""
+        found = set(elements)
+        for e in sorted(self.around):
+            if e and self.around[e] in found:
+                found.add(e)
+        return found
+
+    def summed(self, own: dict[int, list[int]]) -> dict[int, list[int]]:
+        """Sums of each element with those inside it."""
+        for e in sorted(self.around, reverse=True):
+            if e and e in own:
+                above = own.setdefault(self.around[e], [0] * len(own[e]))
+                for k, v in enumerate(own[e]):
+                    above[k] += v
+        own.pop(0, None)
+        return own
+
+
+def _lines_of(page: str, seen: Page) -> Iterator[tuple[str, int, int, int, bool]]:
+    """The lines of ``Page``, whose elements are noted in ``seen``; every character and every element is met a bounded number of times."""
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, skipped, container, doubtful, whether it tells if its lines are clean
     skipped, inside, numbers, links, link_chars = 0, [], 0, 0, 0
     doubts: list[int] = []
     clean = [False]
+    open_names: Counter[str] = Counter()
     unclosed: set[str] = set()
     parts: list[str] = []
     at, end = 0, len(page)
 
-    def flush() -> tuple[str, tuple[int, ...], int, tuple[int, ...], bool] | None:
+    def flush() -> tuple[str, int, int, int, bool] | None:
         nonlocal parts, link_chars
         text, chars = _SPACE.sub(" ", "".join(parts)).strip(), link_chars
         parts, link_chars = [], 0
-        return (text, tuple(inside), chars, tuple(doubts), clean[-1]) if text else None
+        return (text, inside[-1] if inside else 0, chars, doubts[-1] if doubts else 0, clean[-1]) if text else None
 
     def add(raw: str) -> None:
         nonlocal link_chars
@@ -125,30 +163,36 @@ def lines_of(page: str) -> Iterator[tuple[str, tuple[int, ...], int, tuple[int,
                 continue
             named = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if rest else ""
             container = name in ("article", "main") or bool(named and name in ("div", "section", "td") and ARTICLE.search(named))
-            skip = name in SKIPPED and not (name == "header" and any(x[2] for x in stack))
+            skip = name in SKIPPED and not (name == "header" and inside)
             boiler = bool(named and BOILER.search(named))
             doubt = not skip and (name == "form" or boiler and name not in ("html", "body", "article", "main"))
             skipped += skip
             if container and not skipped:
                 numbers += 1
+                seen.around[numbers] = inside[-1] if inside else 0
                 inside.append(numbers)
             else:
                 container = False
             if doubt:
                 numbers += 1
+                seen.around[numbers] = doubts[-1] if doubts else 0
+                if name != "form" and not BOILER.search(WEAK.sub(" ", named)):
+                    seen.weak.add(numbers)
                 doubts.append(numbers)
             tells = doubt or container and not boiler
             if tells:
                 clean.append(not doubt)
             links += name == "a"
+            open_names[name] += 1
             stack.append((name, skip, container, doubt, tells))
         else:
             if name not in INLINE and (line := flush()):
                 yield line
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is None:
+            if not open_names[name]:
                 continue
+            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)  # all that it passes is closed
             for open_name, skip, container, doubt, tells in reversed(stack[depth:]):
+                open_names[open_name] -= 1
                 skipped -= skip
                 links -= open_name == "a"
                 if container:
@@ -167,29 +211,32 @@ def _weight(line: tuple) -> int:
     return len(line[0]) if line[2] * 2 <= len(line[0]) else 0
 
 
-def _undoubted(lines: list[tuple]) -> list[tuple]:
+def _undoubted(page: Page) -> list[tuple]:
     """Lines without those of doubtful elements that are boilerplate.
 
     Such an element stays if it holds most of the clean text, or most of the
-    page while clean text outside it is less than a quarter of its own.
+    page while clean text outside it is less than a quarter of its own; and a
+    weak one, if most of its text are lines that would be a surge alone.
     """
     held: dict[int, list[int]] = {}
     total = clean = 0
-    for line in lines:
+    for line in page.lines:
         w = _weight(line)
         total += w
         clean += w * line[4]
-        for e in line[3]:
-            own = held.setdefault(e, [0, 0])
-            own[0] += w
-            own[1] += w * line[4]
-    drop = {e for e, (w, c) in held.items() if not (c and 2 * c >= clean or 2 * w > total and 4 * (clean - c) < w)}
-    return [x for x in lines if drop.isdisjoint(x[3])] if drop else lines
+        own = held.setdefault(line[3], [0, 0, 0, 0])
+        for k, v in enumerate((w, w * line[4], len(line[0]), w if w >= SURGE else 0)):
+            own[k] += v
+    held = page.summed(held)
+    most = lambda w, c: c and 2 * c >= clean or 2 * w > total and 4 * (clean - c) < w
+    drop = page.within({e for e, (w, c, chars, running) in held.items() if not most(w, c) and not (e in page.weak and 2 * running > chars)})
+    return [x for x in page.lines if x[3] not in drop]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page: its blocks in order, one space between; empty if there is none."""
-    lines = _undoubted(list(lines_of(page or "")))
+    found = Page(page or "")
+    lines = _undoubted(found)
     if not lines:
         return ""
     weight = [_weight(x) for x in lines]
@@ -212,13 +259,13 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         return ""
     first, last = best
     # the innermost container that holds most of the run's text
-    held: dict[int, int] = {}
+    held: dict[int, list[int]] = {}
     for k in range(first, last):
-        for c in lines[k][1]:
-            held[c] = held.get(c, 0) + weight[k]
-    inner = max((c for c, w in held.items() if 2 * w > run), default=None)
+        held.setdefault(lines[k][1], [0])[0] += weight[k]
+    inner = max((c for c, (w,) in found.summed(held).items() if 2 * w > run), default=None)
     if inner is not None:
-        keep = [x[0] for x in lines if inner in x[1]]
+        inside = found.within({inner})
+        keep = [x[0] for x in lines if x[1] in inside]
     else:
         keep = [lines[k][0] for i, j in runs for k in range(i, j)]
     return " ".join(keep)
