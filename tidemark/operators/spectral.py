@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import dot, total
 from .recurrence import System, chain, run
 from .window import BY, Names, series
 
@@ -36,24 +38,28 @@ def spectrogram(steps: DataFrame, length: int = 64, overlap: float = 75.0, fmin:
     segments = held.select(*by, "segment", F.transform("_s", lambda s: s["_v"]).alias("_x"), F.transform("_s", lambda s: s["_o"]).alias("_t"))
     if length < LEAST:
         segments = segments.join(placed.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST).drop("_n"), list(by))
-    hann = [0.5 - 0.5 * math.cos(2 * math.pi * k / length) for k in range(length)]
-    mean = total(F.col("_x")) / length
-    segments = segments.withColumn("_mean", mean).withColumn("_z", F.zip_with("_x", _constant(hann), lambda x, w: (x - F.col("_mean")) * w))
-    scale = sum(w * w for w in hann)
-    waves = []
-    for k in range(length // 2 + 1):
-        if not low <= k / length <= high:
-            continue
-        real = dot(F.col("_z"), _constant([math.cos(2 * math.pi * k * j / length) for j in range(length)]))
-        imaginary = dot(F.col("_z"), _constant([math.sin(2 * math.pi * k * j / length) for j in range(length)]))
-        sides = 1.0 if k == 0 or 2 * k == length else 2.0
-        waves.append(F.struct(F.lit(k / length).alias("freq"), ((real * real + imaginary * imaginary) / scale * sides).alias("power")))
-    out = segments.select(*by, F.col("segment").cast("long").alias("segment"), F.get("_t", F.lit(length // 2)).alias("time"), F.explode(F.array(*waves)).alias("w"))
-    return out.select(*by, "segment", "time", "w.freq", (10.0 * F.log10(F.col("w.power") + 1e-20)).alias("db"))
-
-
-def _constant(values: list[float]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    freqs = [k / length for k in range(length // 2 + 1)]
+    kept = [k for k, f in enumerate(freqs) if low <= f <= high]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
+    sides = np.array([1.0 if k == 0 or 2 * k == length else 2.0 for k in range(length // 2 + 1)])
+
+    def spectra(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Fast transforms of many segments at once."""
+        for frame in frames:
+            out = frame.drop(columns="_x")
+            if len(frame):
+                x = np.stack(frame["_x"].to_list())
+                power = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * hann, axis=1)) ** 2 / (hann @ hann) * sides
+                out["_db"] = list(10.0 * np.log10(power[:, kept] + 1e-20))
+            else:
+                out["_db"] = []
+            yield out
+
+    placed = segments.select(*by, F.col("segment").cast("long").alias("segment"), F.get("_t", F.lit(length // 2)).alias("time"), "_x")
+    schema = T.StructType([*[f for f in placed.schema if f.name != "_x"], T.StructField("_db", T.ArrayType(T.DoubleType()))])
+    table = F.array(*[F.lit(freqs[k]) for k in kept]).cast("array<double>")
+    out = placed.mapInPandas(spectra, schema).select(*by, "segment", "time", F.explode(F.arrays_zip(table.alias("freq"), F.col("_db").alias("db"))).alias("w"))
+    return out.select(*by, "segment", "time", "w.freq", "w.db")
 
 
 #: Cut-offs of the cascade as shares of the Nyquist frequency, and the order of its filters.
