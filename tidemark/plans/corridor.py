@@ -10,10 +10,11 @@ from ..functions.scalars import student_kernel, uniform
 from ..operators import ranks, trend
 from ..operators.neighbors import apart, normalised, with_amp_cos
 from ..operators.window import series, whole
+from ..sources.shared import written
 
 PRICES = ("close", "high", "low")
-#: Draws that are sorted together.
-DRAWS = 50_000
+#: Equal parts of [0, 1) in which draws look for their analog.
+GUIDE = 1024
 
 
 def steps(bars: DataFrame, p: int = 20) -> DataFrame:
@@ -53,22 +54,20 @@ def expected(rows: DataFrame, analogs: DataFrame, h: int) -> DataFrame:
 def drawn(analogs: DataFrame, n: int, h: int) -> DataFrame:
     """(ticker, sim, h, i): an analog for each path and step, as often as its weight says.
 
-    Draws are hashes of (path, step), the same in every run. Draws and running
-    totals of weights are sorted together, for each ticker and block of paths:
-    the first total that reaches a draw is its analog.
+    Draws are hashes of (path, step), the same in every run. A guide table lists,
+    for each of ``GUIDE`` equal parts of [0, 1), the analogs whose share of the
+    running total of weights reaches into it: a draw meets the few of its part
+    by an equi-join, and no draw is sorted.
     """
-    blocks = max(1, -(-n * h // DRAWS))
-    block = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    run = F.sum("weight").over(W.partitionBy("ticker").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    totals = analogs.select("ticker", "i", run.alias("at"))
-    last = F.max("i").over(W.partitionBy("ticker"))
-    totals = totals.withColumn("at", F.when(F.col("i") == last, 2.0).otherwise(F.col("at"))).select("ticker", F.explode(block).alias("_block"), "at", "i", F.lit(None).cast("long").alias("sim"), F.lit(None).cast("long").alias("h"))
-    each = analogs.select("ticker").distinct().select("ticker", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("sim"))
-    each = each.select("ticker", "sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(h).cast("long"))).alias("h"))
-    each = each.withColumn("at", uniform(F.col("sim"), F.col("h")))
-    both = totals.unionByName(each.select("ticker", F.pmod("sim", F.lit(blocks)).cast("long").alias("_block"), "at", F.lit(None).cast("long").alias("i"), "sim", "h"))
-    over = W.partitionBy("ticker", "_block").orderBy(F.desc("at"), F.col("sim").isNotNull(), "i").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("i", F.last("i", True).over(over)).where("sim is not null").select("ticker", "sim", "h", "i")
+    over = W.partitionBy("ticker").orderBy("i")
+    totals = analogs.select("ticker", "i", F.sum("weight").over(over.rowsBetween(W.unboundedPreceding, 0)).alias("hi"))
+    ranges = totals.select("ticker", "i", F.coalesce(F.lag("hi").over(over), F.lit(-1.0)).alias("lo"), F.when(F.lead("i").over(over).isNull(), 2.0).otherwise(F.col("hi")).alias("hi"))
+    part = lambda c: F.floor(F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)) * GUIDE)
+    guide = ranges.where("lo < 1").select("ticker", "i", "lo", "hi", F.explode(F.sequence(part(F.col("lo")), F.least(part(F.col("hi")), F.lit(GUIDE - 1).cast("long")))).alias("_part"))
+    # the draws are the same for every ticker, and a range is made by many tasks
+    each = analogs.sparkSession.range(n).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(h).cast("long"))).alias("h"))
+    each = each.withColumn("at", uniform(F.col("sim"), F.col("h"))).withColumn("_part", part(F.col("at")))
+    return each.join(guide, "_part").where("lo < at and at <= hi").select("ticker", "sim", "h", "i")
 
 
 def paths(rows: DataFrame, draws: DataFrame) -> DataFrame:
@@ -107,6 +106,7 @@ def bounds(found: DataFrame, percent: float = 95.0) -> DataFrame:
 
 
 def corridor(bars: DataFrame, p: int = 20, h: int = 20, theta: float = 20.0, alpha: float = 0.75, n: int = 15_000, percent: float = 95.0) -> DataFrame:
-    """The corridor of each ticker from its last bar."""
-    rows = steps(bars, p)
-    return bounds(paths(rows, drawn(pool(rows, p, h, theta, alpha), n, h)), percent)
+    """The corridor of each ticker from its last bar; steps, analogs and paths are written, as each is read more than once."""
+    rows = written(steps(bars, p), "steps")
+    analogs = written(pool(rows, p, h, theta, alpha), "analogs")
+    return bounds(written(paths(rows, drawn(analogs, n, h)), "paths"), percent)

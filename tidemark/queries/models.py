@@ -453,9 +453,7 @@ def _bound(value: str, q: float) -> str:
 @query(on_bars("walk", f"""SELECT a.ticker, a.h, {r('a.quantile', 4)} AS close_low, {r('b.quantile', 4)} AS close_high, {r('c.quantile', 4)} AS risk_low, {r('d.quantile', 4)} AS risk_high
 FROM {_bound('close', 0.025)} a JOIN {_bound('close', 0.975)} b USING (ticker, h) JOIN {_bound('run_low', 0.025)} c USING (ticker, h) JOIN {_bound('run_high', 0.975)} d USING (ticker, h)""", PLACED, _CORRIDOR, _SIMULATED))
 def corridor_bounds(spark, sf):
-    rows, pool = _corridor(spark, sf)
-    paths = written(corridor.paths(rows, corridor.drawn(pool, _N, _H)), "paths")
-    return shown(corridor.bounds(paths), "ticker", "h", close_low=4, close_high=4, risk_low=4, risk_high=4)
+    return shown(corridor.corridor(walk(spark, sf), _P, _H, n=_N), "ticker", "h", close_low=4, close_high=4, risk_low=4, risk_high=4)
 
 
 # ── scenarios and ensembles ─────────────────────────────────────────────────

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bars, store
+from ..operators import bars, spectral, store, trend
 from ..plans import band, calibrate, regime, simplex
-from ..sources import instruments
-from ..sources.fixtures import orders, table, walk
-from ..sources.shared import written
-from .common import on_bars, r, shown, weighted
+from ..sources import candles, instruments
+from ..sources.fixtures import SQL as SQL_OF
+from ..sources.fixtures import orders, raw, table, walk
+from ..sources.shared import fresh_path, written
+from .common import PLACED, RATIOS, on_bars, r, shown, weighted
 from .models import _BAND_BASE, _ORIGIN, _T, _band, _pool
 
 QUERIES, SQL = {}, {}
@@ -160,3 +161,74 @@ def direction_of_mixtures(spark, sf):
     """The direction of the heaviest part at the last step, read from mixtures that are at hand."""
     rows = table(spark, sf, "part").select(F.col("p_brand").alias("ticker"), (F.col("p_partkey") % 3).alias("back"), F.lit(1500.0).alias("origin_price"), F.col("p_size").alias("h"), F.col("p_partkey").alias("weight"), F.col("p_retailprice").alias("mean"))
     return regime.dominant(rows)
+
+
+# ── guards, listings, pages, files ──────────────────────────────────────────
+
+
+@query(on_bars("raw", """SELECT ticker, begin, low FROM moved WHERE ticker NOT IN (SELECT ticker FROM moved WHERE least(close, high, low) <= 0)""",
+    "moved AS (SELECT ticker, begin, high, close, CASE WHEN ticker = 'A' AND begin < TIMESTAMP '1997-01-01' THEN -low ELSE low END AS low FROM bars)"))
+def positive_series(spark, sf):
+    """Only series whose prices are all above zero."""
+    rows = raw(spark, sf).withColumn("low", F.when((F.col("ticker") == "A") & (F.col("begin") < F.lit("1997-01-01").cast("timestamp")), -F.col("low")).otherwise(F.col("low")))
+    return bars.positive(rows).select("ticker", "begin", "low")
+
+
+@query("SELECT c_name AS ticker, c_mktsegment AS full_name FROM customer WHERE c_name ILIKE '%machin%' OR c_mktsegment ILIKE '%machin%'")
+def quick_filter(spark, sf):
+    """The quick list for a text: tickers or names that contain it, whatever the case."""
+    rows = table(spark, sf, "customer").select(F.col("c_name").alias("ticker"), F.col("c_mktsegment").alias("full_name"), F.lit(False).alias("is_favorite"))
+    return store.quick_list(rows, " MACHIN ").select("ticker", "full_name")
+
+
+@query("SELECT s_name AS secid, 'B' || s_nationkey % 2 AS board, 'stock' AS engine, 'shares' AS market, 'fund' AS asset_type FROM supplier WHERE s_nationkey % 2 = 1")
+def board_listing(spark, sf):
+    """All securities of one board, with its engine, market and kind."""
+    rows = table(spark, sf, "supplier").select(F.col("s_name").alias("secid"), F.concat(F.lit("B"), F.col("s_nationkey") % 2).alias("board"))
+    return instruments.board(rows, "stock", "shares", "fund", "B1")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS updated_at FROM orders ORDER BY o_orderstatus, o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50")
+def page_by_keys(spark, sf):
+    """The third page of records in an order of several keys."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("updated_at"))
+    return store.page(rows, ["status", F.desc("updated_at"), "id"], 2, 25)
+
+
+@query("""SELECT p_size AS h_steps, p_partkey % 50 AS p, CASE WHEN max(p_partkey) FILTER (p_partkey % 3 = 0) IS NULL THEN max(p_partkey) ELSE max(p_partkey) FILTER (p_partkey % 3 = 0) END AS theta FROM part GROUP BY 1, 2""")
+def settings_upserted(spark, sf):
+    """Settings by a key of two columns: later saves replace earlier ones, others stay."""
+    rows = table(spark, sf, "part").select(F.col("p_size").alias("h_steps"), (F.col("p_partkey") % 50).alias("p"), F.col("p_partkey").alias("theta"))
+    newest = lambda part: part.groupBy("h_steps", "p").agg(F.max("theta").alias("theta"))
+    return store.upserted(newest(rows.where("theta % 3 <> 0")), newest(rows.where("theta % 3 = 0")), ("h_steps", "p"))
+
+
+def _covered(kind: str, interval: str) -> str:
+    return f"SELECT ticker, '{interval}' AS interval, min(begin) AS first, max(begin) AS last, count(*) AS bars FROM {kind} GROUP BY ticker"
+
+
+@query(f"""WITH {SQL_OF['raw'].replace('bars AS', 'days AS', 1)}, {SQL_OF['orders'].replace('bars AS', 'totals AS', 1)},
+held AS ({_covered('days', '1d')} UNION ALL SELECT ticker, '1w', min(begin), max(begin), count(*) FROM totals WHERE begin >= TIMESTAMP '1995-01-01' GROUP BY ticker)
+SELECT t.ticker, i.interval, first, last, coalesce(bars, 0) AS bars FROM (SELECT DISTINCT ticker FROM held) t, (VALUES ('1d'), ('1w')) i(interval) LEFT JOIN held h ON h.ticker = t.ticker AND h.interval = i.interval""")
+def coverage_by_interval(spark, sf):
+    """What is stored of each instrument in each interval; nothing is 0 bars."""
+    days = raw(spark, sf).select("ticker", F.lit("1d").alias("interval"), "begin")
+    weeks = orders(spark, sf).where("begin >= timestamp'1995-01-01'").select("ticker", F.lit("1w").alias("interval"), "begin")
+    held = bars.coverage(days.unionByName(weeks), ("ticker", "interval"))
+    wanted = held.select("ticker").distinct().withColumn("interval", F.explode(F.array(F.lit("1d"), F.lit("1w"))))
+    return wanted.join(held, ["ticker", "interval"], "left").withColumn("bars", F.coalesce("bars", F.lit(0)).cast("long"))
+
+
+@query(on_bars("raw", "SELECT ticker, begin, '1d' AS interval, open, high, low, close, volume FROM bars"))
+def bars_as_json(spark, sf):
+    """Bars that were saved as JSON by interval and are read again by schema."""
+    path = fresh_path(spark, "json")
+    candles.write_bars(raw(spark, sf).withColumn("interval", F.lit("1d")), path, "json")
+    return candles.read_bars(spark, path, "json").select("ticker", "begin", "interval", "open", "high", "low", "close", "volume")
+
+
+@query(on_bars("walk", """SELECT ticker, (n - 64) // 16 + 1 AS segments, ((n - 64) // 16 + 1) * 33 AS cells FROM (SELECT ticker, count(*) AS n FROM steps WHERE dratio IS NOT NULL AND (ticker <> 'A' OR i < 60) AND (ticker <> 'N' OR i < 200) GROUP BY ticker) WHERE n >= 64""", PLACED, RATIOS))
+def stft_guards(spark, sf):
+    """Series that are too short for a segment have no spectrum; of others every whole segment has all frequencies."""
+    rows = trend.ratio_steps(trend.causal_trend(walk(spark, sf))).where("(ticker <> 'A' or i < 60) and (ticker <> 'N' or i < 200)")
+    return spectral.spectrogram(rows).groupBy("ticker").agg(F.countDistinct("segment").alias("segments"), F.count("*").alias("cells"))
