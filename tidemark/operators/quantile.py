@@ -8,29 +8,40 @@ any size take ``wide_weighted_quantiles``, which gives the same numbers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import lerp
+from ..sources.shared import written
 from .window import Names
 
 #: A total weight below this counts as none: the plain median is read then.
 NO_WEIGHT = 1e-14
 
 
-def _read(points: DataFrame, by: Names, q: Column, qs: Sequence[float]) -> DataFrame:
-    """Reads quantiles from points (value, start, end): each value lies from ``start`` to ``end``, lines lie between."""
-    asked = points.select("*", F.explode(F.array(*[F.lit(float(x)) for x in qs])).alias("q"))
-    point = F.struct("value", "start", "end")
-    below = F.max_by(F.when(F.col("start") <= q, point), F.when(F.col("start") <= q, F.col("value")))
-    above = F.min_by(F.when(F.col("end") >= q, point), F.when(F.col("end") >= q, F.col("value")))
-    found = asked.groupBy(*by, "q").agg(below.alias("lo"), above.alias("hi"), F.first(q, True).alias("at"))
-    line = lerp(F.col("at"), F.col("lo.end"), F.col("lo.value"), F.col("hi.start"), F.col("hi.value"))
-    inside = F.when(F.col("lo.value") == F.col("hi.value"), F.col("lo.value")).otherwise(line)
-    return found.select(*by, "q", F.when(F.col("lo").isNull(), F.col("hi.value")).when(F.col("hi").isNull(), F.col("lo.value")).otherwise(inside).alias("quantile"))
+def _read(points: DataFrame, by: Names, q: Callable[[float], Column], qs: Sequence[float]) -> DataFrame:
+    """Reads quantiles from points (value, start, end): each value lies from ``start`` to ``end``, lines lie between.
+
+    Values, starts and ends rise together, so plain maxima and minima find the
+    points around a quantile.
+    """
+    found = []
+    for k, x in enumerate(qs):
+        below, above = F.col("start") <= q(x), F.col("end") >= q(x)
+        found += [F.max(F.when(below, F.col(c))).alias(f"_below_{c}{k}") for c in ("value", "end")]
+        found += [F.min(F.when(above, F.col(c))).alias(f"_above_{c}{k}") for c in ("value", "start")]
+        found.append(F.max(q(x)).alias(f"_at{k}"))
+
+    def read(k: int) -> Column:
+        lo, hi = F.col(f"_below_value{k}"), F.col(f"_above_value{k}")
+        line = lerp(F.col(f"_at{k}"), F.col(f"_below_end{k}"), lo, F.col(f"_above_start{k}"), hi)
+        return F.when(lo.isNull(), hi).when(hi.isNull() | (lo == hi), lo).otherwise(line)
+
+    table = F.array(*[F.struct(F.lit(float(x)).alias("q"), read(k).alias("quantile")) for k, x in enumerate(qs)])
+    return points.groupBy(*by).agg(*found).select(*by, F.explode(table).alias("_r")).select(*by, "_r.q", "_r.quantile")
 
 
 def weighted_quantiles(rows: DataFrame, value: str, weight: str, qs: Sequence[float], by: Names = (), ties: Sequence[str] = ()) -> DataFrame:
@@ -48,37 +59,37 @@ def weighted_quantiles(rows: DataFrame, value: str, weight: str, qs: Sequence[fl
     points = points.select(*by, F.when(none, F.col("_median")).otherwise(F.col("value")).alias("value"), F.when(none, 0.0).otherwise(middle).alias("start"))
     # of equal values the first and the last middle matter
     points = points.groupBy(*by, "value").agg(F.min("start").alias("start"), F.max("start").alias("end"))
-    return _read(points, by, F.col("q"), qs)
-
-
-def _running(values: DataFrame, by: Names, size: str, parts: int) -> DataFrame:
-    """``values`` (one row for each value of a group) with ``before``, the sum of ``size`` over smaller values, by two-level prefix sums."""
-    bounds = F.percentile_approx("value", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000)
-    cuts = values.groupBy(*by).agg(bounds.alias("_cuts"))  # a row for each group
-    cut = values.join(cuts, list(by)) if by else values.crossJoin(F.broadcast(cuts))  # a single row
-    cut = cut.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
-    sums = cut.groupBy(*by, "_part").agg(F.sum(size).alias("_sum"))
-    over = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)
-    starts = sums.withColumn("_start", F.sum("_sum").over(over) - F.col("_sum")).drop("_sum")
+    return _read(points, by, lambda q: F.lit(float(q)), qs)
+
+
+def _running(values: DataFrame, by: Names, size: str, parts: int | None) -> DataFrame:
+    """``values`` (one row for each value of a group) with ``before``, the sum of ``size`` over smaller values, and ``total``.
+
+    Values are dealt into ranges and written with the number of their range, so
+    that they are made once; totals of the ranges add up before each.
+    """
+    parts = parts or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = written(values.repartitionByRange(parts, *by, "value").withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = held.groupBy(*by, "_part").agg(F.sum(size).alias("_sum"))  # a row for each range and group in it
+    group = W.partitionBy(*by)
+    run = F.sum("_sum").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, 0))
+    starts = sums.select(*by, "_part", (run - F.col("_sum")).alias("_start"), F.sum("_sum").over(group).alias("total"))
     inner = W.partitionBy(*by, "_part").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    return cut.join(starts, [*by, "_part"]).withColumn("before", F.col("_start") + F.sum(size).over(inner) - F.col(size)).drop("_part", "_start")
+    return held.join(starts, [*by, "_part"]).withColumn("before", F.col("_start") + F.sum(size).over(inner) - F.col(size)).drop("_part", "_start")
 
 
-def wide_weighted_quantiles(rows: DataFrame, value: str, weight: str, qs: Sequence[float], by: Names = (), parts: int = 256) -> DataFrame:
+def wide_weighted_quantiles(rows: DataFrame, value: str, weight: str, qs: Sequence[float], by: Names = (), parts: int | None = None) -> DataFrame:
     """``weighted_quantiles`` for groups of any size: no task sorts a whole group.
 
     Equal values are merged first (their total, least and greatest weight are
-    all that is read); values are dealt to ``parts`` ranges by approximate
-    quantiles, and running totals add up over ranges and within them. Null
+    all that is read); values are dealt to ``parts`` ranges (as many as Spark
+    shuffles into, if None), and running totals add up over ranges and within them. Null
     groups are left out; the total weight must not be 0.
     """
     known = rows.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
     values = known.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.sum(F.col(weight).cast("double")).alias("w"), F.min(weight).alias("least"), F.max(weight).alias("most"))
-    run = _running(values, by, "w", parts)
-    totals = values.groupBy(*by).agg(F.sum("w").alias("total"))
-    both = run.join(totals, list(by)) if by else run.crossJoin(F.broadcast(totals))  # a single row
-    points = both.select(*by, "value", ((F.col("before") + 0.5 * F.col("least")) / F.col("total")).alias("start"), ((F.col("before") + F.col("w") - 0.5 * F.col("most")) / F.col("total")).alias("end"))
-    return _read(points, by, F.col("q"), qs)
+    points = _running(values, by, "w", parts).select(*by, "value", ((F.col("before") + 0.5 * F.col("least")) / F.col("total")).alias("start"), ((F.col("before") + F.col("w") - 0.5 * F.col("most")) / F.col("total")).alias("end"))
+    return _read(points, by, lambda q: F.lit(float(q)), qs)
 
 
 def quantiles(rows: DataFrame, value: str, qs: Sequence[float], by: Names = ()) -> DataFrame:
@@ -88,14 +99,11 @@ def quantiles(rows: DataFrame, value: str, qs: Sequence[float], by: Names = ())
     return found.select(*by, pairs.alias("_p")).select(*by, "_p.q", "_p.quantile")
 
 
-def wide_quantiles(rows: DataFrame, value: str, qs: Sequence[float], by: Names = (), parts: int = 256) -> DataFrame:
+def wide_quantiles(rows: DataFrame, value: str, qs: Sequence[float], by: Names = (), parts: int | None = None) -> DataFrame:
     """``quantiles`` for groups of any size, by the same prefix sums as ``wide_weighted_quantiles``."""
     values = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    run = _running(values, by, "n", parts)
-    totals = values.groupBy(*by).agg(F.sum("n").alias("total"))
-    both = run.join(totals, list(by)) if by else run.crossJoin(F.broadcast(totals))  # a single row
-    points = both.select(*by, "value", F.col("before").cast("double").alias("start"), (F.col("before") + F.col("n") - 1).cast("double").alias("end"), "total")
-    return _read(points, by, F.col("q") * (F.col("total") - 1), qs)
+    points = _running(values, by, "n", parts).select(*by, "value", F.col("before").cast("double").alias("start"), (F.col("before") + F.col("n") - 1).cast("double").alias("end"), "total")
+    return _read(points, by, lambda q: F.lit(float(q)) * (F.col("total") - 1), qs)
 
 
 def density(paths: DataFrame, height: Column | float, value: str = "price", step: str = "h", by: Names = ()) -> DataFrame:
@@ -131,14 +139,16 @@ def mixture_range(components: DataFrame, by: Names = ()) -> DataFrame:
     return found.select(*by, lo.alias("lo"), "hi").where("hi > lo")
 
 
-def mixture_grid(components: DataFrame, height: float, step: str = "h", most: int = 2000, by: Names = ()) -> DataFrame:
+def mixture_grid(components: DataFrame, height: float, step: str = "h", most: int | None = 2000, by: Names = ()) -> DataFrame:
     """(by, step, bin, center, z): sums of weight * exp(-((center - mean) / std)^2 / 2) over the components of a step.
 
-    Peaks are as high as their weight. Bins of ``height`` cover ``mixture_range``, ``most`` at most, as in a plot.
+    Peaks are as high as their weight. Bins of ``height`` cover ``mixture_range``, ``most`` at most, as in a plot;
+    with None, all of it.
     """
     ranges = mixture_range(components, by)
     held = components.join(ranges, list(by)) if by else components.crossJoin(F.broadcast(ranges))  # a single row
-    bins = F.least(F.greatest(F.ceil((F.col("hi") - F.col("lo")) / height), F.lit(1)), F.lit(most))
+    bins = F.greatest(F.ceil((F.col("hi") - F.col("lo")) / height), F.lit(1))
+    bins = bins if most is None else F.least(bins, F.lit(most))
     cells = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), bins.cast("long") - 1)).alias("bin"))
     cells = cells.withColumn("center", F.col("lo") + F.lit(height) * (F.col("bin") + 0.5))
     scaled = (F.col("center") - F.col("mean")) / F.greatest("std", F.lit(1e-6))

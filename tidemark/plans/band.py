@@ -12,6 +12,7 @@ from ..functions.scalars import distance
 from ..operators import ranks, zigzag
 from ..operators.bars import between, logged, with_history
 from ..operators.quantile import wide_weighted_quantiles
+from ..sources.shared import written
 
 RANKS = (*[f"rank_{f}" for f in ranks.FEATURES], "rank_leg_age")
 LEVELS = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -62,7 +63,7 @@ def analogs(found: DataFrame, target: str, h: int, m: int = 6, theta: float = 0.
 
 def forecast(found: DataFrame, target: str, m: int = 6, theta: float = 0.0, lambdas: Mapping[str, float] | None = None, levels: Sequence[float] = LEVELS) -> DataFrame:
     """(h, pool_size, q, log_return, price) for h = 1 (the next leg) and 2 (there and back)."""
-    pools = analogs(found, target, 1, m, theta, lambdas).unionByName(analogs(found, target, 2, m, theta, lambdas))
+    pools = written(analogs(found, target, 1, m, theta, lambdas).unionByName(analogs(found, target, 2, m, theta, lambdas)), "pools")
     # a pool grows with the tickers, so no task sorts a whole one
     head = pools.groupBy("h").agg(*[F.first(c).alias(c) for c in ("pool_size", "o_log_price", "o_confirm_begin", "o_extreme_begin", "o_direction")])
     read = wide_weighted_quantiles(pools, "target", "weight", levels, ("h",)).join(head, "h")

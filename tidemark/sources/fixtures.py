@@ -13,17 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import exists, fresh_path
+from .shared import exists, fresh_path, stamp
 
-_paths: dict[tuple[str, str, str], str] = {}
+_paths: dict[tuple, str] = {}
 
 
 def written_once(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A table that is written to the shared folder at its first use in an application, and read from then on."""
+    """A table that is written to the shared folder at its first use in an application, and read until the folder's files change."""
 
     @wraps(make)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), make.__name__)
         if key not in _paths or not exists(spark, _paths[key]):
             path = fresh_path(spark, make.__name__)
             make(spark, sf_dir).write.parquet(path)

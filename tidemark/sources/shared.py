@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; only a local session without that setting gets a temporary folder."""
+    """A new path in ``spark.checkpoint.dir``, which goes when the session ends; only a local session without that setting gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
@@ -19,17 +19,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
         found = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{found.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    store, at = _on_store(spark, path)
+    store.deleteOnExit(at)
+    return path
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _on_store(spark: SparkSession, path: str):
+    """(the file system of a path, the path as it knows it)."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _on_store(spark, path)
+    return store.exists(at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    store, at = _on_store(spark, path)
+    store.delete(at, True)
+
+
+def stamp(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, size and time of everything in a folder: it changes when a file is replaced."""
+    store, at = _on_store(spark, folder)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(at)))
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
