@@ -66,3 +66,28 @@ def test_stream_finds_the_pivots_of_the_batch(spark, tmp_path):
     columns = ["seq", "log_price", "extreme_begin", "confirm_begin", "direction"]
     batch = zigzag.pivots(logged(rows), 0.05).select(*columns).orderBy("seq").collect()
     assert spark.read.parquet(f"{tmp_path}/out").select(*columns).orderBy("seq").collect() == batch and len(batch) > 5
+
+
+def test_ingest_touches_only_the_months_of_new_bars(spark, tmp_path):
+    columns = ["open", "close", "high", "low", "value", "volume", "begin"]
+
+    def archive(days, price):
+        folder = tmp_path / "pages" / "AA" / "1d"
+        folder.mkdir(parents=True, exist_ok=True)
+        rows = [[price, price, price, price, 1.0, 1.0, f"{day} 00:00:00"] for day in days]
+        for start in range(0, len(rows), 2):
+            (folder / f"{start}.json").write_text(json.dumps({"columns": columns, "data": rows[start : start + 2]}))
+
+    files = lambda: {f.relative_to(tmp_path): f.stat().st_mtime_ns for f in (tmp_path / "bars").rglob("*.parquet")}
+    run = lambda: {(r["mode"], str(r["date_from"])) for r in candles.ingest(spark, str(tmp_path / "pages"), str(tmp_path / "bars"), ["AA"], ["1d"], "2024-12-31", page="2").collect()}
+    archive(["2024-01-05", "2024-01-20", "2024-02-03"], 1.0)
+    assert run() == {("full", "2000-01-01")}
+    first = files()
+    archive(["2024-01-05", "2024-01-20", "2024-02-03", "2024-02-04", "2024-03-01"], 2.0)
+    assert run() == {("incremental", "2024-02-03")}
+    second = files()
+    kept = {f for f in first if "month=2024-01" in str(f)}
+    assert kept and all(second[f] == first[f] for f in kept) and not any(f in second for f in first if f not in kept)
+    stored = {str(r["begin"])[:10]: r["close"] for r in candles.stored_bars(spark, str(tmp_path / "bars")).collect()}
+    assert stored == {"2024-01-05": 1.0, "2024-01-20": 1.0, "2024-02-03": 2.0, "2024-02-04": 2.0, "2024-03-01": 2.0}
+    assert run() == {("incremental", "2024-03-01")} and len({str(r["begin"]) for r in candles.stored_bars(spark, str(tmp_path / "bars")).collect()}) == 5

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.store import upserted_bars
+from .shared import exists, fresh_path, remove, written
 
 SCHEMA = "ticker string, interval string, begin timestamp, open double, high double, low double, close double, volume double, value double"
 #: Rows of a page, and the first day of history.
@@ -41,6 +42,7 @@ class PagedReader(DataSourceReader):
         if unknown:
             raise ValueError(f"unknown intervals: {sorted(unknown)}")
         self.since = date.fromisoformat(options.get("since", FIRST_DAY))
+        self.begins = {key: date.fromisoformat(day) for key, day in json.loads(options.get("begins", "{}")).items()}
         self.until = date.fromisoformat(options["until"]) if "until" in options else date.today()
         self.days = int(options.get("slice_days", "3650"))
         self.page, self.retries, self.delay = (int(options.get(k, d)) for k, d in (("page", str(PAGE)), ("retries", "3"), ("delay_ms", "0")))
@@ -50,7 +52,7 @@ class PagedReader(DataSourceReader):
         found = []
         for ticker in self.tickers:
             for interval in self.intervals:
-                at = self.since
+                at = self.begins.get(f"{ticker}|{interval}", self.since)
                 while at <= self.until:
                     last = min(at + timedelta(days=self.days - 1), self.until)
                     found.append(Slice(ticker, interval, at.isoformat(), last.isoformat()))
@@ -75,7 +77,7 @@ class PagedReader(DataSourceReader):
     def _first(self, part: Slice) -> int:
         """The row at which reading may start: pages double until one reaches the slice, then the gap is halved."""
         before = lambda page: bool(rows := self._page(part, page * self.page)) and len(rows) == self.page and rows[-1]["begin"][:10] < part.since
-        if part.since <= self.since.isoformat() or not before(0):
+        if part.since <= FIRST_DAY or not before(0):
             return 0
         low, high = 0, 1
         while before(high):
@@ -101,7 +103,7 @@ class PagedReader(DataSourceReader):
 
 
 class PagedBars(DataSource):
-    """Options: pages, tickers, intervals, since, until, slice_days, page, retries, delay_ms."""
+    """Options: pages, tickers, intervals, since, begins (JSON: a first day for each "ticker|interval" of its own), until, slice_days, page, retries, delay_ms."""
 
     @classmethod
     def name(cls) -> str:
@@ -150,33 +152,30 @@ def fetch_plan(stored: DataFrame, wanted: DataFrame, full_refresh: bool = False)
 def ingest(spark: SparkSession, pages: str, path: str, tickers: list[str], intervals: list[str], until: str, full_refresh: bool = False, **options: str) -> DataFrame:
     """Brings the stored bars under ``path`` up to date and returns the plan: each ticker in each interval, from where it was loaded.
 
-    Series that are stored are loaded from the day of their last bar on. The new
-    version is written beside the stored one and named by its number, so readers
-    of the old one are not disturbed; ``stored_bars`` reads the last.
+    Series that are stored are loaded from the day of their last bar on, all in
+    one scan. Bars lie in a folder for each interval and month; only the months
+    that the new bars touch are merged and written again. They are staged in
+    full before they replace the old ones, so a lost task or a run that ends
+    half-way leaves the stored months as they were, and the same run again gives
+    the same bars.
     """
-    wanted = spark.createDataFrame([(t,) for t in tickers], "ticker string").crossJoin(spark.createDataFrame([(i,) for i in intervals], "interval string"))  # what a user names
-    number, stored = stored_bars(spark, path)
-    plan = fetch_plan(stored, wanted, full_refresh)
-    begins = {(r["ticker"], r["interval"]): r["date_from"].isoformat() for r in plan.collect()}  # a row for each series asked for
-    new = None
-    for since in sorted(set(begins.values())):
-        for interval in intervals:
-            own = [t for t in tickers if begins[t, interval] == since]
-            if own:
-                part = download(spark, pages, own, [interval], since=since, until=until, **options)
-                new = part if new is None else new.unionByName(part)
-    if new is not None:
-        write_bars(upserted_bars(stored, new), f"{path.rstrip('/')}/version={number + 1}")
-    return plan
-
-
-def stored_bars(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
-    """The number of the last version under ``path`` and its bars; 0 and no rows before the first."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
-    numbers = [int(n.partition("=")[2]) for n in names if n.startswith("version=")]
-    if not numbers:
-        return 0, spark.createDataFrame([], SCHEMA)
-    found = read_bars(spark, f"{path.rstrip('/')}/version={max(numbers)}")
-    return max(numbers), found.select(*[c.split()[0] for c in SCHEMA.split(", ")])
+    wanted = spark.createDataFrame([(t, i) for t in tickers for i in intervals], "ticker string, interval string")  # what a user names
+    stored = stored_bars(spark, path)
+    plan = fetch_plan(stored, wanted, full_refresh).collect()  # a row for each series asked for
+    begins = json.dumps({f"{r['ticker']}|{r['interval']}": r["date_from"].isoformat() for r in plan})
+    new = written(download(spark, pages, tickers, intervals, begins=begins, until=until, **options).withColumn("month", F.date_format("begin", "yyyy-MM")), "new")
+    touched = new.select("interval", "month").distinct()
+    merged = upserted_bars(stored.join(touched, ["interval", "month"], "left_semi"), new)
+    stage = fresh_path(spark, "stage")
+    merged.repartition("interval", "month").sortWithinPartitions("ticker", "begin").write.parquet(stage)
+    spark.read.schema(merged.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "month").parquet(path)
+    remove(spark, stage)
+    return spark.createDataFrame(plan, "ticker string, interval string, mode string, date_from date")
+
+
+def stored_bars(spark: SparkSession, path: str) -> DataFrame:
+    """The bars under ``path`` with their month, by which scans skip folders; no rows before the first ingest."""
+    schema = f"{SCHEMA}, month string"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*[c.split()[0] for c in schema.split(", ")])
