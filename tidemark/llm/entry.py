@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import ann, decontam, html_text, langid, minhash, mixing, periodic, pii, quality, sharding, token_shards, warc, whitening
 
