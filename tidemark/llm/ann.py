@@ -9,12 +9,14 @@ neighbour's bucket comes later as buckets get finer; the number of probes grows
 with the square root of the number of buckets, so the share of rows that a query
 sees falls with the square root of the rows.
 
-Neighbouring buckets of a table form groups. A group's points go to one task
-in compact form (ids and coordinates of four bits), with the queries that probe
-any of its buckets; the task scores what the probed buckets hold and hands on
-the best few. The best of all tables are ranked by exact cosines of the original
-vectors. So whole vectors are shuffled once for points and once for ranking, not
-for every table.
+Neighbouring buckets of a table form large groups. A group's points go to one
+task in compact form (a name, an id and coordinates of four bits), with the
+queries that probe any of its buckets (coordinates of eight bits); the task
+scores what the probed buckets hold and hands on the best few. The best of all
+tables are ranked by exact cosines of the original vectors, which are read from
+the rows again. So whole vectors are shuffled once, for ranking; few tables with
+many probes each keep what is sent for points small, and large groups what is
+sent for queries.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql.window import Window as W
 from .common import remove, written
 
 ROUNDS = 3
-#: Points that a group of buckets holds about; and queries, and points, of a portion of a group that holds over a thousandth of all.
-PORTION = 16_384
+#: Points that a group of buckets holds about, and the most queries, and points, of a portion of a group.
+PORTION = 1 << 18
 #: Pairs of query and candidate that are compared at once.
 PAIRS = 1 << 16
+#: Queries whose probes are computed at once.
+ASKED = 1024
 #: The table number under which queries meet all points.
 EVERY = -1
 
@@ -115,6 +119,10 @@ class Layout:
     def group(self, keys: np.ndarray) -> np.ndarray:
         return keys * self.groups // self.buckets
 
+    def start(self, group: int) -> int:
+        """The first bucket of a group."""
+        return -(-group * self.buckets // self.groups)
+
 
 def _encoded(x: np.ndarray) -> bytes:
     """Components as floats where these are exact, else as doubles; equal vectors have equal bytes."""
@@ -122,23 +130,31 @@ def _encoded(x: np.ndarray) -> bytes:
     return (short if (short == x).all() else x).tobytes()
 
 
-def _decoded(vecs: list[bytes], dim: int) -> np.ndarray:
-    """Rows of doubles."""
-    return np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in vecs], dtype=np.float64).reshape(len(vecs), dim)
+def _vectors(vecs) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, vector) of those that take part."""
+    for at, v in enumerate(vecs):
+        if v is not None:
+            x = np.array([np.nan if c is None else c for c in v] if any(c is None for c in v) else v, dtype=np.float64)
+            if len(x) and np.isfinite(x).all() and x.any():
+                yield at, x
 
 
 def _usable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, dim, digest, vec) of rows whose vectors take part."""
+    """(id, dim, digest, code) of rows whose vectors take part."""
     for frame in frames:
-        rows = []
-        for i, v in zip(frame["id"], frame["vec"], strict=True):
-            if v is None:
-                continue
-            x = np.array([np.nan if c is None else c for c in v] if any(c is None for c in v) else v, dtype=np.float64)
-            if len(x) and np.isfinite(x).all() and x.any():
-                data = _encoded(x)
-                rows.append((i, len(x), xxhash.xxh3_128_digest(data), data))
-        yield pd.DataFrame(rows, columns=["id", "dim", "digest", "vec"])
+        ids = frame["id"].to_numpy()
+        rows = [(ids[at], len(x), xxhash.xxh3_128_digest(_encoded(x)), eighths(x).tobytes()) for at, x in _vectors(frame["vec"])]
+        yield pd.DataFrame(rows, columns=["id", "dim", "digest", "code"])
+
+
+def eighths(x: np.ndarray) -> np.ndarray:
+    """Coordinates in eight bits each, in units of the largest."""
+    return np.rint(x / np.abs(x).max() * 127).astype(np.int8)
+
+
+def _whole(codes: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors near those that had the codes."""
+    return _unit(np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), dim).astype(np.float64))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -166,18 +182,19 @@ def unpacked(codes: np.ndarray, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-_SCHEMA = "dim int, tbl int, bucket long, query boolean, lead long, n int, keys binary, digests binary, firsts binary, codes binary"
+_SCHEMA = "dim int, tbl int, bucket long, query boolean, lead long, n int, keys binary, names binary, firsts binary, codes binary"
+_COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
-def _lead(digest: bytes) -> int:
-    """A number by which rows are dealt out."""
-    return int.from_bytes(digest[:7], "little")
+def _leads(digests) -> np.ndarray:
+    """Numbers by which points are named beside their smallest id, and dealt out: the first 64 bits of digests."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
 
 
 def _by_dim(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
     for frame in frames:
         for dim, own in frame.groupby("dim"):
-            yield int(dim), own, _unit(_decoded(list(own["vec"]), int(dim)))
+            yield int(dim), own, _whole(list(own["code"]), int(dim))
 
 
 def _points(tables: int, probes: float, rows: int, fill: float, seed: int):
@@ -186,34 +203,39 @@ def _points(tables: int, probes: float, rows: int, fill: float, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for dim, own, unit in _by_dim(frames):
             layout, out = Layout(rows, dim, fill, probes), []
-            digests, firsts, codes = np.array(list(own["digest"]), dtype="V16"), own["first"].to_numpy(np.int64), packed(unit)
+            leads, firsts, codes = _leads(own["digest"]), own["first"].to_numpy(np.int64), packed(unit)
             for table in range(tables):
                 keys = bucket_keys(unit, table, layout.polytopes, 1, seed)[:, 0]
                 order = np.argsort(keys, kind="stable")
                 group = layout.group(keys[order])
                 edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    at = order[a:b]
-                    out.append((dim, table, int(group[a]), False, _lead(digests[at[0]].tobytes()), b - a, keys[at].tobytes(), digests[at].tobytes(), firsts[at].tobytes(), codes[at].tobytes()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+                    at, g = order[a:b], int(group[a])
+                    near = (keys[at] - layout.start(g)).astype(np.int32)
+                    out.append((dim, table, g, False, int(leads[at[0]]), b - a, near.tobytes(), leads[at].tobytes(), firsts[at].tobytes(), codes[at].tobytes()))
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return run
 
 
 def _queries(tables: int, probes: float, rows: int, fill: float, seed: int):
-    """Queries, one row for each table and group of buckets that they probe."""
+    """Queries as blobs, one for each batch, table and group of buckets that they probe."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for dim, own, unit in _by_dim(frames):
             layout, out = Layout(rows, dim, fill, probes), []
-            vecs = [x.tobytes() for x in unit.astype(np.float32)]
+            digests, codes, leads = own["digest"].to_list(), own["code"].to_list(), _leads(own["digest"])
             for table in range(tables):
-                if layout.groups == 1:
-                    groups = [[0]] * len(own)
-                else:
-                    groups = [np.unique(g).tolist() for g in layout.group(bucket_keys(unit, table, layout.polytopes, layout.probes, seed))]
-                out += [(dim, table, g, True, _lead(d), 1, None, d, None, v) for d, v, near in zip(own["digest"], vecs, groups, strict=True) for g in near]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+                asking = np.ones((len(own), layout.groups), dtype=bool)
+                if layout.groups > 1:
+                    asking[:] = False
+                    for low in range(0, len(own), ASKED):
+                        near = layout.group(bucket_keys(unit[low : low + ASKED], table, layout.polytopes, layout.probes, seed))
+                        asking[low + np.arange(len(near))[:, None], near] = True
+                for g in np.flatnonzero(asking.any(axis=0)):
+                    at = np.flatnonzero(asking[:, g])
+                    out.append((dim, table, int(g), True, int(leads[at[0]]), len(at), None, b"".join(digests[i] for i in at), None, b"".join(codes[i] for i in at)))
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return run
 
@@ -221,20 +243,25 @@ def _queries(tables: int, probes: float, rows: int, fill: float, seed: int):
 class _Asked:
     """The queries of a block with the best candidates so far."""
 
-    def __init__(self, dim: int, table: int, group: int, layout: Layout, digests: list[bytes], vecs: list[bytes], keep: int, seed: int):
-        self.digests, self.vecs, self.keep = digests, np.frombuffer(b"".join(vecs), np.float32).reshape(-1, dim), keep
+    def __init__(self, dim: int, table: int, group: int, layout: Layout, names: list[bytes], codes: list[bytes], keep: int, seed: int):
+        self.digests, self.keep = np.frombuffer(b"".join(names), "V16"), keep
+        unit = _unit(np.frombuffer(b"".join(codes), np.int8).reshape(-1, dim).astype(np.float64))
+        self.vecs = unit.astype(np.float32)
         self.probed = None
         if table != EVERY:
-            keys = bucket_keys(self.vecs.astype(np.float64), table, layout.polytopes, layout.probes, seed)
-            of = np.repeat(np.arange(len(keys)), keys.shape[1])
-            keys = keys.ravel()
-            own = layout.group(keys) == group
-            order = np.argsort(keys[own], kind="stable")
-            self.probed, self.of = keys[own][order], of[own][order]
+            probed, of = [], []
+            for low in range(0, len(unit), ASKED):
+                keys = bucket_keys(unit[low : low + ASKED], table, layout.polytopes, layout.probes, seed)
+                at, nth = np.nonzero(layout.group(keys) == group)
+                probed.append((keys[at, nth] - layout.start(group)).astype(np.int32))
+                of.append((at + low).astype(np.int32))
+            probed, of = np.concatenate(probed), np.concatenate(of)
+            order = np.argsort(probed, kind="stable")
+            self.probed, self.of = probed[order], of[order]
         self.least = np.full(len(self.vecs), -np.inf, dtype=np.float32)  # the score of a query's last candidate, once it has enough
-        self.best = [np.empty(0, t) for t in (np.int64, np.float32, np.int64, "V16")]  # query, score, smallest id, digest
+        self.best = [np.empty(0, t) for t in (np.int64, np.float32, np.int64, np.int64)]  # query, score, smallest id, lead
 
-    def meet(self, keys: np.ndarray, points: np.ndarray, firsts: np.ndarray, digests: np.ndarray) -> None:
+    def meet(self, keys: np.ndarray, points: np.ndarray, firsts: np.ndarray, leads: np.ndarray) -> None:
         if self.probed is None:
             count, first = np.full(len(keys), len(self.vecs)), np.zeros(len(keys), dtype=np.int64)
         else:
@@ -250,7 +277,7 @@ class _Asked:
             score = np.round(np.einsum("ij,ij->i", points[point], self.vecs[query]), 5)
             some = score >= self.least[query]  # the others are beaten already
             point, query, score = point[some], query[some], score[some]
-            parts = [np.concatenate(x) for x in zip(self.best, (query, score, firsts[point], digests[point]), strict=True)]
+            parts = [np.concatenate(x) for x in zip(self.best, (query, score, firsts[point], leads[point]), strict=True)]
             order = np.lexsort((parts[2], -parts[1], parts[0]))
             start = np.flatnonzero(np.r_[True, np.diff(parts[0][order]) != 0])
             nth = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
@@ -260,10 +287,10 @@ class _Asked:
             low = upto
 
     def result(self) -> pd.DataFrame:
-        query, score, first, digest = self.best
+        query, score, first, lead = self.best
         edge = np.flatnonzero(np.r_[True, np.diff(query) != 0, True]) if len(query) else np.zeros(1, dtype=int)
         spans = list(zip(edge[:-1], edge[1:], strict=True))
-        return pd.DataFrame({"q": [self.digests[query[a]] for a, _ in spans], **{c: [x[a:b].tobytes() for a, b in spans] for c, x in (("scores", score), ("firsts", first), ("leads", digest))}})
+        return pd.DataFrame({"q": [self.digests[query[a]].tobytes() for a, _ in spans], **{c: [x[a:b].tobytes() for a, b in spans] for c, x in (("scores", score), ("firsts", first), ("leads", lead))}})
 
 
 def _search(keep: int, probes: float, rows: int, fill: float, seed: int):
@@ -278,11 +305,11 @@ def _search(keep: int, probes: float, rows: int, fill: float, seed: int):
                         yield asked.result()
                     block, waiting, asked = key, [], None
                 if row.query:
-                    waiting.append((row.digests, row.codes))
+                    waiting.append((row.names, row.codes))
                 elif waiting:
                     asked = asked or _Asked(row.dim, row.tbl, row.bucket, Layout(rows, row.dim, fill, probes), *map(list, zip(*waiting, strict=True)), keep, seed)
                     codes = np.frombuffer(row.codes, np.uint8).reshape(row.n, -1)
-                    asked.meet(np.frombuffer(row.keys, np.int64), unpacked(codes, row.dim), np.frombuffer(row.firsts, np.int64), np.frombuffer(row.digests, "V16"))
+                    asked.meet(np.frombuffer(row.keys, np.int32), unpacked(codes, row.dim), np.frombuffer(row.firsts, np.int64), np.frombuffer(row.names, np.int64))
         if asked:
             yield asked.result()
 
@@ -290,26 +317,39 @@ def _search(keep: int, probes: float, rows: int, fill: float, seed: int):
 
 
 def _merged(keep: int):
-    """(q, lead) of the best ``keep`` candidates of a query over all its blocks."""
+    """(q, lead, first) of the best ``keep`` candidates of a query over all its blocks."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        score, first, lead = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("scores", np.float32), ("firsts", np.int64), ("leads", "V16")))
-        _, once = np.unique(lead, return_index=True)
+        score, first, lead = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("scores", np.float32), ("firsts", np.int64), ("leads", np.int64)))
+        _, once = np.unique(np.stack((lead, first)), axis=1, return_index=True)
         order = once[np.lexsort((first[once], -score[once]))[:keep]]
-        return pd.DataFrame({"q": frame["q"].iloc[0], "lead": [x.tobytes() for x in lead[order]]})
+        return pd.DataFrame({"q": frame["q"].iloc[0], "lead": lead[order], "first": first[order]})
 
     return run
 
 
 def _exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cosines of pairs of vectors."""
+    """Cosines of pairs of vectors whose point is named by its vector's digest; other vectors of an id go."""
+    for frame in frames:
+        q, digest, score = frame["q"].to_numpy(), [], []
+        lead, asked = frame["lead"].to_numpy(), frame["asked"].to_list()
+        at = []
+        for i, x in _vectors(frame["vec"]):
+            own = xxhash.xxh3_128_digest(_encoded(x))
+            y = np.asarray(asked[i], dtype=np.float64)
+            if len(y) == len(x) and np.frombuffer(own[:8], np.int64)[0] == lead[i]:
+                x, y = x / np.abs(x).max(), y / np.abs(y).max()
+                at.append(i)
+                digest.append(own)
+                score.append(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))))
+        yield pd.DataFrame({"q": q[at], "digest": digest, "score": np.array(score, dtype=np.float64)})
+
+
+def _named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(q, asked): vectors with their digests."""
     for frame in frames:
-        score = np.zeros(len(frame))
-        for dim, at in frame.groupby("dim").indices.items():
-            a, b = (_decoded(list(frame[c].iloc[at]), int(dim)) for c in ("asked", "vec"))
-            a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
-            score[at] = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
-        yield pd.DataFrame({"q": frame["q"], "lead": frame["lead"], "score": score})
+        found = [(xxhash.xxh3_128_digest(_encoded(x)), x) for _, x in _vectors(frame["vec"])]
+        yield pd.DataFrame(found, columns=["q", "asked"])
 
 
 def _dealt(hashed: DataFrame) -> DataFrame:
@@ -331,7 +371,7 @@ def _dealt(hashed: DataFrame) -> DataFrame:
 
 
 def nearest(
-    rows: DataFrame, k: int = 5, every: int = 50, tables: int = 12, probes: float = 1.3, fill: float = 3, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding"
+    rows: DataFrame, k: int = 5, every: int = 50, tables: int = 4, probes: float = 6, fill: float = 16, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest rows by cosine of each row whose id is divisible by ``every``.
 
@@ -345,51 +385,67 @@ def nearest(
     number of buckets in each table.
     """
     spark = rows.sparkSession
-    usable = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
-    usable = usable.mapInPandas(_usable, "id long, dim int, digest binary, vec binary")
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
+    usable = rows.mapInPandas(_usable, "id long, dim int, digest binary, code binary")
     # the k + 1 smallest ids of every point, and whether a query is among all its ids
     order = W.partitionBy("digest").orderBy("id")
     ids = usable.select("digest", "id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     ids = ids.groupBy("digest").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    points = usable.groupBy("digest").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.max(F.col("id") % every == 0).alias("query"))
+    points = usable.groupBy("digest").agg(F.first("dim").alias("dim"), F.first("code").alias("code"), F.max(F.col("id") % every == 0).alias("query"))
     points, points_at = written(points.join(ids, "digest").withColumn("first", F.col("ids")[0]), "points")
     count = points.count()
-    queries, queries_at = written(usable.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("digest").alias("q")).distinct(), "queries")
+    asking = rows.where(F.col("id") % every == 0)
+    queries, queries_at = written(asking.mapInPandas(_usable, "id long, dim int, digest binary, code binary").select(F.col("id").alias("query_id"), F.col("digest").alias("q")).distinct(), "queries")
 
     setting = (probes, count, fill, seed)
-    stored, stored_at = written(points.select("dim", "digest", "first", "vec").mapInPandas(_points(tables, *setting), _SCHEMA), "blobs")
-    asked, asked_at = written(points.where("query").select("dim", "digest", "vec").mapInPandas(_queries(tables, *setting), _SCHEMA), "asked")
-    answers = _answers(_found(stored.union(asked), k, *setting), points, queries, k)
+    blobs = lambda n: points.select("dim", "digest", "first", "code").mapInPandas(_points(n, *setting), _SCHEMA)
+    asked = points.where("query").select("dim", "digest", "code").mapInPandas(_queries(tables, *setting), _SCHEMA)
+    answers = _answers(_found(blobs(tables).union(asked), k, *setting), rows, asking, points, queries, k)
     answers, answers_at = written(answers, "answers")
 
     # queries that found too few, though there may be more, see every row; expected for tiny or odd tables only
     short = queries.join(answers.groupBy("query_id").agg(F.count("*").alias("got")), "query_id", "left").where(F.coalesce("got", F.lit(0)) < k)
     short, short_at = written(short.select("query_id", "q"), "short")
     if not short.isEmpty():
-        again = points.join(short.select(F.col("q").alias("digest")).distinct(), "digest", "left_semi").select("dim", "digest", "vec")
-        groups = stored.where("tbl = 0").select("dim", "bucket").distinct()
-        flat = lambda df: df.withColumn("tbl", F.lit(EVERY))
-        wide = flat(again.mapInPandas(_queries(1, *setting), _SCHEMA).drop("bucket").dropDuplicates(["digests"]).join(groups, "dim")).select(*stored.columns)
-        more = _answers(_found(flat(stored.where("tbl = 0")).select(*stored.columns).union(wide), k, *setting), points, short, k)
-        answers, more_at = written(answers.join(short, "query_id", "left_anti").unionByName(more), "answers")
+        again = points.join(short.select(F.col("q").alias("digest")).distinct(), "digest", "left_semi").select("dim", "digest", "code")
+        flat = lambda df: df.withColumn("tbl", F.lit(EVERY)).select(*_COLUMNS)
+        every_point = flat(blobs(1))
+        groups = every_point.select("dim", "bucket").distinct()
+        alone = again.mapInPandas(_alone, _SCHEMA)
+        wide = flat(alone.drop("bucket").join(groups, "dim"))
+        more = _answers(_found(every_point.union(wide), k, *setting), rows, asking, points, short, k)
+        answers, _ = written(answers.join(short, "query_id", "left_anti").unionByName(more), "answers")
         remove(spark, answers_at)
-    remove(spark, points_at, queries_at, stored_at, asked_at, short_at)
+    remove(spark, points_at, queries_at, short_at)
     return answers
 
 
+def _alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Queries as rows, each once, without a group."""
+    for frame in frames:
+        n = len(frame)
+        yield pd.DataFrame({"dim": frame["dim"], "tbl": EVERY, "bucket": 0, "query": True, "lead": _leads(frame["digest"]), "n": 1, "keys": [None] * n, "names": frame["digest"], "firsts": [None] * n, "codes": frame["code"]})
+
+
 def _found(hashed: DataFrame, k: int, *setting) -> DataFrame:
-    """(q, lead): candidates of each query, four for each that its answer may need."""
+    """(q, lead, first): candidates of each query, three for each that its answer may need."""
     block = ["dim", "tbl", "bucket", "portion"]
-    dealt = _dealt(hashed).repartition(*block).sortWithinPartitions(*block, F.col("query").desc())
+    # blocks are few and slow, and their rows large: a fixed number of tasks, which adaptive execution would merge
+    tasks = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(hashed).repartition(tasks, *block).sortWithinPartitions(*block, F.col("query").desc())
     found = dealt.mapInPandas(_search(2 * (k + 1), *setting), "q binary, scores binary, firsts binary, leads binary")
-    return found.groupBy("q").applyInPandas(_merged(4 * (k + 1)), "q binary, lead binary")
+    return found.groupBy("q").applyInPandas(_merged(3 * (k + 1)), "q binary, lead long, first long")
+
 
+def _answers(found: DataFrame, rows: DataFrame, asking: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """From candidate points of query points to the ranked ids of every query.
 
-def _answers(found: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """From candidate points of query points to the ranked ids of every query."""
-    asked = points.where("query").select(F.col("digest").alias("q"), F.col("vec").alias("asked"))
-    pairs = found.join(asked, "q").join(points.select(F.col("digest").alias("lead"), "dim", "vec"), "lead")
-    best = pairs.select("q", "lead", "dim", "asked", "vec").mapInPandas(_exact, "q binary, lead binary, score double").join(points.select(F.col("digest").alias("lead"), "ids"), "lead")
+    A candidate's vector is read from the row of its smallest id.
+    """
+    asked = asking.mapInPandas(_named, "q binary, asked array<double>").dropDuplicates(["q"])
+    pairs = found.join(rows.select(F.col("id").alias("first"), "vec"), "first").join(asked, "q")
+    best = pairs.select("q", "lead", "asked", "vec").mapInPandas(_exact, "q binary, digest binary, score double")
+    best = best.groupBy("q", "digest").agg(F.max("score").alias("score")).join(points.select("digest", "ids"), "digest")
     order = W.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     flat = best.select("q", "score", F.explode("ids").alias("id")).groupBy("q", "id").agg(F.max("score").alias("score"))
