@@ -39,6 +39,8 @@ PORTION = 1 << 18
 PAIRS = 1 << 16
 #: Queries whose probes are computed at once.
 ASKED = 1024
+#: Points of a block whose coordinates are unpacked at once.
+UNPACKED = 1 << 14
 #: The table number under which queries meet all points.
 EVERY = -1
 
@@ -260,31 +262,48 @@ class _Asked:
             self.probed, self.of = probed[order], of[order]
         self.least = np.full(len(self.vecs), -np.inf, dtype=np.float32)  # the score of a query's last candidate, once it has enough
         self.best = [np.empty(0, t) for t in (np.int64, np.float32, np.int64, np.int64)]  # query, score, smallest id, lead
+        self.waiting, self.n = [], 0
 
-    def meet(self, keys: np.ndarray, points: np.ndarray, firsts: np.ndarray, leads: np.ndarray) -> None:
+    def meet(self, keys: np.ndarray, codes: np.ndarray, firsts: np.ndarray, leads: np.ndarray) -> None:
+        """Scores points, bucket by bucket, against the queries that probe their buckets."""
         if self.probed is None:
-            count, first = np.full(len(keys), len(self.vecs)), np.zeros(len(keys), dtype=np.int64)
-        else:
-            first = np.searchsorted(self.probed, keys, "left")
-            count = np.searchsorted(self.probed, keys, "right") - first
-        low = 0
-        while low < len(keys):  # as many points as give a bounded number of pairs
-            upto = max(low + 1, int(np.searchsorted(np.cumsum(count[low:]), PAIRS, "right")) + low)
-            own = count[low:upto]
-            point = np.repeat(np.arange(low, upto), own)
-            entry = np.repeat(first[low:upto] - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())
-            query = entry if self.probed is None else self.of[entry]
-            score = np.round(np.einsum("ij,ij->i", points[point], self.vecs[query]), 5)
-            some = score >= self.least[query]  # the others are beaten already
-            point, query, score = point[some], query[some], score[some]
-            parts = [np.concatenate(x) for x in zip(self.best, (query, score, firsts[point], leads[point]), strict=True)]
-            order = np.lexsort((parts[2], -parts[1], parts[0]))
-            start = np.flatnonzero(np.r_[True, np.diff(parts[0][order]) != 0])
-            nth = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
-            self.best = [x[order[nth < self.keep]] for x in parts]
-            full = order[nth == self.keep - 1]
-            self.least[parts[0][full]] = parts[1][full]
-            low = upto
+            keys = np.zeros(len(keys), dtype=np.int32)
+        order = np.argsort(keys, kind="stable")
+        for low in range(0, len(order), UNPACKED):
+            at = order[low : low + UNPACKED]
+            own, points = keys[at], unpacked(codes[at], self.vecs.shape[1])
+            edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
+            if self.probed is None:
+                spans = np.array([[0, len(self.vecs)]])
+            else:
+                spans = np.stack([np.searchsorted(self.probed, own[edge[:-1]], side) for side in ("left", "right")], axis=1)
+            for a, b, (first, last) in zip(edge[:-1], edge[1:], spans, strict=True):
+                if first < last:
+                    self._score(at[a:b], points[a:b], np.arange(first, last) if self.probed is None else self.of[first:last], firsts, leads)
+        self._keep()
+
+    def _score(self, at: np.ndarray, points: np.ndarray, queries: np.ndarray, firsts: np.ndarray, leads: np.ndarray) -> None:
+        step = max(1, PAIRS // len(queries))
+        vecs = self.vecs[queries].T
+        for low in range(0, len(at), step):  # as many points as give a bounded number of pairs
+            score = np.round(points[low : low + step] @ vecs, 5)
+            point, query = np.nonzero(score >= self.least[queries])  # the others are beaten already
+            some = at[low + point]
+            self.waiting.append((queries[query].astype(np.int64), score[point, query], firsts[some], leads[some]))
+            self.n += len(some)
+            if self.n > max(PAIRS, 2 * self.keep * len(self.vecs)):
+                self._keep()
+
+    def _keep(self) -> None:
+        """The best ``keep`` of each query among those so far and those that wait."""
+        parts = [np.concatenate(x) for x in zip(self.best, *self.waiting, strict=True)]
+        order = np.lexsort((parts[2], -parts[1], parts[0]))
+        start = np.flatnonzero(np.r_[True, np.diff(parts[0][order]) != 0]) if len(order) else np.zeros(0, dtype=int)
+        nth = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+        self.best = [x[order[nth < self.keep]] for x in parts]
+        full = order[nth == self.keep - 1]
+        self.least[parts[0][full]] = parts[1][full]
+        self.waiting, self.n = [], 0
 
     def result(self) -> pd.DataFrame:
         query, score, first, lead = self.best
@@ -294,24 +313,28 @@ class _Asked:
 
 
 def _search(keep: int, probes: float, rows: int, fill: float, seed: int):
-    """The best ``keep`` candidates of each query in each block; queries come before points."""
+    """The best ``keep`` candidates of each query in each block, whose codes a task holds: at most a portion of queries and one of points."""
+
+    def found(block: tuple, asking: list, points: list) -> Iterator[pd.DataFrame]:
+        if asking and points:
+            dim, table, group, _ = block
+            asked = _Asked(dim, table, group, Layout(rows, dim, fill, probes), *map(list, zip(*asking, strict=True)), keep, seed)
+            keys, codes, firsts, leads = (b"".join(x) for x in zip(*points, strict=True))
+            asked.meet(np.frombuffer(keys, np.int32), np.frombuffer(codes, np.uint8).reshape(-1, -(-dim // 2)), np.frombuffer(firsts, np.int64), np.frombuffer(leads, np.int64))
+            yield asked.result()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, waiting, asked = None, [], None
+        block, asking, points = None, [], []
         for frame in frames:
             for row in frame.itertuples(index=False):
                 if (key := (row.dim, row.tbl, row.bucket, row.portion)) != block:
-                    if asked:
-                        yield asked.result()
-                    block, waiting, asked = key, [], None
+                    yield from found(block, asking, points)
+                    block, asking, points = key, [], []
                 if row.query:
-                    waiting.append((row.names, row.codes))
-                elif waiting:
-                    asked = asked or _Asked(row.dim, row.tbl, row.bucket, Layout(rows, row.dim, fill, probes), *map(list, zip(*waiting, strict=True)), keep, seed)
-                    codes = np.frombuffer(row.codes, np.uint8).reshape(row.n, -1)
-                    asked.meet(np.frombuffer(row.keys, np.int32), unpacked(codes, row.dim), np.frombuffer(row.firsts, np.int64), np.frombuffer(row.names, np.int64))
-        if asked:
-            yield asked.result()
+                    asking.append((row.names, row.codes))
+                else:
+                    points.append((row.keys, row.codes, row.firsts, row.names))
+        yield from found(block, asking, points)
 
     return run
 
@@ -432,7 +455,7 @@ def _found(hashed: DataFrame, k: int, *setting) -> DataFrame:
     block = ["dim", "tbl", "bucket", "portion"]
     # blocks are few and slow, and their rows large: a fixed number of tasks, which adaptive execution would merge
     tasks = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _dealt(hashed).repartition(tasks, *block).sortWithinPartitions(*block, F.col("query").desc())
+    dealt = _dealt(hashed).repartition(tasks, *block).sortWithinPartitions(*block)
     found = dealt.mapInPandas(_search(2 * (k + 1), *setting), "q binary, scores binary, firsts binary, leads binary")
     return found.groupBy("q").applyInPandas(_merged(3 * (k + 1)), "q binary, lead long, first long")
 
