@@ -194,6 +194,36 @@ def test_shares_fall_and_recall_stays(spark):
     assert shares[1] < 0.6 * shares[0]
 
 
+def test_blocks_score_all_that_is_probed(monkeypatch):
+    """A block's best candidates are those of all pairs of a query and a point in a bucket it probes, whatever is done at once."""
+    x = ann._unit(np.random.default_rng(5).normal(size=(600, 16)))
+    layout = ann.Layout(600, 16, 4, 2)
+    keys = ann.bucket_keys(x, 0, layout.polytopes, 1, 11)[:, 0]
+    keys[:200] = keys[0]  # a hot bucket
+    codes, asked = ann.packed(x), [ann.eighths(v).tobytes() for v in x[:40]]
+    vecs = ann._whole(asked, 16)
+    score = np.round(vecs.astype(np.float32) @ ann.unpacked(codes, 16).T, 5)
+    probed = ann.bucket_keys(vecs, 0, layout.polytopes, layout.probes, 11)
+    for table in (0, ann.EVERY):
+        for pairs, unpacked in ((1 << 16, 1 << 14), (64, 50)):
+            monkeypatch.setattr(ann, "PAIRS", pairs)
+            monkeypatch.setattr(ann, "UNPACKED", unpacked)
+            block = ann._Asked(16, table, 0, layout, [i.to_bytes(16, "little") for i in range(1, 41)], asked, 6, 11)
+            block.meet(keys.astype(np.int32), codes, np.arange(600), np.arange(600))
+            got = {int.from_bytes(r.q, "little") - 1: np.frombuffer(r.scores, np.float32) for r in block.result().itertuples()}
+            for i in range(40):
+                seen = np.ones(600, dtype=bool) if table == ann.EVERY else np.isin(keys, probed[i])
+                best = np.sort(score[i][seen])[::-1][:6]
+                assert np.allclose(got.get(i, np.empty(0)), best, rtol=0, atol=2e-5)
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [1.0, 0.1]), (8, [1.0, 1.0]), (9, None)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["id"]) for r in got] == [(0, 1, 7), (0, 2, 8)]
+    assert abs(got[0]["score"] - 1 / 1.01**0.5) < 1e-12
+
+
 def test_four_bits_keep_the_direction():
     x = ann._unit(np.random.default_rng(0).normal(size=(50, 33)))
     assert (np.einsum("ij,ij->i", x, ann.unpacked(ann.packed(x), 33)) > 0.985).all()
