@@ -402,7 +402,8 @@ def nearest(
     or non-finite vectors and null ids take no part; vectors are compared with
     those of their length. Rows with equal vectors are one point, named by a
     digest of 128 bits, with its ``k`` + 1 smallest ids, which is all that any
-    answer can need; repeated rows of an id count once. A query that finds fewer
+    answer can need; repeated rows of an id count once, and an id with several
+    vectors is as near as the nearest of them. A query that finds fewer
     than ``k`` neighbours is compared with all rows. No rows give no rows; other
     columns are ignored. A query probes ``probes`` times the square root of the
     number of buckets in each table.
