@@ -1,5 +1,7 @@
 """Every query against DuckDB on the smallest tables; those without SQL against what must hold."""
 
+import duckdb
+import numpy as np
 import pytest
 
 from compare import database, differences
@@ -69,3 +71,24 @@ FROM ends e JOIN pbu u ON u.ticker = e.ticker AND u.fold = -1 GROUP BY e.ticker"
     want = duck.sql(sql).df().set_index("ticker")
     got = got.set_index("ticker")
     assert len(want) == 3 and (got["ratio"] - want["ratio"]).abs().max() < 2e-6 and (got["coverage"] - want["coverage"]).abs().max() < 2e-6
+
+
+@pytest.fixture(scope="module")
+def fallen(tmp_path_factory):
+    """Lines whose many copies take the walk's prices to 0 and beyond 1e9."""
+    folder = tmp_path_factory.mktemp("fallen")
+    duckdb.sql(f"COPY (SELECT * REPLACE (l_orderkey + 1000000 * k AS l_orderkey) FROM '{SF}/lineitem.parquet', range(100) r(k) WHERE l_shipdate < TIMESTAMP '1997-01-01') TO '{folder}/lineitem.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["causal_logs", "delay_windows", "amp_cos_topk", "bar_rank_features", "corridor_pool", "analog_paths", "corridor_bounds", "logtrend_in_chunks", "band_forecast", "band_forecast_smap", "band_result_rows", "band_zones"])
+def test_prices_of_zero_are_those_of_sql(spark, fallen, name):
+    keys = {"ticker": str, "begin": str}
+    frames = [f.astype({c: t for c, t in keys.items() if c in f}) for f in (QUERIES[name](spark, fallen).toPandas(), database(fallen).sql(SQL[name]).df())]
+    got, want = [f.sort_values(list(f.columns)).reset_index(drop=True) for f in (frames[0], frames[1][list(frames[0].columns)])]
+    assert len(got) == len(want)
+    for c in got:
+        if got[c].dtype.kind == "f":
+            assert np.allclose(got[c], want[c].astype(float), rtol=1e-7, atol=1e-8, equal_nan=True), c
+        else:
+            assert got[c].astype(str).tolist() == want[c].astype(str).tolist(), c

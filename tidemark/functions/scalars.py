@@ -17,6 +17,18 @@ def rounded(x: Column | str, digits: int = 6) -> Column:
     return F.round(_col(x), digits) + F.lit(0.0)
 
 
+def log(x: Column | str) -> Column:
+    """The natural logarithm as SQL has it: minus infinity of 0, NaN below."""
+    x = _col(x)
+    return F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+
+
+def quotient(a: Column | str, b: Column | str) -> Column:
+    """``a`` / ``b`` of doubles; a division by 0 gives an infinity, or NaN of 0 / 0."""
+    a, b = _col(a), _col(b)
+    return F.when(b != 0, a / b).when(b.isNotNull() & a.isNotNull(), F.when((a == 0) | F.isnan(a), float("nan")).otherwise(F.signum(a) * float("inf")))
+
+
 def half_up(x: Column | str) -> Column:
     """The nearest whole number; halves go up, also below zero."""
     return F.floor(_col(x) + 0.5)

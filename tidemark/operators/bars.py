@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import buy_share, seconds_of, steps_after
+from ..functions.scalars import buy_share, log, seconds_of, steps_after
 from .window import BY, Names, series, whole
 
 
@@ -59,7 +59,7 @@ def causal(bars: DataFrame, cutoff: str | None, least: int = 20, by: Names = BY)
 
 def logged(bars: DataFrame) -> DataFrame:
     """``bars`` with log_high, log_low, mid (their mean); a null volume becomes 0."""
-    bars = bars.withColumns({"log_high": F.ln("high"), "log_low": F.ln("low"), "volume": F.coalesce("volume", F.lit(0.0))})
+    bars = bars.withColumns({"log_high": log("high"), "log_low": log("low"), "volume": F.coalesce("volume", F.lit(0.0))})
     return bars.withColumn("mid", (F.col("log_high") + F.col("log_low")) / 2.0)
 
 

@@ -44,15 +44,15 @@ class Walker:
             self.extreme = (high + low) / 2.0
         rise, fall = high - self.extreme, self.extreme - low
         if self.direction == 0:
-            if rise >= self.threshold:
+            if not rise < self.threshold:  # also between two prices of 0
                 self._turn(TOP, high, i)
-            elif fall >= self.threshold:
+            elif not fall < self.threshold:
                 self._turn(BOTTOM, low, i)
             return None
         further, back, opposite = (rise, fall, low) if self.direction == TOP else (fall, rise, high)
         if further > 0:
             self.extreme, self.extreme_i = (high if self.direction == TOP else low), i
-        elif back >= self.threshold and (self.confirmed_i is None or i - self.confirmed_i >= self.min_bars):
+        elif not back < self.threshold and (self.confirmed_i is None or i - self.confirmed_i >= self.min_bars):
             pivot = self.extreme, self.extreme_i, i, self.direction
             self.confirmed_i = i
             self._turn(-self.direction, opposite, i)

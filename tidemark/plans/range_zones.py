@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import distance
+from ..functions.scalars import distance, quotient
 from ..operators import ranks, trend
 from ..operators.bars import logged
 from ..operators.quantile import weighted_quantiles
@@ -50,8 +50,8 @@ def zones(near: DataFrame, ahead: int = 5, levels: Sequence[float] = (50, 75, 90
 
     ``read`` replaces a level's nominal quantiles by calibrated ones.
     """
-    steps = near.select("ticker", "i", "anchor", "weight", "neighbors", F.greatest("close", F.lit(1e-10)).alias("c"), F.posexplode(F.arrays_zip("fwd_low", "fwd_high")).alias("k", "f"))
-    steps = steps.select("ticker", "i", "anchor", "weight", "neighbors", (F.col("k") + 1).alias("h"), ((F.col("f.fwd_low") - F.col("c")) / F.col("c")).alias("low"), ((F.col("f.fwd_high") - F.col("c")) / F.col("c")).alias("high"))
+    steps = near.select("ticker", "i", "anchor", "weight", "neighbors", F.col("close").alias("c"), F.posexplode(F.arrays_zip("fwd_low", "fwd_high")).alias("k", "f"))
+    steps = steps.select("ticker", "i", "anchor", "weight", "neighbors", (F.col("k") + 1).alias("h"), quotient(F.col("f.fwd_low") - F.col("c"), "c").alias("low"), quotient(F.col("f.fwd_high") - F.col("c"), "c").alias("high"))
     at = {float(lv): (read or {}).get(lv, ((100 - lv) / 200, (100 + lv) / 200)) for lv in levels}
     by = ("ticker", "h", "anchor", "neighbors")
     # both sides in one pass, a row for each; a quantile belongs to the levels that read it on its side

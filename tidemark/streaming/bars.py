@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalars import log
 from ..operators.recurrence import System
 from ..operators.spectral import CUTOFFS, bank
 from ..operators.store import upserted
-from ..operators.trend import FLOOR
 from ..operators.zigzag import Walker
 from ..sources.shared import exists, remove
 
@@ -96,7 +96,7 @@ def pivots(bars: DataFrame, threshold: float, min_bars: int = 5) -> DataFrame:
         state.update((walker.direction, walker.extreme, walker.extreme_i, walker.confirmed_i, walker.i, seq, extreme_begin))
         yield pd.DataFrame(out, columns=["ticker", "seq", "log_price", "extreme_begin", "confirm_begin", "direction"])
 
-    logs = bars.select("ticker", "begin", F.ln("high").alias("log_high"), F.ln("low").alias("log_low"))
+    logs = bars.select("ticker", "begin", log("high").alias("log_high"), log("low").alias("log_low"))
     return logs.groupBy("ticker").applyInPandasWithState(work, _PIVOTS, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -149,7 +149,8 @@ def filtered_ratios(bars: DataFrame, value: str = "close") -> DataFrame:
         sums, filters = state or ([0.0, 0.0, 0.0, 0.0, 0.0], [0.0] * size)
         n, first, sy, siy, before = sums
         price = frame[value].to_numpy(dtype=float)
-        y = np.log(np.maximum(price, FLOOR))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = np.log(price)
         first = y[0] if n == 0 else first
         i = n + np.arange(len(y))
         y = y - first
@@ -157,7 +158,8 @@ def filtered_ratios(bars: DataFrame, value: str = "close") -> DataFrame:
         count, middle = i + 1, i / 2
         slope = np.divide(siy - middle * sy, count * (count**2 - 1) / 12, out=np.zeros(len(y)), where=i > 0)
         line = np.where(i < 2, price, np.exp(first + sy / count - slope * middle + slope * i))
-        ratio = price / np.maximum(line, FLOOR)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = price / line
         steps = np.diff(np.r_[before, ratio])
         known = i > 0
         left, after = system.run(steps[known], np.array(filters))
