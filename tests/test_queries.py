@@ -27,6 +27,11 @@ def test_agrees_with_sql(spark, duck, name):
     assert len(got) or name in EMPTY
 
 
+def test_no_task_sorts_a_group_of_quantiles(spark):
+    over = [line for line in QUERIES["weighted_quantiles"](spark, SF)._jdf.queryExecution().sparkPlan().toString().splitlines() if "Window" in line and "value" in line]
+    assert over and all("_part#" in line for line in over)
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 

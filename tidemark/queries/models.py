@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import bars, neighbors, quantile, ranks, trend, zigzag
 from ..plans import band, calibrate, corridor, range_zones, regime, simplex
 from ..sources.fixtures import table, walk, written_once
-from ..sources.shared import written
+from ..sources.shared import parts_of, written
 from .common import LOGGED, PLACED, RATIOS, on_bars, r, shown, weighted, windows
 from .series import AHEAD, RANKED, RAWS, bank
 
@@ -49,7 +49,7 @@ def weighted_quantiles_wide(spark, sf):
 def weighted_quantiles(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("l_shipmonth", F.month("l_shipdate"))
     by = ("l_returnflag", "l_linestatus", "l_shipmonth")
-    return shown(quantile.weighted_quantiles(rows, "l_extendedprice", "l_quantity", _QS, by), *by, "q", quantile=6)
+    return shown(quantile.wide_weighted_quantiles(rows, "l_extendedprice", "l_quantity", _QS, by, parts_of(table(spark, sf, "lineitem"))), *by, "q", quantile=6)
 
 
 @query(f"SELECT unnest({_QS}::DOUBLE[]) AS q, round(unnest(quantile_cont(l_extendedprice, {_QS})), 4) + 0.0 AS quantile FROM lineitem")

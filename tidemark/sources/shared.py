@@ -47,6 +47,11 @@ def stamp(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(at)))
 
 
+def parts_of(table: DataFrame) -> int:
+    """A number of tasks that grows with a table that is read from files: 16 for each of its splits, and as many as Spark shuffles into at least."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 * table.rdd.getNumPartitions())
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written and read again: computed once, whatever reads them, and not again when an executor is lost."""
     path = fresh_path(rows.sparkSession, name)
