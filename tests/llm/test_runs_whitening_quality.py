@@ -282,3 +282,29 @@ def test_features_of_long_texts_are_those_of_their_pieces(monkeypatch):
     monkeypatch.setattr(quality, "PIECE", 57)
     assert quality.features(text) == pytest.approx(whole)
     assert not quality.features(None).any() and not quality.features("").any()
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    """More documents than a fit once saw: each counts, and so do the scores of all for the cut."""
+    texts = ["plain words of a calm story go here", "$$$ !!! ### ???"]
+    docs = spark.range(10_600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, texts[0]).otherwise(texts[1]).alias("text"))
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    fitted = quality.fit
+    quality.fit = lambda blocks: (seen.append(blocks.agg(F.sum("n")).first()[0]), fitted(blocks))[1]
+    try:
+        model = quality.train(docs, labels)
+    finally:
+        quality.fit = fitted
+    assert seen == [10_600]
+    raw = model.raw(np.array([quality.features(t) for t in texts]))
+    assert abs(model.cut - raw.mean()) < 1e-9 and raw[0] > raw[1]
+
+
+def test_cut_of_scores_that_no_task_holds(spark):
+    rng = np.random.default_rng(3)
+    for n, ones in ((7, 3), (50, 1), (40, 39)):
+        raw, label = rng.normal(size=n), np.arange(n) < ones
+        shares = {1: ones, 0: n - ones}
+        held = spark.createDataFrame(list(zip(label.astype(int).tolist(), raw.tolist())), "label int, raw double")
+        assert abs(quality.whole_cut(held, shares) - quality.cut_of(raw, label.astype(int), shares)) < 1e-12

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantile import wide_quantiles
 from . import common
 from .common import gram_hashes, lowered, mix64, word_hashes
 
@@ -32,6 +33,8 @@ PIECE = 1 << 20
 #: Weight of the squared weights in the loss, for each pair.
 RIDGE = 1e-3
 STEPS = 12
+#: Sums that come to the driver from a step of the fit.
+MERGED = 8
 
 _KINDS = 6 + 33
 _STATS = 10
@@ -111,7 +114,8 @@ class Model:
         self.mean, self.scale, self.weights, self.cut = mean, scale, weights, cut
 
     def raw(self, vectors: np.ndarray) -> np.ndarray:
-        return _standard(vectors, self.mean, self.scale) @ self.weights
+        # row by row, so that a text has the same score in whatever batch it is
+        return np.ascontiguousarray(_standard(vectors, self.mean, self.scale) * self.weights).sum(axis=1)
 
     def scores(self, vectors: np.ndarray) -> np.ndarray:
         """How likely a text is to win against one at the cut."""
@@ -178,8 +182,24 @@ def _summed(parts: list, name: str, shape: tuple) -> np.ndarray:
 
 
 def _moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums over a task's blocks: documents, those of label 1, and vectors and their squares."""
+    head, count, some, first, second = None, 0, 0, np.zeros(SIZE), np.zeros(SIZE)
     for block, ones, vectors in _blocks(frames):
-        yield pd.DataFrame({"block": [block], "ones": [ones], "n": [len(vectors)], "first": [vectors.sum(axis=0).tobytes()], "second": [(vectors**2).sum(axis=0).tobytes()]})
+        head, count, some = block if head is None else head, count + len(vectors), some + ones
+        first, second = first + vectors.sum(axis=0), second + (vectors**2).sum(axis=0)
+    if head is not None:
+        yield pd.DataFrame({"block": [head], "ones": [some], "n": [count], "first": [first.tobytes()], "second": [second.tobytes()]})
+
+
+def _merged(parts: DataFrame) -> list:
+    """Rows of tasks, added up in ``MERGED`` groups before they come to the driver; binaries are vectors of doubles."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("block", kind="stable")
+        add = lambda c: np.sum([np.frombuffer(v) for v in frame[c]], axis=0).tobytes() if isinstance(frame[c].iloc[0], bytes) else frame[c].sum()
+        return pd.DataFrame({c: [frame[c].iloc[0] if c == "block" else add(c)] for c in parts_columns})
+
+    parts_columns = parts.columns
+    return parts.groupBy(F.pmod("block", F.lit(MERGED))).applyInPandas(run, parts.schema).orderBy("block").collect()
 
 
 def _raw_of(model: Model):
@@ -191,8 +211,8 @@ def _raw_of(model: Model):
 
 
 def fit(blocks: DataFrame) -> Model:
-    """Newton's method on the pairs of all blocks; what comes to the driver are sums of each task."""
-    sums = blocks.mapInPandas(_moments, "block long, ones long, n long, first binary, second binary").orderBy("block").collect()
+    """Newton's method on the pairs of all blocks; what comes to the driver are ``MERGED`` sums at most."""
+    sums = _merged(blocks.mapInPandas(_moments, "block long, ones long, n long, first binary, second binary"))
     n = sum(r["n"] for r in sums)
     mean = _summed(sums, "first", (SIZE,)) / max(n, 1)
     spread = np.sqrt(np.maximum(_summed(sums, "second", (SIZE,)) / max(n, 1) - mean**2, 0)) if sums else np.zeros(SIZE)
@@ -201,7 +221,7 @@ def fit(blocks: DataFrame) -> Model:
     if not sums or ones in (0, n):  # no pair: every text has the share of label 1
         return Model(np.zeros(SIZE), np.ones(SIZE), weights, float(np.log((n - ones + 1) / (ones + 1))))
     for _ in range(STEPS):
-        parts = blocks.mapInPandas(_step_of(mean, scale, weights), "block long, pairs double, gradient binary, second binary").orderBy("block").collect()
+        parts = _merged(blocks.mapInPandas(_step_of(mean, scale, weights), "block long, pairs double, gradient binary, second binary"))
         pairs = max(sum(p["pairs"] for p in parts), 1.0)
         gradient = _summed(parts, "gradient", (SIZE,)) / pairs + RIDGE * weights
         second = _summed(parts, "second", (SIZE, SIZE)) / pairs + RIDGE * np.eye(SIZE)
@@ -212,11 +232,12 @@ def fit(blocks: DataFrame) -> Model:
     return Model(mean, scale, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learns from the documents whose ids have a label, 0 or 1.
 
-    ``max_rows`` bounds the documents of the fit: half of them for each label,
-    the first in the order of a hash of the id, or all if there are fewer. An id
+    All of them count, for the weights and for the cut. ``max_rows`` may bound
+    them: half for each label, the first in the order of a hash of the id, or
+    all if there are fewer. An id
     whose labels disagree counts for the more frequent one, and not at all if
     they are even; documents that share an id count once, by the smallest text.
     """
@@ -226,23 +247,36 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: st
     known = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     marks, marks_at = common.written(marks.join(known, "id", "left_semi"), "marks")
     shares = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows at most
-    half = max_rows // 2
-    chosen = marks.where("label = 1").orderBy("place", "id").limit(half).unionByName(marks.where("label = 0").orderBy("place", "id").limit(half))  # max_rows at most
-    chosen, chosen_at = common.written(chosen, "chosen")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "label")), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    chosen, chosen_at, count = marks, [], sum(shares.values())
+    if max_rows is not None:
+        half = max_rows // 2
+        chosen = marks.where("label = 1").orderBy("place", "id").limit(half).unionByName(marks.where("label = 0").orderBy("place", "id").limit(half))  # max_rows at most
+        chosen, at = common.written(chosen, "chosen")
+        chosen_at, count = [at], sum(min(half, n) for n in shares.values())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen.select("id", "label"), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     rows = texts.mapInPandas(_packed, "id long, label int, vector binary")
-    count = sum(min(half, n) for n in shares.values())
     many = -(-count // BLOCK) or 1
     dealt = rows.withColumn("place", F.xxhash64(F.lit("block"), "id")).withColumn("block", F.pmod("place", F.lit(many)))
     blocks, blocks_at = common.written(dealt.groupBy("block").applyInPandas(_block, "block long, ones int, n int, vectors binary"), "blocks")
     model = fit(blocks)
     if model.weights.any():
-        raw = blocks.mapInPandas(_raw_of(model), "label int, raw double").toPandas()  # two numbers for each of max_rows
-        model.cut = cut_of(raw["raw"].to_numpy(), raw["label"].to_numpy(), shares)
-    common.remove(spark, marks_at, chosen_at, blocks_at)
+        raw = blocks.mapInPandas(_raw_of(model), "label int, raw double")
+        if max_rows is None:
+            model.cut = whole_cut(raw, shares)
+        else:
+            raw = raw.toPandas()  # two numbers for each of max_rows
+            model.cut = cut_of(raw["raw"].to_numpy(), raw["label"].to_numpy(), shares)
+    common.remove(spark, marks_at, *chosen_at, blocks_at)
     return model
 
 
+def whole_cut(raw: DataFrame, shares: dict[int, int]) -> float:
+    """``cut_of`` the scores of all labelled documents, which no task holds: the middle of the last score of the share of label 0 and the next."""
+    n, zeros = sum(shares.values()), shares.get(0, 0)
+    at = min(max(zeros - 0.5, 0.5), n - 1.5) if n > 1 else 0.0
+    return float(wide_quantiles(raw, "raw", [at / max(n - 1, 1)]).first()["quantile"])
+
+
 def cut_of(raw: np.ndarray, label: np.ndarray, shares: dict[int, int]) -> float:
     """The quantile of the scores below which the share of all is nearest to that of label 0; the middle between the two scores next to it.
 
