@@ -217,6 +217,25 @@ def test_blocks_score_all_that_is_probed(monkeypatch):
                 assert np.allclose(got.get(i, np.empty(0)), best, rtol=0, atol=2e-5)
 
 
+@pytest.mark.parametrize("kind", ["mean", "tight", "outlier"])
+def test_rows_that_point_the_same_way_are_told_apart(spark, kind):
+    """A common mean, tight clusters, or coordinates far larger than the others."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    if kind == "mean":
+        x = 0.02 * x + rng.normal(size=32)
+    elif kind == "tight":
+        x = rng.normal(size=(30, 32))[rng.integers(0, 30, 3000)] + 0.02 * x
+    else:
+        x[:, :2] *= 30
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(rows).collect()
+    c = ann.cosines(x[::50], x)
+    c[np.arange(60), np.arange(0, 3000, 50)] = -2
+    best = {(50 * q, int(i)) for q, near in enumerate(np.argsort(-c, axis=1)[:, :5]) for i in near}
+    assert len(got) == 300 and len(best & {(r["query_id"], r["id"]) for r in got}) >= 270
+
+
 def test_an_id_with_two_vectors(spark):
     rows = [(0, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [1.0, 0.1]), (8, [1.0, 1.0]), (9, None)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).orderBy("rank").collect()

@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Rounds of random signs and a fast Hadamard transform turn a unit vector
+Unit vectors are moved so that their mean is 0 and scaled to a mean square of 1:
+nearest by cosine is nearest by distance there too, and rows that all point
+about the same way are told apart by buckets and codes as others are. Rounds of random signs and a fast Hadamard transform turn a vector
 pseudo-randomly; its bucket is the signed axis nearest to the turned vector.
 Several tables turn differently. Further polytopes refine the buckets as rows
 grow, so that a bucket holds about ``fill`` of them. A query probes the buckets
@@ -10,8 +12,8 @@ with the square root of the number of buckets, so the share of rows that a query
 sees falls with the square root of the rows.
 
 Neighbouring buckets of a table form large groups. A group's points go to one
-task in compact form (a name, an id and coordinates of four bits), with the
-queries that probe any of its buckets (coordinates of eight bits); the task
+task in compact form (a name, an id and coordinates of sixteen bits), with the
+queries that probe any of its buckets (coordinates as floats); the task
 scores what the probed buckets hold and hands on the best few. The best of all
 tables are ranked by exact cosines of the original vectors, which are read from
 the rows again. So whole vectors are shuffled once, for ranking; few tables with
@@ -145,18 +147,51 @@ def _usable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(id, dim, digest, code) of rows whose vectors take part."""
     for frame in frames:
         ids = frame["id"].to_numpy()
-        rows = [(ids[at], len(x), xxhash.xxh3_128_digest(_encoded(x)), eighths(x).tobytes()) for at, x in _vectors(frame["vec"])]
+        rows = [(ids[at], len(x), xxhash.xxh3_128_digest(_encoded(x)), _unit(x[None]).astype(np.float32).tobytes()) for at, x in _vectors(frame["vec"])]
         yield pd.DataFrame(rows, columns=["id", "dim", "digest", "code"])
 
 
 def eighths(x: np.ndarray) -> np.ndarray:
-    """Coordinates in eight bits each, in units of the largest."""
-    return np.rint(x / np.abs(x).max() * 127).astype(np.int8)
+    """Coordinates of queries as they are sent: floats, as eight bits (hence the name) did not tell near rows apart."""
+    return x.astype(np.float32)
 
 
 def _whole(codes: list[bytes], dim: int) -> np.ndarray:
-    """Unit vectors near those that had the codes."""
-    return _unit(np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), dim).astype(np.float64))
+    """The vectors that had the codes."""
+    return np.frombuffer(b"".join(codes), np.float32).reshape(-1, dim)
+
+
+#: The mean of unit vectors of a length and the root of their mean squared distance from it.
+Centres = dict[int, tuple[np.ndarray, float]]
+
+
+def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each length of vectors in a task their number and sums."""
+    found: dict[int, list] = {}
+    for frame in frames:
+        for dim, own in frame.groupby("dim"):
+            held = found.setdefault(int(dim), [0, np.zeros(int(dim))])
+            held[0] += len(own)
+            held[1] += np.frombuffer(b"".join(own["code"]), np.float32).reshape(len(own), -1).sum(axis=0, dtype=np.float64)
+    yield pd.DataFrame([(dim, n, x.tolist()) for dim, (n, x) in found.items()], columns=["dim", "n", "sums"])
+
+
+def centres_of(points: DataFrame) -> Centres:
+    """The centres of all points, one for each length; a task sends one row of sums for each."""
+    out = {}
+    sums = points.select("dim", "code").mapInPandas(_sums, "dim int, n long, sums array<double>").select("dim", "n", F.posexplode("sums").alias("at", "x"))
+    means = sums.groupBy("dim", "at").agg((F.sum("x") / F.sum("n")).alias("x")).groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("mean"))
+    for row in means.collect():
+        mean = np.array([m["x"] for m in row["mean"]])
+        left = 1 - mean @ mean
+        out[row["dim"]] = mean, float(np.sqrt(left)) if left > 1e-12 else 1.0
+    return out
+
+
+def _centred(codes: list[bytes], dim: int, centres: Centres) -> np.ndarray:
+    """Centred and scaled vectors, as exact as floats are."""
+    mean, scale = centres[dim]
+    return ((_whole(codes, dim) - mean) / scale).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -171,17 +206,16 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
 
 
-def packed(unit: np.ndarray) -> np.ndarray:
-    """Coordinates in four bits each, two a byte, in units of a row's largest."""
-    code = np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 7).astype(np.int8) + 8
-    code = np.pad(code.astype(np.uint8), ((0, 0), (0, unit.shape[1] % 2)), constant_values=8)
-    return code[:, ::2] << 4 | code[:, 1::2]
+def packed(x: np.ndarray) -> np.ndarray:
+    """Coordinates in sixteen bits each, in units of a row's largest, after that unit as a float."""
+    unit = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30).astype(np.float32)
+    return np.concatenate((unit.view(np.uint8), np.rint(x / unit * 32767).astype(np.int16).view(np.uint8)), axis=1)
 
 
 def unpacked(codes: np.ndarray, dim: int) -> np.ndarray:
-    """Unit vectors near those that were packed."""
-    x = np.stack((codes >> 4, codes & 15), axis=2).reshape(len(codes), -1)[:, :dim].astype(np.float32) - 8
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Vectors near those that were packed."""
+    unit, x = np.ascontiguousarray(codes[:, :4]).view(np.float32), np.ascontiguousarray(codes[:, 4:]).view(np.int16)
+    return x[:, :dim].astype(np.float32) * (unit / np.float32(32767))
 
 
 _SCHEMA = "dim int, tbl int, bucket long, query boolean, lead long, n int, keys binary, names binary, firsts binary, codes binary"
@@ -193,17 +227,17 @@ def _leads(digests) -> np.ndarray:
     return np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
 
 
-def _by_dim(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+def _by_dim(frames: Iterator[pd.DataFrame], centres: Centres) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
     for frame in frames:
         for dim, own in frame.groupby("dim"):
-            yield int(dim), own, _whole(list(own["code"]), int(dim))
+            yield int(dim), own, _centred(list(own["code"]), int(dim), centres)
 
 
-def _points(tables: int, probes: float, rows: int, fill: float, seed: int):
+def _points(tables: int, probes: float, rows: int, fill: float, seed: int, centres: Centres):
     """Points as blobs, one for each batch, table and group of buckets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for dim, own, unit in _by_dim(frames):
+        for dim, own, unit in _by_dim(frames, centres):
             layout, out = Layout(rows, dim, fill, probes), []
             leads, firsts, codes = _leads(own["digest"]), own["first"].to_numpy(np.int64), packed(unit)
             for table in range(tables):
@@ -220,13 +254,13 @@ def _points(tables: int, probes: float, rows: int, fill: float, seed: int):
     return run
 
 
-def _queries(tables: int, probes: float, rows: int, fill: float, seed: int):
+def _queries(tables: int, probes: float, rows: int, fill: float, seed: int, centres: Centres):
     """Queries as blobs, one for each batch, table and group of buckets that they probe."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for dim, own, unit in _by_dim(frames):
+        for dim, own, unit in _by_dim(frames, centres):
             layout, out = Layout(rows, dim, fill, probes), []
-            digests, codes, leads = own["digest"].to_list(), own["code"].to_list(), _leads(own["digest"])
+            digests, codes, leads = own["digest"].to_list(), [eighths(x).tobytes() for x in unit], _leads(own["digest"])
             for table in range(tables):
                 asking = np.ones((len(own), layout.groups), dtype=bool)
                 if layout.groups > 1:
@@ -247,8 +281,7 @@ class _Asked:
 
     def __init__(self, dim: int, table: int, group: int, layout: Layout, names: list[bytes], codes: list[bytes], keep: int, seed: int):
         self.digests, self.keep = np.frombuffer(b"".join(names), "V16"), keep
-        unit = _unit(np.frombuffer(b"".join(codes), np.int8).reshape(-1, dim).astype(np.float64))
-        self.vecs = unit.astype(np.float32)
+        self.vecs = unit = _whole(codes, dim)
         self.probed = None
         if table != EVERY:
             probed, of = [], []
@@ -286,7 +319,8 @@ class _Asked:
         step = max(1, PAIRS // len(queries))
         vecs = self.vecs[queries].T
         for low in range(0, len(at), step):  # as many points as give a bounded number of pairs
-            score = np.round(points[low : low + step] @ vecs, 5)
+            own = points[low : low + step]
+            score = np.round(own @ vecs + (1 - (own * own).sum(axis=1, keepdims=True)) / 2, 6)  # falls as the distance rises
             point, query = np.nonzero(score >= self.least[queries])  # the others are beaten already
             some = at[low + point]
             self.waiting.append((queries[query].astype(np.int64), score[point, query], firsts[some], leads[some]))
@@ -312,7 +346,7 @@ class _Asked:
         return pd.DataFrame({"q": [self.digests[query[a]].tobytes() for a, _ in spans], **{c: [x[a:b].tobytes() for a, b in spans] for c, x in (("scores", score), ("firsts", first), ("leads", lead))}})
 
 
-def _search(keep: int, probes: float, rows: int, fill: float, seed: int):
+def _search(keep: int, probes: float, rows: int, fill: float, seed: int, centres: Centres):
     """The best ``keep`` candidates of each query in each block, whose codes a task holds: at most a portion of queries and one of points."""
 
     def found(block: tuple, asking: list, points: list) -> Iterator[pd.DataFrame]:
@@ -320,7 +354,7 @@ def _search(keep: int, probes: float, rows: int, fill: float, seed: int):
             dim, table, group, _ = block
             asked = _Asked(dim, table, group, Layout(rows, dim, fill, probes), *map(list, zip(*asking, strict=True)), keep, seed)
             keys, codes, firsts, leads = (b"".join(x) for x in zip(*points, strict=True))
-            asked.meet(np.frombuffer(keys, np.int32), np.frombuffer(codes, np.uint8).reshape(-1, -(-dim // 2)), np.frombuffer(firsts, np.int64), np.frombuffer(leads, np.int64))
+            asked.meet(np.frombuffer(keys, np.int32), np.frombuffer(codes, np.uint8).reshape(-1, 2 * dim + 4), np.frombuffer(firsts, np.int64), np.frombuffer(leads, np.int64))
             yield asked.result()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -421,7 +455,7 @@ def nearest(
     asking = rows.where(F.col("id") % every == 0)
     queries, queries_at = written(asking.mapInPandas(_usable, "id long, dim int, digest binary, code binary").select(F.col("id").alias("query_id"), F.col("digest").alias("q")).distinct(), "queries")
 
-    setting = (probes, count, fill, seed)
+    setting = (probes, count, fill, seed, centres_of(points))
     blobs = lambda n: points.select("dim", "digest", "first", "code").mapInPandas(_points(n, *setting), _SCHEMA)
     asked = points.where("query").select("dim", "digest", "code").mapInPandas(_queries(tables, *setting), _SCHEMA)
     answers = _answers(_found(blobs(tables).union(asked), k, *setting), rows, asking, points, queries, k)
@@ -435,7 +469,7 @@ def nearest(
         flat = lambda df: df.withColumn("tbl", F.lit(EVERY)).select(*_COLUMNS)
         every_point = flat(blobs(1))
         groups = every_point.select("dim", "bucket").distinct()
-        alone = again.mapInPandas(_alone, _SCHEMA)
+        alone = again.mapInPandas(_alone(setting[-1]), _SCHEMA)
         wide = flat(alone.drop("bucket").join(groups, "dim"))
         more = _answers(_found(every_point.union(wide), k, *setting), rows, asking, points, short, k)
         answers, _ = written(answers.join(short, "query_id", "left_anti").unionByName(more), "answers")
@@ -444,11 +478,15 @@ def nearest(
     return answers
 
 
-def _alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _alone(centres: Centres):
     """Queries as rows, each once, without a group."""
-    for frame in frames:
-        n = len(frame)
-        yield pd.DataFrame({"dim": frame["dim"], "tbl": EVERY, "bucket": 0, "query": True, "lead": _leads(frame["digest"]), "n": 1, "keys": [None] * n, "names": frame["digest"], "firsts": [None] * n, "codes": frame["code"]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for dim, own, unit in _by_dim(frames, centres):
+            n = len(own)
+            yield pd.DataFrame({"dim": dim, "tbl": EVERY, "bucket": 0, "query": True, "lead": _leads(own["digest"]), "n": 1, "keys": [None] * n, "names": own["digest"].to_list(), "firsts": [None] * n, "codes": [eighths(x).tobytes() for x in unit]})
+
+    return run
 
 
 def _found(hashed: DataFrame, k: int, *setting) -> DataFrame:
@@ -457,7 +495,7 @@ def _found(hashed: DataFrame, k: int, *setting) -> DataFrame:
     # blocks are few and slow, and their rows large: a fixed number of tasks, which adaptive execution would merge
     tasks = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _dealt(hashed).repartition(tasks, *block).sortWithinPartitions(*block)
-    found = dealt.mapInPandas(_search(2 * (k + 1), *setting), "q binary, scores binary, firsts binary, leads binary")
+    found = dealt.mapInPandas(_search(3 * (k + 1), *setting), "q binary, scores binary, firsts binary, leads binary")
     return found.groupBy("q").applyInPandas(_merged(3 * (k + 1)), "q binary, lead long, first long")
 
 
