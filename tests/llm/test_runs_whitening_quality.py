@@ -301,6 +301,27 @@ def test_quality_learns_from_every_labelled_document(spark):
     assert abs(model.cut - raw.mean()) < 1e-9 and raw[0] > raw[1]
 
 
+def test_few_texts_without_a_label_are_shuffled(spark):
+    docs = spark.range(-20_000, 20_000).selectExpr("if(id % 7 = 0, null, id) AS id", "concat('text ', id) AS text")
+    keys = docs.where("id % 40 = 3").select("id").distinct()
+    count = keys.count()
+    met = {r["id"] for r in quality._among(docs, keys, count).collect()}
+    assert count > 400 and {r["id"] for r in keys.collect()} <= met and len(met) < 40_000 / 8
+    assert quality._among(docs, keys.limit(0), 0).count() == 0
+    assert len({r["id"] for r in quality._among(docs, keys, 0).collect()}) > 30_000  # no room: all may be among them
+
+
+def test_score_is_that_of_the_row_alone():
+    """Sums and exponentials are rounded for each text by itself."""
+    rng = np.random.default_rng(5)
+    model = quality.Model(rng.normal(size=quality.SIZE), rng.uniform(0.1, 2, quality.SIZE), rng.normal(size=quality.SIZE), 0.3)
+    vectors = rng.normal(size=(40, quality.SIZE)).astype(np.float32)
+    alone = [math.fsum(quality._standard(v, model.mean, model.scale) * model.weights) for v in vectors]
+    assert model.raw(vectors).tolist() == alone
+    assert model.scores(vectors).tolist() == [1 / (1 + math.exp(-min(max(x - 0.3, -30), 30))) for x in alone]
+    assert len(model.raw(vectors[:0])) == len(model.scores(vectors[:0])) == 0
+
+
 def test_cut_of_scores_that_no_task_holds(spark):
     rng = np.random.default_rng(3)
     for n, ones in ((7, 3), (50, 1), (40, 39)):

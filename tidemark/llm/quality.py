@@ -11,6 +11,7 @@ drawn; each step of the fit is one job over the blocks, whose tasks send sums.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ RIDGE = 1e-3
 STEPS = 12
 #: Sums that come to the driver from a step of the fit.
 MERGED = 8
+#: Bits of the map of labelled ids for each of them, and in all (32 MB).
+SPARSE, MOST_BITS = 16, 1 << 28
 
 _KINDS = 6 + 33
 _STATS = 10
@@ -114,12 +117,12 @@ class Model:
         self.mean, self.scale, self.weights, self.cut = mean, scale, weights, cut
 
     def raw(self, vectors: np.ndarray) -> np.ndarray:
-        # row by row, so that a text has the same score in whatever batch it is
-        return np.ascontiguousarray(_standard(vectors, self.mean, self.scale) * self.weights).sum(axis=1)
+        # row by row and exactly rounded, so that a text has the same score in whatever batch it is
+        return np.array([math.fsum(row) for row in (_standard(vectors, self.mean, self.scale) * self.weights).tolist()])
 
     def scores(self, vectors: np.ndarray) -> np.ndarray:
         """How likely a text is to win against one at the cut."""
-        return 1 / (1 + np.exp(-np.clip(self.raw(vectors) - self.cut, -30, 30)))
+        return np.array([1 / (1 + math.exp(-x)) for x in np.clip(self.raw(vectors) - self.cut, -30, 30).tolist()])
 
 
 def _standard(vectors: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -232,6 +235,20 @@ def fit(blocks: DataFrame) -> Model:
     return Model(mean, scale, weights)
 
 
+def _among(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """``rows`` whose id may be one of the ``count`` in ``keys``: all that are, and about one in ``SPARSE`` of the others.
+
+    The bits of hashed ids are broadcast in pieces, so that rows without a label
+    are not shuffled. More ids than the map has room for let more others through.
+    """
+    place = F.pmod(F.xxhash64(F.lit("among"), "id"), F.lit(min(max(SPARSE * count, 1), MOST_BITS))) + 1
+    piece, at = F.bitmap_bucket_number(place).alias("_piece"), F.bitmap_bit_position(place)
+    maps = keys.select(piece, at.alias("_at")).groupBy("_piece").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.select("*", piece, at.alias("_at")).join(F.broadcast(maps), "_piece")
+    return met.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("_at") % 8).cast("int")) != 0).select(*rows.columns)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learns from the documents whose ids have a label, 0 or 1.
 
@@ -253,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int | None = None, id_co
         chosen = marks.where("label = 1").orderBy("place", "id").limit(half).unionByName(marks.where("label = 0").orderBy("place", "id").limit(half))  # max_rows at most
         chosen, at = common.written(chosen, "chosen")
         chosen_at, count = [at], sum(min(half, n) for n in shares.values())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen.select("id", "label"), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    texts = _among(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, count).join(chosen.select("id", "label"), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     rows = texts.mapInPandas(_packed, "id long, label int, vector binary")
     many = -(-count // BLOCK) or 1
     dealt = rows.withColumn("place", F.xxhash64(F.lit("block"), "id")).withColumn("block", F.pmod("place", F.lit(many)))
