@@ -108,6 +108,13 @@ def test_wide_quantiles_are_the_quantiles(spark):
     assert [r["quantile"] for r in wide] == pytest.approx([r["quantile"] for r in exact])
 
 
+def test_wide_quantiles_keep_the_order_of_ties(spark):
+    rows = spark.createDataFrame([(1.0, 1.0, 1), (2.0, 5.0, 2), (2.0, 1.0, 3), (2.0, 3.0, 4), (3.0, 2.0, 5)], "v double, w double, t int")
+    qs = (0.15, 0.25, 0.7, 0.8, 0.85)
+    exact, wide = ([r["quantile"] for r in f(rows, "v", "w", qs, ties=("t",)).orderBy("q").collect()] for f in (quantile.weighted_quantiles, quantile.wide_weighted_quantiles))
+    assert wide == pytest.approx(exact)
+
+
 def test_no_weight_reads_the_median(spark):
     rows = spark.createDataFrame([(float(v), 0.0) for v in (1, 2, 4, 9)], "v double, w double")
     assert {r["quantile"] for r in quantile.weighted_quantiles(rows, "v", "w", (0.1, 0.9)).collect()} == {3.0}

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import calibrate, corridor, range_zones, regime, simplex
+from tidemark.operators import quantile, zigzag
+from tidemark.plans import band, calibrate, corridor, range_zones, regime, simplex
 from test_operators import series
 
 
@@ -27,6 +28,16 @@ def test_first_step_is_the_bar_after_the_window(spark):
     assert got[2] == pytest.approx((d[119]["ratio_close"] + d[51]["d_close"] + d[62]["d_close"]) * line(2))
 
 
+def test_band_takes_equal_moves_by_time(spark):
+    rng = np.random.default_rng(3)
+    days = pd.date_range("2020-01-01", periods=60)
+    frame = pd.DataFrame([(t, i, float(rng.integers(1, 4)) if i % 2 else 0.0, i, days[i], days[i], 1 - 2 * (i % 2)) for t in "AB" for i in range(60)], columns=["ticker", "seq", "log_price", "confirm_i", "confirm_begin", "extreme_begin", "direction"])
+    found = zigzag.legs(spark.createDataFrame(frame)).withColumns({r: F.lit(0.5) for r in band.RANKS})
+    got = [(r["h"], r["log_return"]) for r in band.forecast(found, "A", theta=1.0).orderBy("h", "q").collect()]
+    want = [(h, r["quantile"]) for h in (1, 2) for r in quantile.weighted_quantiles(band.analogs(found, "A", h, theta=1.0), "target", "weight", band.LEVELS, ties=("confirm_begin", "ticker")).orderBy("q").collect()]
+    assert [h for h, _ in got] == [h for h, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-12)
+
+
 def test_draws_follow_weights(spark):
     pool = spark.createDataFrame([("T", 1, 0.1), ("T", 2, 0.6), ("T", 3, 0.3)], "ticker string, i long, weight double")
     found = dict(corridor.drawn(pool, 500, 4).groupBy("i").count().collect())

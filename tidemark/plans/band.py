@@ -66,7 +66,7 @@ def forecast(found: DataFrame, target: str, m: int = 6, theta: float = 0.0, lamb
     pools = written(analogs(found, target, 1, m, theta, lambdas).unionByName(analogs(found, target, 2, m, theta, lambdas)), "pools")
     # a pool grows with the tickers, so no task sorts a whole one
     head = pools.groupBy("h").agg(*[F.first(c).alias(c) for c in ("pool_size", "o_log_price", "o_confirm_begin", "o_extreme_begin", "o_direction")])
-    read = wide_weighted_quantiles(pools, "target", "weight", levels, ("h",)).join(head, "h")
+    read = wide_weighted_quantiles(pools, "target", "weight", levels, ("h",), ties=("confirm_begin", "ticker")).join(head, "h")
     return read.select("h", "pool_size", F.col("o_confirm_begin").alias("origin"), F.col("o_extreme_begin").alias("origin_extreme"), F.col("o_direction").alias("direction"), "q", F.col("quantile").alias("log_return"), F.exp(F.col("o_log_price") + F.col("quantile")).alias("price"))
 
 
