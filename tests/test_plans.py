@@ -244,3 +244,25 @@ def test_calibration_counts_origins_that_a_price_of_zero_leaves_no_number(spark)
     before = [k for k in full if k[0] < 195]
     assert len(before) > 100 and [fallen[k] for k in before] == pytest.approx([full[k] for k in before])
     assert not all(np.isfinite(v) for v in fallen.values())
+
+
+def test_ensemble_stands_prices_of_zero_and_large_ones(spark):
+    s = simplex.Settings(horizon=4, levels=2, p_range=(3, 6))
+    price = 100 * np.exp(np.cumsum(np.random.default_rng(4).normal(size=160)) / 20)
+    price[[40, 155]], price[60:90] = 0.0, price[60:90] * 1e200
+    bars = pd.DataFrame({"ticker": "T", "begin": pd.date_range("2020-01-01", periods=160), "close": price})
+    paths = simplex.ensemble(spark.createDataFrame(bars), 8, s)
+    found = {(r["back"], r["h"]): r["rel"] for r in paths.collect()}
+    assert set(found) == {(b, h) for b in range(8) for h in range(1, 5)}
+    assert all(np.isfinite(v) != (b == 4) for (b, _), v in found.items())  # from a price of 0 there is no return
+    broken = bars.assign(close=bars["close"].where(bars.index != 70))
+    assert simplex.ensemble(spark.createDataFrame(broken).withColumn("close", F.nanvl("close", F.lit(None).cast("double"))), 8, s).count() == 32
+
+
+def test_large_numbers_change_the_scale_alone():
+    x = 1 + 0.1 * np.random.default_rng(6).normal(size=150)
+    s = simplex.Settings(horizon=4, levels=2, p_range=(3, 6))
+    large = x * 2.0**700
+    assert simplex.dimensions(large, s) == simplex.dimensions(x, s)
+    assert (simplex.smoothed(large, 6, 2, 10, 0.5) == simplex.smoothed(x, 6, 2, 10, 0.5) * 2.0**700).all()
+    assert (simplex.trajectory(large, 6, 2, s) == simplex.trajectory(x, 6, 2, s) * 2.0**700).all()

@@ -3,6 +3,10 @@
 Smoothing is a group for each series and dimension; every path is a group of its
 own (series, origin, dimension), which holds the series up to its origin. Means
 over dimensions, trend lines and returns are columns.
+
+Prices below ``FLOOR`` count as that in trend lines, so that a price of 0 leaves
+a line. Windows that hold a value that is no finite number are nobody's
+neighbours; numbers whose squares are too large are scaled before.
 """
 
 from __future__ import annotations
@@ -14,9 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import quotient
 from ..operators.quantile import weighted_quantiles
 from ..operators.trend import causal_trend
 
+#: Prices and trends below this count as it.
+FLOOR = 1e-10
+#: Squares of larger numbers are not taken: what holds any is scaled before.
+LARGE = 1e100
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -39,14 +49,32 @@ def windows(x: np.ndarray, p: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, p)
 
 
+def finite(x: np.ndarray, p: int) -> np.ndarray:
+    """Whether the windows of length ``p`` hold finite numbers only."""
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(x))))
+    return bad[p:] == bad[:-p]
+
+
+def power_of(top: np.ndarray | float) -> np.ndarray | float:
+    """The power of two by which numbers up to ``top`` are divided; 1 unless they are large."""
+    return np.where(top > LARGE, np.exp2(np.frexp(top)[1] - 1.0), 1.0)
+
+
 def amp_cos(rows: np.ndarray, q: np.ndarray, alpha: float) -> np.ndarray:
-    """The blend of size and direction of ``neighbors.with_amp_cos``, over one set of rows."""
-    sizes, size = np.sqrt((rows * rows).sum(axis=1)), float(np.sqrt(q @ q))
+    """The blend of size and direction of ``neighbors.with_amp_cos``, over one set of rows of finite numbers."""
+    with np.errstate(over="ignore"):
+        parts, part = np.sqrt((rows * rows).sum(axis=1)), float(np.sqrt(q @ q))
+    sizes, size = parts, part
+    if max(sizes.max(initial=0.0), size) > LARGE:
+        power, q_power = power_of(np.abs(rows).max(axis=1)), power_of(np.abs(q).max())
+        rows, q = rows / power[:, None], q / q_power
+        parts, part = np.sqrt((rows * rows).sum(axis=1)), float(np.sqrt(q @ q))
+        sizes, size = parts * power, part * float(q_power)
     shape = np.ones(len(rows))
     amp = np.abs(sizes - size)
     if size >= 1e-10:
         some = sizes > 1e-10
-        shape[some] = 1 - np.clip(rows[some] @ q / (sizes[some] * size), -1, 1)
+        shape[some] = 1 - np.clip(rows[some] @ q / (parts[some] * part), -1, 1)
         amp[some] = np.abs(np.log(sizes[some] / size))
     return alpha * amp / max(amp.max(), 1e-10) + (1 - alpha) * shape / max(shape.max(), 1e-10)
 
@@ -58,6 +86,9 @@ def nearest(d: np.ndarray, k: int) -> np.ndarray:
 
 def on_plane(rows: np.ndarray, x: np.ndarray, d: int) -> float:
     """The last coordinate of ``x`` projected on the plane of the first ``d`` principal directions of ``rows``."""
+    top = max(np.abs(rows).max(), np.abs(x).max())
+    if top > LARGE:
+        return float(power_of(top) * on_plane(rows / power_of(top), x / power_of(top), d))
     center = rows.mean(axis=0)
     moved = rows - center
     axes = np.linalg.eigh(moved.T @ moved)[1][:, ::-1][:, :d].T
@@ -68,10 +99,14 @@ def dimension(x: np.ndarray, p: int, k: int, share: float, alpha: float) -> int
     """How many principal directions hold ``share`` of the variance of the ``k`` windows nearest to the last one."""
     if len(x) - p < max(k, 1):
         return None
-    library, last = windows(x[:-1], p), x[-p:]
+    known, last = finite(x, p), x[-p:]
+    library = windows(x[:-1], p) if known.all() else windows(x[:-1], p)[known[:-1]]
+    if not known[-1] or len(library) < max(k, 1):
+        return None
     near = library[nearest(amp_cos(library, last, alpha), k)]
     if len(near) < 2:
         return None
+    near = near / power_of(np.abs(near).max())
     moved = near - near.mean(axis=0)
     variance = np.maximum(np.linalg.eigvalsh(moved.T @ moved)[::-1], 0.0)
     reached = np.cumsum(variance) / max(variance.sum(), 1e-14)
@@ -97,10 +132,10 @@ def smoothed(x: np.ndarray, p: int, d: int, k: int, alpha: float) -> np.ndarray:
     out = x.copy()
     if d < 1 or len(x) <= p:
         return out
-    rows = windows(x, p)
+    rows, known = windows(x, p), finite(x, p)
     for at in range(d + 1, len(rows)):
-        past = rows[:at]
-        if min(k, at) >= d + 1:
+        past = rows[:at] if known[:at].all() else rows[:at][known[:at]]
+        if known[at] and min(k, len(past)) >= d + 1:
             out[at + p - 1] = on_plane(past[nearest(amp_cos(past, rows[at], alpha), k)], rows[at], d)
     return out
 
@@ -110,19 +145,26 @@ def candidates(x: np.ndarray, context: np.ndarray, p: int, k: int, s: Settings,
 
     Lengths halve from p * 2^(levels - 1), leaving out those above ``longest``;
     each level keeps the ``k`` nearest starts, and the next one looks within
-    them. The last level is the last of the lengths that are left.
+    them. The last level is the last of the lengths that are left. Lengths at
+    which the context is not finite are left out, and so are such windows and outcomes.
     """
     lengths = [n for n in (p << j for j in reversed(range(s.levels))) if n <= s.longest] or [p]
+    lengths = [n for n in lengths if np.isfinite(context[-n:]).all()]
+    if not lengths:
+        return np.arange(0)
     latest = lambda n: min(len(x) - n, at - n - 1)
     pool = np.arange(latest(lengths[0]) + 1)
+    pool = pool[finite(x, lengths[0])[pool]]
     if len(pool) < k:
         return pool[:0]
     for n, shorter in zip(lengths, [*lengths[1:], None], strict=True):
         pool = pool[pool + n <= len(x)]
+        pool = pool[finite(x, n)[pool]]
         if len(context) < n or not len(pool):
             return pool[:0]
         if shorter is None:
-            return pool[pool + p < len(x)]
+            pool = pool[pool + p < len(x)]
+            return pool[np.isfinite(x[pool + p])]
         near = pool[nearest(amp_cos(windows(x, n)[pool], context[-n:], s.alpha), k)]
         wider = np.unique(near[:, None] + np.arange(n - shorter + 1))
         pool = wider[wider <= latest(shorter)]
@@ -133,6 +175,8 @@ def trajectory(x: np.ndarray, p: int, d: int, s: Settings) -> np.ndarray | None:
     """``horizon`` values after ``x``: each the weighted outcome of d + 1 neighbours of the values before; None without enough of them."""
     held = x.tolist()
     library = windows(x, p)[:-1] if len(x) > p else None
+    if library is not None and not np.isfinite(x).all():
+        library = library[finite(x, p)[:-1]]
     for _ in range(s.horizon):
         context = np.array(held)
         pool = candidates(x, context, p, d + 1, s, len(held))
@@ -145,8 +189,8 @@ def trajectory(x: np.ndarray, p: int, d: int, s: Settings) -> np.ndarray | None:
         value = float(w @ x[pool[near] + p] / w.sum())
         if s.correct and library is not None:
             k = min(3 * (p + 1) + s.extra, len(library))
-            if k >= d + 1:
-                guess = np.array([*held[len(held) - p + 1 :], value])
+            guess = np.array([*held[len(held) - p + 1 :], value])
+            if k >= d + 1 and np.isfinite(value):
                 value = on_plane(library[nearest(amp_cos(library, guess, s.alpha), k)], guess, d)
         held.append(value)
     return np.array(held[len(x) :])
@@ -165,10 +209,11 @@ def ensemble(bars: DataFrame, n: int = 20, settings: Settings = Settings()) -> D
     back only, so a series is smoothed once for each dimension and every origin
     reads it up to its own bar; only where ``bars`` cuts an origin's past does
     each origin smooth its own. Origins with too little history, or too few
-    neighbours in every dimension, have no rows.
+    neighbours in every dimension, have no rows. From a price of 0 returns are
+    infinite or no numbers.
     """
     s = settings
-    rows = causal_trend(bars.select("ticker", "begin", "close")).select("ticker", "begin", "close", "i", "ratio", "log_a", "log_b")
+    rows = causal_trend(bars.select("ticker", "begin", "close"), floor=FLOOR).select("ticker", "begin", "close", "i", "ratio", "log_a", "log_b")
     found = rows.groupBy("ticker").applyInPandas(lambda f: _dims(f, s), "ticker string, dims array<int>").select("ticker", F.explode("dims").alias("d"))
     each = rows.select("ticker", "i", F.col("ratio").alias("value")).join(found, "ticker")
 
@@ -204,7 +249,7 @@ def ensemble(bars: DataFrame, n: int = 20, settings: Settings = Settings()) -> D
     paths = held.repartition(tasks, "ticker", "back", "d").groupBy("ticker", "back", "d").applyInPandas(work, "ticker string, back int, d int, h int, ahead double")
     means = paths.groupBy("ticker", "back", "h").agg(F.avg("ahead").alias("_ahead"), F.count("*").cast("int").alias("dims"))
     line = F.exp(F.col("log_a") + F.col("log_b") * (F.col("_at") + F.col("h")))
-    return means.join(origins, ["ticker", "back"]).select("ticker", "back", "origin", "origin_price", "dims", "h", (F.col("_ahead") * line / F.col("origin_price") - 1).alias("rel"))
+    return means.join(origins, ["ticker", "back"]).select("ticker", "back", "origin", "origin_price", "dims", "h", (quotient(F.col("_ahead") * line, "origin_price") - 1).alias("rel"))
 
 
 def _dims(frame: pd.DataFrame, s: Settings) -> pd.DataFrame:
