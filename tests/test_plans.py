@@ -266,3 +266,19 @@ def test_large_numbers_change_the_scale_alone():
     assert simplex.dimensions(large, s) == simplex.dimensions(x, s)
     assert (simplex.smoothed(large, 6, 2, 10, 0.5) == simplex.smoothed(x, 6, 2, 10, 0.5) * 2.0**700).all()
     assert (simplex.trajectory(large, 6, 2, s) == simplex.trajectory(x, 6, 2, s) * 2.0**700).all()
+
+
+def test_ensemble_band_stands_returns_without_a_number(spark):
+    price = 100 * np.exp(np.cumsum(np.random.default_rng(4).normal(size=160)) / 20)
+    price[155] = 0.0
+    bars = spark.createDataFrame(pd.DataFrame({"ticker": "T", "begin": pd.date_range("2020-01-01", periods=160), "close": price}))
+    paths = simplex.ensemble(bars, 8, simplex.Settings(horizon=2, levels=2, p_range=(3, 6))).cache()
+    found = {r["h"]: r for r in simplex.band(paths).collect()}
+    assert [found[h]["origins"] for h in (1, 2)] == [8, 8]
+    for h, r in found.items():
+        rel = sorted(x["rel"] for x in paths.where(F.col("h") == h).collect())
+        assert abs(rel[-1]) == np.inf or abs(rel[0]) == np.inf
+        assert np.isnan(r["std"]) and (r["p25"], r["lo"]) == pytest.approx((rel[1] + 0.75 * (rel[2] - rel[1]), rel[1] + 0.5 * (rel[2] - rel[1])))
+    split = spark.createDataFrame([("T", 1, b, v) for b, v in enumerate((float("-inf"), 1.0, 2.0))], "ticker string, h int, back int, rel double")
+    lo, hi = simplex.band(split).select("lo", "hi").first()
+    assert np.isnan(lo) and hi == pytest.approx(1.75)

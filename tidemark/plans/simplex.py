@@ -263,7 +263,7 @@ def band(paths: DataFrame, percent: float = 50.0) -> DataFrame:
     by = ("ticker", "h")
     stats = paths.groupBy(*by).agg(F.count("*").alias("origins"), F.avg("rel").alias("mean"), F.stddev_pop("rel").alias("std"), F.percentile("rel", 0.25).alias("p25"), F.percentile("rel", 0.75).alias("p75"))
     read = weighted_quantiles(paths.withColumn("w", F.lit(1.0)), "rel", "w", (tail, 1 - tail), by, ("back",))
-    ends = read.groupBy(*by).agg(F.min("quantile").alias("lo"), F.max("quantile").alias("hi"))
+    ends = read.groupBy(*by).agg(F.min_by("quantile", "q").alias("lo"), F.max_by("quantile", "q").alias("hi"))  # what is not a number stays on its side
     return stats.join(ends, list(by))
 
 
